@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, url_filter
+from quillon.llm import exact_dedup, mixing, packing, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_packing": packing.op6_packing,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL = {
