@@ -19,6 +19,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -129,16 +130,16 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
-def first_basis(lengths: list[int], demand: list[int], capacity: int) -> tuple[list[dict[int, int]], list[int]]:
-    """As many patterns as lengths, and how often each is used; together they meet the demand.
+def first_basis(lengths: list[int], demand: list[int], capacity: int) -> tuple[list[dict[int, int]], list[float]]:
+    """As many patterns as lengths, and the amount of each; together they meet the demand.
 
     Every pattern starts with the longest length that is left, adds the longest that still fit, and
-    is used until one of its lengths has run out. Ordered by the lengths that run out, the patterns
+    lasts until one of its lengths has run out. Ordered by the lengths that run out, the patterns
     are a triangular basis; a length that runs out along with another has a pattern of its own, unused.
     """
-    left, alive = list(demand), list(range(len(lengths)))
+    left, alive = [float(n) for n in demand], list(range(len(lengths)))
     basis: list[dict[int, int]] = [{} for _ in lengths]
-    times = [0] * len(lengths)
+    amounts = [0.0] * len(lengths)
     while alive:
         pattern: dict[int, int] = {}
         room, at = capacity, len(alive)
@@ -146,18 +147,19 @@ def first_basis(lengths: list[int], demand: list[int], capacity: int) -> tuple[l
             at = bisect_left(alive, room + 1, 0, at, key=lambda i: lengths[i])
             if at:
                 i = alive[at - 1]
-                pattern[i] = n = min(room // lengths[i], left[i])
+                pattern[i] = n = min(room // lengths[i], math.ceil(left[i]))
                 room -= n * lengths[i]
                 at -= 1
-        used = min(left[i] // n for i, n in pattern.items())
+        out = min(pattern, key=lambda i: left[i] / pattern[i])
+        amount = left[out] / pattern[out]
+        basis[out], amounts[out] = pattern, amount
         for i, n in pattern.items():
-            left[i] -= used * n
-        gone = [i for i in pattern if not left[i]]
-        basis[gone[0]], times[gone[0]] = pattern, used
-        for i in gone[1:]:
-            basis[i] = {i: capacity // lengths[i]}
+            left[i] = 0.0 if i == out else left[i] - amount * n
+            if i != out and left[i] < 1e-7:
+                left[i] = 0.0
+                basis[i] = {i: capacity // lengths[i]}
         alive = [i for i in alive if left[i]]
-    return basis, times
+    return basis, amounts
 
 
 def matrix(basis: list[dict[int, int]]) -> np.ndarray:
@@ -176,8 +178,8 @@ def solve(lengths: list[int], demand: list[int], capacity: int, gap: float = GAP
     or the sequences over the best pattern's value), or after ``steps``.
     """
     ls, d = np.array(lengths), np.array(demand, dtype=float)
-    basis, times = first_basis(lengths, demand, capacity)
-    x = np.array(times, dtype=float)
+    basis, amounts = first_basis(lengths, demand, capacity)
+    x = np.array(amounts)
     bound = float(ls @ d) / capacity
     inverse = None
     for step in range(steps):
