@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, mixing, packing, url_filter
+from quillon.llm import exact_dedup, html_extract, mixing, packing, pii, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
 }
 
