@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, html_extract, mixing, packing, pii, url_filter
+from quillon.llm import exact_dedup, html_extract, mixing, packing, pii, quality, topk_search, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,9 +11,12 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
+    "op10_topk_search": topk_search.op10_topk_search,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op10_topk_search": topk_search.OP10_SQL,
 }
