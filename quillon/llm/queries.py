@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, html_extract, mixing, packing, pii, quality, topk_search, url_filter, warc
+from quillon.llm import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
