@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import keep
+from quillon.llm.scratch import keep, sized
 
 COUNTERS = 4096
 
@@ -77,12 +77,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    The dropped ids are the smaller side; rows with a repeated or null id stay with their text's winner.
+    Only ids and digests are joined: broadcast if they are few, else with the texts shuffled once.
     """
     groups = exact_groups(df, id_col, text_col, counters)
     gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    return df.join(sized(gone.distinct(), "gone"), F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,14 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import keep
+from quillon.llm.scratch import keep, sized
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
@@ -91,11 +94,10 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, repeat: float = REPEAT, extra: list[str] | None = None) -> DataFrame:
-    """One row a document: id_col, source_col, size, source_size, target, taken, and the columns ``extra``."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, weights: tuple = WEIGHTS, share: float = SHARE, repeat: float = REPEAT) -> DataFrame:
+    """One row a document: id_col, source_col, size, source_size, target, taken, and _text, a hash of the text."""
     spark = docs.sparkSession
-    extra = extra or []
-    sizes = keep(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(F.col(text_col)).alias("size"), *(F.col(c).alias(f"_x_{c}") for c in extra)), "sizes")
+    sizes = keep(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text")), "sizes")
     found = sorted(((r["_source"], r["n"]) for r in sizes.groupBy("_source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     words = [n for _, n in found]
     wanted = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, repeat)
@@ -122,7 +124,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = joined.withColumn("_end", end).withColumn("_rounds", F.when(F.col("_n") > 0, F.expr("_quota div _n")).otherwise(0))
     rest = F.col("_quota") - F.col("_rounds") * F.col("_n")
     part = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")))
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).alias("taken"), *(F.col(f"_x_{c}").alias(c) for c in extra))
+    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).alias("taken"), "_text")
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as its words are taken, with all its columns.
+
+    The one document of a shard where its quota ends has its text cut after the last word taken.
+    Rows that agree in id and text share what they take.
+    """
+    found = mix(docs, id_col, text_col, source_col, **options)
+    share = found.groupBy(F.col(id_col).alias("_id"), "_text").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    here = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_text"))
+
+    def cut(text: pd.Series, words: pd.Series) -> pd.Series:
+        def one(t: str, n: int) -> str:
+            for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", t), 1):
+                if k == n:
+                    return t[: m.end()]
+            return t
+
+        return pd.Series([one(t, n) for t, n in zip(text, words, strict=True)])
+
+    whole = docs.join(sized(share.where("_taken >= _size"), "whole"), here).withColumn("_copy", F.explode(F.expr("sequence(1, cast(_taken div _size as int))"))).select(*docs.columns)
+    ends = docs.join(sized(share.where("_taken % _size > 0"), "ends"), here).withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.expr("_taken % _size"))).select(*docs.columns)
+    return whole.unionByName(ends)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import smallest_labels
-from quillon.llm.scratch import keep
+from quillon.llm.scratch import keep, sized
 from quillon.llm.shingles import mix, shingle_sets
 
 #: Slots of the table of counts: a power of 2; bits of a key in it.
@@ -235,7 +235,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay: of each component those whose id is its smallest, and all rows with null ids."""
     found = jaccard_components(docs, id_col, text_col)
     gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    return docs.join(sized(gone, "gone"), F.col(id_col) == F.col("_id"), "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ SEQUENCE, END = 1024, 0
 #: The linear program stops this close to its lower bound.
 GAP = 2e-4
 #: Steps of the linear program at most, for its time on the driver; it stands still long before its end.
-STEPS = 1500
+STEPS = 500
 #: Rows of the table of ranks by (length, bucket) up to which it is broadcast; beyond, it is joined by shuffling.
 BASE_ROWS = 1 << 18
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
@@ -58,6 +59,16 @@ def release(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != p]
 
 
+#: Rows of a narrow table (ids, digests, numbers) up to which it is broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(small: DataFrame, name: str) -> DataFrame:
+    """``small``, a narrow table, kept and counted: to be broadcast if it is small enough, else to be joined by shuffling."""
+    held = keep(small, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
