@@ -15,10 +15,11 @@ result is exact: the connected components of all links.
    shingles first and differ by seeded hashes among equally frequent ones. Nodes that share a
    prefix shingle under the first order are candidates; a pair goes on only if its prefixes meet
    under all other orders as well. Then the sets themselves are compared.
-4. Stars, then the rest. First each node is compared with the smallest node of each of its buckets
-   (nodes with the same prefix shingle), and components are formed. Then every other pair in a
-   bucket whose nodes are in different components, so a large group of near copies, which the
-   stars join, needs no pairs within it, and no link between components is lost.
+4. Stars, then the rest. In each bucket (nodes with the same prefix shingle) all nodes are first
+   compared with the one that has the fewest shingles of its own, and components are formed. Then
+   every other pair in a bucket whose nodes are in different components, so a large group of near
+   copies, which the stars join, needs no pairs within it, and no link between components is lost.
+   Both leave out pairs that cannot share enough, by the places of their shingles in the order.
 
 Defined results
   null or empty text, or without words: empty set, linked with nothing, its own component.
@@ -138,11 +139,16 @@ def classes_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
 
 
-def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
-    """A set's prefix under the order ``seed``, without shingles that no other text has."""
+def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's prefix under the order ``seed``, without shingles that no other text has.
+
+    With each shingle goes the number of shingles from it to the end of the order: if it is the first
+    that two sets share, they share no more than that.
+    """
     length = len(hashes) - least_shared(len(hashes)) + 1
     order = np.lexsort((mix(hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), classes))[:length]
-    return hashes[order][classes[order] > 0]
+    shared = np.flatnonzero(classes[order] > 0)
+    return hashes[order[shared]], len(hashes) - shared
 
 
 def links(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> bool:
@@ -151,7 +157,7 @@ def links(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> bool:
         return False
     class_a, class_b = classes_of(a, table), classes_of(b, table)
     for seed in ORDERS[1:]:
-        if not np.isin(prefix(a, class_a, seed), prefix(b, class_b, seed)).any():
+        if not np.isin(prefix(a, class_a, seed)[0], prefix(b, class_b, seed)[0]).any():
             return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (len(a) + len(b) - both)
@@ -199,29 +205,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.slots()
         for batch in batches:
-            at, tokens, sizes = [], [], []
+            at, tokens, rests, sizes = [], [], [], []
             for k, blob in enumerate(batch.column(1)):
                 one = np.frombuffer(blob.as_py(), np.uint64)
-                own = prefix(one, classes_of(one, table), ORDERS[0])
+                own, rest = prefix(one, classes_of(one, table), ORDERS[0])
                 at.append(np.full(len(own), k))
                 sizes.append(np.full(len(own), len(one)))
                 tokens.append(own)
+                rests.append(rest)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(sizes).astype(np.int64))], ["token", "node", "n"])
-
-    buckets = keep(nodes.mapInArrow(prefixes, "token long, node long, n long"), "buckets")
-    hubs = buckets.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("token", "hub")
-    stars = buckets.join(hubs, "token").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    first = keep(verified(stars, nodes, shared), "stars")
+                columns = [np.concatenate(x) for x in (rests, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(at))), *(pa.array(c.astype(np.int64)) for c in columns)], ["token", "node", "rest", "n"])
+
+    buckets = keep(nodes.mapInArrow(prefixes, "token long, node long, rest long, n long"), "buckets")
+    # Sharing at most the least rest, two sets of a and b shingles link only if it is 4 / 9 of a + b or more.
+    possible = "9 * least(rest_{0}, rest_{1}) >= 4 * (n_{0} + n_{1})"
+    best = F.max_by(F.struct("node", "rest", "n"), F.struct("rest", -F.col("node")))
+    hubs = buckets.groupBy("token").agg(best.alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("token", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("node", "rest", "n")))
+    members = buckets.select("token", "node", F.col("rest").alias("rest_own"), F.col("n").alias("n_own"))
+    paired = members.join(hubs, "token").where("node <> node_hub").where(possible.format("own", "hub"))
+    stars = keep(paired.select(F.least("node", "node_hub").alias("u"), F.greatest("node", "node_hub").alias("v")).distinct(), "stars")
+    first = keep(verified(stars, nodes, shared), "links")
     roots = smallest_labels(first)
 
-    labelled = keep(buckets.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root")), "labelled")
+    labelled = keep(buckets.join(roots, "node", "left").select("token", "node", "rest", "n", F.coalesce("root", "node").alias("root")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_rows = labelled.join(mixed, "token", "left_semi")
-    a = open_rows.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")))
-    b = open_rows.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")))
-    # The stars have already been compared; other pairs once, and only where sizes allow a link.
-    crossing = a.join(b, "token").where("node_a < node_b and root_a <> root_b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    a, b = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "rest", "n", "root"))) for k in "ab")
+    crossing = a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(possible.format("a", "b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
     second = verified(crossing.join(stars, ["u", "v"], "left_anti"), nodes, shared)
     final = smallest_labels(first.unionByName(second))
 
