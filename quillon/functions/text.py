@@ -83,7 +83,7 @@ def chunk_sentences(text: Column | str) -> Column:
     """Sentences for chunking: they end with a run of terminators before white space or the end."""
     spaced = F.coalesce(normalize_space(text), F.lit(""))
     found = F.regexp_extract_all(spaced, F.lit(r"((?s).+?(?:[।.!?]+(?=\s|$)|$))"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def answer_sentences(text: Column | str) -> Column:
@@ -110,7 +110,7 @@ def answer_sentences(text: Column | str) -> Column:
         return F.regexp_replace(by_period, "([।?!])", "$1" + _MARK)
 
     parts = F.split(F.array_join(F.transform(words, marked), " "), _MARK)
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def devanagari_language(text: Column | str, share: float = 0.15) -> Column:
