@@ -54,7 +54,7 @@ def cosine_topk(queries: DataFrame, points: DataFrame, keys: list[str], vector:
         pairs = held.join(F.broadcast(asked), alike)
     else:
         dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_key"), F.lit(blocks)))
-        pairs = held.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(dealt, "_b").where(alike)
+        pairs = held.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").where(alike)
     scored = pairs.select("query_key", *keys, dot(F.col("_q"), F.col("_p")).alias("score"))
     scored = scored.where(F.col("score") >= threshold) if threshold is not None else scored
     return rank(scored, k, keys, positive=False)
