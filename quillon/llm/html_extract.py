@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.html_tree import BLOCK, RAW, Page
+from quillon.llm.scratch import bound_batches
 
 #: A template subtree stands on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.01
@@ -111,6 +112,7 @@ class Marked:
 
 def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Main text of every page: the columns ``keep_cols``, text, n_chars."""
+    bound_batches(pages.sparkSession)
     source = pages.select(*keep_cols, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     source = source.withColumn("_key", F.xxhash64("_url", "_html"))
 

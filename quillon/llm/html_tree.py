@@ -38,7 +38,7 @@ _ENDS = {
 _P_STOPS = frozenset("table td th caption button object template".split())
 _END_STOPS = frozenset("article aside section nav main table td th body html".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?])[^>]*>|(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
+_TAG = re.compile(r"<(?:!--(?P<comment>-?>|.*?(?:--!?>|\Z))|(?P<other>[!?])[^>]*>|(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 MASK = (1 << 61) - 1
@@ -95,6 +95,8 @@ class Page:
             at = m.end()
             tag = m["tag"]
             if tag is None:
+                if m["comment"] is not None and not m[0].endswith(("-->", "--!>")):  # it never ends
+                    break
                 continue
             tag = tag.lower()
             if m["end"]:

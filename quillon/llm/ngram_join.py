@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import smallest_labels
-from quillon.llm.scratch import keep, sized
+from quillon.llm.scratch import bound_batches, keep, sized
 from quillon.llm.shingles import mix, shingle_sets
 
 #: Slots of the table of counts: a power of 2; bits of a key in it.
-SLOT_BITS, KEY_BITS = 26, 40
+SLOT_BITS, KEY_BITS = 25, 40
 #: Shingles that a task gathers before it sends them.
-RUN = 1 << 22
+RUN = 1 << 20
 #: Seeds of the global orders.
 ORDERS = (1, 2, 3)
 
@@ -72,12 +72,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), planes[5].astype(np.int64)
 
 
-def count_table(docs: DataFrame, text_col: str) -> list[tuple[int, bytes]]:
+def count_table(docs: DataFrame, text_col: str, bits: int) -> list[tuple[int, bytes]]:
     """The table of counts in compressed parts: (part, bytes of its slots), of a fixed size together."""
     wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part_bits = min(SLOT_BITS - 8, max(4, (wanted - 1).bit_length()))
+    part_bits = min(bits - 8, max(4, (wanted - 1).bit_length()))
     in_part = KEY_BITS - part_bits
-    slots = 1 << (SLOT_BITS - part_bits)
+    slots = 1 << (bits - part_bits)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -108,35 +108,32 @@ def count_table(docs: DataFrame, text_col: str) -> list[tuple[int, bytes]]:
         keys, counts = keys[first], np.add.reduceat(counts, first)
         keys, counts = keys[counts > 1], counts[counts > 1]
         out = np.zeros(slots, np.uint8)
-        np.maximum.at(out, (keys >> np.uint64(KEY_BITS - SLOT_BITS)).astype(np.int64), np.minimum(255, 8 * np.log2(counts)).astype(np.uint8))
+        np.maximum.at(out, (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64), np.minimum(255, 8 * np.log2(counts)).astype(np.uint8))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "slots": pa.array([zstandard.ZstdCompressor(level=3).compress(out.tobytes())], pa.binary())})
 
     merged = docs.select(text_col).mapInArrow(runs, "part int, run binary").groupBy("part").applyInArrow(merge, "part int, slots binary")
-    return [(r["part"] << (SLOT_BITS - part_bits), bytes(r["slots"])) for r in merged.collect()]
+    return [(r["part"] << (bits - part_bits), bytes(r["slots"])) for r in merged.collect()]
 
 
 class Counts:
     """The broadcast table in compressed parts; unpacked once in each Python worker."""
 
-    def __init__(self, parts: list[tuple[int, bytes]]):
-        self.parts = parts
+    def __init__(self, parts: list[tuple[int, bytes]], bits: int):
+        self.parts, self.bits = parts, bits
         self.table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {"parts": self.parts, "table": None}
+        return {"parts": self.parts, "bits": self.bits, "table": None}
 
-    def slots(self) -> np.ndarray:
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The class of each shingle: 0 if no other text has it, else higher the more have it."""
         if self.table is None:
-            table = np.zeros(1 << SLOT_BITS, np.uint8)
+            table = np.zeros(1 << self.bits, np.uint8)
             for at, blob in self.parts:
                 part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
                 table[at : at + len(part)] = part
             self.table = table
-        return self.table
-
-
-def classes_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        return self.table[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
 
 
 def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +148,11 @@ def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarr
     return hashes[order[shared]], len(hashes) - shared
 
 
-def links(a: np.ndarray, b: np.ndarray, table: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, counts: Counts) -> bool:
     """Whether two sets have a Jaccard similarity of 0.8 or more; prefixes under all orders first."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
         return False
-    class_a, class_b = classes_of(a, table), classes_of(b, table)
+    class_a, class_b = counts.of(a), counts.of(b)
     for seed in ORDERS[1:]:
         if not np.isin(prefix(a, class_a, seed)[0], prefix(b, class_b, seed)[0]).any():
             return False
@@ -167,10 +164,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, shared: Broadcast) -> DataFrame
     """Those of ``pairs`` (u, v) that link."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        counts = shared.value
         for batch in batches:
-            table = shared.value.slots() if table is None else table
-            found = [links(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), table) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [links(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), counts) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
     left, right = nodes.select(F.col("node").alias("u"), F.col("set").alias("set_u")), nodes.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
@@ -180,17 +176,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, shared: Broadcast) -> DataFrame
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: id_col, n_shingles, component_id."""
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(Counts(count_table(source, "text")))
+    shared = spark.sparkContext.broadcast(Counts(count_table(source, "text", SLOT_BITS), SLOT_BITS))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.slots()
+        counts = shared.value
         for batch in batches:
             sizes, keys, sets, seen = [], [], [], set()
             for one in shingle_sets(batch.column(1)):
                 data = one.tobytes()
                 key = xxhash.xxh3_128_digest(data) if len(one) else None
-                first = key is not None and key not in seen and np.count_nonzero(classes_of(one, table)) >= least_shared(len(one))
+                first = key is not None and key not in seen and np.count_nonzero(counts.of(one)) >= least_shared(len(one))
                 seen.add(key)
                 sizes.append(len(one))
                 keys.append(key)
@@ -203,12 +200,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = keep(held.join(named, "key").select("node", "set"), "nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.slots()
+        counts = shared.value
         for batch in batches:
             at, tokens, rests, sizes = [], [], [], []
             for k, blob in enumerate(batch.column(1)):
                 one = np.frombuffer(blob.as_py(), np.uint64)
-                own, rest = prefix(one, classes_of(one, table), ORDERS[0])
+                own, rest = prefix(one, counts.of(one), ORDERS[0])
                 at.append(np.full(len(own), k))
                 sizes.append(np.full(len(own), len(one)))
                 tokens.append(own)
@@ -235,6 +232,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     crossing = a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(possible.format("a", "b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
     second = verified(crossing.join(stars, ["u", "v"], "left_anti"), nodes, shared)
     final = smallest_labels(first.unionByName(second))
+    shared.destroy()  # all that needs the table has been written
 
     found = named.join(final, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
     joined = rows.select("id", "n", "key").join(found, "key", "left")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import keep
+from quillon.llm.scratch import bound_batches, keep
 
 SEQUENCE, END = 1024, 0
 #: The linear program stops this close to its lower bound.
@@ -264,6 +264,7 @@ def slots(plans: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SEQUENCE, buckets: int | None = None) -> DataFrame:
     """One row a piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = keep(pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), size), "pieces").withColumn("_bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
     counts = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillon.llm.scratch import bound_batches
+
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = KINDS[:4]
 #: Cue words of identifiers; a value of 6 characters or more with a digit follows after = or :.
@@ -154,6 +156,7 @@ def iban_end(text: str, start: int, end: int) -> int | None:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: id_col, n_email, n_ip, n_card, n_phone, n_address, n_account, base_sha256, spans."""
+    bound_batches(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 

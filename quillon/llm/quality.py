@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.scratch import bound_batches
+
 SAMPLE, SAMPLE_CHARS = 4000, 1 << 14
 DICTIONARY, CHUNK, LEVEL = 1 << 16, 4096, 3
 #: Scores from here on count as label 1.
@@ -125,6 +127,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column score, from the whole text alone."""
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,20 @@ def release(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != p]
 
 
+#: Bytes of an Arrow batch: what a Python worker and its executor hold at once of a table with long texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to ``BATCH_BYTES``, if it is above."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.conf.get(name).strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(value[-1:], 1)
+    size = int(value.rstrip("kmg") or -1) * unit
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Rows of a narrow table (ids, digests, numbers) up to which it is broadcast: some 50 MB.
 BROADCAST_ROWS = 500_000
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SIZE = 5
 #: Bytes of text for which word hashes are computed at a time, and of the texts handled together.
-PIECE, GROUP = 1 << 20, 1 << 23
+PIECE, GROUP = 1 << 18, 1 << 21
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 

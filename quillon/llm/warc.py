@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.html_tree import Page
+from quillon.llm.scratch import bound_batches
 
 #: The format's version, and the namespace of RFC 4122 for URLs.
 VERSION = "WARC/1.1"
@@ -73,6 +74,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 rows.append(("response", record_id("response", str(key), url or "", fields["WARC-Payload-Digest"]), url, date, None, list(fields.items()), http, payload))
             yield _batch(batch.column(0), rows, id_col)
 
+    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, url_col, html_col).mapInArrow(build, f"{id_col} {kind}, {SCHEMA}")
 
@@ -167,6 +169,7 @@ def derive(records: DataFrame, id_col: str = "page_id") -> DataFrame:
                     rows.append(made)
             yield _batch(batch.column(0).take(pa.array(at, pa.int64())), rows, id_col)
 
+    bound_batches(records.sparkSession)
     kind = records.schema[id_col].dataType.simpleString()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return records.select(id_col, *names).mapInArrow(build, f"{id_col} {kind}, {SCHEMA}")
@@ -231,6 +234,7 @@ def serialise(records: DataFrame, id_col: str = "page_id") -> DataFrame:
             blobs = [gzip.compress(to_bytes(r), mtime=0) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], [id_col, "warc_type", "member"])
 
+    bound_batches(records.sparkSession)
     kind = records.schema[id_col].dataType.simpleString()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return records.select(id_col, *names).mapInArrow(build, f"{id_col} {kind}, warc_type string, member binary")
