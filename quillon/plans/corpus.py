@@ -107,7 +107,28 @@ def _chunks(spark: SparkSession, sf_dir: str, max_tokens: int = 64) -> DataFrame
     return chunking.chunk(_passages(spark, sf_dir), max_tokens)
 
 
-@query()
+def _chunks_sql(size: int = 64) -> str:
+    """Chunks by the same fold in SQL: a state of finished chunks and open sentences, over each passage's sentences."""
+    kind, none, step = "STRUCT(t VARCHAR, s VARCHAR)[]", "CAST([] AS VARCHAR[])", size - min(chunking.WINDOW_OVERLAP, size - 1)
+
+    def n(x: str) -> str:
+        return f"len(string_split({x}, ' '))"
+
+    flush = "CASE WHEN len(a.open) > 0 THEN list_append(a.done, {'t': array_to_string(a.open, ' '), 's': 'sentence_overlap'}) ELSE a.done END"
+    new = "b.open[1]"
+    windows = f"list_transform(range(greatest(1, CAST(ceil(({n(new)} - {size}) / {step}.0) AS BIGINT) + 1)), lambda i: {{'t': array_to_string(list_slice(string_split({new}, ' '), i * {step} + 1, i * {step} + {size}), ' '), 's': 'token_window_fallback'}})"
+    fold = f"""list_reduce(list_transform(s, lambda x: {{'done': CAST([] AS {kind}), 'open': [x]}}), lambda a, b: CASE
+ WHEN {n(new)} > {size} THEN {{'done': list_concat({flush}, {windows}), 'open': {none}}}
+ WHEN len(a.open) = 0 THEN {{'done': a.done, 'open': [{new}]}}
+ WHEN {n("array_to_string(a.open, ' ')")} + {n(new)} <= {size} THEN {{'done': a.done, 'open': list_append(a.open, {new})}}
+ ELSE {{'done': {flush}, 'open': CASE WHEN {n("a.open[-1]")} + {n(new)} <= {size} THEN [a.open[-1], {new}] ELSE [{new}] END}} END, {{'done': CAST([] AS {kind}), 'open': {none}}})"""
+    return f"""{RECORDS_SQL}, sp AS (SELECT query_id, passage_index, text, {_SPLIT_SQL} AS s FROM pas), fo AS (SELECT query_id, passage_index, text, {fold} AS a FROM sp),
+ca AS (SELECT query_id, passage_index, CASE WHEN {n("text")} <= {size} THEN [{{'t': text, 's': 'whole_passage'}}] ELSE {flush} END AS c FROM fo),
+cu AS (SELECT query_id, passage_index, CAST(i AS INTEGER) AS chunk_index, c[i + 1] AS k FROM (SELECT *, unnest(range(len(c))) AS i FROM ca)),
+ch AS (SELECT query_id, passage_index, chunk_index, k.s AS chunk_strategy, CAST({n("k.t")} AS BIGINT) AS token_count, k.t AS text FROM cu)"""
+
+
+@query(f"WITH {_chunks_sql()} SELECT query_id, passage_index, chunk_index, chunk_strategy, token_count, sha256(text) AS text_sha256 FROM ch")
 def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of at most 64 words."""
     return _chunks(spark, sf_dir).select("query_id", "passage_index", "chunk_index", "chunk_strategy", "token_count", F.sha2("text", 256).alias("text_sha256"))
@@ -123,7 +144,7 @@ def chunk_whole_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("passages"), F.count_if((F.col("s") == "whole_passage") & (F.col("c") == 1)).alias("whole_passages"), F.max("n").alias("longest"))
 
 
-@query()
+@query(f"WITH {_chunks_sql()} SELECT chunk_strategy, count(*) AS chunks, max(token_count) AS longest, round(avg(token_count), 6) AS mean FROM ch GROUP BY 1")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).groupBy("chunk_strategy").agg(F.count(F.lit(1)).alias("chunks"), F.max("token_count").alias("longest"), F.round(F.avg("token_count"), 6).alias("mean"))
 
@@ -151,6 +172,72 @@ def point_ids_bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passages(spark, sf_dir).select("query_id", "passage_index", ids.bilingual_point_id(F.lit("en"), F.col("query_id"), F.col("passage_index"), F.lit(0), F.lit("whole_passage")).alias("point_id"))
 
 
+@query(f"WITH {_chunks_sql()} SELECT count(DISTINCT query_id) AS records, (SELECT count(*) FROM pas) AS documents, count(*) AS chunks, count(DISTINCT (query_id, passage_index, chunk_index, chunk_strategy)) AS points FROM ch")
+def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexing flow as one row of counts: records, passages, chunks, distinct points."""
+    passages = _passages(spark, sf_dir)
+    chunks = chunking.chunk(passages, 64)
+    point = ids.strategy_point_id(F.col("query_id"), F.col("passage_index"), F.col("chunk_index"), F.col("chunk_strategy"))
+    counts = chunks.select("query_id", point.alias("point_id")).agg(F.count_distinct("query_id").alias("records"), F.count(F.lit(1)).alias("chunks"), F.count_distinct("point_id").alias("points"))
+    return counts.crossJoin(passages.agg(F.count(F.lit(1)).alias("documents"))).select("records", "documents", "chunks", "points")
+
+
+@query("SELECT * FROM (VALUES ('doc_id', 'bigint'), ('text', 'string'), ('lang', 'string'), ('source', 'string'), ('n_chars', 'bigint')) t(name, type), (SELECT least(count(*), 100) AS present FROM documents)")
+def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns, types and how many of the first 100 rows have a value."""
+    from quillon.sources.tables import schema_report as report
+
+    return report(table(spark, sf_dir, "documents"), 100)
+
+
+@query("SELECT k AS doc_id, n_chars, n_chars IS NOT NULL AS found FROM (SELECT unnest(range(0, 2000, 50)) AS k) LEFT JOIN documents ON doc_id = k")
+def lookup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of 40 asked ids; those that aren't there are said so."""
+    wanted = spark.range(0, 2000, 50).withColumnRenamed("id", "doc_id")
+    return sinks.lookup(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), wanted, "doc_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND vec_id % 2 = 0")
+def valid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with a UUID and a sound vector; here every second one has no UUID."""
+    uuid = ids.uuid5(F.col("vec_id").cast("string"))
+    points = table(spark, sf_dir, "embeddings").withColumn("point_id", F.when(F.col("vec_id") % 2 == 0, uuid).otherwise("none"))
+    return sinks.valid_points(points, 64, vector="embedding").select("vec_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KNOWN_OVERWRITE' ELSE 'UNEXPLAINED' END AS class FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def classify_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, as known or unexplained; those divisible by 3 are known."""
+    docs = documents(spark, sf_dir)
+    return policies.classify_missing(audit.missing(docs, table(spark, sf_dir, "labels"), "doc_id").select("doc_id"), docs.where("doc_id % 3 = 0"), ["doc_id"]).select("doc_id", "class")
+
+
+@query("""WITH e AS (SELECT DISTINCT doc_id FROM documents), a AS (SELECT DISTINCT doc_id FROM labels), r AS (SELECT (SELECT count(*) FROM e ANTI JOIN a USING (doc_id)) AS missing, (SELECT count(*) FROM a ANTI JOIN e USING (doc_id)) AS unexpected)
+SELECT missing, unexpected, CASE WHEN missing > 0 THEN 'MISSING_POINTS' WHEN unexpected > 0 THEN 'UNEXPECTED_POINTS' ELSE 'STRUCTURALLY_COMPLETE' END AS status FROM r""")
+def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = audit.reconcile(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id").withColumn("collisions", F.lit(0)).withColumn("payload_errors", F.lit(0))
+    return audit.final_status(report).select("missing", "unexpected", "status")
+
+
+@query("SELECT doc_id, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END], lambda x: x IS NOT NULL)::VARCHAR AS errors FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")
+def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required fields that are null, of documents joined with their labels."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = documents(spark, sf_dir).join(labels, "doc_id", "left")
+    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(ingest.payload_errors(["quality", "toxic"]), ", "), F.lit("]")).alias("errors"))
+
+
+@query("SELECT count(*) FILTER (lang <> 'en') AS foreign_rows FROM documents")
+def foreign_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.foreign_rows(documents(spark, sf_dir).withColumn("asked", F.lit("en")), "lang", "asked")
+
+
+@query("SELECT lang, round(count(*) * 9193.472 / 1073741824.0, 9) AS gib FROM documents GROUP BY lang")
+def storage_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = documents(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("lang", F.round(policies.storage_gib(F.col("n"), 9193.472), 9).alias("gib"))
+
+
 @query("SELECT doc_id, sha256(text) AS text_hash, CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END AS preview FROM (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", ids.text_hash(F.col("text")).alias("text_hash"), preview("text").alias("preview"))

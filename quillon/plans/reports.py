@@ -118,3 +118,39 @@ def guardrail_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, round(least(1, 4 * sqrt(avg(pow((value - 128) / 128.0, 2)))), 6) AS level FROM events GROUP BY user_id")
 def rms_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rms_level(table(spark, sf_dir, "events"), "user_id", "value").withColumn("level", F.round("level", 6))
+
+
+@query(r"""WITH r AS (SELECT event_id, CASE WHEN user_id % 5 = 4 THEN 'xx' ELSE 'en' END AS language, event_type, value, trim(coalesce(json_extract_string(props, '$.k'), '')) AS answer FROM events),
+p AS (SELECT *, CASE WHEN language <> 'en' THEN 'UNSUPPORTED_LANGUAGE' WHEN NOT regexp_matches(event_type, '[a-z]') THEN 'QUERY_INVALID' END AS pre, CASE WHEN event_type = 'error' THEN 'internal_error' WHEN value * 1000 > 30000 THEN 'timeout' END AS category FROM r)
+SELECT event_id, CASE WHEN pre IS NOT NULL THEN 422 WHEN category = 'timeout' THEN 504 WHEN category IS NOT NULL THEN 500 ELSE 200 END AS status, coalesce(pre, CASE WHEN category IS NULL AND answer = '' THEN 'INSUFFICIENT_EVIDENCE' END) AS guardrail_code FROM p""")
+def harness_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: the type as query, a property as answer, the value in seconds as time."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("query"), F.when(F.col("user_id") % 5 == 4, "xx").otherwise("en").alias("language"), F.lit("text").alias("input_mode"),
+        F.get_json_object("props", "$.k").alias("answer"), F.lit(False).alias("is_no_answer"), F.lit(1).alias("evidence_count"),
+        F.when(F.col("event_type") == "error", "internal_error").alias("error_category"), (F.col("value") * 1000).alias("elapsed_ms"),
+    )
+    return guardrails.harness(rows).select("event_id", "status", "guardrail_code")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'en' END AS language, CASE WHEN value - 50 >= 0 THEN value - 50 END AS rag_ms FROM events")
+def safe_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown languages and negative times are dropped from diagnostics."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, "en").otherwise("zz").alias("language"), F.lit("text").alias("input_mode"), F.lit(None).cast("string").alias("guardrail_code"), (F.col("value") - 50).alias("rag_ms"))
+    safe = guardrails.safe_diagnostics(rows.withColumn("input_mode", F.lit("text")), ["rag_ms", "event_id"])
+    return safe.select(F.col("event_id"), "language", "rag_ms")
+
+
+@query("""WITH m(policy, quality, chunks) AS (VALUES ('A', 0.7698, 58427), ('D', 0.7143, 103502), ('E', 0.6746, 158537)), l AS (SELECT *, lag(quality) OVER (ORDER BY chunks) AS q, lag(chunks) OVER (ORDER BY chunks) AS c FROM m)
+SELECT policy, round((quality - q)::DOUBLE / ((chunks - c) / 10000.0), 9) AS per_10k_chunks FROM l""")
+def marginal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators.policies import marginal_quality as marginal
+
+    rows = spark.createDataFrame([("A", 0.7698, 58427), ("D", 0.7143, 103502), ("E", 0.6746, 158537)], "policy string, quality double, chunk_count long")
+    return marginal(rows, "quality").select("policy", F.round("per_10k_chunks", 9).alias("per_10k_chunks"))
+
+
+@query("SELECT item_id, text FROM benchmark WHERE trim(text) <> '' ORDER BY item_id LIMIT 10")
+def first_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten benchmark items that aren't blank."""
+    return evaluate.first_rows(table(spark, sf_dir, "benchmark"), ["item_id"], 10, F.trim("text") != "").select("item_id", "text")

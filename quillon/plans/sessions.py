@@ -82,3 +82,18 @@ THEN greatest(min(ts) FILTER (event_type = 'error'), min(ts) FILTER (value > 90)
 def dual_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a user has had both an error and a value above 90."""
     return sessions.dual_condition(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", F.col("value") > 90)
+
+
+@query("""WITH s AS (SELECT user_id, epoch_us(min(ts) FILTER (event_type = 'click')) / 1000.0 AS speech_end, epoch_us(min(ts) FILTER (value > 60)) / 1000.0 AS mature, epoch_us(max(ts)) / 1000.0 AS answer, max(value) AS validation FROM events GROUP BY 1),
+r AS (SELECT *, CASE WHEN speech_end IS NOT NULL AND mature IS NOT NULL THEN greatest(speech_end, mature) END AS dual, user_id % 2 = 0 AS safe, user_id % 3 = 0 AS same FROM s)
+SELECT user_id, safe AND NOT same AS false_early_release, dual IS NOT NULL AND NOT safe AND same AS missed_opportunity, CASE WHEN speech_end IS NULL AND mature IS NULL THEN 'neither' WHEN mature IS NULL OR speech_end < mature THEN 'speech_end' WHEN speech_end IS NULL OR mature < speech_end THEN 'maturity' ELSE 'same_time' END AS happened_first,
+round(CASE WHEN safe THEN answer - (dual - speech_end + validation) END, 3) AS latency_saved_ms FROM r""")
+def early_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sessions: what releasing at the dual condition would have saved or spoilt."""
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)
+    per = table(spark, sf_dir, "events").withColumn("ms", ms).groupBy("user_id").agg(
+        F.min(F.when(F.col("event_type") == "click", F.col("ms"))).alias("speech_end_ms"), F.min(F.when(F.col("value") > 60, F.col("ms"))).alias("maturity_ms"),
+        F.max("ms").alias("answer_ms"), F.max("value").alias("validation_ms"),
+    )
+    rows = per.withColumn("safe", F.col("user_id") % 2 == 0).withColumn("early_provenance", F.lit("p")).withColumn("final_provenance", F.when(F.col("user_id") % 3 == 0, "p").otherwise("q"))
+    return sessions.early_release_report(rows).select("user_id", "false_early_release", "missed_opportunity", "happened_first", F.round("latency_saved_ms", 3).alias("latency_saved_ms"))
