@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.text import normalize_space
 from quillon.functions.vectors import DECAY, bucket, bucket_value, dot, norm
@@ -58,3 +63,24 @@ def cosine_topk(queries: DataFrame, points: DataFrame, keys: list[str], vector:
     scored = pairs.select("query_key", *keys, dot(F.col("_q"), F.col("_p")).alias("score"))
     scored = scored.where(F.col("score") >= threshold) if threshold is not None else scored
     return rank(scored, k, keys, positive=False)
+
+
+def encode(rows: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = PASSAGE, batch: int = 16) -> DataFrame:
+    """``rows`` with an ``embedding`` by a model of the caller's, of unit length; blank texts are an error.
+
+    ``load`` runs once in each Python worker and returns a function from texts to a matrix.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            texts = [" ".join((t or "").split()) for t in frame[text_col]]
+            if not all(texts):
+                raise ValueError("texts to embed must not be blank")
+            parts = [np.asarray(model([f"{prefix} {t}" for t in texts[i : i + batch]]), dtype=np.float64) for i in range(0, len(texts), batch)]
+            matrix = np.concatenate(parts) if parts else np.zeros((0, 1))
+            unit = matrix / np.clip(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12, None)
+            yield frame.assign(embedding=list(unit.astype(np.float32)))
+
+    return rows.mapInPandas(run, schema)

@@ -109,3 +109,26 @@ def bm25_profile(queries: DataFrame, docs: DataFrame, keys: list[str], text_col:
     found = asked.join(hits, "term", "left")
     key = F.struct(*keys)
     return found.groupBy("query_key").agg(F.count_distinct("term").alias("terms"), F.count("tf").alias("postings"), F.count_distinct(F.when(F.col("tf").isNotNull(), key)).alias("candidates"))
+
+
+def save_index(docs: DataFrame, path: str, keys: list[str], text_col: str = "text", group: list[str] | None = None) -> None:
+    """Write postings (sorted by term, so a term's rows lie together), document frequencies and statistics as tables."""
+    group = group or []
+    index = postings(docs, keys, text_col, group)
+    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    saved = docs.sparkSession.read.parquet(f"{path}/postings")
+    document_frequencies(saved, group).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
+    corpus_stats(docs, text_col, group).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(queries: DataFrame, path: str, keys: list[str], k: int = 5, group: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """The ``k`` best documents of every query from the tables that ``save_index`` wrote; documents aren't read."""
+    check_parameters(k1, b)
+    group = group or []
+    spark = queries.sparkSession
+    index, df, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "df", "stats"))
+    asked = query_terms(queries, group=group)
+    hits = index.join(asked, [*group, "term"]).join(df, [*group, "term"])
+    hits = hits.join(stats, group) if group else hits.crossJoin(F.broadcast(stats))
+    part = idf(F.col("n"), F.col("df")) * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    return rank(hits.withColumn("part", part).groupBy("query_key", *group, *keys).agg(F.sum("part").alias("score")), k, keys)

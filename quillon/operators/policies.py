@@ -28,27 +28,29 @@ def choose(passages: DataFrame, policy: str, record: str = "query_id") -> DataFr
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
+    return _placed(passages, record).where(_keeps(policy)).drop("_n")
+
+
+def _placed(passages: DataFrame, record: str) -> DataFrame:
+    """Passages with their place (selected ones first) and the number of selected ones in their record."""
     own = Window.partitionBy(record)
     hit = F.col("is_selected") == 1
-    rows = passages.withColumn("_sel", F.array_sort(F.collect_list(F.when(hit, F.col("passage_index"))).over(own)))
-    if policy.startswith("POLICY_A"):
-        rows = rows.where(hit)
+    rows = passages.withColumn("_sel", F.collect_list(F.when(hit, F.col("passage_index"))).over(own))
     distance = F.when(hit, F.lit(-1)).when(F.size("_sel") > 0, F.array_min(F.transform("_sel", lambda s: F.abs(s - F.col("passage_index"))))).otherwise(F.col("passage_index"))
-    order = own.orderBy("_d", "passage_index")
-    placed = rows.withColumn("_d", distance).withColumn("place", F.row_number().over(order))
-    extras = F.lit(POLICIES[policy])
+    placed = rows.withColumn("_d", distance).withColumn("_n", F.size("_sel")).drop("_sel")
+    return placed.withColumn("place", F.row_number().over(own.orderBy("_d", "passage_index"))).drop("_d")
+
+
+def _keeps(policy: str) -> Column:
     if policy.startswith("POLICY_D"):
-        extras = F.when(F.size("_sel") == 0, 1).otherwise(0)
-    return placed.where(F.col("place") <= F.size("_sel") + extras).drop("_sel", "_d")
+        return F.col("place") <= F.greatest(F.col("_n"), F.lit(1))
+    return F.col("place") <= F.col("_n") + POLICIES[policy]
 
 
 def all_policies(passages: DataFrame, record: str = "query_id") -> DataFrame:
     """The rows of every policy, with its name as ``policy``."""
-    out = None
-    for name in POLICIES:
-        one = choose(passages, name, record).withColumn("policy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = F.array_compact(F.array(*(F.when(_keeps(name), F.lit(name)) for name in POLICIES)))
+    return _placed(passages, record).withColumn("policy", F.explode(names)).drop("_n")
 
 
 def policy_stats(chosen: DataFrame, passages: DataFrame, record: str = "query_id") -> DataFrame:

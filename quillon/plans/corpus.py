@@ -74,7 +74,12 @@ def selected_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.selected_distribution(records(spark, sf_dir))
 
 
-@query()
+_POLICY_UNION = " UNION ALL ".join(f"SELECT '{name}' AS policy, query_id, is_selected FROM ({_policy_sql(name[7])})" for name in policies.POLICIES)
+
+
+@query(f"""WITH u AS ({_POLICY_UNION}), w AS (WITH {RECORDS_SQL} SELECT count(DISTINCT query_id) AS ar, count(*) AS ap, sum(is_selected) AS asel FROM pas),
+p AS (SELECT policy, count(DISTINCT query_id) AS rows_covered, count(*) AS passages, CAST(sum(is_selected) AS BIGINT) AS selected FROM u GROUP BY 1)
+SELECT policy, rows_covered, ar - rows_covered AS rows_dropped, passages, selected, round(passages / rows_covered, 6) AS passages_per_row, round(100 * (1 - passages / ap), 6) AS reduction_percent, round(100 * selected / asel, 6) AS representation_percent FROM p, w""")
 def policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every policy's coverage and size against all passages."""
     passages = _passages(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import normalize_space
+from quillon.functions.text import PARTIAL_STOP_TERMS, normalize_space
 from quillon.operators import evaluate, sessions
 from quillon.plans.registry import query
 from quillon.plans.retrieval import tokens_sql
@@ -23,12 +23,21 @@ PARTIALS_SQL = r"""tw AS (SELECT concat_ws('-', conv_id, turn, role) AS session_
 pt AS (SELECT session_id, CAST(k AS BIGINT) AS seq, array_to_string(list_slice(w, 1, 2 * k), ' ') AS transcript FROM tw, (SELECT unnest(range(1, 7)) AS k) WHERE len(w) >= 2 * k)"""
 
 
-@query()
+_STOPS = "['" + "', '".join(PARTIAL_STOP_TERMS) + "']"
+GATE_SQL = f"""{PARTIALS_SQL}, gt AS (SELECT session_id, seq, list_filter(list_distinct({tokens_sql("transcript")}), lambda x: NOT list_contains({_STOPS}, x)) AS t FROM pt),
+gl AS (SELECT session_id, list({{'seq': seq, 't': t}} ORDER BY seq) AS p FROM gt GROUP BY 1),
+gf AS (SELECT session_id, list_reduce(list_transform(p, lambda x: {{'out': [{{'seq': x.seq, 'd': 'new'}}], 'last': x.t}}), lambda a, b: CASE
+  WHEN len(b.last) >= 2 AND len(list_filter(b.last, lambda w: NOT list_contains(a.last, w))) > 0 THEN {{'out': list_append(a.out, {{'seq': b.out[1].seq, 'd': 'queued'}}), 'last': b.last}}
+  ELSE {{'out': list_append(a.out, {{'seq': b.out[1].seq, 'd': 'prefiltered'}}), 'last': a.last}} END, {{'out': CAST([] AS STRUCT(seq BIGINT, d VARCHAR)[]), 'last': CAST([] AS VARCHAR[])}}) AS r FROM gl),
+gate AS (SELECT session_id, u.seq AS seq, u.d AS decision FROM (SELECT session_id, unnest(r.out) AS u FROM gf))"""
+
+
+@query(f"WITH {GATE_SQL} SELECT session_id, seq, decision FROM gate")
 def partials_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.gate(partials(spark, sf_dir)).select("session_id", "seq", "decision")
 
 
-@query()
+@query(f"WITH {GATE_SQL} SELECT session_id, count(*) AS partials_received, count(*) FILTER (decision = 'prefiltered') AS partials_prefiltered, count(*) FILTER (decision = 'queued') AS partials_queued FROM gate GROUP BY 1")
 def partials_gate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.gate_counters(sessions.gate(partials(spark, sf_dir)))
 

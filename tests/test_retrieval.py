@@ -170,3 +170,18 @@ def test_equivalence_and_overlap(spark):
     got = fusion.equivalence(a, b, ["d"]).first()
     assert (got.queries, got.same_first, got.same_list, got.mean_overlap, got.max_difference) == (1, 1, 0, 0.5, 0.0)
     assert a.select(fusion.overlap_ratio(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2)), 5)).first()[0] == 1.0
+
+
+def test_saved_index_gives_the_same(tables, tmp_path):
+    queries, docs = tables
+    lexical.save_index(docs, str(tmp_path), ["doc_id"])
+    got, direct = ({(r.query_key, r.rank): (r.doc_id, round(r.score, 9)) for r in df.collect()} for df in (lexical.search_index(queries, str(tmp_path), ["doc_id"]), lexical.bm25_topk(queries, docs, ["doc_id"])))
+    assert got == direct
+
+
+def test_encode_makes_unit_vectors(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, "a  b c")], "i int, text string")
+    got = dense.encode(rows, "text", lambda: lambda texts: [[len(t), 1.0] for t in texts], batch=1).orderBy("i").collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-6 for r in got) and got[0].embedding[0] == pytest.approx(11 / math.sqrt(122))
+    with pytest.raises(Exception, match="blank"):
+        dense.encode(spark.createDataFrame([(" ",)], "text string"), "text", lambda: lambda texts: [[1.0] for _ in texts]).collect()
