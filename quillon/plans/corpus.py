@@ -9,6 +9,7 @@ from quillon.functions import ids
 from quillon.functions.text import answer_sentences, chunk_sentences, devanagari_language, estimated_tokens, normalize_space, preview, redact, without_fillers
 from quillon.operators import audit, chunking, evaluate, ingest, policies
 from quillon.plans.registry import query
+from quillon.plans.retrieval import _answer_sentences_sql
 from quillon.sources import sinks
 from quillon.sources.tables import documents, records, table
 
@@ -102,7 +103,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
 
 
-@query()
+@query(f"WITH s AS (SELECT doc_id, {_answer_sentences_sql('text')} AS s FROM documents) SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM s")
 def answer_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = documents(spark, sf_dir).select("doc_id", answer_sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))

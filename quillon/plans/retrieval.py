@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokenize
+from quillon.functions.text import ABBREVIATIONS, ANSWER_STOP_TERMS, NO_ANSWER, TITLES, tokenize
 from quillon.operators import answers, dense, evaluate, fusion, lexical, maturity
 from quillon.plans.registry import query
 from quillon.sources.tables import benchmark_queries, documents, table
@@ -209,7 +209,40 @@ def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.with_evidence(queries.withColumn("language", F.lit("en")), evidence, documents(spark, sf_dir), KEYS)
 
 
-@query()
+def _answer_sentences_sql(text: str) -> str:
+    """Sentences for answers, word by word: abbreviations and single letters keep their period, decimals too."""
+    edge = "[\"''“”‘’()\\[\\]{}<>,;:!?]+"
+    bare = f"lower(regexp_replace(regexp_replace(w, '^{edge}', ''), '{edge}$', ''))"
+    kept = ", ".join(f"'{a}'" for a in (*TITLES, *ABBREVIATIONS))
+    decimals = "regexp_replace(regexp_replace(w, '([0-9])\\.([0-9])', '\\1' || chr(3) || '\\2', 'g'), '([0-9])\\.([0-9])', '\\1' || chr(3) || '\\2', 'g')"
+    by_period = f"CASE WHEN {bare} IN ({kept}) OR regexp_matches({bare}, '^[a-z]\\.$') OR regexp_matches({bare}, '^([a-z]\\.){{2,}}$') THEN w ELSE replace(replace({decimals}, '.', '.' || chr(2)), chr(3), '.') END"
+    words = rf"string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' ')"
+    marked = f"array_to_string(list_transform({words}, lambda w: regexp_replace({by_period}, '([।?!])', '\\1' || chr(2), 'g')), ' ')"
+    return f"list_filter(list_transform(string_split({marked}, chr(2)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _terms_sql(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_]+|[\\x{{0900}}-\\x{{0963}}\\x{{0966}}-\\x{{097F}}]+'), lambda x: lower(x)))"
+
+
+_ANSWER_STOPS = "['" + "', '".join(ANSWER_STOP_TERMS) + "']"
+_HIT = "len(list_filter(qt, lambda a: len(list_filter(own, lambda b: b = a OR (length(a) >= 3 AND (starts_with(b, a) OR starts_with(a, b))))) > 0))"
+_CAND = "STRUCT(direct INTEGER, relevance DOUBLE, chunk BIGINT, place BIGINT, sentence VARCHAR, score DOUBLE, own VARCHAR[])[]"
+COMPOSE_SQL = f"""{RRF_SQL}, evi AS (SELECT query_key, semantic_score AS score, text, row_number() OVER (PARTITION BY query_key ORDER BY rank) - 1 AS chunk FROM hyb JOIN documents USING (doc_id) WHERE semantic_score IS NOT NULL),
+snt AS (SELECT query_key, score, chunk, x[j + 1] AS sentence, j AS place FROM (SELECT *, unnest(range(len(x))) AS j FROM (SELECT *, {_answer_sentences_sql("text")} AS x FROM evi WHERE score >= 0.001))),
+qq AS (SELECT query_key, query, list_filter({_terms_sql("query")}, lambda x: NOT list_contains({_ANSWER_STOPS}, x)) AS qt, list_distinct(regexp_extract_all(query, '[0-9]+(?:\\.[0-9]+)?')) AS qn, len(list_filter(['how far', 'how many', 'how much', 'how old'], lambda m: contains(lower(query), m))) > 0 AS numeric_q FROM q),
+sc AS (SELECT *, {_HIT} AS hit FROM (SELECT *, {_terms_sql("sentence")} AS own, list_distinct(regexp_extract_all(sentence, '[0-9]+(?:\\.[0-9]+)?')) AS sn FROM snt JOIN qq USING (query_key))),
+cd AS (SELECT query_key, chunk, place, {{'direct': CASE WHEN len(qt) >= 2 AND (hit = len(qt) OR (numeric_q AND len(sn) > 0 AND hit >= 2)) THEN 0 ELSE 1 END,
+  'relevance': -(0.5 * score + 1.5 * hit / len(qt) + 0.1 * len(list_intersect(qn, sn)) + 0.01 / (chunk + 1)), 'chunk': chunk, 'place': place, 'sentence': sentence, 'score': score, 'own': own}} AS c FROM sc WHERE hit >= 1),
+al AS (SELECT query_key, list([c] ORDER BY chunk, place) AS cs FROM cd GROUP BY 1),
+ac AS (SELECT query_key, list_sort(list_reduce(cs, lambda a, b: CASE WHEN len(list_filter(a, lambda o: lower(o.sentence) = lower(b[1].sentence) OR (len(b[1].own) > 0 AND len(list_intersect(o.own, b[1].own)) / len(list_distinct(list_concat(o.own, b[1].own))) >= 0.85))) > 0 THEN a ELSE list_concat(a, b) END, CAST([] AS {_CAND}))) AS cs FROM al),
+us AS (SELECT query_key, list_reduce(list_transform(cs, lambda x: {{'sel': [x], 'chars': 0, 'over': false}}), lambda s, b: CASE WHEN NOT s.over AND s.chars + CASE WHEN len(s.sel) > 0 THEN 1 ELSE 0 END + length(b.sel[1].sentence) <= 600
+  THEN {{'sel': list_concat(s.sel, b.sel), 'chars': s.chars + CASE WHEN len(s.sel) > 0 THEN 1 ELSE 0 END + length(b.sel[1].sentence), 'over': b.sel[1].direct = 0 OR len(s.sel) + 1 >= 3}} ELSE s END, {{'sel': CAST([] AS {_CAND}), 'chars': 0, 'over': false}}).sel AS used FROM ac),
+ans AS (SELECT query_key, query, CASE WHEN coalesce(len(used), 0) = 0 THEN '{NO_ANSWER}' ELSE array_to_string(list_transform(used, lambda x: x.sentence), ' ') END AS answer,
+  round(CASE WHEN len(used) > 0 THEN list_sum(list_transform(used, lambda x: x.score)) / len(used) END, 6) AS confidence, coalesce(len(used), 0) = 0 AS is_no_answer, CAST(coalesce(len(used), 0) AS INTEGER) AS sentences FROM qq LEFT JOIN us USING (query_key))"""
+
+
+@query(f"WITH {COMPOSE_SQL} SELECT query_key, query, answer, confidence, is_no_answer, sentences, answer AS formatted_answer, 'unchanged' AS format_kind FROM ans")
 def compose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive answers of all benchmark queries."""
     done = answers.format_answers(answers.compose(_composed(spark, sf_dir)))
