@@ -249,7 +249,16 @@ def compose_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("query_key", "query", "answer", F.round("confidence", 6).alias("confidence"), "is_no_answer", F.size("used").alias("sentences"), "formatted_answer", "format_kind")
 
 
-@query()
+_BLOCK = "'[Evidence ' || (len(s.blocks) + 1) || ']' || chr(10) || 'query_id: ' || b.keys[1] || chr(10) || 'passage_index: 0' || chr(10) || 'chunk_index: 0' || chr(10) || 'text: ' || b.texts[1]"
+_JOINED = "array_to_string(list_append(s.blocks, " + _BLOCK + "), chr(10) || chr(10))"
+CONTEXT_SQL = f"""{RRF_SQL}, el AS (SELECT query_key, list({{'k': CAST(doc_id AS VARCHAR), 't': trim(text)}} ORDER BY rank) AS l FROM hyb JOIN documents USING (doc_id) WHERE semantic_score IS NOT NULL GROUP BY 1),
+cx AS (SELECT query_key, list_reduce(list_transform(l, lambda x: {{'blocks': [x.t], 'texts': [x.t], 'keys': [x.k], 'over': false}}), lambda s, b: CASE WHEN s.over OR b.texts[1] = '' OR list_contains(s.texts, b.texts[1]) OR list_contains(s.keys, b.keys[1]) THEN s
+  WHEN ceil(length({_JOINED}) / 4.0) <= 2000 THEN {{'blocks': list_append(s.blocks, {_BLOCK}), 'texts': list_concat(s.texts, b.texts), 'keys': list_concat(s.keys, b.keys), 'over': false}}
+  ELSE {{'blocks': s.blocks, 'texts': s.texts, 'keys': s.keys, 'over': true}} END, {{'blocks': CAST([] AS VARCHAR[]), 'texts': CAST([] AS VARCHAR[]), 'keys': CAST([] AS VARCHAR[]), 'over': false}}).blocks AS blocks FROM el),
+ct AS (SELECT query_key, coalesce(len(blocks), 0) AS n, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS context FROM q LEFT JOIN cx USING (query_key))"""
+
+
+@query(f"WITH {CONTEXT_SQL} SELECT query_key, CAST(n AS INTEGER) AS evidence_count, CAST(ceil(length(context) / 4.0) AS BIGINT) AS estimated_tokens, sha256(context) AS context_sha256 FROM ct")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.context(_composed(spark, sf_dir), 2000).select("query_key", "evidence_count", "estimated_tokens", F.sha2("context", 256).alias("context_sha256"))
 
