@@ -16,7 +16,7 @@ from quillon.llm.scratch import keep
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from ``labels``, doesn't reject."""
     model = quality.fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).drop("score")
+    return quality.score(docs, model, score_col="_quillon_score").where(F.col("_quillon_score") >= quality.THRESHOLD).drop("_quillon_score")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

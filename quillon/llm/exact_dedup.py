@@ -80,9 +80,9 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only ids and digests are joined: broadcast if they are few, else with the texts shuffled once.
     """
     groups = exact_groups(df, id_col, text_col, counters)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_quillon_id"), F.unhex("text_sha256").alias("_quillon_digest"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return df.join(sized(gone.distinct(), "gone"), F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    return df.join(sized(gone.distinct(), "gone"), F.col(id_col).eqNullSafe(F.col("_quillon_id")) & (digest == F.col("_quillon_digest")), "left_anti")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ by their words: integer quotas for every shard. A document's shard comes from a
 id, and a source has more shards the more words it has, so a hot source is spread over many tasks.
 
 In a shard the documents stand in a seeded order on a line of words. A quota of q blocks takes the
-line's first q * BLOCK words, going round as often as needed, twice at most.
+line's first q * BLOCK words, going round as often as needed, ``repeat`` times at most; the last
+block of a shard that is taken so often in full may be short.
 
 Targets: the sources by code point, null last, weigh 5, 2, 1, repeating, and share ``share`` times
 all words. No target is above ``repeat`` times its source's words; the excess is shared again by
@@ -20,6 +21,8 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 
 import pandas as pd
@@ -78,8 +81,6 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
         middle = (low + high) / 2
         low, high = (middle, high) if sum(given(middle)) >= seats else (low, middle)
     out = given(low)
-    import heapq
-
     last = [(v / (2 * n - 1), -i) for i, (v, n) in enumerate(zip(votes, out, strict=True)) if n]
     heapq.heapify(last)
     for _ in range(sum(out) - seats):
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = sorted(((r["_source"], r["n"]) for r in sizes.groupBy("_source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     words = [n for _, n in found]
     wanted = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, repeat)
-    seats = sainte_lague(wanted, round(sum(wanted) / BLOCK), [int(repeat * n // BLOCK) for n in words])
+    seats = sainte_lague(wanted, round(sum(wanted) / BLOCK), [math.ceil(repeat * n / BLOCK) for n in words])
     shards = [max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS))) for n in words]
     by_source = spark.createDataFrame(
         [(s, n, t, k) for (s, n), t, k in zip(found, wanted, shards, strict=True)],
@@ -114,8 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = []
     for (s, _), q in zip(found, seats, strict=True):
         own = sorted(held[s])
-        given = sainte_lague([float(n) for _, n in own], q, [int(repeat * n // BLOCK) for _, n in own])
-        quotas += [(s, k, n, g * BLOCK) for (k, n), g in zip(own, given, strict=True)]
+        given = sainte_lague([float(n) for _, n in own], q, [math.ceil(repeat * n / BLOCK) for _, n in own])
+        quotas += [(s, k, n, min(g * BLOCK, int(repeat * n))) for (k, n), g in zip(own, given, strict=True)]
     by_shard = spark.createDataFrame(quotas, T.StructType([T.StructField("_s", T.StringType()), T.StructField("_k", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_quota", T.LongType())]))
     joined = sharded.join(_sized(by_shard, len(quotas)), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")), "left")
     # A second hash, since all documents of a shard agree in the first one's remainder.
@@ -134,8 +135,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows that agree in id and text share what they take.
     """
     found = mix(docs, id_col, text_col, source_col, **options)
-    share = found.groupBy(F.col(id_col).alias("_id"), "_text").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    here = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_text"))
+    share = found.groupBy(F.col(id_col).alias("_quillon_id"), F.col("_text").alias("_quillon_text")).agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_quillon_taken"), F.max("size").alias("_quillon_size")).where("_quillon_taken > 0")
+    here = F.col(id_col).eqNullSafe(F.col("_quillon_id")) & (F.xxhash64(text_col) == F.col("_quillon_text"))
 
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         def one(t: str, n: int) -> str:
@@ -146,8 +147,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
         return pd.Series([one(t, n) for t, n in zip(text, words, strict=True)])
 
-    whole = docs.join(sized(share.where("_taken >= _size"), "whole"), here).withColumn("_copy", F.explode(F.expr("sequence(1, cast(_taken div _size as int))"))).select(*docs.columns)
-    ends = docs.join(sized(share.where("_taken % _size > 0"), "ends"), here).withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.expr("_taken % _size"))).select(*docs.columns)
+    whole = docs.join(sized(share.where("_quillon_taken >= _quillon_size"), "whole"), here).withColumn("_quillon_copy", F.explode(F.expr("sequence(1, cast(_quillon_taken div _quillon_size as int))"))).select(*docs.columns)
+    ends = docs.join(sized(share.where("_quillon_taken % _quillon_size > 0"), "ends"), here).withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.expr("_quillon_taken % _quillon_size"))).select(*docs.columns)
     return whole.unionByName(ends)
 
 

@@ -243,8 +243,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component those whose id is its smallest, and all rows with null ids."""
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(sized(gone, "gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_quillon_id")).distinct()
+    return docs.join(sized(gone, "gone"), F.col(id_col) == F.col("_quillon_id"), "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,9 +123,10 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return fit(good, bad)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column score, from the whole text alone."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col``, from the whole text alone; a column of that name is replaced."""
+    docs = docs.drop(score_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -13,7 +13,7 @@ Work grows with queries times vectors, as exact search asks; memory is a pair of
 Defined results
   vectors null or with null or non-finite components, and null ids, take no part.
   rows of one id are one vector; if they differ, the least one in array order counts.
-  ties go to the smaller id. Vectors of different lengths have no score with each other.
+  scores must fit 64 bits. Ties go to the smaller id. Vectors of different lengths have no score with each other.
   fewer than k other vectors: all of them. An empty table: an empty result.
 """
 

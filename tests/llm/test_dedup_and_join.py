@@ -13,12 +13,12 @@ from hypothesis import strategies as st
 
 from quillon.llm import components, exact_dedup, ngram_join, shingles
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, digest string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, digest string, _id long, root string"
 
 
 def frame(spark, texts, ids=None):
     """Documents with more columns, whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", "s", None, 1, 2, "x") for i, t in zip(ids or range(len(texts)), texts, strict=True)], DOCS)
+    return spark.createDataFrame([(i, t, "en", "s", None, 1, 2, "x", 3, "y") for i, t in zip(ids or range(len(texts)), texts, strict=True)], DOCS)
 
 
 @settings(deadline=None, max_examples=50)
