@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.html_tree import BLOCK, RAW, Page
-from quillon.llm.scratch import bound_batches
+from quillon.llm.scratch import bound_batches, keep
 
 #: A template subtree stands on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.01
@@ -118,19 +118,17 @@ def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_c
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, mains, hashes = [], [], [], []
-            for key, url, source_html in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            hosts, mains, hashes = [], [], []
+            for url, source_html in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
                 marked = Marked(source_html or "")
-                host = xxhash.xxh3_64_intdigest(page_host(url)) >> 1
-                main = xxhash.xxh3_64_intdigest(marked.text()) >> 1
-                for h in {0, *marked.subtrees().values()}:
-                    keys.append(key)
-                    hosts.append(host)
-                    mains.append(main)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, hosts, mains, hashes)], ["key", "host", "main", "hash"])
-
-    subtrees = source.select("_key", "_url", "_html").mapInArrow(hashed, "key long, host long, main long, hash long")
+                hosts.append(xxhash.xxh3_64_intdigest(page_host(url)) >> 1)
+                mains.append(xxhash.xxh3_64_intdigest(marked.text()) >> 1)
+                hashes.append([0, *set(marked.subtrees().values())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.int64()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "main", "hashes"])
+
+    # Kept, as both the counts and the join back to pages read it. Hash 0 stands for the page itself.
+    hashed_pages = keep(source.select("_key", "_url", "_html").mapInArrow(hashed, "key long, host long, main long, hashes array<long>"), "subtrees")
+    subtrees = hashed_pages.select("key", "host", "main", F.explode("hashes").alias("hash"))
     seen = subtrees.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= min_pages)
     whole = often.where("hash = 0").select("host", F.col("n").alias("whole"))
