@@ -29,12 +29,12 @@ def is_valid(a: Column, size: int) -> Column:
 def bucket(word: Column) -> Column:
     """MD5 of the word as a number, modulo 768 = 256 * 3.
 
-    256 leaves the last byte; 3 leaves the sum of the hex digits, as 16 leaves 1 by 3.
+    256 leaves the last byte. By 3 every power of 16 leaves 1, so parts of the hex number may be added.
     """
     h = F.md5(word)
     low = F.conv(F.substring(h, 31, 2), 16, 10).cast("int")
-    digits = F.aggregate(F.split(h, ""), F.lit(0), lambda s, d: s + F.when(d == "", 0).otherwise(F.coalesce(F.conv(d, 16, 10).cast("int"), F.lit(0))))
-    return low + 256 * F.pmod(digits % 3 - low % 3, F.lit(3))
+    by_3 = sum(F.conv(F.substring(h, a, n), 16, 10).cast("long") % 3 for a, n in ((1, 14), (15, 14), (29, 4)))
+    return (low + 256 * F.pmod(by_3 - low, F.lit(3))).cast("int")
 
 
 def bucket_value(word: Column) -> Column:

@@ -2,42 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.text import normalize_space
-from quillon.functions.vectors import DECAY, bucket, bucket_value, dot, norm
+from quillon.functions.vectors import DECAY, DIMENSION, dot, norm
 from quillon.operators.lexical import rank
 
 PASSAGE, QUERY = "passage:", "query:"
+#: Words whose hashes a worker keeps before it forgets them.
+KNOWN_WORDS = 1_000_000
 #: Queries that are broadcast at once.
 BATCH = 4096
 
 
+def _hashed(word: str) -> tuple[int, float]:
+    h = int.from_bytes(hashlib.md5(word.encode()).digest(), "big")
+    return h % DIMENSION, (h >> 16) % 1000 / 500.0 - 1.0
+
+
 def projection(rows: DataFrame, keys: list[str], text_col: str, prefix: str) -> DataFrame:
-    """keys, idx, v: each text's sparse vector, not yet normalised; blank texts have none.
+    """keys, idx, v, norm: each text's sparse vector, not yet normalised, with its length; blank texts have none.
 
-    A word's value is hashed once for each text, after the weights of its places are summed.
+    A text's vector needs that text alone, so nothing is shuffled: Arrow batches of texts, with the
+    hashes of words kept in each worker. ``functions.vectors`` has the same as columns, which would
+    hash every word anew and shuffle every bucket.
     """
-    words = F.split(F.concat(F.lit(prefix + " "), F.lower(normalize_space(text_col))), " ")
-    placed = rows.where(normalize_space(text_col) != "").select(*keys, F.posexplode(words).alias("_i", "word"))
-    weights = placed.groupBy(*keys, "word").agg(F.sum(1.0 / (1.0 + DECAY * F.col("_i"))).alias("_w"))
-    return weights.select(*keys, bucket(F.col("word")).alias("idx"), (bucket_value(F.col("word")) * F.col("_w")).alias("_v")).groupBy(*keys, "idx").agg(F.sum("_v").alias("v"))
+    text = F.lower(normalize_space(text_col))
+    source = rows.select(*keys, text.alias("_t")).where("_t <> ''")
+    schema = T.StructType([*(source.schema[k] for k in keys), T.StructField("idx", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("norm", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            at, idx, values, norms = [], [], [], []
+            for k, t in enumerate(batch.column(len(keys)).to_pylist()):
+                words = [prefix, *t.split(" ")]
+                for w in words:
+                    if w not in known:
+                        known[w] = _hashed(w)
+                pairs = [known[w] for w in words]
+                sums = np.bincount([p[0] for p in pairs], np.array([p[1] for p in pairs]) / (1.0 + DECAY * np.arange(len(pairs))), DIMENSION)
+                used = np.unique([p[0] for p in pairs])
+                at.append(np.full(len(used), k))
+                idx.append(used)
+                values.append(sums[used])
+                norms.append(np.full(len(used), np.sqrt((sums * sums).sum())))
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            if at:
+                columns = [pa.array(np.concatenate(x)) for x in (values, norms)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(np.concatenate(at))) for c in range(len(keys))), pa.array(np.concatenate(idx).astype(np.int32)), *columns], schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def sparse_cosine(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """query_key, keys, score of every query and document that share a bucket."""
     q, d = projection(queries, ["query_key"], "query", QUERY), projection(docs, keys, text_col, PASSAGE)
-    q_norm = q.groupBy("query_key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nq"))
-    d_norm = d.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nd"))
-    asked = q.join(q_norm, "query_key").select("query_key", "idx", (F.col("v") / F.col("nq")).alias("a"))
-    dots = d.join(asked, "idx")
-    return dots.groupBy("query_key", *keys).agg(F.sum(F.col("a") * F.col("v")).alias("s")).join(d_norm, keys).select("query_key", *keys, (F.col("s") / F.col("nd")).alias("score"))
+    asked = q.select("query_key", "idx", (F.col("v") / F.nullif("norm", F.lit(0.0))).alias("a"))
+    unit = d.select(*keys, "idx", (F.col("v") / F.nullif("norm", F.lit(0.0))).alias("b"))
+    # A batch of queries has a few buckets each; up to ``BATCH`` queries they are broadcast, more are joined by shuffling.
+    side = F.broadcast(asked) if queries.count() <= BATCH else asked
+    return unit.join(side, "idx").groupBy("query_key", *keys).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, keys: list[str], k: int = 5, text_col: str = "text") -> DataFrame:
