@@ -62,9 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files make fewer tasks than that, as a single small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang of the corpus: the columns that retrieval reads."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
