@@ -3,15 +3,18 @@
 1. Every page is parsed, and its element subtrees outside the article's own prose are hashed (tags
    and texts, without attributes).
 2. Spark counts, for each host and hash, on how many pages with different main content the subtree
-   stands. Copies of a page count once, so that they don't look like a template.
+   stands. Copies of a page, also under other headings, count once, so that they don't look like a
+   template.
 3. Subtrees that recur on ``MIN_PAGES`` such pages or more, and on ``MIN_SHARE`` of the host's, are
-   the host's template. A page's own template hashes are joined back to it and its subtrees deleted.
+   the host's template. A page's own template hashes are joined back to it and its subtrees deleted,
+   but not where they hold more than ``MOST`` times the text that would be left.
 
 A page of a small host shows no template; so menus, footers, notices, adverts, forms, comments and
-the like are also deleted where the markup names them. If the page has an article (or else main)
-element, the text is what is left in it, else what is left in the page. Elements that hold an
-article, main or h1 are never deleted, nor, in an article, is running text (paragraphs, headings,
-lists, tables), however often it recurs.
+the like are also deleted where the markup names them. If an article (or else main) element holds
+at least half of the page's running text (paragraphs, headings, lists, tables), the text is what is
+left in it, else what is left in the page. Elements that hold an article, main or h1 are never
+deleted, nor, in an article, is an element that holds running text at any depth, however often it
+recurs.
 
 Defined results
   null or empty html: empty text. null url or one without a host: the host is empty, one like others.
@@ -35,7 +38,9 @@ from quillon.llm.html_tree import BLOCK, RAW, Page
 from quillon.llm.scratch import bound_batches, keep
 
 #: A template subtree stands on so many pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.01
+MIN_PAGES, MIN_SHARE = 5, 0.5
+#: Template subtrees may hold so many times the text that is left on a page (links and headings don't count).
+MOST = 2
 
 #: Elements that never hold main text; those that do so only inside an article.
 NOT_TEXT = RAW | frozenset("nav aside form footer menu dialog button select datalist fieldset object embed audio video canvas svg math head search input".split())
@@ -48,7 +53,8 @@ NAMES = frozenset(
     "promo promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Running text in an article, which no recurrence deletes.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Running text, which in an article no recurrence deletes.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup center summary details".split())
 
 
@@ -86,29 +92,63 @@ class Marked:
         self.gone = [False] * n
         for k in range(1, n):
             self.gone[k] = self.gone[elements[k][2]] or self.named[k]
-        region = next((t for t in ("article", "main") if any(elements[k][0] == t and not self.gone[k] for k in range(1, n))), "")
-        self.main = [not region] * n
+        self.heading, self.holds = [False] * n, [False] * n
+        self.size = [0] * n  # characters of own text outside links and headings
+        link, prose = [False] * n, [False] * n
         for k in range(1, n):
-            self.main[k] = self.main[elements[k][2]] or elements[k][0] == region
-        self.region = region
+            tag, _, parent, _, _ = elements[k]
+            self.heading[k] = self.heading[parent] or tag in HEADINGS
+            link[k] = link[parent] or tag == "a"
+            prose[k] = prose[parent] or tag in PROSE
+        for k in range(n - 1, 0, -1):
+            self.holds[k] = self.holds[k] or elements[k][0] in PROSE
+            self.holds[elements[k][2]] |= self.holds[k]
+        for i, (t, k) in enumerate(zip(page.tokens, page.owner, strict=True)):
+            if i != elements[k][3] and not link[k] and not self.heading[k]:
+                self.size[k] += len(t.strip())
+        running = [s if p and not g else 0 for s, p, g in zip(self.size, prose, self.gone, strict=True)]
+        self.region, self.main = "", [True] * n
+        for region in ("article", "main"):
+            main = [False] * n
+            for k in range(1, n):
+                main[k] = main[elements[k][2]] or elements[k][0] == region
+            if any(m and not g for m, g in zip(main, self.gone, strict=True)) and 2 * sum(s for s, m in zip(running, main, strict=True) if m) >= sum(running):
+                self.region, self.main = region, main
+                break
 
     def subtrees(self) -> dict[int, int]:
         """Hashes of the subtrees that may be a template: element -> hash."""
         out = {}
         for k, (tag, _, _, first, end) in enumerate(self.page.elements):
-            if k and tag in BLOCK and not self.fixed[k] and end > first + 1 and not (self.region and self.main[k] and tag in PROSE):
+            if k and tag in BLOCK and not self.fixed[k] and end > first + 1 and not (self.region and self.main[k] and self.holds[k]):
                 out[k] = self.page.subtree_hash(k)
         return out
 
-    def text(self, template: set[int] | None = None) -> str:
+    def text(self, template: set[int] | None = None, headings: bool = True) -> str:
         gone = list(self.gone)
+        if not headings:
+            gone = [g or h for g, h in zip(gone, self.heading, strict=True)]
         if template:
-            doomed = {k for k, h in self.subtrees().items() if h in template}
-            for k, (_, _, parent, _, _) in enumerate(self.page.elements):
-                if k:
-                    gone[k] = gone[k] or gone[parent] or k in doomed
+            for k, top in enumerate(self._tops({k for k, h in self.subtrees().items() if h in template})):
+                gone[k] = gone[k] or top > 0
         return "\n".join(self.page.blocks([m and not g for m, g in zip(self.main, gone, strict=True)]))
 
+    def _tops(self, doomed: set[int]) -> list[int]:
+        """For each element, the outermost one to delete that it is in, or 0; without those that hold most of the text."""
+        elements, n = self.page.elements, len(self.page.elements)
+        for holds in (True, False, None):
+            tops, lost, left = [0] * n, 0, 0
+            for k in range(n):
+                tops[k] = k and (tops[elements[k][2]] or (k if k in doomed else 0))
+                if self.main[k] and not self.gone[k]:
+                    if not tops[k]:
+                        left += self.size[k]
+                    elif self.holds[tops[k]] == holds:
+                        lost += self.size[k]
+            if lost > MOST * left:
+                doomed = {k for k in doomed if self.holds[k] != holds}
+        return tops
+
 
 def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Main text of every page: the columns ``keep_cols``, text, n_chars."""
@@ -122,7 +162,7 @@ def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_c
             for url, source_html in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
                 marked = Marked(source_html or "")
                 hosts.append(xxhash.xxh3_64_intdigest(page_host(url)) >> 1)
-                mains.append(xxhash.xxh3_64_intdigest(marked.text()) >> 1)
+                mains.append(xxhash.xxh3_64_intdigest(marked.text(headings=False)) >> 1)
                 hashes.append([0, *set(marked.subtrees().values())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.int64()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "main", "hashes"])
 

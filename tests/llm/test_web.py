@@ -87,6 +87,22 @@ def test_template_of_a_site_is_removed(spark):
     assert got[300] == "Our motto\nStory same\nTold often.\nBye"  # copies of one page are no template
 
 
+def test_recurring_article_text_stays(spark):
+    """Near copies of an article, also without an article element, and text that a few of many pages share."""
+    same = "The same text in all copies of this article, told once more."
+    article = "<body><article><h1>Title {n}</h1><div class='body'><p>" + same + "</p></div></article></body>"
+    bare = "<body><h1>Title {n}</h1><div><p>" + same + "</p></div><p>No. {n}</p></body>"
+    few = "<body><h1>Title {n}</h1><p>Own story {n}, long enough to stand beside what is quoted.</p>{quote}</body>"
+    teaser = "<body><h1>Title {n}</h1><div><p>" + same + "</p><p>It goes on for page {n}.</p></div><article><p>Read on</p></article></body>"
+    rows = [(n, "http://a.org/", article.format(n=n)) for n in range(5)] + [(100 + n, "http://b.org/", bare.format(n=n)) for n in range(5)]
+    rows += [(200 + n, "http://c.org/", few.format(n=n, quote=f"<p>{same}</p>" if n < 5 else "")) for n in range(20)] + [(300, "http://d.org/", teaser.format(n=1))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert all(got[n] == f"Title {n}\n{same}" for n in range(5))
+    assert all(got[100 + n] == f"Title {n}\n{same}\nNo. {n}" for n in range(5))
+    assert all(got[200 + n].endswith(same) == (n < 5) for n in range(20))
+    assert got[300] == f"Title 1\n{same}\nIt goes on for page 1.\nRead on"
+
+
 def test_deep_and_broken_pages_end():
     assert html_extract.Marked("<div>" * 100_000 + "x").text() == "x"
     assert html_extract.Marked("<a " * 2000 + "'" + "<p>y").text() is not None
