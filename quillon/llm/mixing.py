@@ -7,7 +7,9 @@ id, and a source has more shards the more words it has, so a hot source is sprea
 
 In a shard the documents stand in a seeded order on a line of words. A quota of q blocks takes the
 line's first q * BLOCK words, going round as often as needed, ``repeat`` times at most; the last
-block of a shard that is taken so often in full may be short.
+block of a shard that is taken so often in full may be short. Sources with targets below
+``SMALL_BLOCKS`` blocks have seats of one word among themselves, and so have the shards of a source
+that has one as small, so that a long tail of small sources is taken as near to its targets.
 
 Targets: the sources by code point, null last, weigh 5, 2, 1, repeating, and share ``share`` times
 all words. No target is above ``repeat`` times its source's words; the excess is shared again by
@@ -22,7 +24,6 @@ Defined results
 from __future__ import annotations
 
 import heapq
-import math
 import re
 
 import pandas as pd
@@ -36,6 +37,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
 #: Words in a block; words that make a shard; shards of a source, at most.
 BLOCK, SHARD_WORDS, MAX_SHARDS = 64, 1 << 19, 4096
+#: Targets of fewer blocks are met word by word.
+SMALL_BLOCKS = 16
 SEED = 8
 #: Rows up to which the per-source and per-shard tables are broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 20_000
@@ -91,6 +94,23 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return out
 
 
+def word_quotas(votes: list[float], total: float, unit: int, sizes: list[int], repeat: float) -> list[int]:
+    """``total`` words, given in seats of ``unit`` words; none gets more than ``repeat`` times its size."""
+    most = [int(repeat * n) for n in sizes]
+    return [min(g * unit, m) for g, m in zip(sainte_lague(votes, round(total / unit), [-(-m // unit) for m in most]), most, strict=True)]
+
+
+def source_quotas(sizes: list[int], wanted: list[float], repeat: float) -> list[int]:
+    """Words to take of each source: seats of one word for small targets, of a block for the others."""
+    out = [0] * len(sizes)
+    for unit in (1, BLOCK):
+        own = [i for i, t in enumerate(wanted) if (t < SMALL_BLOCKS * BLOCK) == (unit == 1)]
+        votes = [wanted[i] for i in own]
+        for i, q in zip(own, word_quotas(votes, sum(votes), unit, [sizes[i] for i in own], repeat), strict=True):
+            out[i] = q
+    return out
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -102,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = sorted(((r["_source"], r["n"]) for r in sizes.groupBy("_source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     words = [n for _, n in found]
     wanted = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, repeat)
-    seats = sainte_lague(wanted, round(sum(wanted) / BLOCK), [math.ceil(repeat * n / BLOCK) for n in words])
+    taken = source_quotas(words, wanted, repeat)
     shards = [max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS))) for n in words]
     by_source = spark.createDataFrame(
         [(s, n, t, k) for (s, n), t, k in zip(found, wanted, shards, strict=True)],
@@ -113,10 +133,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for r in sharded.groupBy("_source", "_shard").agg(F.sum("size").alias("n")).collect():
         held.setdefault(r["_source"], []).append((r["_shard"], r["n"]))
     quotas = []
-    for (s, _), q in zip(found, seats, strict=True):
+    for (s, _), q in zip(found, taken, strict=True):
         own = sorted(held[s])
-        given = sainte_lague([float(n) for _, n in own], q, [math.ceil(repeat * n / BLOCK) for _, n in own])
-        quotas += [(s, k, n, min(g * BLOCK, int(repeat * n))) for (k, n), g in zip(own, given, strict=True)]
+        unit = 1 if min(q, *(n for _, n in own)) < SMALL_BLOCKS * BLOCK else BLOCK
+        given = word_quotas([float(n) for _, n in own], q, unit, [n for _, n in own], repeat)
+        quotas += [(s, k, n, g) for (k, n), g in zip(own, given, strict=True)]
     by_shard = spark.createDataFrame(quotas, T.StructType([T.StructField("_s", T.StringType()), T.StructField("_k", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_quota", T.LongType())]))
     joined = sharded.join(_sized(by_shard, len(quotas)), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_k")), "left")
     # A second hash, since all documents of a shard agree in the first one's remainder.

@@ -97,6 +97,15 @@ def documents(seed=3):
     return rows
 
 
+def test_mix_of_many_small_sources(spark):
+    """Sources smaller than a block are taken near their targets, alone and beside a large one."""
+    small = [(i, "one two three four five six seven eight nine ten", f"s{i:03}") for i in range(300)]
+    for rows in (small, [*small, (300, "word " * 20_000, "t")]):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(got) == len(rows) and all(r.taken > 0 and abs(r.taken - r.target) <= (1 if r.size == 10 else mixing.BLOCK) for r in got)
+        assert abs(sum(r.taken for r in got) - sum(r.target for r in got)) <= mixing.BLOCK
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
     rows = documents()
