@@ -7,9 +7,11 @@ fitted on other labelled rows, turns it into the probability of label 1; it is g
 the text can be compressed at all (with the better dictionary and with none) and how long it is,
 since the same difference means more in a text of many repetitions or of a few words.
 
-The model is fitted on the driver on a bounded sample of labelled rows: ``SAMPLE`` rows of each
-label, chosen by a hash of their id, and ``SAMPLE_CHARS`` characters of each. Half of them train
-the dictionaries and half the calibration. All rows are scored over their whole text.
+The model is fitted on a bounded sample of labelled rows: ``SAMPLE`` rows of each label, chosen by a
+hash of their id. Half of them train the dictionaries, on the driver, and half the calibration,
+whose features come from Spark. Both read whole texts; only where the texts of a dictionary have
+more than ``PIECES`` pieces of ``PIECE`` bytes, so many of all their pieces are chosen by a hash.
+All rows are scored over their whole text.
 
 Defined results
   null or empty text: the score that the calibration gives to no text.
@@ -27,13 +29,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import bound_batches
+from quillon.llm.scratch import bound_batches, keep, release
 
-SAMPLE, SAMPLE_CHARS = 4000, 1 << 14
+SAMPLE = 4000
+#: Bytes of a piece to train on; pieces for a dictionary, at most.
+PIECE, PIECES = 2048, 16_000
 DICTIONARY, CHUNK, LEVEL = 1 << 16, 4096, 3
 #: Scores from here on count as label 1.
 THRESHOLD = 0.7
@@ -55,8 +59,12 @@ class Model:
     constant: float = 0.5
 
 
-def train_dictionary(texts: list[str]) -> bytes:
-    parts = [b[i : i + 2048] for t in texts for b in [t.encode("utf-8", "replace")] for i in range(0, len(b), 2048)]
+def pieces(text: str) -> list[bytes]:
+    data = text.encode("utf-8", "replace")
+    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+
+
+def train_dictionary(parts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself, its end counts most
@@ -97,30 +105,73 @@ def calibrate(rows: np.ndarray, labels: np.ndarray, penalty: float = 1e-3) -> np
     return w
 
 
+def constant_model(good: int, bad: int) -> Model | None:
+    """The model for too few rows of a label, or None."""
+    return Model(constant=good / (good + bad) if good or bad else 0.5) if min(good, bad) < 2 else None
+
+
+def calibrated(model: Model, good: list[list[float]], bad: list[list[float]]) -> Model:
+    model.weights = tuple(calibrate(np.array(good + bad), np.array([1.0] * len(good) + [0.0] * len(bad))))
+    return model
+
+
 def fit(good: list[str], bad: list[str]) -> Model:
     """A model from texts labelled 1 and 0; every second one trains the dictionaries, the others the calibration."""
-    if min(len(good), len(bad)) < 2:
-        return Model(constant=len(good) / (len(good) + len(bad)) if good or bad else 0.5)
-    model = Model(train_dictionary(good[::2]), train_dictionary(bad[::2]))
+    if constant := constant_model(len(good), len(bad)):
+        return constant
+    model = Model(*(train_dictionary([p for t in texts[::2] for p in pieces(t)]) for texts in (good, bad)))
     sizer = Sizer(model)
-    rows = np.array([sizer.features(t) for t in good[1::2] + bad[1::2]])
-    labels = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    model.weights = tuple(calibrate(rows, labels))
-    return model
+    return calibrated(model, *([sizer.features(t) for t in texts[1::2]] for texts in (good, bad)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: int, id_col: str, text_col: str, label_col: str, rows: int) -> list[str]:
-    """Texts of at most ``rows`` rows with this label that are not held out, in the order of a hash of their id."""
+def labelled_ids(labels: DataFrame, label: int, id_col: str, label_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` ids with this label that are not held out, with _label and _hash, by a hash of the id."""
     own = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_high"))
-    chosen = own.where((F.col("_low") == label) & (F.col("_high") == label)).select(id_col, F.xxhash64(F.lit(9), id_col).alias("_hash")).orderBy("_hash", id_col).limit(rows)
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # ``rows`` rows at most
-    got = docs.select(id_col, F.left(F.coalesce(text_col, F.lit("")), F.lit(SAMPLE_CHARS)).alias("_text")).join(F.broadcast(ids), id_col)
-    return [r["_text"] for r in got.dropDuplicates([id_col]).orderBy("_hash", id_col).select("_text").collect()]
+    chosen = own.where((F.col("_low") == label) & (F.col("_high") == label)).select(id_col, F.lit(label).alias("_label"), F.xxhash64(F.lit(9), id_col).alias("_hash")).orderBy("_hash", id_col).limit(rows)
+    return labels.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # ``rows`` rows at most
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE) -> Model:
-    good, bad = (labelled_sample(docs, labels, label, id_col, text_col, label_col, rows) for label in (1, 0))
-    return fit(good, bad)
+    """``fit`` on the labelled sample, without its texts on the driver."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    ids = labelled_ids(labels, 1, id_col, label_col, rows).unionByName(labelled_ids(labels, 0, id_col, label_col, rows))
+    found = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(ids), id_col).groupBy(id_col, "_label", "_hash").agg(F.min("_text").alias("_text"))
+    # The place of a row among those of its label, in the order of the hash, says what it is used for.
+    place = Window.partitionBy("_label").orderBy("_hash", id_col)
+    texts = keep(found, "labelled")
+    places = texts.select(id_col, "_label", "_hash").withColumn("_place", F.row_number().over(place) - 1)
+    counts = {r["_label"]: r["n"] for r in places.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if constant := constant_model(counts.get(1, 0), counts.get(0, 0)):
+        release(texts)
+        return constant
+    used = texts.select(id_col, "_text").join(F.broadcast(places), id_col).select("_label", "_place", "_text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in zip(batch.column(1), batch.column(2), strict=True):
+                parts = pieces(text.as_py())
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], ["place", "piece", "part"])
+
+    def train(label: int) -> bytes:
+        parts = used.where((F.col("_label") == label) & (F.col("_place") % 2 == 0)).mapInArrow(cut, "place int, piece int, part binary")
+        some = parts.orderBy(F.xxhash64(F.lit(9), "place", "piece"), "place", "piece").limit(PIECES).collect()
+        return train_dictionary([bytes(r["part"]) for r in sorted(some, key=lambda r: (r["place"], r["piece"]))])
+
+    model = Model(train(1), train(0))
+    shared = spark.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer = Sizer(shared.value)
+        for batch in batches:
+            rows_ = [sizer.features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_, pa.list_(pa.float64()))], ["label", "place", "x"])
+
+    features = used.where(F.col("_place") % 2 == 1).mapInArrow(measure, "label int, place int, x array<double>").collect()
+    features.sort(key=lambda r: r["place"])
+    release(texts)
+    return calibrated(model, *([r["x"] for r in features if r["label"] == label] for label in (1, 0)))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

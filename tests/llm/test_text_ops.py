@@ -212,6 +212,32 @@ def test_quality_learns_and_holds_out(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Long texts that differ in their last part only are told apart."""
+    r = random.Random(4)
+    words = ["the", "of", "and", "stone", "river", "walks", "under"]
+    clean = lambda n: " ".join(r.choice(words) for _ in range(n)) + " "
+    junk = lambda n: "".join(chr(r.randint(33, 126)) for _ in range(n))
+    rows = [(i, clean(4200) + (junk(9000) if i % 2 else clean(1800)), 1 - i % 2) for i in range(80)]
+    assert all(len(t.rsplit("  ")[0]) > 16384 for _, t, _ in rows)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit_labelled(docs, labels)
+    got = {x.doc_id: x.score for x in quality.score(docs, model).select("doc_id", "score").collect()}
+    assert all((got[i] >= 0.7) == bool(q) for i, _, q in rows)
+
+
+def test_quality_model_is_that_of_the_texts(spark):
+    """Spark's fit and the fit on lists are the same, repeated rows once."""
+    rows = [(i, f"{'good words' if i % 2 else 'BAD!! ###'} {i} " * (i % 40 + 1)) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    order = [x.doc_id for x in labels.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(9), "doc_id")).select("doc_id").collect()]
+    model, text = quality.fit_labelled(docs, labels), dict(rows)
+    expected = quality.fit([text[i] for i in order if i % 2], [text[i] for i in order if not i % 2])
+    assert (model.good, model.bad) == (expected.good, expected.bad) and model.weights == pytest.approx(expected.weights)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
