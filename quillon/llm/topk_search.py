@@ -12,7 +12,8 @@ Work grows with queries times vectors, as exact search asks; memory is a pair of
 
 Defined results
   vectors null or with null or non-finite components, and null ids, take no part.
-  rows of one id are one vector; if they differ, the least one in array order counts.
+  rows of one id are all candidates of other ids' queries, also equal ones, and all ask if the id does:
+  the result is the best k of what they find, in which a vec_id may stand several times.
   scores must fit 64 bits. Ties go to the smaller id. Vectors of different lengths have no score with each other.
   fewer than k other vectors: all of them. An empty table: an empty result.
 """
@@ -82,16 +83,18 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """The ``k`` best other vectors of every query by integer inner product: query_id, rank, vec_id, score."""
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), scaled(F.col(vector_col), scale).alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
+    # Of equal rows no more than k can be among the k best, as candidates or by what they ask.
+    rows = rows.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"), F.least(F.count_if("asks"), F.lit(k)).alias("q"))
+    size = rows.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
     low = float(size["low"] or 0)
     width = max(1.0, (float(size["high"] or 0) + 1 - low) / (1 << BITS))
-    across, down = -(-max(1, size["n"]) // VECTORS), -(-max(1, size["q"]) // QUERIES)
+    across, down = -(-max(1, size["n"] or 0) // VECTORS), -(-max(1, size["q"] or 0) // QUERIES)
     whole = F.sequence(F.lit(0), F.lit(across - 1))
     part = F.sequence(F.lit(0), F.lit(down - 1))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    held = rows.select("id", "v", F.size("v").alias("d"), F.lit(False).alias("asks"), deal(across).cast("int").alias("x"), F.explode(part).alias("y"))
-    asked = rows.where("asks").select("id", "v", F.size("v").alias("d"), F.lit(True).alias("asks"), F.explode(whole).alias("x"), deal(down).cast("int").alias("y"))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
+    copies = lambda n: rows.withColumn("copy", F.explode(F.expr(f"sequence(1, {n})")))
+    held = copies("n").select("id", "v", F.size("v").alias("d"), F.lit(False).alias("asks"), deal(across).cast("int").alias("x"), F.explode(part).alias("y"))
+    asked = copies("if(q > 0, q, null)").select("id", "v", F.size("v").alias("d"), F.lit(True).alias("asks"), F.explode(whole).alias("x"), deal(down).cast("int").alias("y"))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -269,3 +270,17 @@ def test_search_equals_brute_force(spark, monkeypatch, blocks, scale):
     got = sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") % 10 == 0).collect())
     assert got == brute_topk(rows, 10, 5)
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [8192, 20])
+def test_search_with_repeated_ids(spark, monkeypatch, tmp_path, blocks):
+    """Every row is a candidate, as in the operator's SQL: different vectors of one id, equal rows, and ids that ask."""
+    monkeypatch.setattr(topk_search, "VECTORS", blocks)
+    monkeypatch.setattr(topk_search, "QUERIES", 3)
+    r = np.random.default_rng(8)
+    rows = [(i % 70, r.normal(size=4).tolist()) for i in range(200)] + [(3, [5.0, 5.0, 5.0, 5.0])] * 8 + [(50, [1.0, 2.0, 3.0, 4.0])] * 3
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(x) for x in topk_search.op10_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.sql(topk_search.OP10_SQL).fetchall()) and len(got) == 10
