@@ -1,20 +1,23 @@
 """Operator 5, WARC derivatives: metadata and conversion records from responses.
 
 Records are rows: warc_type, record_id, target_uri, date, refers_to, headers (a map of the other
-WARC fields), http_headers (text) and payload (bytes). ``derive`` turns each response into
+WARC fields, the values of a repeated field a line each), http_headers (text) and payload (bytes). ``derive`` turns each response into
 
   metadata    fields of the response (its status, type, length, title, links and digest), one
               ``name: value`` line each, with WARC-Refers-To the response's WARC-Record-ID
   conversion  the plain text of an HTML payload, or of a text payload as it is, with the same
               WARC-Refers-To, and WARC-Payload-Digest of the source kept as a field of the record
 
-Both keep the response's target, date and identifying fields, and carry digests of their own blocks.
+Both keep the response's target, date and all its fields but those of its own block, and carry
+digests of their own blocks. Text is taken after transfer and content encodings are undone.
 Record ids are name-based UUIDs of the source's id and the kind, so a rerun gives the same ids.
 ``serialise`` writes records as WARC/1.1 bytes, one gzip member each; ``parse`` reads them back.
 
 Defined results
   null html: a response without payload. null url: no target URI, which the record leaves out.
   text that isn't HTML or text/*: no conversion record, as there is no text to give.
+  encodings that the payload doesn't have, as they were undone before it was stored: the payload as it is.
+  an encoding that can't be undone here (br): no title, links and conversion record.
   malformed records: parse() stops at the first broken header with an error that names its offset.
   repeated rows: each has its records; equal rows have equal ids. Empty table: empty result.
 """
@@ -27,10 +30,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,9 @@ VERSION = "WARC/1.1"
 SPACE = uuid.NAMESPACE_URL
 #: Elements whose text a reader doesn't see.
 UNSEEN = frozenset("script style noscript template iframe head".split())
-#: Fields of a source that its derivatives keep, where it has them.
-KEPT = ("WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type", "WARC-Page-ID")
+#: Fields of a source that its derivatives replace by their own; those of its block, kept under WARC-Source-.
+REPLACED = frozenset("content-type content-length warc-block-digest warc-payload-digest warc-source-payload-digest".split())
+OF_BLOCK = frozenset("warc-truncated warc-segment-number warc-segment-origin-id warc-segment-total-length".split())
 
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, headers map<string,string>, http_headers string, payload binary"
 _LINK = re.compile(r"(?:^|\s)(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -86,17 +91,70 @@ def _batch(ids: pa.Array, rows: list[tuple], id_col: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names)
 
 
-def http_parts(http: str | None) -> tuple[str, dict[str, str]]:
-    """Status line, and header fields by lower-case name."""
+def http_parts(http: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """Status line, and header fields in their order, with lower-case names."""
     lines = (http or "").split("\r\n")
-    fields: dict[str, str] = {}
+    fields = []
     for line in lines[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            fields.setdefault(name.strip().lower(), value.strip())
+            fields.append((name.strip().lower(), value.strip()))
     return lines[0], fields
 
 
+def unchunked(data: bytes) -> bytes:
+    """Content of a chunked body, up to where it was cut; ``data`` itself if it isn't chunked."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r\n").match(data, at):
+        size, at = int(m[1], 16), m.end()
+        if not size:
+            return b"".join(out)
+        out.append(data[at : at + size])
+        at += size + 2
+        if not b"\r\n".startswith(data[at - 2 : at]):
+            return data
+    return b"".join(out) if out and at >= len(data) else data
+
+
+def decompressed(data: bytes, make: Callable) -> bytes | None:
+    """Content of all streams in ``data``, up to where it was cut or is broken; None if there is none."""
+    out, found = [], False
+    while data:
+        one, at = make(), 0
+        try:
+            while at < len(data) and not one.eof:
+                out.append(one.decompress(data[at : at + 65536]))
+                at += 65536
+        except (zlib.error, zstandard.ZstdError):
+            return b"".join(out) if found or any(out) else None
+        found = True
+        data = one.unused_data + data[at:]
+    return b"".join(out) if found else None
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes | None:
+    """The payload without transfer and content encodings; None if one isn't known."""
+    for field in ("transfer-encoding", "content-encoding"):
+        for coding in reversed([c.strip().lower() for n, v in headers if n == field for c in v.split(",")]):
+            if coding in ("", "identity"):
+                continue
+            if coding == "chunked":
+                payload = unchunked(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = _or_as_it_is(payload, lambda: zlib.decompressobj(31))
+            elif coding == "deflate":
+                payload = _or_as_it_is(payload, lambda: zlib.decompressobj(15), lambda: zlib.decompressobj(-15))
+            elif coding == "zstd":
+                payload = _or_as_it_is(payload, lambda: zstandard.ZstdDecompressor().decompressobj())
+            else:
+                return None
+    return payload
+
+
+def _or_as_it_is(data: bytes, *kinds: Callable) -> bytes:
+    return next((x for x in (decompressed(data, kind) for kind in kinds) if x is not None), data)
+
+
 def decode(payload: bytes, content_type: str) -> str:
     m = re.search(r"charset=\"?([\w.:-]+)", content_type, re.I)
     try:
@@ -128,24 +186,26 @@ def derive_one(source: tuple) -> list[tuple]:
         return []
     held, payload = dict(fields or {}), payload or b""
     status, headers = http_parts(http)
-    content_type = headers.get("content-type", "")
+    content_type = next((v for n, v in headers if n == "content-type"), "")
     media = content_type.split(";")[0].strip().lower()
     is_html = media in ("text/html", "application/xhtml+xml")
     source_digest = held.get("WARC-Payload-Digest") or digest(payload)
-    kept = {name: held[name] for name in KEPT if name in held}
-    title, links, text = html_parts(decode(payload, content_type)) if is_html else ("", [], "")
+    kept = {f"WARC-Source-{n[5:]}" if n.lower() in OF_BLOCK else n: v for n, v in held.items() if n.lower() not in REPLACED}
+    body_bytes = decoded(payload, headers)
+    readable = body_bytes is not None
+    title, links, text = html_parts(decode(body_bytes, content_type)) if is_html and readable else ("", [], "")
 
     def record(what: str, mime: str, body: bytes, more: dict[str, str]) -> tuple:
         own = {**kept, "Content-Type": mime, "WARC-Source-Payload-Digest": source_digest, **more, "WARC-Block-Digest": digest(body)}
         return (what, record_id(what, source_id or ""), target, date, source_id, list(own.items()), None, body)
 
-    lines = [("http-status", status), *((f"http-header-{n}", v) for n, v in headers.items()), ("payload-length", str(len(payload))), ("payload-digest", source_digest)]
-    if is_html:
+    lines = [("http-status", status), *((f"http-header-{n}", v) for n, v in headers), ("payload-length", str(len(payload))), ("payload-digest", source_digest)]
+    if is_html and readable:
         lines += [("title", title), *(("outlink", _absolute(target, x)) for x in links)]
     about = "".join(f"{n}: {' '.join(v.split())}\r\n" for n, v in lines).encode("utf-8", "replace")
     out = [record("metadata", "application/warc-fields", about, {})]
-    if is_html or media.startswith("text/"):
-        plain = (text if is_html else decode(payload, content_type)).encode("utf-8", "replace")
+    if readable and (is_html or media.startswith("text/")):
+        plain = (text if is_html else decode(body_bytes, content_type)).encode("utf-8", "replace")
         out.append(record("conversion", "text/plain; charset=utf-8", plain, {"WARC-Payload-Digest": digest(plain)}))
     return out
 
@@ -180,7 +240,7 @@ def to_bytes(record: tuple) -> bytes:
     kind, own_id, target, date, refers, fields, http, payload = record
     block = (http or "").encode("utf-8", "replace") + (payload or b"")
     named = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Refers-To", refers), *dict(fields or {}).items(), ("Content-Length", str(len(block)))]
-    head = VERSION + "\r\n" + "".join(f"{n}: {v}\r\n" for n, v in named if v is not None)
+    head = VERSION + "\r\n" + "".join(f"{n}: {one}\r\n" for n, v in named if v is not None for one in v.split("\n"))
     return head.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -209,7 +269,8 @@ def from_bytes(data: bytes) -> Iterator[tuple]:
             name, colon, value = line.partition(":")
             if not colon:
                 raise ValueError(f"broken header line in the WARC record at byte {at}")
-            named[name.strip()] = value.strip()
+            name, value = name.strip(), value.strip()
+            named[name] = f"{named[name]}\n{value}" if name in named and name != "Content-Length" else value
         size = int(named.pop("Content-Length", "-1"))
         if size < 0 or end + 4 + size > len(data):
             raise ValueError(f"no valid Content-Length in the WARC record at byte {at}")
@@ -255,5 +316,5 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of all ``pages``, their headers as a line each."""
     made = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), F.replace(e["value"], F.lit("\n"), F.concat(F.lit("\n"), e["key"], F.lit(": "))))), "\n")
     return made.select("page_id", "warc_type", "record_id", "target_uri", "date", "refers_to", lines.alias("headers"), F.decode("payload", "UTF-8").alias("content"), F.length("payload").cast("long").alias("content_length"))

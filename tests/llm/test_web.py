@@ -1,9 +1,12 @@
 """URL filters, HTML extraction and WARC derivatives."""
 
+import gzip
 import random
 import re
+import zlib
 
 import pytest
+import zstandard
 
 from quillon.llm import html_extract, html_tree, url_filter, warc
 
@@ -141,3 +144,45 @@ def test_text_payloads_and_others():
 
     assert [r[0] for r in made("text/plain")] == ["metadata", "conversion"] and [r[0] for r in made("image/png")] == ["metadata"]
     assert made("text/plain; charset=latin-1", b"\xe9")[1][7].decode() == "é" and made("text/plain; charset=zzz")[1][7] == b"x"
+
+
+def test_repeated_and_further_fields_are_kept():
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nSet-Cookie: a=1\r\nVary: x\r\nSet-Cookie: b=2\r\n\r\n"
+    block = http.encode() + b"hello"
+    source = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a\r\nWARC-Date: d\r\nWARC-Concurrent-To: <urn:uuid:2>\r\nWARC-Concurrent-To: <urn:uuid:3>\r\n"
+    source += b"WARC-Truncated: length\r\nX-Own: y\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    (read,) = warc.from_bytes(source)
+    again = warc.to_bytes(read)
+    assert again.count(b"WARC-Concurrent-To: ") == 2 and list(warc.from_bytes(again)) == [read]
+    metadata, conversion = warc.derive_one(read)
+    assert b"http-header-set-cookie: a=1\r\nhttp-header-vary: x\r\nhttp-header-set-cookie: b=2\r\n" in metadata[7]
+    for made in (metadata, conversion):
+        fields = dict(made[5])
+        assert fields["X-Own"] == "y" and fields["WARC-Source-Truncated"] == "length" and "WARC-Truncated" not in fields
+        assert warc.to_bytes(made).count(b"WARC-Concurrent-To: ") == 2
+
+
+TEXT = "<p>Grüße an alle</p>" * 9
+
+
+@pytest.mark.parametrize(
+    ("fields", "payload"),
+    [
+        ("Content-Encoding: gzip", gzip.compress(TEXT.encode())),
+        ("Content-Encoding: gzip", gzip.compress(TEXT[:40].encode()) + gzip.compress(TEXT[40:].encode())),
+        ("Content-Encoding: deflate", zlib.compress(TEXT.encode())),
+        ("Content-Encoding: deflate", zlib.compress(TEXT.encode())[2:-4]),
+        ("Content-Encoding: zstd", zstandard.compress(TEXT.encode())),
+        ("Transfer-Encoding: chunked", b"5;x=y\r\n" + TEXT.encode()[:5] + b"\r\n%x\r\n" % (len(TEXT.encode()) - 5) + TEXT.encode()[5:] + b"\r\n0\r\n\r\n"),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n" % len(gzip.compress(TEXT.encode(), mtime=0)) + gzip.compress(TEXT.encode(), mtime=0) + b"\r\n0\r\n\r\n"),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", TEXT.encode()),
+    ],
+)
+def test_encodings_are_undone(fields, payload):
+    made = warc.derive_one(("response", "<urn:uuid:1>", "http://a", "d", None, [], f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n{fields}\r\n\r\n", payload))
+    assert made[1][7].decode() == "\n".join(["Grüße an alle"] * 9)
+
+
+def test_unknown_encoding_gives_no_text():
+    made = warc.derive_one(("response", "<urn:uuid:1>", "http://a", "d", None, [], "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: br\r\n\r\n", b"\x8b\x01"))
+    assert [r[0] for r in made] == ["metadata"]
