@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -40,6 +41,10 @@ STEPS = 500
 #: Rows of the table of ranks by (length, bucket) up to which it is broadcast; beyond, it is joined by shuffling.
 BASE_ROWS = 1 << 18
 
+#: White space of this length in a row is left to tokenizers. Python's white space includes the pattern's.
+LONG_SPACE = 1 << 16
+_LONG_SPACE = re.compile(rf"(?:\A|(?<=\S))\s{{{LONG_SPACE}}}")
+
 _encoders: dict = {}
 
 
@@ -61,8 +66,9 @@ def byte_letters() -> dict[str, int]:
 def encoder(path: str):
     """A function text -> token ids, equal to tokenizers' encode() with the byte-level BPE file ``path``.
 
-    tiktoken runs the merges, several times faster than tokenizers; a text that holds the string
-    of a special token goes to tokenizers itself.
+    tiktoken runs the merges, several times faster than tokenizers. Texts that it can't take go to
+    tokenizers itself: those that hold the string of a special token, and those with a run of white
+    space of ``LONG_SPACE`` characters or more, in which its search for words goes too deep.
     """
     if path not in _encoders:
         import public_tokenizers
@@ -78,9 +84,14 @@ def encoder(path: str):
         slow = Tokenizer.from_file(path)
 
         def encode(text: str) -> list[int]:
-            if any(s in text for s in special):
-                return slow.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
+            if not any(s in text for s in special) and not (len(text) >= LONG_SPACE and _LONG_SPACE.search(text)):
+                try:
+                    return fast.encode_ordinary(text)
+                except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                    raise
+                except BaseException:  # noqa: BLE001  a panic of the encoder, which isn't an Exception; the ids are the same
+                    pass
+            return slow.encode(text, add_special_tokens=False).ids
 
         _encoders[path] = encode
     return _encoders[path]

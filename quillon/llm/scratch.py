@@ -1,13 +1,16 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset
-(a local session, as in tests) a temporary folder is made and used instead.
-Intermediate tables cut lineage: when an executor is lost, its tasks reread them.
+The folder is ``spark.checkpoint.dir`` of the session, else the checkpoint folder that was set on
+the context. Where neither is set, a local session (driver and tasks in one process, as in tests)
+gets a temporary folder of its own; on a cluster it is an error, as a machine's own folder would
+hold only what its own tasks write. Intermediate tables cut lineage: when an executor is lost, its
+tasks reread them.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,13 +23,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if got:
-        return got
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _own[app]
+        return got.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return _own[context.applicationId]
 
 
 def keep(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
