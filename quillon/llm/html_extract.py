@@ -1,38 +1,43 @@
 """Operator 2, main text of web pages by site template removal.
 
-1. Every page is parsed, and its element subtrees outside the article's own prose are hashed (tags
-   and texts, without attributes).
+1. Every page is parsed once, into the blocks of its text and the element subtrees that may be a
+   template, each with a hash of its tags and texts (without attributes). That is kept; the pages
+   themselves are not read again, and no HTML is shuffled.
 2. Spark counts, for each host and hash, on how many pages with different main content the subtree
    stands. Copies of a page, also under other headings, count once, so that they don't look like a
    template.
 3. Subtrees that recur on ``MIN_PAGES`` such pages or more, and on ``MIN_SHARE`` of the host's, are
-   the host's template. A page's own template hashes are joined back to it and its subtrees deleted,
-   but not where they hold more than ``MOST`` times the text that would be left.
+   the host's template. A page's own template hashes are joined back to it and the blocks in its
+   subtrees deleted, but not where they hold more than ``MOST`` times the text that would be left.
 
 A page of a small host shows no template; so menus, footers, notices, adverts, forms, comments and
-the like are also deleted where the markup names them. If an article (or else main) element holds
-at least half of the page's running text (paragraphs, headings, lists, tables), the text is what is
-left in it, else what is left in the page. Elements that hold an article, main or h1 are never
-deleted, nor, in an article, is an element that holds running text at any depth, however often it
-recurs.
+the like are also deleted where the markup names them: by tag, role, hidden, or a class or id all
+of whose words are such names or words of layout (``ad-slot``, but not ``notice-period``). A name
+never deletes running text itself (paragraphs, headings, lists, tables), unless most of it is links,
+nor an element that holds most of the paragraphs, unless they are comments. If an article (or else
+main) element holds at least half of the page's running text, the text is what is left in it, else
+what is left in the page. Elements that hold an article, main or h1 are never deleted, nor, in an
+article, is an element that holds running text at any depth, however often it recurs.
 
 Defined results
   null or empty html: empty text. null url or one without a host: the host is empty, one like others.
   null ids and repeated rows: each row has its own result. Unclosed elements end with their parent.
-  br is white space, as it lies inside a block.
+  br is white space, as it lies inside a block. Empty table: empty result.
+  kept columns may have any names; text and n_chars are the result's own and replace kept ones.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.html_tree import BLOCK, RAW, Page
 from quillon.llm.scratch import bound_batches, keep
@@ -46,13 +51,20 @@ MOST = 2
 NOT_TEXT = RAW | frozenset("nav aside form footer menu dialog button select datalist fieldset object embed audio video canvas svg math head search input".split())
 ARTICLE_ONLY = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in class and id names of what is not main text.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
-    "disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
-    "promo promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+#: Words in class and id names of what is not main text; those of comments; words that may stand beside them.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+NAMES = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs consent cookie cookies copyright "
+    "footer footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
+    "promo promos promotion recommended recommendations related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+LAYOUT = frozenset(
+    "area article articles aside bar block body bottom box btn button buttons card cards col column container content entry foot footer form global group head holder home icon icons in inner item items js "
+    "layer left link links list location lower main message middle mobile module news outer page panel placeholder post posts primary reader readers region right row secondary section shell site slot slots "
+    "sticky stories story strip sub tab text thread title top unit upper us user users wp wrap wrapper zone".split()
+)
+_TOKEN = re.compile(r"[^\s]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Running text, which in an article no recurrence deletes.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup center summary details".split())
@@ -63,6 +75,15 @@ def page_host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def is_name(value: str, names: frozenset = NAMES) -> bool:
+    """Whether one of a class or id value's tokens consists of such names and words of layout alone."""
+    for token in _TOKEN.findall(value):
+        words = {w.lower() for w in _WORD.findall(token)}
+        if words & names and words <= NAMES | LAYOUT:
+            return True
+    return False
+
+
 class Marked:
     """A parsed page with, for each element: in the main region, fixed (never deleted), named as no main text."""
 
@@ -70,48 +91,67 @@ class Marked:
         self.page = page = Page(source)
         elements = page.elements
         n = len(elements)
+        tags, parents = [e[0] for e in elements], [e[2] for e in elements]
         self.fixed = [False] * n
-        self.named = [False] * n
-        inside = [""] * n
+        inside = [False] * n
+        self.heading, self.holds = [False] * n, [False] * n
+        self.size = [0] * n  # characters of own text outside links and headings
+        link, prose, linked, paragraphs = [False] * n, [False] * n, [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
-            tag, _, parent, _, _ = elements[k]
-            if self.fixed[k] or tag in ("article", "main", "h1", "body", "html"):
-                self.fixed[k] = self.fixed[k] or tag != "h1"
-                self.fixed[parent] = True
+            if self.fixed[k] or tags[k] in ("article", "main", "h1", "body", "html"):
+                self.fixed[k] = self.fixed[k] or tags[k] != "h1"
+                self.fixed[parents[k]] = True
         for k in range(1, n):
-            tag, attrs, parent, _, _ = elements[k]
-            inside[k] = inside[parent] or (tag if tag == "article" else "")
-            if tag in NOT_TEXT or tag in ARTICLE_ONLY and not inside[k] and not self.fixed[k]:
+            parent = parents[k]
+            inside[k] = inside[parent] or tags[k] == "article"
+            self.heading[k] = self.heading[parent] or tags[k] in HEADINGS
+            link[k] = link[parent] or tags[k] == "a"
+            prose[k] = prose[parent] or tags[k] in PROSE
+        for i, (t, k) in enumerate(zip(page.tokens, page.owner, strict=True)):
+            if i != elements[k][3] and tags[k] not in RAW:
+                if link[k]:
+                    linked[k] += len(t.strip())
+                elif not self.heading[k]:
+                    self.size[k] += len(t.strip())
+        whole = list(self.size)  # of the subtree, without what is never text
+        for k in range(n - 1, 0, -1):
+            parent = parents[k]
+            self.holds[k] = self.holds[k] or tags[k] in PROSE
+            self.holds[parent] |= self.holds[k]
+            paragraphs[k] += tags[k] == "p"
+            if tags[k] not in NOT_TEXT or tags[k] == "form":
+                whole[parent] += whole[k]
+                paragraphs[parent] += paragraphs[k]
+            linked[parent] += linked[k]
+
+        def most(k: int, of: int) -> bool:
+            return paragraphs[k] > 1 and 2 * paragraphs[k] >= paragraphs[of] and 2 * whole[k] >= whole[of]
+
+        self.named = [False] * n
+        article = [0] * n  # the outermost article, or the page
+        for k in range(1, n):
+            tag, attrs = tags[k], elements[k][1]
+            article[k] = article[parents[k]] or (k if tag == "article" else 0)
+            if tag == "form":
+                self.named[k] = not self.fixed[k] and not most(k, article[k])
+            elif tag in NOT_TEXT or tag in ARTICLE_ONLY and not inside[k] and not self.fixed[k]:
                 self.named[k] = True
-            elif attrs and tag not in ("html", "body", "article", "main"):
+            elif attrs and not self.fixed[k] and tag not in ("html", "body", "article", "main"):
                 got = page.attributes(k)
-                role = got.get("role", "").lower()
-                words = {w.lower() for w in _WORD.findall(got.get("class", "") + " " + got.get("id", ""))}
-                own = role in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(words & NAMES)
-                self.named[k] = own and not self.fixed[k]
+                if got.get("role", "").strip().lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").strip().lower() == "true":
+                    self.named[k] = True
+                elif is_name(value := got.get("class", "") + " " + got.get("id", "")):
+                    own = linked[k] > whole[k] if tag in PROSE else True
+                    self.named[k] = own and (is_name(value, COMMENTS) or not most(k, article[k]))
         self.gone = [False] * n
         for k in range(1, n):
-            self.gone[k] = self.gone[elements[k][2]] or self.named[k]
-        self.heading, self.holds = [False] * n, [False] * n
-        self.size = [0] * n  # characters of own text outside links and headings
-        link, prose = [False] * n, [False] * n
-        for k in range(1, n):
-            tag, _, parent, _, _ = elements[k]
-            self.heading[k] = self.heading[parent] or tag in HEADINGS
-            link[k] = link[parent] or tag == "a"
-            prose[k] = prose[parent] or tag in PROSE
-        for k in range(n - 1, 0, -1):
-            self.holds[k] = self.holds[k] or elements[k][0] in PROSE
-            self.holds[elements[k][2]] |= self.holds[k]
-        for i, (t, k) in enumerate(zip(page.tokens, page.owner, strict=True)):
-            if i != elements[k][3] and not link[k] and not self.heading[k]:
-                self.size[k] += len(t.strip())
+            self.gone[k] = self.gone[parents[k]] or self.named[k]
         running = [s if p and not g else 0 for s, p, g in zip(self.size, prose, self.gone, strict=True)]
         self.region, self.main = "", [True] * n
         for region in ("article", "main"):
             main = [False] * n
             for k in range(1, n):
-                main[k] = main[elements[k][2]] or elements[k][0] == region
+                main[k] = main[parents[k]] or tags[k] == region
             if any(m and not g for m, g in zip(main, self.gone, strict=True)) and 2 * sum(s for s, m in zip(running, main, strict=True) if m) >= sum(running):
                 self.region, self.main = region, main
                 break
@@ -124,77 +164,121 @@ class Marked:
                 out[k] = self.page.subtree_hash(k)
         return out
 
-    def text(self, template: set[int] | None = None, headings: bool = True) -> str:
-        gone = list(self.gone)
-        if not headings:
-            gone = [g or h for g, h in zip(gone, self.heading, strict=True)]
-        if template:
-            for k, top in enumerate(self._tops({k for k, h in self.subtrees().items() if h in template})):
-                gone[k] = gone[k] or top > 0
-        return "\n".join(self.page.blocks([m and not g for m, g in zip(self.main, gone, strict=True)]))
+    def parts(self) -> Parts:
+        """The page's text in blocks, and the subtrees that its host's template may take from it."""
+        elements = self.page.elements
+        hashes = self.subtrees()
+        inner = [0] * len(elements)  # the innermost subtree that an element is in, by its place in ``places``
+        places, sizes = {0: 0}, [0]
+        for k in range(1, len(elements)):
+            inner[k] = inner[elements[k][2]]
+            if k in hashes:
+                places[k] = inner[k] = len(places)
+                sizes.append(0)
+        kept = [m and not g for m, g in zip(self.main, self.gone, strict=True)]
+        for k, own in enumerate(kept):
+            if own:
+                sizes[inner[k]] += self.size[k]
+        runs = self.page.runs(kept)
+        return Parts(
+            [t for _, t in runs], [inner[k] for k, _ in runs], [self.heading[k] for k, _ in runs],
+            [0, *hashes.values()], [0, *(inner[elements[k][2]] for k in hashes)], [False, *(self.holds[k] for k in hashes)], sizes,
+        )
+
+    def text(self) -> str:
+        """The page's text as far as its own markup shows it."""
+        return self.parts().text()
+
+
+@dataclass
+class Parts:
+    """Blocks of text, each with the innermost subtree it is in and whether it is a heading; and subtrees in
+    page order, the first of which is the page itself: hash, parent, whether it holds running text, its own text's size."""
+
+    texts: list[str]
+    inner: list[int]
+    heading: list[bool]
+    hashes: list[int]
+    parent: list[int]
+    holds: list[bool]
+    size: list[int]
+
+    def main(self) -> str:
+        """What tells a page from its copies: its text without headings."""
+        return "\n".join(t for t, h in zip(self.texts, self.heading, strict=True) if not h)
+
+    def text(self, template: set[int] | None = None) -> str:
+        gone = self._tops({k for k, h in enumerate(self.hashes) if k and h in template}) if template else [0] * len(self.hashes)
+        return "\n".join(t for t, k in zip(self.texts, self.inner, strict=True) if not gone[k])
 
     def _tops(self, doomed: set[int]) -> list[int]:
-        """For each element, the outermost one to delete that it is in, or 0; without those that hold most of the text."""
-        elements, n = self.page.elements, len(self.page.elements)
+        """For each subtree, the outermost one to delete that it is in, or 0; without those that hold most of the text."""
+        tops = [0] * len(self.hashes)
         for holds in (True, False, None):
-            tops, lost, left = [0] * n, 0, 0
-            for k in range(n):
-                tops[k] = k and (tops[elements[k][2]] or (k if k in doomed else 0))
-                if self.main[k] and not self.gone[k]:
-                    if not tops[k]:
-                        left += self.size[k]
-                    elif self.holds[tops[k]] == holds:
-                        lost += self.size[k]
+            lost = left = 0
+            for k in range(len(tops)):
+                tops[k] = k and (tops[self.parent[k]] or (k if k in doomed else 0))
+                if not tops[k]:
+                    left += self.size[k]
+                elif self.holds[tops[k]] == holds:
+                    lost += self.size[k]
             if lost > MOST * left:
                 doomed = {k for k in doomed if self.holds[k] != holds}
         return tops
 
 
+#: Columns of the kept table beside the caller's: what ``Parts`` holds, and what the counts need.
+_PARTS = "texts array<string>, inner array<int>, heading array<boolean>, hashes array<long>, parent array<int>, holds array<boolean>, size array<long>"
+_KEPT = f"key long, host long, main long, {_PARTS}"
+
+
 def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Main text of every page: the columns ``keep_cols``, text, n_chars."""
-    bound_batches(pages.sparkSession)
-    source = pages.select(*keep_cols, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    source = source.withColumn("_key", F.xxhash64("_url", "_html"))
+    spark = pages.sparkSession
+    bound_batches(spark)
+    own_names = [c for c in keep_cols if c.lower() not in ("text", "n_chars")]
+    carried = [f"_{k}" for k in range(len(own_names))]  # names that can't clash with those below
+    source = pages.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(own_names, carried, strict=True)), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    source = source.withColumn("key", F.xxhash64("url", "html"))
+    added = T.StructType.fromDDL(_KEPT)
+    schema = T.StructType([*(source.schema[c] for c in carried), *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    n = len(carried)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, mains, hashes = [], [], []
-            for url, source_html in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
-                marked = Marked(source_html or "")
-                hosts.append(xxhash.xxh3_64_intdigest(page_host(url)) >> 1)
-                mains.append(xxhash.xxh3_64_intdigest(marked.text(headings=False)) >> 1)
-                hashes.append([0, *set(marked.subtrees().values())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.int64()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "main", "hashes"])
-
-    # Kept, as both the counts and the join back to pages read it. Hash 0 stands for the page itself.
-    hashed_pages = keep(source.select("_key", "_url", "_html").mapInArrow(hashed, "key long, host long, main long, hashes array<long>"), "subtrees")
-    subtrees = hashed_pages.select("key", "host", "main", F.explode("hashes").alias("hash"))
+            urls, htmls = batch.column(n), batch.column(n + 1)
+            columns: list[list] = [[] for _ in added.fields[1:]]
+            for url, html in zip(urls, htmls, strict=True):
+                parts = Marked(html.as_py() or "").parts()
+                values = (xxhash.xxh3_64_intdigest(page_host(url.as_py())) >> 1, xxhash.xxh3_64_intdigest(parts.main()) >> 1, *(getattr(parts, c.split()[0]) for c in _PARTS.split(", ")))
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.column(n + 2), *arrays], schema.names)
+
+    # Kept, as both the counts and the texts read it. Hash 0 stands for the page itself.
+    held = keep(source.mapInArrow(parsed, schema), "parts")
+    subtrees = held.select("key", "host", "main", F.explode(F.array_distinct("hashes")).alias("hash"))
     seen = subtrees.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= min_pages)
     whole = often.where("hash = 0").select("host", F.col("n").alias("whole"))
     template = often.where("hash <> 0").join(whole, "host").where(F.col("n") >= min_share * F.col("whole")).select("host", "hash")
-    own = subtrees.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("_template"))
-
-    small = T.StructType([source.schema[c] for c in keep_cols] + [T.StructField("_key", T.LongType()), T.StructField("_packed", T.BinaryType())])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("_html")
-            blobs = pa.array([zlib.compress((x or "").encode("utf-8", "surrogatepass"), 1) for x in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep_cols))), batch.column(at + 1), blobs], small.names)
+    own = subtrees.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
 
-    result = T.StructType([source.schema[c] for c in keep_cols] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    result = T.StructType([*(held.schema[c] for c in carried), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(keep_cols)
             found = []
-            for blob, template in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                found.append(Marked(zlib.decompress(blob).decode("utf-8", "surrogatepass")).text(set(template or ())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n)), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], result.names)
+            for row in zip(*batch.columns[n:], strict=True):
+                *parts, template = (x.as_py() for x in row)
+                found.append(Parts(*parts).text(set(template or ())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], result.names)
 
-    joined = source.select(*keep_cols, "_html", "_key").mapInArrow(packed, small).join(own, F.col("_key") == F.col("key"), "left")
-    return joined.select(*keep_cols, "_packed", "_template").mapInArrow(texts, result)
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+    joined = held.join(own, "key", "left").select(*carried, *names, "template").mapInArrow(texts, result)
+    return joined.select(*(F.col(x).alias(c) for x, c in zip(carried, own_names, strict=True)), "text", "n_chars")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,18 @@ _ENDS = {
 _P_STOPS = frozenset("table td th caption button object template".split())
 _END_STOPS = frozenset("article aside section nav main table td th body html".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>-?>|.*?(?:--!?>|\Z))|(?P<other>[!?])[^>]*>|(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A quote opens a value only after "=", and only in a value may ">" stand.
+_TAG = re.compile(r"<(?:!--(?P<comment>-?>|.*?(?:--!?>|\Z))|(?P<other>[!?])[^>]*>|(?P<end>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>)", re.S)
+_ATTR = re.compile(r"[\s/]*([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*)))?")
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Attributes by lower-case name, as they stand between a tag's name and its end; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        out.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v), ""))
+    return out
+
 
 MASK = (1 << 61) - 1
 _BASE = 1_000_003_000_017
@@ -130,7 +140,7 @@ class Page:
         close(0)
 
     def attributes(self, k: int) -> dict[str, str]:
-        return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(self.elements[k][1])} if self.elements[k][1] else {}
+        return attributes(self.elements[k][1]) if self.elements[k][1] else {}
 
     def subtree_hash(self, k: int) -> int:
         """Hash of an element's tags and texts, without attributes, from sums over all tokens."""
@@ -144,8 +154,9 @@ class Page:
         value = (self._sums[end] - self._sums[first] * self._powers[end - first]) & MASK
         return (value ^ (value >> 29)) * 0x9E3779B97F4A7C15 % (1 << 63)
 
-    def blocks(self, keeps: list[bool] | None = None) -> list[str]:
-        """Texts of blocks in page order: references decoded, white space one space, trimmed, none empty.
+    def runs(self, keeps: list[bool] | None = None) -> list[tuple[int, str]]:
+        """Texts of blocks in page order, each with its nearest block element: references decoded,
+        white space one space, trimmed, none empty.
 
         keeps: for each element, whether its own texts belong to the result.
         """
@@ -157,7 +168,7 @@ class Page:
 
         def flush() -> None:
             if parts and (joined := " ".join("".join(parts).split())):
-                out.append(joined)
+                out.append((block, joined))
             parts.clear()
 
         for i, (t, k) in enumerate(zip(self.tokens, self.owner, strict=True)):
@@ -173,3 +184,7 @@ class Page:
                 parts.append(entities.unescape(t))
         flush()
         return out
+
+    def blocks(self, keeps: list[bool] | None = None) -> list[str]:
+        """The texts of ``runs``."""
+        return [t for _, t in self.runs(keeps)]

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.html_tree import Page
+from quillon.llm.html_tree import Page, attributes
 from quillon.llm.scratch import bound_batches
 
 #: The format's version, and the namespace of RFC 4122 for URLs.
@@ -51,7 +51,6 @@ REPLACED = frozenset("content-type content-length warc-block-digest warc-payload
 OF_BLOCK = frozenset("warc-truncated warc-segment-number warc-segment-origin-id warc-segment-total-length".split())
 
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, headers map<string,string>, http_headers string, payload binary"
-_LINK = re.compile(r"(?:^|\s)(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -175,7 +174,7 @@ def html_parts(source: str) -> tuple[str, list[str], str]:
         if tag == "title" and not title and end > first + 1:
             title = " ".join("".join(page.tokens[first + 1 : end]).split())
         if attrs and tag in ("a", "area", "link", "img", "script", "iframe"):
-            links += [m[2] or m[3] or m[4] or "" for m in _LINK.finditer(attrs)]
+            links += [v for n, v in attributes(attrs).items() if n in ("href", "src")]
     return title, links, "\n".join(page.blocks(seen))
 
 

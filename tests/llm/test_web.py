@@ -186,3 +186,88 @@ def test_encodings_are_undone(fields, payload):
 def test_unknown_encoding_gives_no_text():
     made = warc.derive_one(("response", "<urn:uuid:1>", "http://a", "d", None, [], "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: br\r\n\r\n", b"\x8b\x01"))
     assert [r[0] for r in made] == ["metadata"]
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div style="overflow: hidden"><p>Kept words.</p></div>',
+        '<p title="the hidden key">Kept words.</p>',
+        '<p title="role=menu">Kept words.</p>',
+        '<p class="notice-period">Kept words.</p>',
+        '<p id="social-history">Kept words.</p>',
+        '<section class="related-work"><p>Kept words.</p></section>',
+        '<table class="promo"><tr><td>Kept words.</td></tr></table>',
+        '<h2 class="banner">Kept words.</h2>',
+        '<div class="content sidebar"><p>Kept</p><p>words.</p></div>',
+        "<p title=it's data-x='class=ad'>Kept words.</p>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<body><nav>N</nav><article><h1>Head</h1>{}</article><footer>F</footer></body>", "<body><nav>N</nav><h1>Head</h1>{}<footer>F</footer></body>", "<form><article><h1>Head</h1>{}</article></form>"])
+def test_text_is_not_lost_to_names(body, page):
+    assert " ".join(html_extract.Marked(page.format(body)).text().split()) == "Head Kept words."
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        '<div class="ad">Buy</div>', '<div class="ad-slot ad-12">Buy</div>', '<div id="cookieNotice"><p>Cookies</p></div>', '<ul class="share-buttons"><li><a href="x">Share</a></ul>', "<div class='sidebar left'><p>Side</p></div>",
+        "<section id=reader-comments><p>One</p><p>Two</p><p>Three</p><p>Four</p></section>", "<div hidden><p>H</p></div>", '<div role="navigation">M</div>', "<aside><h1>S</h1></aside>", '<p class="newsletter"><a href="/n">Sign up</a></p>',
+    ],
+)
+def test_named_extras_go(extra):
+    for page in ("<body><article><h1>Head</h1><p>Words.</p>{}<p>More.</p></article></body>", "<body><h1>Head</h1><p>Words.</p>{}<p>More.</p></body>"):
+        assert html_extract.Marked(page.format(extra)).text() == "Head\nWords.\nMore."
+
+
+def test_attributes():
+    assert html_tree.attributes(" class = 'a b' ID=x hidden data-id=\"y\" class=z checked/") == {"class": "a b", "id": "x", "hidden": "", "data-id": "y", "checked": ""}
+
+
+def test_extract_of_nothing_and_with_clashing_names(spark):
+    names = ["key", "_key", "host", "main", "texts", "inner", "size", "_html", "_0", "template", "text", "n_chars", "page_id"]
+    df = spark.createDataFrame([(*range(12), None, "u", "<p>a</p>"), (*range(12), 1, None, None)], ", ".join(f"`{n}` long" for n in names) + ", url string, html string")
+    got = html_extract.extract(df, names)
+    assert sorted(got.columns) == sorted(names) and sorted((r.page_id or 0, r.text, r.n_chars, r.key, r._html, r["_0"]) for r in got.collect()) == [(0, "a", 1, 0, 7, 8), (1, "", 0, 0, 7, 8)]
+    assert html_extract.extract(df.limit(0), names).collect() == []
+
+
+def brute_template(pages, most=html_extract.MOST):
+    """Pages are (host, heading, divs), a div a text or a list of such; gives each page's text by definition."""
+    def subtrees(divs):
+        for d in divs:
+            yield repr(d)
+            if isinstance(d, list):
+                yield from subtrees(d)
+
+    def flat(divs, doomed=frozenset()):
+        return [t for d in divs if repr(d) not in doomed for t in ([d] if isinstance(d, str) else flat(d, doomed))]
+
+    out = []
+    for host, heading, divs in pages:
+        own = {(tuple(flat(x)), tuple(set(subtrees(x)))) for h, _, x in pages if h == host}
+        distinct = {main for main, _ in own}
+        on = {s: len({main for main, has in own if s in has}) for s in subtrees(divs)}
+        template = {s for s, n in on.items() if n >= html_extract.MIN_PAGES and n >= html_extract.MIN_SHARE * len(distinct)}
+        left, every = flat(divs, template), flat(divs)
+        lost = sum(map(len, every)) - sum(map(len, left))
+        out.append("\n".join([heading, *(every if lost > most * sum(map(len, left)) else left)]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    banners = [f"banner {k}" for k in range(6)] + [["menu", ["deep", f"d{k}"]] for k in range(3)]
+
+    def html(d):
+        return f"<div>{d}</div>" if isinstance(d, str) else "<div>" + "".join(map(html, d)) + "</div>"
+
+    pages = []
+    for k in range(80):
+        divs = r.sample(banners, r.randint(0, 4)) + [r.choice([f"own text of page {k}", f"text {k % 3}", f"a longer text of page number {k} with more words"])]
+        r.shuffle(divs)
+        pages.append((f"h{r.randrange(4)}.org", f"Page {k}", divs))
+    rows = [(k, f"http://{h}/{k}", f"<body><h1>{t}</h1>{''.join(map(html, d))}</body>") for k, (h, t, d) in enumerate(pages)]
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert [got[k] for k in range(len(pages))] == brute_template(pages)
