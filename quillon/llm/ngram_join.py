@@ -1,31 +1,39 @@
 """Operator 4, n-gram Jaccard join with prefix filters under several global orders.
 
 Two texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The
-result is exact: the connected components of all links.
-
-1. Counts. Every task sends its distinct shingles, as sorted 40-bit keys in one compressed run for
-   each part of the key space; a part's runs are merged and counted. What remains is one byte for
-   each of ``SLOTS`` slots of the key space: 0 if no shingle of the slot is in two texts, else the
-   logarithm of the largest count. The table has a fixed size and is broadcast. Where shingles
-   share a slot it only costs work: a shingle that is shared never looks unshared.
-2. Texts. A text can only link if at least 0.8 of its shingles are shared with some other text, so
+result is that of all links, as connected components. Shingles are 64-bit hashes, and equal sets are
+known by 128-bit ones; a chance collision of these is the only error there can be.
+
+1. Runs. Texts become sets of shingles, kept in runs of some ``RUN`` shingles.
+2. Counts. A run sends its distinct shingles, as sorted keys of ``KEY_BITS`` bits in one compressed
+   piece, to each part of the key space. A part merges the pieces, counts in how many texts a key is,
+   and answers each run with one byte for each of its keys: 0 if no other text has it, else the
+   logarithm of the count. The number of parts grows with the shingles, so a part's size doesn't.
+   Where shingles share a key it only costs work: one that is shared never looks unshared.
+3. Texts. A text can only link if at least 0.8 of its shingles are shared with some other text, so
    all others drop out here, with only their number of shingles kept. Equal sets become one node.
-3. Candidates. A node's prefix under an order of all shingles is its first n - ceil(0.8 n) + 1; two
+4. Candidates. A node's prefix under an order of all shingles is its first n - ceil(0.8 n) + 1; two
    nodes that link share a shingle in their prefixes under every order. All orders here put rare
-   shingles first and differ by seeded hashes among equally frequent ones. Nodes that share a
-   prefix shingle under the first order are candidates; a pair goes on only if its prefixes meet
-   under all other orders as well. Then the sets themselves are compared.
-4. Stars, then the rest. In each bucket (nodes with the same prefix shingle) all nodes are first
+   shingles first and differ by seeded hashes among equally frequent ones. The prefixes under all
+   orders are made once for each node. Nodes that meet in the first order's prefix and can share
+   enough, by the shingle's place in both, are candidates; of these pairs of ids only those stay
+   whose prefixes meet under each other order as well. Then the sets are fetched and compared.
+5. Stars, then the rest. In each bucket (nodes with the same prefix shingle) all nodes are first
    compared with the one that has the fewest shingles of its own, and components are formed. Then
    every other pair in a bucket whose nodes are in different components, so a large group of near
    copies, which the stars join, needs no pairs within it, and no link between components is lost.
-   Both leave out pairs that cannot share enough, by the places of their shingles in the order.
+
+Hot shingles. Buckets of more rows than ``HOT_ROWS`` and a fixed share of all rows are so few that their
+stars are broadcast, and their rows stay where they are. In the second step nodes of a bucket only
+meet those of a like number of shingles, and what is still too large is dealt into blocks, each of
+which meets each other one in a task of its own.
 
 Defined results
   null or empty text, or without words: empty set, linked with nothing, its own component.
   fewer than five words: the whole sequence is the one shingle.
   equal texts: linked (if they have words). Repeated ids: rows of one node or of several, each with
   its own component. null ids: such rows link with nothing, and their component is null.
+  empty table: empty result. Columns beside the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,20 +44,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import smallest_labels
-from quillon.llm.scratch import bound_batches, keep, sized
+from quillon.llm.scratch import HOT_KEYS, HOT_ROWS, bound_batches, hot_keys, keep, release, salted_join, sized
 from quillon.llm.shingles import mix, shingle_sets
 
-#: Slots of the table of counts: a power of 2; bits of a key in it.
-SLOT_BITS, KEY_BITS = 25, 40
-#: Shingles that a task gathers before it sends them.
-RUN = 1 << 20
+#: Bits of a key by which shingles are counted.
+KEY_BITS = 48
+#: Shingles in a run, and in a part of the key space, about.
+RUN, PART = 1 << 19, 1 << 21
 #: Seeds of the global orders.
 ORDERS = (1, 2, 3)
+#: Two sets link only if the larger is at most 1.25 times the smaller: less than a step of bands, or one step up.
+BAND = 1.3
 
 
 def least_shared(n: np.ndarray | int) -> np.ndarray | int:
@@ -58,82 +68,84 @@ def least_shared(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 40-bit keys as differences, and their counts up to 255, compressed."""
+    """Sorted keys as differences, and their counts up to 255, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.concatenate([((steps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8) for k in range(5)] + [np.minimum(counts, 255).astype(np.uint8)])
+    width = -(-KEY_BITS // 8)
+    planes = np.concatenate([((steps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8) for k in range(width)] + [np.minimum(counts, 255).astype(np.uint8)])
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(6, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(-(-KEY_BITS // 8) + 1, -1)
     steps = np.zeros(planes.shape[1], np.uint64)
-    for k in range(5):
-        steps |= planes[k].astype(np.uint64) << np.uint64(8 * k)
-    return np.cumsum(steps, dtype=np.uint64), planes[5].astype(np.int64)
+    for k, plane in enumerate(planes[:-1]):
+        steps |= plane.astype(np.uint64) << np.uint64(8 * k)
+    return np.cumsum(steps, dtype=np.uint64), planes[-1].astype(np.int64)
+
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
 
 
-def count_table(docs: DataFrame, text_col: str, bits: int) -> list[tuple[int, bytes]]:
-    """The table of counts in compressed parts: (part, bytes of its slots), of a fixed size together."""
-    wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part_bits = min(bits - 8, max(4, (wanted - 1).bit_length()))
-    in_part = KEY_BITS - part_bits
-    slots = 1 << (bits - part_bits)
+def runs_of(source: DataFrame) -> DataFrame:
+    """Runs of the rows (id, text): their ids, numbers of shingles, set keys, and the sets that are new in the run."""
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        ids, sizes, keys, lengths, sets, seen, held = [], [], [], [], [], set(), 0
 
-        def sent() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held) >> np.uint64(64 - KEY_BITS), return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(in_part))
-            pieces = [(k, _packed(a - (np.uint64(k) << np.uint64(in_part)), c)) for k, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], ["part", "run"])
+        def row() -> pa.RecordBatch:
+            columns = ([number], [ids], [sizes], [keys], [lengths], [b"".join(sets)])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "ids", "sizes", "keys", "lengths", "sets"])
 
         for batch in batches:
-            for one in shingle_sets(batch.column(0)):
-                held.append(one)
-                size += len(one)
-                if size >= RUN:
-                    yield sent()
-                    held, size = [], 0
-        if size:
-            yield sent()
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = zip(*(_unpacked(b) for b in table["run"].to_pylist()), strict=True)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        out = np.zeros(slots, np.uint8)
-        np.maximum.at(out, (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64), np.minimum(255, 8 * np.log2(counts)).astype(np.uint8))
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "slots": pa.array([zstandard.ZstdCompressor(level=3).compress(out.tobytes())], pa.binary())})
-
-    merged = docs.select(text_col).mapInArrow(runs, "part int, run binary").groupBy("part").applyInArrow(merge, "part int, slots binary")
-    return [(r["part"] << (bits - part_bits), bytes(r["slots"])) for r in merged.collect()]
-
-
-class Counts:
-    """The broadcast table in compressed parts; unpacked once in each Python worker."""
-
-    def __init__(self, parts: list[tuple[int, bytes]], bits: int):
-        self.parts, self.bits = parts, bits
-        self.table: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"parts": self.parts, "bits": self.bits, "table": None}
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """The class of each shingle: 0 if no other text has it, else higher the more have it."""
-        if self.table is None:
-            table = np.zeros(1 << self.bits, np.uint8)
-            for at, blob in self.parts:
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-                table[at : at + len(part)] = part
-            self.table = table
-        return self.table[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+            for own_id, one in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                data = one.tobytes()
+                key = xxhash.xxh3_128_digest(data) if len(one) else None
+                new = key is not None and key not in seen
+                ids.append(own_id)
+                sizes.append(len(one))
+                keys.append(key)
+                lengths.append(len(one) if new else 0)
+                if new:
+                    seen.add(key)
+                    sets.append(data)
+                    held += len(one)
+                if held >= RUN or len(ids) >= RUN:
+                    yield row()
+                    number += 1
+                    ids, sizes, keys, lengths, sets, seen, held = [], [], [], [], [], set(), 0
+        if ids:
+            yield row()
+
+    return source.mapInArrow(build, "run long, ids array<long>, sizes array<long>, keys array<binary>, lengths array<long>, sets binary")
+
+
+def answers(runs: DataFrame, part_bits: int) -> DataFrame:
+    """run, classes: for each run the class of its distinct keys in ascending order, in pieces by part."""
+    in_part = np.uint64(KEY_BITS - part_bits)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, counts = np.unique(_keys(np.frombuffer(blob.as_buffer(), np.uint64)), return_counts=True)
+                cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << in_part)
+                pieces = [(k, _packed(a - (np.uint64(k) << in_part), c)) for k, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([run] * len(pieces), pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["part", "run", "piece"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys, counts = zip(*(_unpacked(b) for b in table["piece"].to_pylist()), strict=True)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, np.concatenate(counts))
+        classes = np.where(total > 1, np.minimum(255, 8 * np.log2(total)), 0).astype(np.uint8)[where]
+        blobs = [zstandard.ZstdCompressor(level=1).compress(c.tobytes()) for c in np.split(classes, ends)]
+        return pa.table({"run": table["run"], "part": table["part"], "classes": pa.array(blobs, pa.binary())})
+
+    pieces = runs.where("length(sets) > 0").select("run", "sets").mapInArrow(ask, "part int, run long, piece binary")
+    found = pieces.groupBy("part").applyInArrow(answer, "run long, part int, classes binary")
+    return found.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("part", "classes")))["classes"].alias("classes"))
 
 
 def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,29 +160,115 @@ def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarr
     return hashes[order[shared]], len(hashes) - shared
 
 
-def links(a: np.ndarray, b: np.ndarray, counts: Counts) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 or more; prefixes under all orders first."""
+_TEXTS = "id long, n long, key binary, set binary, rest array<long>, " + ", ".join(f"p{o} array<long>" for o in ORDERS)
+
+
+def texts_of(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each text: id, n, key; and, if it can link and is the run's first of its key, its set and prefixes."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, keys, lengths, blob, got in zip(*batch.columns, strict=True):
+                hashes = np.frombuffer(blob.as_buffer(), np.uint64)
+                answered = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in got.as_py() or [])
+                _, where = np.unique(_keys(hashes), return_inverse=True)
+                own = np.frombuffer(answered, np.uint8)[where]
+                rows, at = [], 0
+                for n in lengths.as_py():
+                    one, kinds = hashes[at : at + n], own[at : at + n]
+                    at += n
+                    if n and np.count_nonzero(kinds) >= least_shared(n):
+                        found = [prefix(one, kinds, seed) for seed in ORDERS]
+                        rows.append((one.tobytes(), found[0][1], *(f[0].view(np.int64) for f in found)))
+                    else:
+                        rows.append((None,) * (2 + len(ORDERS)))
+                columns = zip(*rows, strict=True)
+                arrays = [pa.array(next(columns), pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns)]
+                yield pa.RecordBatch.from_arrays([ids.values, sizes.values, keys.values, *arrays], [c.split()[0] for c in _TEXTS.split(", ")])
+
+    joined = runs.join(classes, "run", "left").select("ids", "sizes", "keys", "lengths", "sets", "classes")
+    return joined.mapInArrow(build, _TEXTS)
+
+
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
         return False
-    class_a, class_b = counts.of(a), counts.of(b)
-    for seed in ORDERS[1:]:
-        if not np.isin(prefix(a, class_a, seed)[0], prefix(b, class_b, seed)[0]).any():
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, shared: Broadcast) -> DataFrame:
-    """Those of ``pairs`` (u, v) that link."""
+def fetched(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (u, v), a kept table, with ``columns`` of both nodes, named after them: u_<column>, v_<column>."""
+    for own, other in ("uv", "vu"):
+        of_node = nodes.select(F.col("node").alias(own), *(F.col(c).alias(f"{own}_{c}") for c in columns))
+        pairs = salted_join(pairs, of_node, own, other, hot_keys(pairs.select("u", "v"), own, "hot"))
+    return pairs
+
+
+def meeting(pairs: DataFrame, nodes: DataFrame, orders: tuple = ORDERS[1:]) -> DataFrame:
+    """Those of ``pairs`` (u, v), a kept table, whose prefixes meet under each of ``orders``."""
+    names = [f"p{o}" for o in orders]
+    both = fetched(pairs, nodes, names)
+    for c in names:
+        both = both.where(F.arrays_overlap(f"u_{c}", f"v_{c}"))
+    return both.select("u", "v")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v), a kept table, that link."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for batch in batches:
-            found = [links(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), counts) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            found = [links(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
-    left, right = nodes.select(F.col("node").alias("u"), F.col("set").alias("set_u")), nodes.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(compare, "u long, v long")
+    return fetched(pairs, nodes, ["set"]).select("u", "v", "u_set", "v_set").mapInArrow(compare, "u long, v long")
+
+
+def can_share(a: str, b: str) -> Column:
+    """Sharing at most the least rest, two sets of a and b shingles link only if it is 4 / 9 of a + b or more."""
+    return 9 * F.least(f"rest_{a}", f"rest_{b}") >= 4 * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+def star_pairs(buckets: DataFrame, hot: int) -> DataFrame:
+    """u, v: every node with the node of fewest own shingles in each of its buckets, if they can share enough."""
+    best = F.max_by(F.struct("node", "rest", "n"), F.struct("rest", -F.col("node")))
+    hubs = keep(buckets.groupBy("token").agg(best.alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("token", "held", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("node", "rest", "n"))), "hubs")
+    members = buckets.select("token", "node", F.col("rest").alias("rest_own"), F.col("n").alias("n_own"))
+    often = F.broadcast(hubs.where(F.col("held") > hot))  # fewer than HOT_KEYS rows
+    seldom = members.join(often.select("token"), "token", "left_anti").join(hubs.where(F.col("held") <= hot), "token")
+    paired = members.join(often, "token").unionByName(seldom).where("node <> node_hub").where(can_share("own", "hub"))
+    return paired.select(F.least("node", "node_hub").alias("u"), F.greatest("node", "node_hub").alias("v")).distinct()
+
+
+def crossing_pairs(buckets: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+    """u, v: all nodes that share a bucket, are in different components, and can share enough.
+
+    The smaller of two nodes meets the other in its own band of sizes. Groups of a token and band with
+    more rows than ``hot``, fewer than twice HOT_KEYS, are dealt into blocks: the smaller nodes by
+    rows and the larger by columns of a square, in which each two meet once.
+    """
+    labelled = keep(buckets.join(roots, "node", "left").select("token", "node", "rest", "n", F.coalesce("root", "node").alias("root"), F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int").alias("band")), "labelled")
+    mixed = keep(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high").select("token", "held"), "mixed")
+    often = F.broadcast(mixed.where(F.col("held") > hot).select("token"))
+    seldom = labelled.join(often, "token", "left_anti").join(mixed.where(F.col("held") <= hot).select("token"), "token", "left_semi")
+    rows = keep(labelled.join(often, "token", "left_semi").unionByName(seldom), "open")
+
+    def side(k: str) -> DataFrame:
+        return rows.select("token", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "rest", "n", "root")))
+
+    small = side("a")
+    large = side("b").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    groups = large.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot)
+    blocks = F.broadcast(groups.select("token", "band", F.ceil(F.col("rows") / hot).cast("int").alias("blocks")))
+    number = lambda k: F.pmod(F.xxhash64(f"node_{k}"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    a = small.join(blocks, ["token", "band"], "left").withColumn("row", number("a")).withColumn("column", every).drop("blocks")
+    b = large.join(blocks, ["token", "band"], "left").withColumn("column", number("b")).withColumn("row", every).drop("blocks")
+    ordered = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
+    found = a.join(b, ["token", "band", "row", "column"]).where(ordered & (F.col("root_a") != F.col("root_b")) & can_share("a", "b"))
+    return found.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,64 +276,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast(Counts(count_table(source, "text", SLOT_BITS), SLOT_BITS))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            sizes, keys, sets, seen = [], [], [], set()
-            for one in shingle_sets(batch.column(1)):
-                data = one.tobytes()
-                key = xxhash.xxh3_128_digest(data) if len(one) else None
-                first = key is not None and key not in seen and np.count_nonzero(counts.of(one)) >= least_shared(len(one))
-                seen.add(key)
-                sizes.append(len(one))
-                keys.append(key)
-                sets.append(data if first else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "n", "key", "set"])
-
-    rows = keep(source.mapInArrow(texts, "id long, n long, key binary, set binary"), "texts")
-    named = keep(rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node")), "named")
-    held = rows.where("set is not null").groupBy("key").agg(F.first("set").alias("set"))
-    nodes = keep(held.join(named, "key").select("node", "set"), "nodes")
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            at, tokens, rests, sizes = [], [], [], []
-            for k, blob in enumerate(batch.column(1)):
-                one = np.frombuffer(blob.as_py(), np.uint64)
-                own, rest = prefix(one, counts.of(one), ORDERS[0])
-                at.append(np.full(len(own), k))
-                sizes.append(np.full(len(own), len(one)))
-                tokens.append(own)
-                rests.append(rest)
-            if tokens:
-                columns = [np.concatenate(x) for x in (rests, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(at))), *(pa.array(c.astype(np.int64)) for c in columns)], ["token", "node", "rest", "n"])
-
-    buckets = keep(nodes.mapInArrow(prefixes, "token long, node long, rest long, n long"), "buckets")
-    # Sharing at most the least rest, two sets of a and b shingles link only if it is 4 / 9 of a + b or more.
-    possible = "9 * least(rest_{0}, rest_{1}) >= 4 * (n_{0} + n_{1})"
-    best = F.max_by(F.struct("node", "rest", "n"), F.struct("rest", -F.col("node")))
-    hubs = buckets.groupBy("token").agg(best.alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("token", *(F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("node", "rest", "n")))
-    members = buckets.select("token", "node", F.col("rest").alias("rest_own"), F.col("n").alias("n_own"))
-    paired = members.join(hubs, "token").where("node <> node_hub").where(possible.format("own", "hub"))
-    stars = keep(paired.select(F.least("node", "node_hub").alias("u"), F.greatest("node", "node_hub").alias("v")).distinct(), "stars")
-    first = keep(verified(stars, nodes, shared), "links")
-    roots = smallest_labels(first)
-
-    labelled = keep(buckets.join(roots, "node", "left").select("token", "node", "rest", "n", F.coalesce("root", "node").alias("root")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_rows = labelled.join(mixed, "token", "left_semi")
-    a, b = (open_rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "rest", "n", "root"))) for k in "ab")
-    crossing = a.join(b, "token").where("node_a < node_b and root_a <> root_b").where(possible.format("a", "b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-    second = verified(crossing.join(stars, ["u", "v"], "left_anti"), nodes, shared)
+    runs = keep(runs_of(source), "runs")
+    shingles = runs.agg(F.sum(F.length("sets")).alias("n")).first()["n"] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_bits = min(KEY_BITS - 8, max(shingles // 8 // PART, 2 * tasks).bit_length())
+    texts = keep(texts_of(runs, answers(runs, part_bits)), "texts")
+    release(runs)
+
+    named = keep(texts.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node")), "named")
+    columns = ("n", "set", "rest", *(f"p{o}" for o in ORDERS))
+    held = texts.where("set is not null").groupBy("key").agg(F.first(F.struct(*columns)).alias("own"))
+    nodes = keep(held.join(named, "key").select("node", "own.*"), "nodes")
+
+    # A bucket is a shingle of the first order's prefix, with the nodes that have it there.
+    buckets = keep(nodes.select("node", "n", F.inline(F.arrays_zip(F.col(f"p{ORDERS[0]}").alias("token"), F.col("rest").alias("rest")))).select("token", "node", "rest", "n"), "buckets")
+    hot = max(HOT_ROWS, buckets.count() // HOT_KEYS)
+    stars = keep(star_pairs(buckets, hot), "stars")
+    first = keep(verified(keep(meeting(stars, nodes), "meeting"), nodes), "links")
+    crossing = keep(crossing_pairs(buckets, smallest_labels(first), hot).join(stars, ["u", "v"], "left_anti"), "crossing")
+    second = keep(verified(keep(meeting(crossing, nodes), "meeting"), nodes), "links")
     final = smallest_labels(first.unionByName(second))
-    shared.destroy()  # all that needs the table has been written
 
     found = named.join(final, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
-    joined = rows.select("id", "n", "key").join(found, "key", "left")
+    joined = texts.select("id", "n", "key").join(found, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

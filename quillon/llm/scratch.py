@@ -88,6 +88,27 @@ def sized(small: DataFrame, name: str) -> DataFrame:
     return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
+#: A key is hot with more rows than the first number and than all rows over the second: so there are fewer hot keys than that.
+HOT_ROWS, HOT_KEYS = 512, 20_000
+
+
+def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame | None:
+    """key and _salts for the keys of ``rows``, a kept table, with so many rows that they must be split; None if there are none."""
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    found = keep(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), name)
+    return F.broadcast(found) if found.limit(1).count() else None  # fewer than HOT_KEYS rows
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with the row of their key in ``table``, which has one for each: rows of a hot key are dealt by ``by`` to copies of it."""
+    if hot is None:
+        return rows.join(table, key)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

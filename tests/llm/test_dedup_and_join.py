@@ -134,8 +134,9 @@ def test_components_equal_brute_force(spark, seed):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({g[2] for g in got})
 
 
-def test_components_with_crowded_slots(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SLOT_BITS", 12)  # nearly every shingle looks shared
+def test_components_with_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "KEY_BITS", 14)  # nearly every shingle looks shared
+    monkeypatch.setattr(ngram_join, "RUN", 300)
     texts = families(9)
     got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame(spark, texts)).collect())
     assert got == brute_components(list(enumerate(texts)))
@@ -164,3 +165,79 @@ def test_smallest_labels_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.smallest_labels(links).collect()}
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99}
+
+
+def near(sets, u, v):
+    return 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])
+
+
+@pytest.mark.parametrize("order", ngram_join.ORDERS)
+def test_each_order_alone_loses_no_link(order):
+    """Prefixes under one order: sets that link share a shingle in them, and no more than the lesser rest."""
+    sets = [one for seed in range(6) for one in shingles.shingle_sets(pa.array(families(10 * order + seed))) if len(one)]
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    classes = [np.where((n := counts[np.searchsorted(every, one)]) > 1, np.minimum(255, 8 * np.log2(n)), 0).astype(np.uint8) for one in sets]
+    prefixes = [dict(zip(*(x.tolist() for x in ngram_join.prefix(one, c, order)), strict=True)) for one, c in zip(sets, classes, strict=True)]
+    found = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if ngram_join.links(a, b) and a.tobytes() != b.tobytes():
+                found += 1
+                both = prefixes[i].keys() & prefixes[j].keys()
+                assert both and len(np.intersect1d(a, b)) <= max(min(prefixes[i][t], prefixes[j][t]) for t in both)
+    assert found > 20
+
+
+def test_filters_leave_out_pairs_before_sets_are_fetched(spark, monkeypatch):
+    """Pairs of ids go on only if prefixes meet under every order; the sets of others aren't fetched."""
+    rows = [(1, [1, 2], [5], b"a"), (2, [2, 3], [5], b"b"), (3, [9], [5], b"c"), (4, [2], [7], b"d")]
+    nodes = spark.createDataFrame(rows, "node long, p2 array<long>, p3 array<long>, set binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4)], "u long, v long")
+    assert [tuple(r) for r in ngram_join.meeting(pairs, nodes).collect()] == [(1, 2)]
+    assert sorted(tuple(r) for r in ngram_join.meeting(pairs, nodes, (2,)).collect()) == [(1, 2), (1, 4), (2, 4)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_one_shingle_in_many_unrelated_texts(spark, monkeypatch, small):
+    """Passages that very many texts share are all there is in them, and few texts link: every token is hot."""
+    from quillon.llm import scratch
+
+    if small:  # everything is hot, split and dealt into blocks
+        monkeypatch.setattr(scratch, "HOT_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "RUN", 200)
+    r = random.Random(7)
+    passages = [" ".join(f"p{k}x{i}" for i in range(r.randint(8, 12))) for k in range(10)]
+    texts = []
+    for _ in range(300 if small else 1200):
+        own = r.sample(passages, 4)
+        texts += [" ".join(own)] + [" ".join([*own, "end"])] * (r.random() < 0.2)
+    got = sorted(tuple(x) for x in ngram_join.jaccard_components(frame(spark, texts).repartition(4)).collect())
+    assert got == brute_components(list(enumerate(texts))) and len({g[2] for g in got}) > 10
+
+
+def test_keys_are_counted_over_all_runs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RUN", 50)
+    texts = families(5)
+    runs = ngram_join.runs_of(frame(spark, texts).select("doc_id", "text").repartition(3)).cache()
+    got = {r.run: np.frombuffer(b"".join(map(ngram_join.zstandard.ZstdDecompressor().decompress, r.classes)), np.uint8) for r in ngram_join.answers(runs, 5).collect()}
+    held = {r.run: np.unique(ngram_join._keys(np.frombuffer(r.sets, np.uint64))) for r in runs.collect()}
+    within = Counter()
+    for r in runs.collect():
+        within.update(ngram_join._keys(np.frombuffer(r.sets, np.uint64)).tolist())
+    assert len(held) > 10
+    for run, keys in held.items():
+        if len(keys):
+            assert got[run].tolist() == [int(min(255, 8 * np.log2(within[k]))) if within[k] > 1 else 0 for k in keys.tolist()]
+    runs.unpersist()
+
+
+def test_joined_rows_of_hot_keys_are_the_same(spark, monkeypatch):
+    from quillon.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT_ROWS", 4)
+    rows = scratch.keep(spark.range(300).selectExpr("if(id % 3 = 0, 7, id % 40) as k", "id"), "rows")
+    table = spark.range(40).selectExpr("id as k", "id * 10 as x")
+    hot = scratch.hot_keys(rows, "k", "hot")
+    assert hot.count() > 1
+    assert sorted(tuple(r) for r in scratch.salted_join(rows, table, "k", "id", hot).collect()) == sorted((r.k, r.id, r.k * 10) for r in rows.collect())
