@@ -4,14 +4,17 @@ Two texts link if their sets of five-word shingles have a Jaccard similarity of
 result is that of all links, as connected components. Shingles are 64-bit hashes, and equal sets are
 known by 128-bit ones; a chance collision of these is the only error there can be.
 
-1. Runs. Texts become sets of shingles, kept in runs of some ``RUN`` shingles.
-2. Counts. A run sends its distinct shingles, as sorted keys of ``KEY_BITS`` bits in one compressed
-   piece, to each part of the key space. A part merges the pieces, counts in how many texts a key is,
-   and answers each run with one byte for each of its keys: 0 if no other text has it, else the
-   logarithm of the count. The number of parts grows with the shingles, so a part's size doesn't.
-   Where shingles share a key it only costs work: one that is shared never looks unshared.
+1. Runs. Rows are kept in runs of some ``RUN`` bytes of text, in a table bucketed by run, so that what
+   is found out about a run's shingles is joined to it without moving texts.
+2. Counts. A run sends its distinct shingles, as sorted keys in one compressed piece, to each part of
+   the key space. A part merges the pieces, counts in how many sets a key is, and answers each run
+   with one byte for each of its keys: 0 if no other set has it, else the logarithm of the count.
+   The number of parts and the bits of a key grow with the text, so that neither a part's size nor
+   the share of shingles that meet in a key by chance does. Where that happens it only costs work:
+   a shingle that is shared never looks unshared.
 3. Texts. A text can only link if at least 0.8 of its shingles are shared with some other text, so
-   all others drop out here, with only their number of shingles kept. Equal sets become one node.
+   all others drop out here, with only their number of shingles kept. Of the others' sets only the
+   shared shingles go on, as no link needs more. Equal sets become one node.
 4. Candidates. A node's prefix under an order of all shingles is its first n - ceil(0.8 n) + 1; two
    nodes that link share a shingle in their prefixes under every order. All orders here put rare
    shingles first and differ by seeded hashes among equally frequent ones. The prefixes under all
@@ -49,13 +52,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import smallest_labels
-from quillon.llm.scratch import HOT_KEYS, HOT_ROWS, bound_batches, hot_keys, keep, release, salted_join, sized
+from quillon.llm.scratch import HOT_KEYS, HOT_ROWS, bound_batches, hot_keys, keep, keep_bucketed, salted_join, sized
 from quillon.llm.shingles import mix, shingle_sets
 
-#: Bits of a key by which shingles are counted.
-KEY_BITS = 48
-#: Shingles in a run, and in a part of the key space, about.
-RUN, PART = 1 << 19, 1 << 21
+#: Bytes of text in a run, and in what a part of the key space counts, about.
+RUN, PART = 1 << 22, 1 << 24
+#: Bits of a key beyond those that number all bytes of text: about one shingle in 2 ** (SPARE + 2) shares its key by chance.
+SPARE = 6
 #: Seeds of the global orders.
 ORDERS = (1, 2, 3)
 #: Two sets link only if the larger is at most 1.25 times the smaller: less than a step of bands, or one step up.
@@ -68,68 +71,83 @@ def least_shared(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, and their counts up to 255, compressed."""
+    """Sorted keys as differences, and their counts up to 255, compressed; a plane for each byte that is used."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    width = -(-KEY_BITS // 8)
-    planes = np.concatenate([((steps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8) for k in range(width)] + [np.minimum(counts, 255).astype(np.uint8)])
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    planes = np.concatenate([np.array([width], np.uint8), *(((steps >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8) for k in range(width)), np.minimum(counts, 255).astype(np.uint8)])
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(-(-KEY_BITS // 8) + 1, -1)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    planes = data[1:].reshape(int(data[0]) + 1, -1)
     steps = np.zeros(planes.shape[1], np.uint64)
     for k, plane in enumerate(planes[:-1]):
         steps |= plane.astype(np.uint64) << np.uint64(8 * k)
     return np.cumsum(steps, dtype=np.uint64), planes[-1].astype(np.int64)
 
 
-def _keys(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - KEY_BITS)
-
-
 def runs_of(source: DataFrame) -> DataFrame:
-    """Runs of the rows (id, text): their ids, numbers of shingles, set keys, and the sets that are new in the run."""
+    """Rows (id, text) in runs: their ids and texts, and the bytes of these."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        ids, sizes, keys, lengths, sets, seen, held = [], [], [], [], [], set(), 0
+        ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            columns = ([number], [ids], [sizes], [keys], [lengths], [b"".join(sets)])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "ids", "sizes", "keys", "lengths", "sets"])
+            columns = (([number], pa.int64()), ([ids], pa.list_(pa.int64())), ([texts], pa.list_(pa.string())), ([size], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["run", "ids", "texts", "bytes"])
 
         for batch in batches:
-            for own_id, one in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                data = one.tobytes()
-                key = xxhash.xxh3_128_digest(data) if len(one) else None
-                new = key is not None and key not in seen
+            for own_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(own_id)
-                sizes.append(len(one))
-                keys.append(key)
-                lengths.append(len(one) if new else 0)
-                if new:
-                    seen.add(key)
-                    sets.append(data)
-                    held += len(one)
-                if held >= RUN or len(ids) >= RUN:
+                texts.append(text)
+                size += text.as_buffer().size if text.is_valid else 0
+                if size >= RUN or len(ids) >= RUN:
                     yield row()
                     number += 1
-                    ids, sizes, keys, lengths, sets, seen, held = [], [], [], [], [], set(), 0
+                    ids, texts, size = [], [], 0
         if ids:
             yield row()
 
-    return source.mapInArrow(build, "run long, ids array<long>, sizes array<long>, keys array<binary>, lengths array<long>, sets binary")
+    return source.mapInArrow(build, "run long, ids array<long>, texts array<string>, bytes long")
+
+
+class Sets:
+    """The sets of a run: for each row its number of shingles, its key, and the set if it is the run's first of its key."""
+
+    def __init__(self, texts: pa.Array, key_bits: int):
+        self.sizes, self.keys, self.sets = [], [], []
+        seen = set()
+        for one in shingle_sets(texts):
+            key = xxhash.xxh3_128_digest(one.tobytes()) if len(one) else None
+            new = key is not None and key not in seen
+            seen.add(key)
+            self.sizes.append(len(one))
+            self.keys.append(key)
+            self.sets.append(one if new else one[:0])
+        self.shift = np.uint64(64 - key_bits)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The run's distinct keys of shingles in ascending order, and in how many of its sets each is."""
+        return np.unique(self.hashes() >> self.shift, return_counts=True)
+
+    def places(self) -> np.ndarray:
+        """For each shingle of all sets the place of its key among the distinct ones."""
+        return np.unique(self.hashes() >> self.shift, return_inverse=True)[1]
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([*self.sets, np.zeros(0, np.uint64)])
 
 
-def answers(runs: DataFrame, part_bits: int) -> DataFrame:
+def answers(runs: DataFrame, key_bits: int, part_bits: int) -> DataFrame:
     """run, classes: for each run the class of its distinct keys in ascending order, in pieces by part."""
-    in_part = np.uint64(KEY_BITS - part_bits)
+    in_part = np.uint64(key_bits - part_bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts = np.unique(_keys(np.frombuffer(blob.as_buffer(), np.uint64)), return_counts=True)
+            for run, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, counts = Sets(texts.values, key_bits).counted()
                 cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << in_part)
                 pieces = [(k, _packed(a - (np.uint64(k) << in_part), c)) for k, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([run] * len(pieces), pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["part", "run", "piece"])
@@ -143,59 +161,74 @@ def answers(runs: DataFrame, part_bits: int) -> DataFrame:
         blobs = [zstandard.ZstdCompressor(level=1).compress(c.tobytes()) for c in np.split(classes, ends)]
         return pa.table({"run": table["run"], "part": table["part"], "classes": pa.array(blobs, pa.binary())})
 
-    pieces = runs.where("length(sets) > 0").select("run", "sets").mapInArrow(ask, "part int, run long, piece binary")
-    found = pieces.groupBy("part").applyInArrow(answer, "run long, part int, classes binary")
+    found = runs.select("run", "texts").mapInArrow(ask, "part int, run long, piece binary").groupBy("part").applyInArrow(answer, "run long, part int, classes binary")
     return found.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("part", "classes")))["classes"].alias("classes"))
 
 
-def prefix(hashes: np.ndarray, classes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set's prefix under the order ``seed``, without shingles that no other text has.
+def texts_of(runs: DataFrame, classes: DataFrame, key_bits: int) -> DataFrame:
+    """A row for each text: id, n, key; and, if it can link and is the run's first of its key, its shared shingles and their classes."""
+    kinds = (("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("set", pa.binary()), ("classes", pa.binary()))
 
-    With each shingle goes the number of shingles from it to the end of the order: if it is the first
-    that two sets share, they share no more than that.
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, got in zip(*batch.columns, strict=True):
+                run = Sets(texts.values, key_bits)
+                answered = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b) for b in got.as_py() or []), np.uint8)
+                own, at, sets, found = answered[run.places()], 0, [], []
+                for one in run.sets:
+                    mine = own[at : at + len(one)]
+                    at += len(one)
+                    shared = mine > 0
+                    can = len(one) and np.count_nonzero(shared) >= least_shared(len(one))
+                    sets.append(one[shared].tobytes() if can else None)
+                    found.append(mine[shared].tobytes() if can else None)
+                columns = (ids.values, run.sizes, run.keys, sets, found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+
+    # The answers are hashed, not sorted with the runs: so no run is moved or sorted.
+    joined = runs.join(classes.hint("shuffle_hash"), "run", "left").select("ids", "texts", "classes")
+    return joined.mapInArrow(build, "id long, n long, key binary, set binary, classes binary")
+
+
+def prefix(shared: np.ndarray, classes: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix under the order ``seed`` of a set of ``n`` shingles, of which only the shared ones are given.
+
+    Those that no other text has come first and need not be there. With each shingle goes the number
+    of shared ones from it to the end of the order: if it is the first that two sets share, they share
+    no more than that.
     """
-    length = len(hashes) - least_shared(len(hashes)) + 1
-    order = np.lexsort((mix(hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), classes))[:length]
-    shared = np.flatnonzero(classes[order] > 0)
-    return hashes[order[shared]], len(hashes) - shared
+    length = max(0, len(shared) - least_shared(n) + 1)
+    order = np.lexsort((mix(shared ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), classes))[:length]
+    return shared[order], len(shared) - np.arange(length)
 
 
-_TEXTS = "id long, n long, key binary, set binary, rest array<long>, " + ", ".join(f"p{o} array<long>" for o in ORDERS)
+def prefixes_of(nodes: DataFrame) -> DataFrame:
+    """node, n, and its prefixes: under the first order as tokens and rests, under the others as 32 bits of each token.
 
-
-def texts_of(runs: DataFrame, classes: DataFrame) -> DataFrame:
-    """A row for each text: id, n, key; and, if it can link and is the run's first of its key, its set and prefixes."""
+    These 32 bits only filter; tokens that agree in them by chance let a pair through to be verified.
+    """
+    others = [f"p{o}" for o in ORDERS[1:]]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sizes, keys, lengths, blob, got in zip(*batch.columns, strict=True):
-                hashes = np.frombuffer(blob.as_buffer(), np.uint64)
-                answered = b"".join(zstandard.ZstdDecompressor().decompress(b) for b in got.as_py() or [])
-                _, where = np.unique(_keys(hashes), return_inverse=True)
-                own = np.frombuffer(answered, np.uint8)[where]
-                rows, at = [], 0
-                for n in lengths.as_py():
-                    one, kinds = hashes[at : at + n], own[at : at + n]
-                    at += n
-                    if n and np.count_nonzero(kinds) >= least_shared(n):
-                        found = [prefix(one, kinds, seed) for seed in ORDERS]
-                        rows.append((one.tobytes(), found[0][1], *(f[0].view(np.int64) for f in found)))
-                    else:
-                        rows.append((None,) * (2 + len(ORDERS)))
-                columns = zip(*rows, strict=True)
-                arrays = [pa.array(next(columns), pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns)]
-                yield pa.RecordBatch.from_arrays([ids.values, sizes.values, keys.values, *arrays], [c.split()[0] for c in _TEXTS.split(", ")])
-
-    joined = runs.join(classes, "run", "left").select("ids", "sizes", "keys", "lengths", "sets", "classes")
-    return joined.mapInArrow(build, _TEXTS)
-
-
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have a Jaccard similarity of 0.8 or more."""
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            rows = []
+            for n, blob, kinds in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                shared, classes = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(kinds.as_buffer(), np.uint8)
+                found = [prefix(shared, classes, n, seed) for seed in ORDERS]
+                rows.append((found[0][0].view(np.int64), found[0][1], *(mix(f[0]).astype(np.uint32).view(np.int32) for f in found[1:])))
+            types = (pa.int64(), pa.int64(), *(pa.int32() for _ in others))
+            arrays = [pa.array(c, pa.list_(k)) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["node", "n", "token", "rest", *others])
+
+    return nodes.select("node", "n", "set", "classes").mapInArrow(build, "node long, n long, token array<long>, rest array<long>, " + ", ".join(f"{c} array<int>" for c in others))
+
+
+def links(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """Whether two sets of n_a and n_b shingles, given by their shared ones, have a Jaccard similarity of 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(n_a, n_b):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 80 * (len(a) + len(b) - both)
+    return 100 * both >= 80 * (n_a + n_b - both)
 
 
 def fetched(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -206,10 +239,10 @@ def fetched(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame
     return pairs
 
 
-def meeting(pairs: DataFrame, nodes: DataFrame, orders: tuple = ORDERS[1:]) -> DataFrame:
+def meeting(pairs: DataFrame, prefixes: DataFrame, orders: tuple = ORDERS[1:]) -> DataFrame:
     """Those of ``pairs`` (u, v), a kept table, whose prefixes meet under each of ``orders``."""
     names = [f"p{o}" for o in orders]
-    both = fetched(pairs, nodes, names)
+    both = fetched(pairs, prefixes, names)
     for c in names:
         both = both.where(F.arrays_overlap(f"u_{c}", f"v_{c}"))
     return both.select("u", "v")
@@ -220,10 +253,11 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [links(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            rows = zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True)
+            found = [links(np.frombuffer(a.as_buffer(), np.uint64), n, np.frombuffer(b.as_buffer(), np.uint64), m) for a, n, b, m in rows]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(found, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
-    return fetched(pairs, nodes, ["set"]).select("u", "v", "u_set", "v_set").mapInArrow(compare, "u long, v long")
+    return fetched(pairs, nodes, ["set", "n"]).select("u", "v", "u_set", "u_n", "v_set", "v_n").mapInArrow(compare, "u long, v long")
 
 
 def can_share(a: str, b: str) -> Column:
@@ -276,25 +310,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = keep(runs_of(source), "runs")
-    shingles = runs.agg(F.sum(F.length("sets")).alias("n")).first()["n"] or 0
+    runs, drop_runs = keep_bucketed(runs_of(source), "runs", "run")
+    size = runs.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part_bits = min(KEY_BITS - 8, max(shingles // 8 // PART, 2 * tasks).bit_length())
-    texts = keep(texts_of(runs, answers(runs, part_bits)), "texts")
-    release(runs)
+    part_bits = max(size // PART, 2 * tasks).bit_length()
+    key_bits = min(64, max(part_bits + 8, size.bit_length() + SPARE))
+    texts = keep(texts_of(runs, answers(runs, key_bits, part_bits), key_bits), "texts")
+    drop_runs()
 
     named = keep(texts.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node")), "named")
-    columns = ("n", "set", "rest", *(f"p{o}" for o in ORDERS))
-    held = texts.where("set is not null").groupBy("key").agg(F.first(F.struct(*columns)).alias("own"))
+    held = texts.where("set is not null").groupBy("key").agg(F.first(F.struct("n", "set", "classes")).alias("own"))
     nodes = keep(held.join(named, "key").select("node", "own.*"), "nodes")
 
     # A bucket is a shingle of the first order's prefix, with the nodes that have it there.
-    buckets = keep(nodes.select("node", "n", F.inline(F.arrays_zip(F.col(f"p{ORDERS[0]}").alias("token"), F.col("rest").alias("rest")))).select("token", "node", "rest", "n"), "buckets")
+    prefixes = keep(prefixes_of(nodes), "prefixes")
+    buckets = keep(prefixes.select("node", "n", F.inline(F.arrays_zip("token", "rest"))).select("token", "node", "rest", "n"), "buckets")
     hot = max(HOT_ROWS, buckets.count() // HOT_KEYS)
     stars = keep(star_pairs(buckets, hot), "stars")
-    first = keep(verified(keep(meeting(stars, nodes), "meeting"), nodes), "links")
+    first = keep(verified(keep(meeting(stars, prefixes), "meeting"), nodes), "links")
     crossing = keep(crossing_pairs(buckets, smallest_labels(first), hot).join(stars, ["u", "v"], "left_anti"), "crossing")
-    second = keep(verified(keep(meeting(crossing, nodes), "meeting"), nodes), "links")
+    second = keep(verified(keep(meeting(crossing, prefixes), "meeting"), nodes), "links")
     final = smallest_labels(first.unionByName(second))
 
     found = named.join(final, "node", "left").select("key", F.coalesce("root", "node").alias("component"))

@@ -13,6 +13,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,26 @@ def keep(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Like ``keep``, in as many buckets of ``key`` as the session has shuffle partitions: joined by it, the table isn't moved.
+
+    Returns the table and a function that deletes it. Buckets need a name in the session's catalogue.
+    """
+    spark = df.sparkSession
+    own = f"quillon_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillon/{own}"
+    _made.append((spark, path))
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    writer.saveAsTable(own)
+
+    def delete() -> None:
+        spark.sql(f"drop table if exists {own}")
+        drop(spark, path)
+        _made[:] = [x for x in _made if x[1] != path]
+
+    return spark.table(own), delete
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

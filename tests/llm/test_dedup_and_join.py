@@ -135,7 +135,7 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def test_components_with_crowded_keys(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "KEY_BITS", 14)  # nearly every shingle looks shared
+    monkeypatch.setattr(ngram_join, "SPARE", -4)  # nearly every shingle looks shared
     monkeypatch.setattr(ngram_join, "RUN", 300)
     texts = families(9)
     got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame(spark, texts)).collect())
@@ -167,21 +167,17 @@ def test_smallest_labels_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99}
 
 
-def near(sets, u, v):
-    return 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])
-
-
 @pytest.mark.parametrize("order", ngram_join.ORDERS)
 def test_each_order_alone_loses_no_link(order):
     """Prefixes under one order: sets that link share a shingle in them, and no more than the lesser rest."""
     sets = [one for seed in range(6) for one in shingles.shingle_sets(pa.array(families(10 * order + seed))) if len(one)]
     every, counts = np.unique(np.concatenate(sets), return_counts=True)
     classes = [np.where((n := counts[np.searchsorted(every, one)]) > 1, np.minimum(255, 8 * np.log2(n)), 0).astype(np.uint8) for one in sets]
-    prefixes = [dict(zip(*(x.tolist() for x in ngram_join.prefix(one, c, order)), strict=True)) for one, c in zip(sets, classes, strict=True)]
+    prefixes = [dict(zip(*(x.tolist() for x in ngram_join.prefix(one[c > 0], c[c > 0], len(one), order)), strict=True)) for one, c in zip(sets, classes, strict=True)]
     found = 0
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if ngram_join.links(a, b) and a.tobytes() != b.tobytes():
+            if ngram_join.links(a, len(a), b, len(b)) and a.tobytes() != b.tobytes():
                 found += 1
                 both = prefixes[i].keys() & prefixes[j].keys()
                 assert both and len(np.intersect1d(a, b)) <= max(min(prefixes[i][t], prefixes[j][t]) for t in both)
@@ -205,7 +201,7 @@ def test_one_shingle_in_many_unrelated_texts(spark, monkeypatch, small):
     if small:  # everything is hot, split and dealt into blocks
         monkeypatch.setattr(scratch, "HOT_ROWS", 3)
         monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
-        monkeypatch.setattr(ngram_join, "RUN", 200)
+        monkeypatch.setattr(ngram_join, "RUN", 2000)
     r = random.Random(7)
     passages = [" ".join(f"p{k}x{i}" for i in range(r.randint(8, 12))) for k in range(10)]
     texts = []
@@ -217,18 +213,19 @@ def test_one_shingle_in_many_unrelated_texts(spark, monkeypatch, small):
 
 
 def test_keys_are_counted_over_all_runs(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "RUN", 50)
+    monkeypatch.setattr(ngram_join, "RUN", 400)
     texts = families(5)
     runs = ngram_join.runs_of(frame(spark, texts).select("doc_id", "text").repartition(3)).cache()
-    got = {r.run: np.frombuffer(b"".join(map(ngram_join.zstandard.ZstdDecompressor().decompress, r.classes)), np.uint8) for r in ngram_join.answers(runs, 5).collect()}
-    held = {r.run: np.unique(ngram_join._keys(np.frombuffer(r.sets, np.uint64))) for r in runs.collect()}
+    got = {r.run: np.frombuffer(b"".join(map(ngram_join.zstandard.ZstdDecompressor().decompress, r.classes)), np.uint8) for r in ngram_join.answers(runs, 40, 5).collect()}
+    held = {r.run: ngram_join.Sets(pa.array(r.texts, pa.string()), 40) for r in runs.collect()}
     within = Counter()
-    for r in runs.collect():
-        within.update(ngram_join._keys(np.frombuffer(r.sets, np.uint64)).tolist())
+    for own in held.values():
+        within.update((own.hashes() >> own.shift).tolist())
     assert len(held) > 10
-    for run, keys in held.items():
-        if len(keys):
-            assert got[run].tolist() == [int(min(255, 8 * np.log2(within[k]))) if within[k] > 1 else 0 for k in keys.tolist()]
+    for run, own in held.items():
+        keys = own.counted()[0].tolist()
+        if keys:
+            assert got[run].tolist() == [int(min(255, 8 * np.log2(within[k]))) if within[k] > 1 else 0 for k in keys]
     runs.unpersist()
 
 
