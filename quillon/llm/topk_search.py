@@ -1,35 +1,43 @@
 """Operator 10, exact top-k search by vector-approximation files.
 
-Every vector is quantised: ``BITS`` bits for each component name one of equal cells between the
-least and the largest component. For a query, the cells' middles give an approximate score, and
-half a cell's width times the query's absolute sum is how far it can be off: two bounds.
-
-Queries and vectors are dealt into blocks. In a pair of blocks the approximations are scanned for
-bounds, and exact vectors are read in the order of their bounds until the k-th score is certain:
-no unread vector's bound reaches it. The blocks' results, k for each query, are merged by a window.
-
-Work grows with queries times vectors, as exact search asks; memory is a pair of blocks.
+1. Every vector gets an approximation file entry: one byte for each component names one of at most
+   2 ** ``BITS`` equal cells between the least and the largest component. These codes are kept once.
+   Of equal vectors only the k + 1 rows of smallest id can be among the k best, so only those are
+   candidates.
+2. Codes and queries are dealt into blocks. In a pair of blocks the codes are scanned: the cells'
+   middles give an approximate score, and half a cell times the query's absolute sum is how far it
+   can be off, which makes a lower and an upper bound. A code is passed on if its upper bound reaches
+   the k-th largest lower bound, first of the block and then of all blocks.
+3. Exact vectors are read for what is left, by row: first the ``FIRST`` beyond k of highest upper
+   bounds, then those whose upper bound still reaches the k-th exact score. No other can be among
+   the k best.
+
+Scanning grows with queries times codes, as exact search asks; memory is a pair of blocks. Exact
+vectors are read only where the bounds leave a doubt.
 
 Defined results
   vectors null or with null or non-finite components, and null ids, take no part.
-  rows of one id are all candidates of other ids' queries, also equal ones, and all ask if the id does:
-  the result is the best k of what they find, in which a vec_id may stand several times.
-  scores must fit 64 bits. Ties go to the smaller id. Vectors of different lengths have no score with each other.
-  fewer than k other vectors: all of them. An empty table: an empty result.
+  repeated ids: each row is a candidate of every other row's search, and asks for itself if its id does.
+  Ties go to the smaller id. Vectors of different lengths have no score with each other.
+  scores must fit 64 bits. Fewer than k other vectors: all of them. An empty table: an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BITS = 6
-#: Vectors and queries in a block.
-VECTORS, QUERIES = 8192, 2048
-#: Exact vectors read for a query at first.
-FIRST = 32
+from quillon.llm.scratch import bound_batches, hot_keys, keep, salted_join
+
+BITS = 8
+#: Codes and queries in a block, and queries that are scanned at a time.
+VECTORS, QUERIES, AT_ONCE = 32768, 2048, 128
+#: Exact vectors read for a query at first, beyond k.
+FIRST = 4
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
@@ -42,71 +50,102 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, low: float, width: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query id, vector id, score) of every query among ``vectors``; all values are whole numbers."""
-    # Products and sums below 2 ** 53 are exact in float64.
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if top < 2**53 else object
-    q, v = queries.astype(kind), vectors.astype(kind)
-    cells = np.floor((vectors - low) / width)
-    middles = low + (cells + 0.5) * width
-    about = queries.astype(np.float64) @ middles.T
-    reach = np.abs(queries).sum(axis=1) * (width / 2) * (1 + 1e-9) + 1e-6 * top / 2**20
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    first = min(len(ids), FIRST + k)
-    for n, own in enumerate(query_ids):
-        bound = about[n] + reach[n]
-        bound[ids == own] = -np.inf
-        read = np.argpartition(-bound, first - 1)[:first]
-        read = read[bound[read] > -np.inf]
-        scores = v[read] @ q[n]
-        if len(read) and first < len(ids):
-            kth = np.sort(scores)[::-1][min(k, len(read)) - 1] if len(read) >= k else -np.inf
-            more = bound >= kth
-            more[read] = False
-            more = np.flatnonzero(more & (bound > -np.inf))
-            more = more[np.argsort(-bound[more], kind="stable")]
-            for start in range(0, len(more), 256):  # in the order of bounds, until the k-th score is certain
-                part = more[start : start + 256]
-                if bound[part[0]] < kth:
-                    break
-                read, scores = np.concatenate([read, part]), np.concatenate([scores, v[part] @ q[n]])
-                best = np.lexsort((ids[read], -scores))[:k]
-                if len(read) > 4 * first:
-                    read, scores = read[best], scores[best]
-                kth = np.sort(scores)[::-1][k - 1] if len(scores) >= k else -np.inf
-        best = np.lexsort((ids[read], -scores))[:k]
-        out.append((np.full(len(best), own), ids[read][best], scores[best].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.array([], np.int64),) * 3
+def cells(low: int, high: int) -> int:
+    """Whole numbers in a cell: at most 2 ** BITS cells hold all from ``low`` to ``high``."""
+    return -(-(high - low + 1) // (1 << BITS))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """The ``k`` best other vectors of every query by integer inner product: query_id, rank, vec_id, score."""
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), scaled(F.col(vector_col), scale).alias("v"))
-    # Of equal rows no more than k can be among the k best, as candidates or by what they ask.
-    rows = rows.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"), F.least(F.count_if("asks"), F.lit(k)).alias("q"))
-    size = rows.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
-    low = float(size["low"] or 0)
-    width = max(1.0, (float(size["high"] or 0) + 1 - low) / (1 << BITS))
-    across, down = -(-max(1, size["n"] or 0) // VECTORS), -(-max(1, size["q"] or 0) // QUERIES)
-    whole = F.sequence(F.lit(0), F.lit(across - 1))
-    part = F.sequence(F.lit(0), F.lit(down - 1))
-    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
-    copies = lambda n: rows.withColumn("copy", F.explode(F.expr(f"sequence(1, {n})")))
-    held = copies("n").select("id", "v", F.size("v").alias("d"), F.lit(False).alias("asks"), deal(across).cast("int").alias("x"), F.explode(part).alias("y"))
-    asked = copies("if(q > 0, q, null)").select("id", "v", F.size("v").alias("d"), F.lit(True).alias("asks"), F.explode(whole).alias("x"), deal(down).cast("int").alias("y"))
+def scan(queries: np.ndarray, query_rows: np.ndarray, codes: np.ndarray, rows: np.ndarray, low: int, width: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query row, row, lower bound, upper bound) of the codes whose upper bound reaches the k-th largest lower bound, in parts.
+
+    A query's own row takes no part. Bounds are wide enough for the rounding of floating numbers.
+    """
+    middles = low + codes.astype(np.float64) * width + (width - 1) / 2
+    weight = np.abs(queries).sum(axis=1)
+    reach = weight * ((width - 1) / 2) + weight * np.abs(middles).max(initial=0) * 1e-12 * max(1, queries.shape[1])
+    for at in range(0, len(queries), AT_ONCE):
+        about = queries[at : at + AT_ONCE] @ middles.T
+        about[query_rows[at : at + AT_ONCE, None] == rows[None, :]] = -np.inf
+        own_reach = reach[at : at + AT_ONCE, None]
+        least = np.partition(about, -k, axis=1)[:, -k, None] - own_reach if about.shape[1] > k else np.full_like(own_reach, -np.inf)
+        n, m = np.nonzero((about + own_reach >= least) & (about > -np.inf))
+        yield query_rows[at + n], rows[m], about[n, m] - reach[at + n], about[n, m] + reach[at + n]
+
+
+def coded(rows: DataFrame, low: int, width: int) -> DataFrame:
+    """row, d, code: a byte for each component."""
+    wide = width > 1 << 54  # beyond, differences may not fit 64 bits
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, sizes = [], []
+            for v in batch.column(1):
+                own = v.values.to_numpy()
+                codes.append((((own.astype(object) if wide else own) - low) // width).astype(np.uint8).tobytes())
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary())], ["row", "d", "code"])
+
+    return rows.select("row", "v").mapInArrow(build, "row long, d int, code binary")
+
+
+def bounds(codes: DataFrame, asked: DataFrame, low: int, width: int, k: int) -> DataFrame:
+    """q, row, lower, upper: what the scans of all pairs of blocks pass on."""
+    across, down = -(-codes.count() // VECTORS), -(-asked.count() // QUERIES)
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    held = codes.select("d", "row", "code", none("array<long>").alias("v"), deal(across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
+    queries = asked.select(F.size("v").alias("d"), "row", none("binary").alias("code"), "v", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), deal(down).alias("y"))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, asks = table["id"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
-        d = table["d"][0].as_py()
-        all_v = table["v"].combine_chunks().flatten().to_numpy().astype(np.float64 if d else np.int64).reshape(len(ids), d)
-        got = search_block(ids[asks], all_v[asks], ids[~asks], all_v[~asks], low, width, k) if (~asks).any() else (np.array([], np.int64),) * 3
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.int64())})
+        d, rows = table["d"][0].as_py(), table["row"].to_numpy()
+        is_code = table["code"].is_valid().to_numpy()
+        codes_ = np.frombuffer(b"".join(table["code"].filter(pa.array(is_code)).to_pylist()), np.uint8).reshape(-1, d) if d else np.zeros((is_code.sum(), 0), np.uint8)
+        queries_ = table["v"].filter(pa.array(~is_code)).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, d) if d else np.zeros(((~is_code).sum(), 0))
+        got = list(zip(*scan(queries_, rows[~is_code], codes_, rows[is_code], low, width, k), strict=True)) if is_code.any() else []
+        columns = [np.concatenate(x) for x in got] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
+        return pa.table(dict(zip(("q", "row", "lower", "upper"), columns, strict=True)))
+
+    return held.unionByName(queries).groupBy("d", "x", "y").applyInArrow(search, "q long, row long, lower double, upper double")
+
+
+def exact(pairs: DataFrame, candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """``pairs`` (q, row), a kept table, with vec_id and score: the only place where candidates' exact vectors are read."""
+    read = salted_join(pairs, candidates.select("row", F.col("id").alias("vec_id"), "v"), "row", "q", hot_keys(pairs, "row", "hot"))
+    both = read.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("asking")), "q")
+    score = F.aggregate(F.zip_with("v", "asking", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
+    return both.select("q", "query_id", "vec_id", score.alias("score"))
 
-    found = held.unionByName(asked).groupBy("d", "x", "y").applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+def kth(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
+    """q and its k-th largest value, or null if it has fewer."""
+    order = Window.partitionBy("q").orderBy(F.desc(value))
+    best = rows.select("q", value).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k)
+    return best.groupBy("q").agg(F.min(F.when(F.col("_i") == k, F.col(value))).alias(name))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
+    """The ``k`` best other vectors of every query by integer inner product: query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    usable_rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
+    rows = keep(usable_rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), scaled(F.col(vector_col), scale).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    equal = Window.partitionBy("v").orderBy("id", "row")
+    candidates = keep(rows.withColumn("_i", F.row_number().over(equal)).where(F.col("_i") <= k + 1).select("row", "id", "v"), "candidates")
+    size = candidates.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
+    low, high = size["low"] or 0, size["high"] or 0
+    width = cells(low, high)
+    asked = rows.where("asks").select("row", "id", "v")
+    found = keep(bounds(keep(coded(candidates, low, width), "codes"), asked, low, width, k), "bounds")
+    # What reaches the k-th largest lower bound of all, in the order of upper bounds.
+    order = Window.partitionBy("q").orderBy(F.desc("upper"), "row")
+    left = found.join(kth(found, "lower", k, "_least"), "q").where(F.col("_least").isNull() | (F.col("upper") >= F.col("_least")))
+    doubtful = keep(left.select("q", "row", "upper").withColumn("_i", F.row_number().over(order)), "doubtful")
+    first = keep(exact(keep(doubtful.where(F.col("_i") <= k + FIRST).select("q", "row"), "first"), candidates, asked), "scores")
+    more = doubtful.where(F.col("_i") > k + FIRST).join(kth(first, "score", k, "_kth"), "q").where(F.col("upper") >= F.col("_kth"))
+    scores = first.unionByName(exact(keep(more.select("q", "row"), "more"), candidates, asked))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +155,11 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.k <> c.k AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -250,7 +250,7 @@ def test_quality_without_labels(spark):
 
 
 def brute_topk(rows, every, k):
-    v = {i: np.floor(256 * np.array(x, dtype=np.float64)).astype(object) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
+    v = {i: np.floor(256 * np.array(x, dtype=np.float64)).astype(np.int64).astype(object) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
     out = []
     for q in (i for i in v if i % every == 0):
         scores = sorted((-int((v[q] * v[i]).sum()), i) for i in v if i != q and len(v[i]) == len(v[q]))
@@ -274,7 +274,7 @@ def test_search_equals_brute_force(spark, monkeypatch, blocks, scale):
 
 @pytest.mark.parametrize("blocks", [8192, 20])
 def test_search_with_repeated_ids(spark, monkeypatch, tmp_path, blocks):
-    """Every row is a candidate, as in the operator's SQL: different vectors of one id, equal rows, and ids that ask."""
+    """Every row asks and is a candidate for itself, as in the operator's SQL: different vectors of one id, and equal rows."""
     monkeypatch.setattr(topk_search, "VECTORS", blocks)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
     r = np.random.default_rng(8)
@@ -283,4 +283,37 @@ def test_search_with_repeated_ids(spark, monkeypatch, tmp_path, blocks):
     got = sorted(tuple(x) for x in topk_search.op10_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
-    assert got == sorted(con.sql(topk_search.OP10_SQL).fetchall()) and len(got) == 10
+    assert got == sorted(con.sql(topk_search.OP10_SQL).fetchall()) and len(got) == 5 * sum(i % 50 == 0 for i, _ in rows)
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """The bounds leave few rows in doubt, also where a third of all vectors are equal, and none that counts is missed."""
+    reads = []
+    exact = topk_search.exact
+    monkeypatch.setattr(topk_search, "exact", lambda pairs, *more: reads.append(pairs.count()) or exact(pairs, *more))
+    monkeypatch.setattr(topk_search, "VECTORS", 500)
+    r = np.random.default_rng(9)
+    hot = r.normal(size=32).tolist()
+    rows = [(i, hot if i % 3 == 0 else r.normal(size=32).tolist()) for i in range(3000)]
+    got = sorted(tuple(x) for x in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_topk(rows, 50, 5)
+    assert len(reads) == 2 and sum(reads) < 60 * 20  # of 60 * 3000
+
+
+def test_bounds_hold(monkeypatch):
+    """The true score lies between a code's bounds, and a code that isn't passed on can't be among the k best."""
+    r = np.random.default_rng(10)
+    for high in (3, 255, 256, 1000, 10**9):
+        vectors, queries = r.integers(-high, high + 1, (200, 5)), r.integers(-high, high + 1, (7, 5))
+        low, width = int(vectors.min()), topk_search.cells(int(vectors.min()), int(vectors.max()))
+        codes = ((vectors - low) // width).astype(np.uint8)
+        assert ((vectors - low) // width).max() < 256
+        found = {}
+        for q, row, lower, upper in topk_search.scan(queries.astype(float), -1 - np.arange(7), codes, np.arange(200), low, width, 5):
+            for a, b, c, d in zip(q.tolist(), row.tolist(), lower.tolist(), upper.tolist(), strict=True):
+                found[a, b] = (c, d)
+        for n, q in enumerate(queries):
+            scores = [int((q.astype(object) * v).sum()) for v in vectors]
+            assert all(lo <= scores[row] <= up for (a, row), (lo, up) in found.items() if a == -1 - n)
+            best = sorted(scores)[-5]
+            assert all((-1 - n, row) in found for row, s in enumerate(scores) if s >= best)
