@@ -1,8 +1,8 @@
 """Operator 2, main text of web pages by site template removal.
 
 1. Every page is parsed once, into the blocks of its text and the element subtrees that may be a
-   template, each with a hash of its tags and texts (without attributes). That is kept; the pages
-   themselves are not read again, and no HTML is shuffled.
+   template, each with a hash of its tags and texts (without attributes). That is kept, bucketed by
+   batches of pages; the pages themselves are not read again, and neither HTML nor text is shuffled.
 2. Spark counts, for each host and hash, on how many pages with different main content the subtree
    stands. Copies of a page, also under other headings, count once, so that they don't look like a
    template.
@@ -34,13 +34,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.html_tree import BLOCK, RAW, Page
-from quillon.llm.scratch import bound_batches, keep
+from quillon.llm.scratch import bound_batches, keep_bucketed
 
 #: A template subtree stands on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -229,7 +230,7 @@ class Parts:
 
 #: Columns of the kept table beside the caller's: what ``Parts`` holds, and what the counts need.
 _PARTS = "texts array<string>, inner array<int>, heading array<boolean>, hashes array<long>, parent array<int>, holds array<boolean>, size array<long>"
-_KEPT = f"key long, host long, main long, {_PARTS}"
+_KEPT = f"part long, key long, host long, main long, {_PARTS}"
 
 
 def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -246,25 +247,25 @@ def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_c
     n = len(carried)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for number, batch in enumerate(batches, TaskContext.get().partitionId() << 33):
             urls, htmls = batch.column(n), batch.column(n + 1)
-            columns: list[list] = [[] for _ in added.fields[1:]]
+            columns: list[list] = [[] for _ in added.fields[2:]]
             for url, html in zip(urls, htmls, strict=True):
                 parts = Marked(html.as_py() or "").parts()
                 values = (xxhash.xxh3_64_intdigest(page_host(url.as_py())) >> 1, xxhash.xxh3_64_intdigest(parts.main()) >> 1, *(getattr(parts, c.split()[0]) for c in _PARTS.split(", ")))
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.column(n + 2), *arrays], schema.names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([number] * batch.num_rows, pa.int64()), batch.column(n + 2), *arrays], schema.names)
 
     # Kept, as both the counts and the texts read it. Hash 0 stands for the page itself.
-    held = keep(source.mapInArrow(parsed, schema), "parts")
-    subtrees = held.select("key", "host", "main", F.explode(F.array_distinct("hashes")).alias("hash"))
+    held, _ = keep_bucketed(source.mapInArrow(parsed, schema), "parts", "part")
+    subtrees = held.select("part", "key", "host", "main", F.explode(F.array_distinct("hashes")).alias("hash"))
     seen = subtrees.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= min_pages)
     whole = often.where("hash = 0").select("host", F.col("n").alias("whole"))
     template = often.where("hash <> 0").join(whole, "host").where(F.col("n") >= min_share * F.col("whole")).select("host", "hash")
-    own = subtrees.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
+    own = subtrees.join(template, ["host", "hash"]).groupBy("part", "key").agg(F.collect_set("hash").alias("template"))
 
     result = T.StructType([*(held.schema[c] for c in carried), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -277,7 +278,7 @@ def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_c
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], result.names)
 
     names = [c.split()[0] for c in _PARTS.split(", ")]
-    joined = held.join(own, "key", "left").select(*carried, *names, "template").mapInArrow(texts, result)
+    joined = held.join(own.hint("shuffle_hash"), ["part", "key"], "left").select(*carried, *names, "template").mapInArrow(texts, result)
     return joined.select(*(F.col(x).alias(c) for x, c in zip(carried, own_names, strict=True)), "text", "n_chars")
 
 

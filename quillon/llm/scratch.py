@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +48,15 @@ def keep(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
 def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
     """Like ``keep``, in as many buckets of ``key`` as the session has shuffle partitions: joined by it, the table isn't moved.
 
-    Returns the table and a function that deletes it. Buckets need a name in the session's catalogue.
+    Returns the table and a function that deletes it; what isn't deleted goes with the session.
+    Buckets need a name in the session's catalogue. Where ``key`` numbers batches of a task, the table
+    has a file for each batch at most.
     """
     spark = df.sparkSession
     own = f"quillon_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/quillon/{own}"
     _made.append((spark, path))
+    _tables.append((spark, own))
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     writer.saveAsTable(own)
 
@@ -60,6 +64,7 @@ def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callab
         spark.sql(f"drop table if exists {own}")
         drop(spark, path)
         _made[:] = [x for x in _made if x[1] != path]
+        _tables[:] = [x for x in _tables if x[1] != own]
 
     return spark.table(own), delete
 
@@ -132,8 +137,9 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataF
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for forget, names in ((lambda spark, name: spark.sql(f"drop table if exists {name}"), _tables), (drop, _made)):
         try:
-            drop(spark, path)
+            for spark, name in names:
+                forget(spark, name)
         except Exception:  # noqa: BLE001  the session is gone, and its folder with it
             return

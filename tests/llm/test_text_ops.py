@@ -272,6 +272,25 @@ def test_search_equals_brute_force(spark, monkeypatch, blocks, scale):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5])
+def test_cluster_of_nearly_equal_vectors(spark, monkeypatch, scale):
+    """Bounds can't tell a cluster's vectors apart: its blocks are read as a whole, and single pairs stay few."""
+    passed = []
+    kept = topk_search.keep
+    monkeypatch.setattr(topk_search, "keep", lambda df, name: passed.append((name, kept(df, name))) or passed[-1][1])
+    monkeypatch.setattr(topk_search, "VECTORS", 100)
+    monkeypatch.setattr(topk_search, "QUERIES", 4)
+    monkeypatch.setattr(topk_search, "MANY", 8)
+    r = np.random.default_rng(11)
+    middle = r.normal(size=8) * 1000
+    rows = [(i, (middle + r.normal(size=8) * scale / 100).tolist() if i % 3 else (r.normal(size=8) * 1000).tolist()) for i in range(600)]
+    got = sorted(tuple(x) for x in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect())
+    assert got == brute_topk(rows, 20, 5)
+    tables = dict(passed)
+    assert (tables["blocks"].count() > 0) == (scale == 1.0)  # with less, all are equal, and with more they can be told apart
+    assert tables["bounds"].groupBy("q").count().where("count > 8 * 6 + 6").count() == 0
+
+
 @pytest.mark.parametrize("blocks", [8192, 20])
 def test_search_with_repeated_ids(spark, monkeypatch, tmp_path, blocks):
     """Every row asks and is a candidate for itself, as in the operator's SQL: different vectors of one id, and equal rows."""
@@ -300,7 +319,7 @@ def test_few_exact_vectors_are_read(spark, monkeypatch):
     assert len(reads) == 2 and sum(reads) < 60 * 20  # of 60 * 3000
 
 
-def test_bounds_hold(monkeypatch):
+def test_bounds_hold():
     """The true score lies between a code's bounds, and a code that isn't passed on can't be among the k best."""
     r = np.random.default_rng(10)
     for high in (3, 255, 256, 1000, 10**9):
@@ -309,11 +328,21 @@ def test_bounds_hold(monkeypatch):
         codes = ((vectors - low) // width).astype(np.uint8)
         assert ((vectors - low) // width).max() < 256
         found = {}
-        for q, row, lower, upper in topk_search.scan(queries.astype(float), -1 - np.arange(7), codes, np.arange(200), low, width, 5):
+        for q, row, lower, upper in topk_search.scan(queries.astype(float), -1 - np.arange(7), codes, np.arange(200), np.arange(200), low, width, 5, 200):
             for a, b, c, d in zip(q.tolist(), row.tolist(), lower.tolist(), upper.tolist(), strict=True):
                 found[a, b] = (c, d)
         for n, q in enumerate(queries):
             scores = [int((q.astype(object) * v).sum()) for v in vectors]
             assert all(lo <= scores[row] <= up for (a, row), (lo, up) in found.items() if a == -1 - n)
             best = sorted(scores)[-5]
-            assert all((-1 - n, row) in found for row, s in enumerate(scores) if s >= best)
+            first = sorted(range(200), key=lambda row: (-scores[row], row))[:5]
+            assert all((-1 - n, row) in found for row in first) and (width == 1 or all((-1 - n, row) in found for row, s in enumerate(scores) if s >= best))
+
+
+def test_query_of_zeros(spark):
+    """All scores are equal: the smallest ids, and no vector is left in doubt."""
+    found = list(topk_search.scan(np.zeros((1, 3)), np.array([7]), np.ones((100, 3), np.uint8), np.arange(100), np.arange(100)[::-1], -5, 4, 5))
+    assert sorted(found[0][1].tolist()) == [95, 96, 97, 98, 99]
+    rows = [(i, [0.0, 0.0] if i % 10 == 0 else [i / 50, -1.0]) for i in range(100)]
+    got = sorted(tuple(x) for x in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect())
+    assert got == brute_topk(rows, 10, 5)
