@@ -228,57 +228,56 @@ class Parts:
         return tops
 
 
-#: Columns of the kept table beside the caller's: what ``Parts`` holds, and what the counts need.
+#: What ``Parts`` holds, as columns.
 _PARTS = "texts array<string>, inner array<int>, heading array<boolean>, hashes array<long>, parent array<int>, holds array<boolean>, size array<long>"
-_KEPT = f"part long, key long, host long, main long, {_PARTS}"
+_NAMES = [c.split()[0] for c in _PARTS.split(", ")]
 
 
 def extract(pages: DataFrame, keep_cols: list[str], url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Main text of every page: the columns ``keep_cols``, text, n_chars."""
-    spark = pages.sparkSession
-    bound_batches(spark)
+    bound_batches(pages.sparkSession)
     own_names = [c for c in keep_cols if c.lower() not in ("text", "n_chars")]
-    carried = [f"_{k}" for k in range(len(own_names))]  # names that can't clash with those below
+    carried = [f"_{k}" for k in range(len(own_names))]  # names that can't clash with those of Parts
     source = pages.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(own_names, carried, strict=True)), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    source = source.withColumn("key", F.xxhash64("url", "html"))
-    added = T.StructType.fromDDL(_KEPT)
-    schema = T.StructType([*(source.schema[c] for c in carried), *added.fields])
+    added = T.StructType.fromDDL(_PARTS)
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    of_page = T.StructType([*(source.schema[c] for c in carried), *added.fields])
+    schema = T.StructType.fromDDL("part long, host array<long>, main array<long>, hashes array<array<long>>").add("pages", T.ArrayType(of_page))
     n = len(carried)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches, TaskContext.get().partitionId() << 33):
-            urls, htmls = batch.column(n), batch.column(n + 1)
-            columns: list[list] = [[] for _ in added.fields[2:]]
-            for url, html in zip(urls, htmls, strict=True):
-                parts = Marked(html.as_py() or "").parts()
-                values = (xxhash.xxh3_64_intdigest(page_host(url.as_py())) >> 1, xxhash.xxh3_64_intdigest(parts.main()) >> 1, *(getattr(parts, c.split()[0]) for c in _PARTS.split(", ")))
-                for column, value in zip(columns, values, strict=True):
-                    column.append(value)
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([number] * batch.num_rows, pa.int64()), batch.column(n + 2), *arrays], schema.names)
-
-    # Kept, as both the counts and the texts read it. Hash 0 stands for the page itself.
+            found = [Marked(html.as_py() or "").parts() for html in batch.column(n + 1)]
+            hosts = [xxhash.xxh3_64_intdigest(page_host(url)) >> 1 for url in batch.column(n).to_pylist()]
+            mains = [xxhash.xxh3_64_intdigest(parts.main()) >> 1 for parts in found]
+            columns = [pa.array([getattr(parts, c) for parts in found], kind) for c, kind in zip(_NAMES, kinds, strict=True)]
+            rows = pa.StructArray.from_arrays([*batch.columns[:n], *columns], of_page.names)
+            narrow = [pa.array([x], pa.list_(kind)) for x, kind in ((hosts, pa.int64()), (mains, pa.int64()), ([list(dict.fromkeys(parts.hashes)) for parts in found], kinds[3]))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *narrow, pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], schema.names)
+
+    # A row for each batch of pages. Kept, as both the counts and the texts read it. Hash 0 stands for a page itself.
     held, _ = keep_bucketed(source.mapInArrow(parsed, schema), "parts", "part")
-    subtrees = held.select("part", "key", "host", "main", F.explode(F.array_distinct("hashes")).alias("hash"))
+    subtrees = held.select("part", F.posexplode(F.arrays_zip("host", "main", "hashes")).alias("place", "page")).select("part", "place", "page.host", "page.main", F.explode("page.hashes").alias("hash"))
     seen = subtrees.groupBy("host", "hash", "main").agg(F.lit(1)).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("n") >= min_pages)
     whole = often.where("hash = 0").select("host", F.col("n").alias("whole"))
     template = often.where("hash <> 0").join(whole, "host").where(F.col("n") >= min_share * F.col("whole")).select("host", "hash")
-    own = subtrees.join(template, ["host", "hash"]).groupBy("part", "key").agg(F.collect_set("hash").alias("template"))
+    own = subtrees.join(template, ["host", "hash"]).groupBy("part").agg(F.collect_list(F.struct("place", "hash")).alias("template"))
 
-    result = T.StructType([*(held.schema[c] for c in carried), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    result = T.StructType([*(of_page[c] for c in carried), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in zip(*batch.columns[n:], strict=True):
-                *parts, template = (x.as_py() for x in row)
-                found.append(Parts(*parts).text(set(template or ())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], result.names)
-
-    names = [c.split()[0] for c in _PARTS.split(", ")]
-    joined = held.join(own.hint("shuffle_hash"), ["part", "key"], "left").select(*carried, *names, "template").mapInArrow(texts, result)
+            for pages_, templates in zip(*batch.columns, strict=True):
+                doomed: dict[int, set[int]] = {}
+                for x in templates.as_py() or []:
+                    doomed.setdefault(x["place"], set()).add(x["hash"])
+                fields = pages_.values.flatten()
+                found = [Parts(*(x.as_py() for x in row)).text(doomed.get(place)) for place, row in enumerate(zip(*fields[n:], strict=True))]
+                yield pa.RecordBatch.from_arrays([*fields[:n], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], result.names)
+
+    # The templates are hashed, not sorted with the pages: so no page is moved or sorted.
+    joined = held.join(own.hint("shuffle_hash"), "part", "left").select("pages", "template").mapInArrow(texts, result)
     return joined.select(*(F.col(x).alias(c) for x, c in zip(carried, own_names, strict=True)), "text", "n_chars")
 
 
