@@ -8,19 +8,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions.text import normalize_space
 from quillon.functions.vectors import DECAY, DIMENSION, dot, norm
 from quillon.operators.lexical import rank
+from quillon.operators.local_topk import BATCH, ROWS, Best
+from quillon.sources.tables import LANGUAGES
 
 PASSAGE, QUERY = "passage:", "query:"
 #: Words whose hashes a worker keeps before it forgets them.
 KNOWN_WORDS = 1_000_000
-#: Queries that are broadcast at once.
-BATCH = 4096
 
 
 def _hashed(word: str) -> tuple[int, float]:
@@ -28,6 +29,32 @@ def _hashed(word: str) -> tuple[int, float]:
     return h % DIMENSION, (h >> 16) % 1000 / 500.0 - 1.0
 
 
+class Projector:
+    """Vectors of texts, with the hashes of words kept."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.known = prefix, {}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """All buckets' sums, and the buckets that words fall into. Sums that are all zero become the first unit vector."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        words = [self.prefix, *text.split(" ")]
+        for w in words:
+            if w not in self.known:
+                self.known[w] = _hashed(w)
+        pairs = [self.known[w] for w in words]
+        buckets = [p[0] for p in pairs]
+        sums = np.bincount(buckets, np.array([p[1] for p in pairs]) / (1.0 + DECAY * np.arange(len(pairs))), DIMENSION)
+        if not sums.any():
+            sums[0], buckets = 1.0, [0]
+        return sums, np.unique(buckets)
+
+
+def projected_text(text_col: str) -> Column:
+    return F.lower(normalize_space(text_col))
+
+
 def projection(rows: DataFrame, keys: list[str], text_col: str, prefix: str) -> DataFrame:
     """keys, idx, v, norm: each text's sparse vector, not yet normalised, with its length; blank texts have none.
 
@@ -35,28 +62,19 @@ def projection(rows: DataFrame, keys: list[str], text_col: str, prefix: str) ->
     hashes of words kept in each worker. ``functions.vectors`` has the same as columns, which would
     hash every word anew and shuffle every bucket.
     """
-    text = F.lower(normalize_space(text_col))
-    source = rows.select(*keys, text.alias("_t")).where("_t <> ''")
+    source = rows.select(*keys, projected_text(text_col).alias("_t")).where("_t <> ''")
     schema = T.StructType([*(source.schema[k] for k in keys), T.StructField("idx", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("norm", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
+        projector = Projector(prefix)
         for batch in batches:
             at, idx, values, norms = [], [], [], []
             for k, t in enumerate(batch.column(len(keys)).to_pylist()):
-                words = [prefix, *t.split(" ")]
-                for w in words:
-                    if w not in known:
-                        known[w] = _hashed(w)
-                pairs = [known[w] for w in words]
-                sums = np.bincount([p[0] for p in pairs], np.array([p[1] for p in pairs]) / (1.0 + DECAY * np.arange(len(pairs))), DIMENSION)
-                used = np.unique([p[0] for p in pairs])
+                sums, used = projector.vector(t)
                 at.append(np.full(len(used), k))
                 idx.append(used)
                 values.append(sums[used])
                 norms.append(np.full(len(used), np.sqrt((sums * sums).sum())))
-            if len(known) > KNOWN_WORDS:
-                known.clear()
             if at:
                 columns = [pa.array(np.concatenate(x)) for x in (values, norms)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(np.concatenate(at))) for c in range(len(keys))), pa.array(np.concatenate(idx).astype(np.int32)), *columns], schema.names)
@@ -65,17 +83,56 @@ def projection(rows: DataFrame, keys: list[str], text_col: str, prefix: str) ->
 
 
 def sparse_cosine(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """query_key, keys, score of every query and document that share a bucket."""
+    """query_key, keys, score of every query and document that share a bucket, joined by bucket."""
     q, d = projection(queries, ["query_key"], "query", QUERY), projection(docs, keys, text_col, PASSAGE)
-    asked = q.select("query_key", "idx", (F.col("v") / F.nullif("norm", F.lit(0.0))).alias("a"))
-    unit = d.select(*keys, "idx", (F.col("v") / F.nullif("norm", F.lit(0.0))).alias("b"))
-    # A batch of queries has a few buckets each; up to ``BATCH`` queries they are broadcast, more are joined by shuffling.
-    side = F.broadcast(asked) if queries.count() <= BATCH else asked
-    return unit.join(side, "idx").groupBy("query_key", *keys).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
+    asked = q.select("query_key", "idx", (F.col("v") / F.col("norm")).alias("a"))
+    unit = d.select(*keys, "idx", (F.col("v") / F.col("norm")).alias("b"))
+    return unit.join(asked, "idx").groupBy("query_key", *keys).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, keys: list[str], k: int = 5, text_col: str = "text") -> DataFrame:
-    return rank(sparse_cosine(queries, docs, keys, text_col), k, keys, positive=False)
+    """query_key, keys, score, rank: the ``k`` documents of every query with the most similar projection.
+
+    Up to ``BATCH`` queries are sent to all tasks as a matrix; a task makes the vectors of its texts,
+    multiplies, and passes on its best alone. More queries are joined by bucket.
+    """
+    if queries.count() > BATCH:
+        return rank(sparse_cosine(queries, docs, keys, text_col), k, keys, positive=False)
+    projector = Projector(QUERY)
+    own = [(r["query_key"], *projector.vector(r["_t"])) for r in queries.select("query_key", projected_text("query").alias("_t")).where("_t <> ''").collect()]
+    matrix, used = np.zeros((DIMENSION, len(own))), np.zeros((DIMENSION, len(own)), np.float32)
+    for i, (_, sums, buckets) in enumerate(own):
+        matrix[:, i], used[buckets, i] = sums / np.sqrt((sums * sums).sum()), 1
+    query_type = queries.schema["query_key"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast((matrix, used, pa.array([q for q, _, _ in own], to_arrow_type(query_type))))
+    source = docs.select(*keys, projected_text(text_col).alias("_t")).where("_t <> ''")
+    key_fields = [source.schema[c] for c in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix_, used_, query_keys = shared.value
+        best, passages = Best(len(query_keys), k), Projector(PASSAGE)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows, marks = np.zeros((part.num_rows, DIMENSION)), np.zeros((part.num_rows, DIMENSION), np.float32)
+                for i, t in enumerate(part.column(len(keys)).to_pylist()):
+                    sums, buckets = passages.vector(t)
+                    rows[i], marks[i, buckets] = sums / np.sqrt((sums * sums).sum()), 1
+                best.add(list(zip(*(part.column(c).to_pylist() for c in range(len(keys))), strict=True)), rows @ matrix_, marks @ used_ > 0)
+        yield from best.batches(query_keys, [to_arrow_type(f.dataType) for f in key_fields], ["query_key", *keys, "score"])
+
+    found = source.mapInArrow(run, T.StructType([T.StructField("query_key", query_type), *key_fields, T.StructField("score", T.DoubleType())]))
+    return rank(found, k, keys, positive=False)
+
+
+def of_language(points: DataFrame, target_lang: str | None, language_col: str = "language", target_col: str = "target_lang") -> DataFrame:
+    """Points of one target language alone, by both of its codes; all points without one. It is pushed down into the scan."""
+    if not target_lang:
+        return points
+    known = {target: name for name, (target, _) in LANGUAGES.items()}
+    if target_lang.strip() not in known:
+        raise ValueError(f"unknown target language: {target_lang}")
+    return points.where((F.col(language_col) == known[target_lang.strip()]) & (F.col(target_col) == target_lang.strip()))
 
 
 def cosine_topk(queries: DataFrame, points: DataFrame, keys: list[str], vector: str = "embedding", k: int = 5, threshold: float | None = None) -> DataFrame:

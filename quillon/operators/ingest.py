@@ -60,3 +60,24 @@ def bilingual_payload(chunks: DataFrame) -> DataFrame:
     bad = F.size("_missing") > 0
     first = F.when(bad, F.raise_error(F.concat(F.lit("missing payload fields: "), F.array_join("_missing", ", ")))).otherwise(F.lower(F.trim("language")))
     return checked.select(first.alias("language"), target_language(F.col("language")).alias("target_lang"), *required, "text")
+
+
+def corpus_of(payloads: DataFrame, target_lang: str, text_col: str = "text") -> DataFrame:
+    """The texts of one target language that aren't blank, as the lexical corpus reads them from stored payloads."""
+    if not target_lang.strip():
+        raise ValueError("target_lang must not be blank")
+    trimmed = F.trim(F.regexp_replace(text_col, r"(?U)^\s+|\s+$", ""))
+    return payloads.where(F.col("target_lang") == target_lang).withColumn(text_col, trimmed).where(F.col(text_col) != "")
+
+
+def payload(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """point_id (if there is one) and payload: the text and all metadata of a chunk as one JSON object without nulls' loss."""
+    rest = [c for c in chunks.columns if c != "point_id"]
+    ids = ["point_id"] if "point_id" in chunks.columns else []
+    return chunks.select(*ids, F.to_json(F.struct(text_col, *(c for c in rest if c != text_col)), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def from_payload(points: DataFrame, schema: str) -> DataFrame:
+    """The inverse of ``payload``: the columns of ``schema`` (a DDL string) from each payload."""
+    ids = [c for c in points.columns if c != "payload"]
+    return points.select(*ids, F.from_json("payload", schema).alias("_p")).select(*ids, "_p.*")

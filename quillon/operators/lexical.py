@@ -1,18 +1,32 @@
 """BM25 over whole batches of queries.
 
-Documents are tokenized once, narrowly. Only tokens that some query asks for are exploded into the
-shuffle, where they are counted map-side first; document frequencies come from those counts.
+Documents are tokenized once. For up to ``BATCH`` queries, whose terms are then sent to all tasks,
+each document becomes one narrow kept row: its length, and which of the terms it has how often. From
+these rows come the statistics, and then the scores, of which a task passes on its best alone, so
+texts are read once and neither postings nor scores are shuffled. For more queries, tokens that some
+query asks for are exploded into the shuffle, where they are counted map-side first.
 ``group`` names columns (a language, say) within which all statistics are kept apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions.text import tokenize
+from quillon.operators.local_topk import BATCH, ROWS, Best
+from quillon.sources.scratch import keep
 
 K1, B = 1.5, 0.75
+#: Pairs of a query and a term that are sent to all tasks, at most.
+ASKED = 500_000
 
 
 def check_parameters(k1: float, b: float) -> None:
@@ -50,13 +64,19 @@ def term_score(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def _matches(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Query terms, and the postings of those terms alone."""
+def _matches(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str, group: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query terms; the postings of those terms alone; and n, avgdl of all documents. Documents are read once."""
     asked = query_terms(queries, group=group)
-    wanted = asked.select(*group, "term").distinct()
-    tokens = docs.select(*group, *keys, tokenize(text_col).alias("_t"))
-    rows = tokens.select(*group, *keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return asked, rows.join(wanted, [*group, "term"], "left_semi").groupBy(*group, *keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    by = [*group, *keys]
+    # The empty term, which no token is, stands for the document itself.
+    marks = docs.select(*group).distinct() if group else docs.sparkSession.range(1)
+    wanted = asked.select(*group, "term").distinct().unionByName(marks.select(*group, F.lit("").alias("term")))
+    tokens = docs.select(*by, tokenize(text_col).alias("_t"))
+    rows = tokens.select(*by, F.size("_t").alias("dl"), F.explode(F.concat("_t", F.array(F.lit("")))).alias("term"))
+    counted = keep(rows.join(wanted, [*group, "term"], "left_semi").groupBy(*by, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    whole = counted.where("term = ''")
+    stats = whole.groupBy(*group).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return asked, counted.where("term <> ''"), stats
 
 
 def bm25(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "text", group: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -67,9 +87,8 @@ def bm25(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "
     """
     check_parameters(k1, b)
     group = group or []
-    asked, hits = _matches(queries, docs, keys, text_col, group)
+    asked, hits, stats = _matches(queries, docs, keys, text_col, group)
     df = document_frequencies(hits, group)
-    stats = corpus_stats(docs, text_col, group)
     scored = hits.join(df, [*group, "term"])
     # One row for each group: small whatever the corpus.
     scored = scored.join(stats, group) if group else scored.crossJoin(F.broadcast(stats))
@@ -86,8 +105,67 @@ def rank(scores: DataFrame, k: int, keys: list[str], score: str = "score", digit
     return top.where(F.col(score) > 0) if positive else top
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, keys: list[str], k: int = 5, **options) -> DataFrame:
-    return rank(bm25(queries, docs, keys, **options), k, keys)
+def bm25_topk(queries: DataFrame, docs: DataFrame, keys: list[str], k: int = 5, text_col: str = "text", group: list[str] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """query_key, keys, score, rank: the ``k`` best documents of every query."""
+    check_parameters(k1, b)
+    asked = query_terms(queries)
+    if group or queries.count() > BATCH or asked.count() > ASKED:
+        return rank(bm25(queries, docs, keys, text_col, group, k1, b), k, keys)
+    return rank(_best_of_tasks(asked.collect(), queries.schema["query_key"].dataType, docs, keys, k, text_col, k1, b), k, keys)
+
+
+def _best_of_tasks(asked: list, query_type: T.DataType, docs: DataFrame, keys: list[str], k: int, text_col: str, k1: float, b: float) -> DataFrame:
+    """query_key, keys, score of each task's ``k`` best documents of every query."""
+    spark = docs.sparkSession
+    terms = sorted({r["term"] for r in asked})
+    query_keys = sorted({r["query_key"] for r in asked})
+    place, number = {q: i for i, q in enumerate(query_keys)}, {t: i for i, t in enumerate(terms)}
+    by_term = sorted((number[r["term"]], place[r["query_key"]]) for r in asked)
+    starts = np.searchsorted([t for t, _ in by_term], np.arange(len(terms) + 1))
+    shared = spark.sparkContext.broadcast((pa.array(terms, pa.string()), np.array([q for _, q in by_term], np.int64), starts, pa.array(query_keys, to_arrow_type(query_type))))
+    key_fields = [docs.schema[c] for c in keys]
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value[0]
+        for batch in batches:
+            tokens = batch.column(len(keys))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())])
+            found = pc.fill_null(pc.index_in(tokens.flatten(), vocabulary), -1).to_numpy()
+            rows = [np.unique(own[own >= 0], return_counts=True) for own in np.split(found, ends[1:-1])] if batch.num_rows else []
+            columns = [pa.array(np.diff(ends).astype(np.int32)), pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([n for _, n in rows], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], [*keys, "dl", "terms", "tfs"])
+
+    schema = T.StructType([*key_fields, *T.StructType.fromDDL("dl int, terms array<int>, tfs array<int>").fields])
+    held = keep(docs.select(*keys, tokenize(text_col).alias("_t")).mapInArrow(narrow, schema), "terms")
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(terms))
+    for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # a row a term
+        df[r["t"]] = r["df"]
+    weight = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5)) * (k1 + 1)
+    avgdl = stats["avgdl"] or 1.0
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, queries_, starts_, query_keys_ = shared.value
+        best = Best(len(query_keys_), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                own = [part.column(len(keys) + c) for c in range(3)]
+                t, tf = (own[c].flatten().to_numpy() for c in (1, 2))
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(own[1]).to_numpy())
+                dl = own[0].to_numpy()[row]
+                score = weight[t] * tf / (tf + k1 * (1 - b + b * dl / avgdl))
+                # A document's term counts for each query that has it.
+                times = starts_[t + 1] - starts_[t]
+                before = np.cumsum(times) - times
+                query = queries_[np.repeat(starts_[t] - before, times) + np.arange(times.sum())]
+                cell = np.repeat(row, times) * len(query_keys_) + query
+                shape = (part.num_rows, len(query_keys_))
+                totals = np.bincount(cell, np.repeat(score, times), shape[0] * shape[1]).reshape(shape)
+                best.add(list(zip(*(part.column(c).to_pylist() for c in range(len(keys))), strict=True)), totals, totals > 0)
+        yield from best.batches(query_keys_, [to_arrow_type(f.dataType) for f in key_fields], ["query_key", *keys, "score"])
+
+    return held.mapInArrow(scored, T.StructType([T.StructField("query_key", query_type), *key_fields, T.StructField("score", T.DoubleType())]))
 
 
 def bm25_by_scan(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -96,7 +174,8 @@ def bm25_by_scan(queries: DataFrame, docs: DataFrame, keys: list[str], text_col:
     tokens = docs.select(*keys, tokenize(text_col).alias("_t"))
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
-    seen = tokens.join(F.broadcast(terms), F.array_contains("_t", F.col("term"))).select(*keys, "term", F.size("_t").alias("dl"), F.size(F.filter("_t", lambda w: w == F.col("term"))).alias("tf"))
+    small = F.broadcast(terms) if terms.count() <= ASKED else terms
+    seen = tokens.join(small, F.array_contains("_t", F.col("term"))).select(*keys, "term", F.size("_t").alias("dl"), F.size(F.filter("_t", lambda w: w == F.col("term"))).alias("tf"))
     df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = seen.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))
     part = idf(F.col("n"), F.col("df")) * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
@@ -105,12 +184,35 @@ def bm25_by_scan(queries: DataFrame, docs: DataFrame, keys: list[str], text_col:
 
 def bm25_profile(queries: DataFrame, docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """query_key, terms, postings (over all terms), candidates (distinct documents)."""
-    asked, hits = _matches(queries, docs, keys, text_col, [])
+    asked, hits, _ = _matches(queries, docs, keys, text_col, [])
     found = asked.join(hits, "term", "left")
     key = F.struct(*keys)
     return found.groupBy("query_key").agg(F.count_distinct("term").alias("terms"), F.count("tf").alias("postings"), F.count_distinct(F.when(F.col("tf").isNotNull(), key)).alias("candidates"))
 
 
+def containing(items: DataFrame, docs: DataFrame, key: str, doc_key: str, text_col: str = "text") -> DataFrame:
+    """key, doc_key of every item (key, text) and document whose text contains the item's whole text; blank items have none.
+
+    A word between two white spaces of an item is a word of every text that contains it. So an item
+    meets only the documents with the rarest of these words, and those are compared. Items without
+    such a word are compared with all documents.
+    """
+    words = lambda c: F.split(c, r"[ \t\n\x0B\f\r]+")
+    asked = items.where(F.trim(text_col) != "").select(F.col(key), F.col(text_col).alias("_item")).distinct()
+    inner = asked.select(key, "_item", F.slice(words("_item"), F.lit(2), F.greatest(F.lit(0), F.size(words("_item")) - 2)).alias("_w"))
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(doc_key), F.col(text_col).alias("_text"))
+    single = own.select(doc_key, F.explode(F.array_distinct(words("_text"))).alias("_word"))
+    wanted = inner.select(F.explode("_w").alias("_word")).distinct()
+    places = keep(single.join(wanted, "_word", "left_semi"), "words")
+    often = places.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = inner.select(key, "_item", F.explode("_w").alias("_word")).join(often, "_word", "left").groupBy(key, "_item").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), F.col("_word"))).alias("_r")).select(key, "_item", F.col("_r._word").alias("_word"))
+    by_word = rarest.join(places, "_word").join(own, doc_key)
+    whole = inner.where(F.size("_w") == 0).select(key, "_item")
+    short = own.join(F.broadcast(whole) if whole.count() <= BATCH else whole, F.contains("_text", "_item"))
+    columns = (key, doc_key)
+    return by_word.where(F.contains("_text", "_item")).select(*columns).unionByName(short.select(*columns)).distinct()
+
+
 def save_index(docs: DataFrame, path: str, keys: list[str], text_col: str = "text", group: list[str] | None = None) -> None:
     """Write postings (sorted by term, so a term's rows lie together), document frequencies and statistics as tables."""
     group = group or []

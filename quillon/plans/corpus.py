@@ -196,11 +196,12 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), 100)
 
 
-@query("SELECT k AS doc_id, n_chars, n_chars IS NOT NULL AS found FROM (SELECT unnest(range(0, 2000, 50)) AS k) LEFT JOIN documents ON doc_id = k")
+@query("SELECT k AS doc_id, n_chars, doc_id IS NOT NULL AS found FROM (SELECT unnest([doc_id, -1 - doc_id]) AS k FROM documents WHERE doc_id % 20 = 0) LEFT JOIN documents ON doc_id = k")
 def lookup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads of 40 asked ids; those that aren't there are said so."""
-    wanted = spark.range(0, 2000, 50).withColumnRenamed("id", "doc_id")
-    return sinks.lookup(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), wanted, "doc_id")
+    """Payloads of all ids that 20 divides, and of as many that aren't there, which is said."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    wanted = docs.where("doc_id % 20 = 0").select(F.explode(F.array(F.col("doc_id"), -1 - F.col("doc_id"))).alias("doc_id"))
+    return sinks.lookup(docs, wanted, "doc_id")
 
 
 @query("SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND vec_id % 2 = 0")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ABBREVIATIONS, ANSWER_STOP_TERMS, NO_ANSWER, TITLES, tokenize
-from quillon.operators import answers, dense, evaluate, fusion, lexical, maturity
+from quillon.operators import answers, dense, evaluate, fusion, ingest, lexical, maturity
 from quillon.plans.registry import query
+from quillon.sources.scratch import keep
 from quillon.sources.tables import benchmark_queries, documents, table
 
 KEYS = ["doc_id"]
@@ -22,8 +25,7 @@ def tokens_sql(text: str) -> str:
 
 
 QUERIES_SQL = r"""q AS (
-  SELECT item_id AS query_key, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 8), ' ') AS query
-  FROM benchmark WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''
+  SELECT item_id AS query_key, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM benchmark WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''
 )"""
 BM25_SQL = f"""{QUERIES_SQL}, t AS (SELECT doc_id, {tokens_sql("coalesce(text, '')")} AS w FROM documents),
 tok AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t),
@@ -58,9 +60,9 @@ hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_key ORDER
 
 
 def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Queries, and their semantic, lexical and fused lists."""
+    """Queries, and their semantic, lexical and fused lists; the first two are kept, as several plans read them."""
     queries, docs = benchmark_queries(spark, sf_dir), documents(spark, sf_dir)
-    semantic, lex = dense.sparse_topk(queries, docs, KEYS), lexical.bm25_topk(queries, docs, KEYS)
+    semantic, lex = keep(dense.sparse_topk(queries, docs, KEYS), "semantic"), keep(lexical.bm25_topk(queries, docs, KEYS), "lexical")
     return queries, semantic, lex, fusion.rrf_topk({"semantic": semantic, "lexical": lex}, KEYS)
 
 
@@ -150,14 +152,18 @@ def ranking_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first 60 characters of a benchmark item."""
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") >= 60).select(F.col("item_id").alias("query_key"), F.left("text", F.lit(60)).alias("start"))
-    docs = documents(spark, sf_dir).where("text is not null")
-    # A fixed list of benchmark items; every document is searched for each.
-    return docs.join(F.broadcast(items), F.contains("text", F.col("start"))).select("query_key", F.col("doc_id").alias("expected"))
+    """Documents that hold the whole text of a benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_key"), "text")
+    return lexical.containing(items, documents(spark, sf_dir), "query_key", "doc_id").withColumnRenamed("doc_id", "expected")
+
+
+EXPECTED_SQL = "ex AS (SELECT DISTINCT item_id AS query_key, doc_id AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE trim(b.text) <> '')"
 
 
-EXPECTED_SQL = "ex AS (SELECT item_id AS query_key, doc_id AS expected FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)) WHERE length(b.text) >= 60)"
+@query("SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
+def containing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the whole text of a benchmark item, by the rarest word within it."""
+    return lexical.containing(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir), "item_id", "doc_id")
 
 
 @query(f"""WITH {RRF_SQL}, {EXPECTED_SQL}, best AS (SELECT query_key, min(rank) AS best FROM hyb JOIN ex ON hyb.query_key = ex.query_key AND doc_id = expected GROUP BY ALL),
@@ -173,14 +179,14 @@ def rank_of_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every point is searched for by the points 0 to 19, which stand for a batch of queries."""
+    """Every point is searched for by those whose id 20 divides."""
     points = table(spark, sf_dir, "embeddings")
-    return points.where("vec_id < 20").select(F.col("vec_id").alias("query_key"), "embedding"), points
+    return points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_key"), "embedding"), points
 
 
 COSINE_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM e),
-c AS (SELECT a.vec_id AS query_key, b.vec_id AS vec_id, b.label AS label, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] / a.nv) * (p[2] / b.nv))) AS score FROM n a, n b WHERE a.vec_id < 20),
+c AS (SELECT a.vec_id AS query_key, b.vec_id AS vec_id, b.label AS label, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] / a.nv) * (p[2] / b.nv))) AS score FROM n a, n b WHERE a.vec_id % 20 = 0),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(score, 9) DESC, CAST(vec_id AS VARCHAR)) AS rank FROM c) WHERE rank <= 5)"""
 
 
@@ -189,6 +195,23 @@ def emb_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(dense.cosine_topk(*_vectors(spark, sf_dir), ["vec_id"]), "score")
 
 
+@query("""WITH e AS (SELECT vec_id, label, vec_id % 2 AS half, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM e),
+c AS (SELECT a.vec_id AS query_key, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] / a.nv) * (p[2] / b.nv))) AS score FROM n a, n b WHERE a.vec_id % 20 = 0 AND b.half = 0 AND b.label % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(score, 9) DESC, CAST(vec_id AS VARCHAR)) AS rank FROM c) SELECT query_key, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def emb_cosine_lang_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search among points of one target language: here the even ids are English, and even labels agree in the other code."""
+    queries, points = _vectors(spark, sf_dir)
+    told = points.withColumn("language", F.when(F.col("vec_id") % 2 == 0, "en").otherwise("hi")).withColumn("target_lang", F.when(F.col("label") % 2 == 0, "eng_Latn").otherwise("hin_Deva"))
+    return _round(dense.cosine_topk(queries, dense.of_language(told, "eng_Latn"), ["vec_id"]), "score")
+
+
+@query(f"""WITH {BM25_SQL.replace("FROM documents)", "FROM documents WHERE lang = 'en' AND trim(text) <> '')")} SELECT query_key, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex""")
+def bm25_en_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of one target language, without blank texts."""
+    docs = ingest.corpus_of(documents(spark, sf_dir).withColumn("language", F.col("lang")).withColumn("target_lang", F.when(F.col("lang") == "en", "eng_Latn")), "eng_Latn")
+    return _round(lexical.bm25_topk(benchmark_queries(spark, sf_dir), docs, KEYS), "score")
+
+
 @query(f"WITH {COSINE_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(score, 9) DESC, CAST(vec_id AS VARCHAR)) AS r FROM c WHERE score >= 0.2) SELECT query_key, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM f WHERE r <= 5")
 def emb_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(dense.cosine_topk(*_vectors(spark, sf_dir), ["vec_id"], threshold=0.2), "score")
@@ -282,15 +305,14 @@ def format_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_key, query and its three lists as arrays, with the document's language as query id."""
+    """query_key, query and its three lists as arrays, with the document's language as query id; texts are joined once."""
     queries, semantic, lex, fused = lists(spark, sf_dir)
-    docs = documents(spark, sf_dir)
-    out = queries
-    for name, df, score in (("semantic", semantic, "score"), ("lexical", lex, None), ("hybrid", fused, "semantic_score")):
-        row = F.struct("rank", F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("provenance"), "text", (F.col(score) if score else F.lit(None).cast("double")).alias("semantic_score"))
-        own = df.join(docs, "doc_id").groupBy("query_key").agg(F.array_sort(F.collect_list(row)).alias(name))
-        out = out.join(own, "query_key", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {maturity.LIST})")))
-    return out
+    rows = [df.select("query_key", "doc_id", "rank", (F.col(score) if score else F.lit(None).cast("double")).alias("semantic_score"), F.lit(name).alias("list")) for name, df, score in (("semantic", semantic, "score"), ("lexical", lex, None), ("hybrid", fused, "semantic_score"))]
+    found = reduce(DataFrame.unionByName, rows).join(documents(spark, sf_dir), "doc_id")
+    row = F.struct("rank", F.col("lang").alias("query_id"), F.col("doc_id").cast("string").alias("provenance"), "text", "semantic_score")
+    own = found.groupBy("query_key").agg(*(F.array_sort(F.collect_list(F.when(F.col("list") == name, row))).alias(name) for name in ("semantic", "lexical", "hybrid")))
+    out = queries.join(own, "query_key", "left")
+    return out.withColumns({name: F.coalesce(name, F.expr(f"cast(array() as {maturity.LIST})")) for name in ("semantic", "lexical", "hybrid")})
 
 
 def _dominant_sql(name: str, rows: str) -> str:

@@ -13,14 +13,14 @@ from quillon.sources.tables import table
 
 
 def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as growing transcripts: each partial has two words more than the last, up to 12 words."""
+    """User turns as growing transcripts: each partial has two words more than the last, and the last is the whole turn."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn", "role").alias("session_id"), F.split(normalize_space("text"), " ").alias("w"))
-    steps = turns.select("session_id", "w", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k")).where(F.size("w") >= 2 * F.col("k"))
+    steps = turns.select("session_id", "w", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 2).cast("int"))).alias("k"))
     return steps.select("session_id", F.col("k").cast("long").alias("seq"), F.array_join(F.slice("w", F.lit(1), 2 * F.col("k")), " ").alias("transcript"))
 
 
 PARTIALS_SQL = r"""tw AS (SELECT concat_ws('-', conv_id, turn, role) AS session_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM conversations WHERE text IS NOT NULL),
-pt AS (SELECT session_id, CAST(k AS BIGINT) AS seq, array_to_string(list_slice(w, 1, 2 * k), ' ') AS transcript FROM tw, (SELECT unnest(range(1, 7)) AS k) WHERE len(w) >= 2 * k)"""
+pt AS (SELECT session_id, k AS seq, array_to_string(list_slice(w, 1, 2 * k), ' ') AS transcript FROM (SELECT session_id, w, unnest(range(1, CAST(ceil(len(w) / 2.0) AS BIGINT) + 1)) AS k FROM tw))"""
 
 
 _STOPS = "['" + "', '".join(PARTIAL_STOP_TERMS) + "']"
@@ -52,14 +52,14 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENT = "CASE WHEN seq % 5 = 4 THEN 'final' ELSE 'partial' END"
 
 
-@query(f"""WITH {PARTIALS_SQL}, e AS (SELECT session_id, seq, {_EVENT} AS kind, transcript FROM pt UNION ALL SELECT DISTINCT session_id, 99, 'session_end', NULL FROM pt),
+@query(f"""WITH {PARTIALS_SQL}, e AS (SELECT session_id, seq, {_EVENT} AS kind, transcript FROM pt UNION ALL SELECT DISTINCT session_id, 1000000000, 'session_end', NULL FROM pt),
 g AS (SELECT session_id, arg_max(transcript, seq) FILTER (kind = 'final') AS f, arg_max(transcript, seq) FILTER (kind = 'partial') AS p FROM e GROUP BY 1)
 SELECT session_id, coalesce(f, p) AS transcript, CASE WHEN f IS NOT NULL THEN 'final' WHEN p IS NOT NULL THEN 'promoted_partial' ELSE 'error' END AS source FROM g""")
 def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with a final event, or else with their last partial promoted."""
     rows = partials(spark, sf_dir)
     events = rows.withColumn("kind", F.when(F.col("seq") % 5 == 4, "final").otherwise("partial"))
-    ends = rows.select("session_id").distinct().select("session_id", F.lit(99).cast("long").alias("seq"), F.lit(None).cast("string").alias("transcript"), F.lit("session_end").alias("kind"))
+    ends = rows.select("session_id").distinct().select("session_id", F.lit(1_000_000_000).cast("long").alias("seq"), F.lit(None).cast("string").alias("transcript"), F.lit("session_end").alias("kind"))
     return sessions.finals(events.unionByName(ends))
 
 

@@ -62,15 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if its files make fewer tasks than that, as a single small file does; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+#: A session's setting: into how many partitions the corpus is dealt when it is read. Unset, as its files have it.
+INPUT_PARTITIONS = "quillon.input.partitions"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang of the corpus: the columns that retrieval reads."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return docs.repartition(int(parts)) if parts else docs
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("source_lang"), F.col("lang").alias("target_lang"), lines.alias("passages"), chosen.alias("is_selected"))
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """query_key, query: the first ``words`` words of each benchmark item."""
-    text = table(spark, sf_dir, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
-    return text.where("text <> ''").select(F.col("item_id").alias("query_key"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_key, query: the whole text of each benchmark item that isn't blank."""
+    text = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_key"), F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("query"))
+    return text.where("query <> ''")
 
 
 def seed_passages(spark: SparkSession, passages: dict[str, list[str]]) -> DataFrame:
