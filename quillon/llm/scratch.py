@@ -1,48 +1,19 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-The folder is ``spark.checkpoint.dir`` of the session, else the checkpoint folder that was set on
-the context. Where neither is set, a local session (driver and tasks in one process, as in tests)
-gets a temporary folder of its own; on a cluster it is an error, as a machine's own folder would
-hold only what its own tasks write. Intermediate tables cut lineage: when an executor is lost, its
-tasks reread them.
-"""
+"""Intermediate tables of the operators in the folder that driver and executors share, and joins with hot keys."""
 
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
-_tables: list[tuple[SparkSession, str]] = []
-
+from quillon.sources.scratch import drop, forget, keep, register, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    context = spark.sparkContext
-    got = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if got:
-        return got.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own:
-        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _own[context.applicationId]
+__all__ = ["bound_batches", "hot_keys", "keep", "keep_bucketed", "release", "salted_join", "shared_dir", "sized"]
 
-
-def keep(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
@@ -55,41 +26,19 @@ def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callab
     spark = df.sparkSession
     own = f"quillon_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/quillon/{own}"
-    _made.append((spark, path))
+    register(spark, path)
     _tables.append((spark, own))
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     writer.saveAsTable(own)
 
     def delete() -> None:
         spark.sql(f"drop table if exists {own}")
-        drop(spark, path)
-        _made[:] = [x for x in _made if x[1] != path]
+        forget(spark, path)
         _tables[:] = [x for x in _tables if x[1] != own]
 
     return spark.table(own), delete
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def paths(df: DataFrame) -> list[str]:
-    """Folders in the shared folder that ``df`` itself reads."""
-    found = set()
-    for f in df.inputFiles():
-        found |= {p for s, p in _made if p.split("://")[-1].rstrip("/") in f}
-    return sorted(found)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the table that ``keep`` wrote; only when nothing reads it any more."""
-    for p in paths(df):
-        drop(df.sparkSession, p)
-        _made[:] = [x for x in _made if x[1] != p]
-
-
 #: Bytes of an Arrow batch: what a Python worker and its executor hold at once of a table with long texts.
 BATCH_BYTES = 8 << 20
 
@@ -137,9 +86,8 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataF
 
 @atexit.register
 def _clean() -> None:
-    for forget, names in ((lambda spark, name: spark.sql(f"drop table if exists {name}"), _tables), (drop, _made)):
+    for spark, name in _tables:
         try:
-            for spark, name in names:
-                forget(spark, name)
-        except Exception:  # noqa: BLE001  the session is gone, and its folder with it
+            spark.sql(f"drop table if exists {name}")
+        except Exception:  # noqa: BLE001  the session is gone, and its catalogue with it
             return
