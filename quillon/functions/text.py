@@ -18,7 +18,7 @@ TITLES = ("dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "jr.", "डॉ.", "श्
 ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "पी.ए.", "यू.एस.", "यू.के.", "सं.")
 NUMERIC_QUESTIONS = ("how far", "how many", "how much", "how old", "कितनी", "कितना", "कितने")
 FILLERS = ("um", "uh", "hmm")
-TERM = "[A-Za-z0-9_]+|[ऀ-ॣ०-ॿ]+"
+TERM = "[A-Za-z0-9_]+|[\u0900-\u0963\u0966-\u097F]+"
 NUMBER = r"(?U)\d+(?:\.\d+)?"
 NO_ANSWER = "मुझे उपलब्ध संदर्भ में पर्याप्त जानकारी नहीं मिली।"
 # -------------------------------------------------------------------------------------------------
@@ -95,21 +95,25 @@ def answer_sentences(text: Column | str) -> Column:
     """
     words = F.split(F.coalesce(normalize_space(text), F.lit("")), " ")
     dots = rf"(?<![0-9])\.|\.(?![0-9])|(?<=^)\."
+    edges = "^[\"'“”‘’()\\[\\]{}<>,;:!?]+|[\"'“”‘’()\\[\\]{}<>,;:!?]+$"
 
-    def marked(word: Column, i: Column) -> Column:
-        bare = F.lower(F.regexp_replace(word, "^[\"'“”‘’()\\[\\]{}<>,;:!?]+|[\"'“”‘’()\\[\\]{}<>,;:!?]+$", ""))
+    def marked(p: Column) -> Column:
+        word, bare = p["word"], p["bare"]
         initials = bare.rlike(r"^(?:[a-z]\.){2,}$")
-        other = bare.rlike("^(?:[ऀ-ॿ]+\\.){2,}$") | bare.isin(*ABBREVIATIONS)
-        after = F.regexp_replace(F.concat(F.regexp_extract(word, r"\.([^.]*)$", 1), F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))), "^[\"'“”‘’)\\]} ]+", "")
+        other = bare.rlike("^(?:[\u0900-\u097F]+\\.){2,}$") | bare.isin(*ABBREVIATIONS)
+        after = F.regexp_replace(F.concat(F.regexp_extract(word, r"\.([^.]*)$", 1), F.lit(" "), p["next"]), "^[\"'“”‘’)\\]} ]+", "")
         by_period = (
             F.when(bare.isin(*TITLES) | bare.rlike(r"^[a-z]\.$"), word)
             .when(initials & after.rlike(r"^\p{Lu}"), F.regexp_replace(word, r"\.(?=[^.]*$)", "." + _MARK))
             .when(initials | other, word)
             .otherwise(F.regexp_replace(word, dots, "." + _MARK))
         )
-        return F.regexp_replace(by_period, "([।?!])", "$1" + _MARK)
+        return F.regexp_replace(F.when(F.contains(word, F.lit(".")), by_period).otherwise(word), "([।?!])", "$1" + _MARK)
 
-    parts = F.split(F.array_join(F.transform(words, marked), " "), _MARK)
+    # The words are made a few times a text, not once a word, and what a word needs is made once.
+    pairs = F.arrays_zip(words.alias("word"), F.concat(F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(""))).alias("next"))
+    named = F.transform(pairs, lambda p: F.struct(p["word"].alias("word"), p["next"].alias("next"), F.lower(F.regexp_replace(p["word"], edges, "")).alias("bare")))
+    parts = F.split(F.array_join(F.transform(named, marked), " "), _MARK)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -49,10 +49,8 @@ def compose(queries: DataFrame, max_sentences: int = MAX_SENTENCES, max_chars: i
     base = queries.withColumn("_q", normalize_space("query")).withColumn("_terms", query_terms("_q")).withColumn("_numbers", F.array_distinct(numbers("_q"))).withColumn("_numeric", is_numeric_question("_q"))
 
     def of_chunk(e: Column, i: Column) -> Column:
-        def one(sentence: Column, j: Column) -> Column:
-            own = answer_terms(sentence)
-            hit = matches(terms, own)
-            found = numbers(sentence)
+        def one(p: Column, j: Column) -> Column:
+            sentence, own, found, hit = p["s"]["sentence"], p["s"]["own"], p["s"]["found"], p["hit"]
             direct = (F.size(terms) >= 2) & ((hit == F.size(terms)) | (numeric & (F.size(found) > 0) & (hit >= 2)))
             overlap = F.when(F.size(terms) > 0, hit / F.size(terms)).otherwise(F.lit(0.0))
             relevance = 0.5 * e["score"] + 1.5 * overlap + 0.1 * F.size(F.array_intersect(asked, found)) + 0.01 / (i + 1)
@@ -61,7 +59,10 @@ def compose(queries: DataFrame, max_sentences: int = MAX_SENTENCES, max_chars: i
                 e["query_id"].alias("query_id"), e["passage_index"].alias("passage_index"), e["chunk_index"].alias("chunk_index"), own.alias("terms"), hit.alias("hits"),
             )
 
-        return F.transform(F.when((e["score"] >= min_score) & e["text"].isNotNull(), answer_sentences(e["text"])).otherwise(F.array().cast("array<string>")), one)
+        sentences = F.when((e["score"] >= min_score) & e["text"].isNotNull(), answer_sentences(e["text"])).otherwise(F.array().cast("array<string>"))
+        # Terms and matches are made once a sentence: inside one expression they would be made anew wherever they stand.
+        read = F.transform(sentences, lambda s: F.struct(s.alias("sentence"), answer_terms(s).alias("own"), numbers(s).alias("found")))
+        return F.transform(F.transform(read, lambda p: F.struct(p.alias("s"), matches(terms, p["own"]).alias("hit"))), one)
 
     seen = base.withColumn("_all", F.filter(F.flatten(F.transform(F.coalesce("evidence", F.expr("cast(array() as array<struct<rank:int,score:double,text:string,query_id:string,passage_index:string,chunk_index:string>>)")), of_chunk)), lambda c: c["hits"] >= MIN_MATCHES))
     # In order: a sentence is left out if an accepted one is the same or nearly so.
@@ -84,7 +85,9 @@ def compose(queries: DataFrame, max_sentences: int = MAX_SENTENCES, max_chars: i
 
 
 # ---- Fixed values: question patterns by language and kind, and how their answers read ------------
-_MILES, _KM = "miles?|mi|मील", "kilometers?|kms?|km|किमी|किलोमीटर"
+#: Units of distance in the order in which they are tried, and which of them are miles.
+UNITS = "miles?|mi|kilometers?|kms?|km|मील|किमी|किलोमीटर"
+MILES = ("mile", "miles", "mi", "मील")
 _AMOUNT = r"\d+(?:[.,]\d+)?"
 QUESTIONS = {
     ("en", "distance"): (r"(?i)^how\s+far\s+is\s+(.+?)\s+from\s+(.+?)[?.!]*$", r"(?i)^what\s+is\s+the\s+distance\s+between\s+(.+?)\s+and\s+(.+?)[?.!]*$"),
@@ -117,10 +120,9 @@ def _all(text: Column, pattern: str) -> Column:
 def formatted_answer(query: Column, source: Column, language: Column) -> Column:
     """struct(answer, kind) by the first kind whose question pattern and single fact fit; else null."""
     q, s = normalize_space(query), normalize_space(source)
-    distances = _all(s, rf"(?i){_AMOUNT}\s*(?:{_KM}|{_MILES})")
-    # As a unit is matched greedily in the order miles, kilometres, each value's own unit decides.
-    miles = F.filter(distances, lambda d: d.rlike(rf"(?i)\s*(?:{_MILES})$") & ~d.rlike(r"(?i)km$"))
-    kilometres = F.filter(distances, lambda d: ~(d.rlike(rf"(?i)\s*(?:{_MILES})$") & ~d.rlike(r"(?i)km$")))
+    distances = _all(s, rf"(?i){_AMOUNT}\s*(?:{UNITS})")
+    in_miles = lambda d: F.lower(F.regexp_extract(d, rf"^{_AMOUNT}\s*(.*)$", 1)).isin(*MILES)
+    miles, kilometres = F.filter(distances, in_miles), F.filter(distances, lambda d: ~in_miles(d))
     mile, kilometre = (F.regexp_extract(F.get(x, F.lit(0)), f"^({_AMOUNT})", 1) for x in (miles, kilometres))
     amounts, years = _all(s, _AMOUNT), F.array_distinct(_all(s, _YEAR))
 

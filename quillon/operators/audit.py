@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import normalize_space
+from quillon.operators import evaluate
+from quillon.operators.ingest import is_selected, payload_errors
+
 
 def collisions(rows: DataFrame, id_col: str, order: str, content: list[str]) -> DataFrame:
     """Rows after the first of their id, with the first one's content as ``first_<column>`` and whether it is the same."""
@@ -51,21 +55,50 @@ def reconcile(expected: DataFrame, actual: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def final_status(report: DataFrame) -> DataFrame:
-    """A report (missing, unexpected, collisions, payload_errors) with its status."""
-    bad = F.when(F.col("missing") > 0, "MISSING_POINTS").when(F.col("unexpected") > 0, "UNEXPECTED_POINTS").when(F.col("collisions") > 0, "ID_COLLISIONS").when(F.col("payload_errors") > 0, "PAYLOAD_ERRORS")
-    return report.withColumn("status", F.coalesce(bad, F.lit("STRUCTURALLY_COMPLETE")))
+def final_status(report: DataFrame, size: int = 768) -> DataFrame:
+    """A report (expected, actual, missing, unexpected, payload_errors, vector_size, failed_class) with unexplained and status.
+
+    Collisions of different content are known overwrites and don't decide; an index that was never
+    asked for its vectors' size (null) isn't safe.
+    """
+    safe = (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("payload_errors") == 0) & (F.col("vector_size") == size) & (F.col("failed_class") != "INDEXING_BUG")
+    status = F.when(F.coalesce(safe, F.lit(False)), "INDEX_SAFE_FOR_BENCHMARKING").otherwise("INDEX_REQUIRES_FIX")
+    return report.withColumn("unexplained", F.greatest(F.lit(0), F.col("expected") - F.col("actual"))).withColumn("status", status)
 
 
 def failed_query_class(rows: DataFrame) -> DataFrame:
-    """Why a smoke query missed: from whether its points are all indexed, its text is shared by other ids, and its list holds an equal text."""
+    """Why a query found nothing: rows of found (its record exists), query, asked, passages, is_selected and indexed with ``class``.
+
+    indexed: passage indices of the record's points. The first of these counts: no record; lists
+    that are missing or differ in length, or a blank query; another query than the one asked; a
+    selected passage without a point. Else the evidence is there, and retrieval missed it.
+    """
+    query = F.coalesce(normalize_space("query"), F.lit(""))
+    indexed = F.coalesce("indexed", F.array().cast("array<int>"))
+    relevant = F.array_compact(F.transform("is_selected", lambda s, i: F.when(is_selected(s) & (F.coalesce(normalize_space(F.get("passages", i)), F.lit("")) != ""), i)))
+    malformed = F.col("passages").isNull() | F.col("is_selected").isNull() | (F.size("passages") != F.size("is_selected"))
     kind = (
-        F.when(~F.col("indexed"), "INDEXING_BUG").when(F.col("same_query_ids") > 1, "AMBIGUOUS_GROUND_TRUTH")
-        .when(F.col("equal_text_in_list"), "SMOKE_TEST_EXPECTATION_BUG").otherwise("RETRIEVAL_MISS")
-    )
+        F.when(~F.coalesce("found", F.lit(False)), "INDEXING_BUG")
+        .when(malformed | (query == ""), "AMBIGUOUS_GROUND_TRUTH")
+        .when(~query.eqNullSafe(F.col("asked")), "SMOKE_TEST_EXPECTATION_BUG")
+        .when((F.size(indexed) == 0) | (F.size(F.array_except(relevant, indexed)) > 0), "INDEXING_BUG")
+        .otherwise("RETRIEVAL_MISS")
+    )
     return rows.withColumn("class", kind)
 
 
+def reconcile_samples(expected: DataFrame, actual: DataFrame, id_col: str, most: int = 10) -> DataFrame:
+    """kind, id: the ``most`` smallest missing and unexpected ids, for a report to name."""
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(id_col)).distinct().orderBy(id_col).limit(most)
+    return named(missing(expected, actual, id_col), "missing").unionByName(named(unexpected(expected, actual, id_col), "unexpected"))
+
+
+def integrity_sample(rows: DataFrame, id_col: str, required: list[str], m: int) -> DataFrame:
+    """id_col, place and errors (names of required fields that are null) of ``m`` rows at even distances in the order of ids."""
+    sample = evaluate.evenly_spaced(rows.select(id_col), id_col, m)
+    return sample.join(rows, id_col).select(id_col, "place", payload_errors(required).alias("errors"))
+
+
 def foreign_rows(rows: DataFrame, language: str, expected: str) -> DataFrame:
     """How many rows are of another language than the one asked for."""
     return rows.agg(F.count_if(F.col(language) != F.col(expected)).alias("foreign_rows"))

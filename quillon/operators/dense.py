@@ -55,6 +55,17 @@ def projected_text(text_col: str) -> Column:
     return F.lower(normalize_space(text_col))
 
 
+def prefixed(text: Column, prefix: str) -> Column:
+    """The text as a model reads it; a blank text is an error."""
+    spaced = normalize_space(text)
+    return F.when(F.coalesce(spaced, F.lit("")) == "", F.raise_error(F.lit("texts to embed must not be blank")).cast("string")).otherwise(F.concat(F.lit(prefix + " "), spaced))
+
+
+def query_tokens(queries: DataFrame, query: str = "query") -> DataFrame:
+    """query_key, tokens: how many words a model reads for each query, its prefix among them."""
+    return queries.select("query_key", F.size(F.split(prefixed(F.col(query), QUERY), " ")).cast("long").alias("tokens"))
+
+
 def projection(rows: DataFrame, keys: list[str], text_col: str, prefix: str) -> DataFrame:
     """keys, idx, v, norm: each text's sparse vector, not yet normalised, with its length; blank texts have none.
 

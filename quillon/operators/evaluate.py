@@ -5,32 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import keep
+
 #: Upper ends of the length histogram's buckets; the last one is open.
 LENGTH_BUCKETS = (50, 100, 150, 200, 250, 300, 400, 500, 1000)
 
 
-def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
-    """by, percent, value: the value at place ceil(percent / 100 * n) in ascending order.
+def placed(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """by, value, _place, _all: every value that isn't null with its place, from 0, among those of its group, and their number.
 
-    Equal values are counted first, and places come from running sums over the distinct values, so
-    no group's rows are sorted in one task.
+    The rows are range-partitioned by group and value and kept; places come from counts by partition,
+    so that no group is sorted in one task, however many different values it has.
     """
     by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    asked = upto.withColumn("percent", F.explode(F.array(*(F.lit(p) for p in percents)))).withColumn("_place", F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("_all") / 100.0)))
-    return asked.where((F.col("_place") <= F.col("_end")) & (F.col("_place") > F.col("_end") - F.col("_n"))).select(*by, F.col("percent").cast("long").alias("percent"), F.col(value).alias("value"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = keep(rows.where(F.col(value).isNotNull()).select(*by, value).repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = sorted_rows.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each group and partition
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(value)) - 1
+    same = F.lit(True)
+    for c in [*by, "_p"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = sorted_rows.withColumn("_i", own).alias("a").join(base.alias("b"), same)
+    return joined.select(*(F.col(f"a.{c}") for c in by), F.col(f"a.{value}").alias(value), (F.col("_i") + F.col("_base")).alias("_place"), F.col("_all"))
+
+
+def nearest_rank(rows: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
+    """by, percent, value: the value at place ceil(percent / 100 * n) in ascending order."""
+    asked = placed(rows, value, by).withColumn("percent", F.explode(F.array(*(F.lit(p) for p in percents))))
+    return asked.where(F.col("_place") + 1 == F.greatest(F.lit(1), F.ceil(F.col("percent") * F.col("_all") / 100.0))).select(*(by or []), F.col("percent").cast("long").alias("percent"), F.col(value).alias("value"))
+
+
+def interpolated(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, k, value: for the k-th of ``shares`` (0 to 1) the value at that share of the way from the first to the last, between two linearly."""
+    found = placed(rows, value, by).withColumn("_k", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(shares)))))
+    at = F.round(F.col("_k.s") * (F.col("_all") - 1), 9)
+    weight = 1 - F.abs(F.col("_place") - at)
+    return found.withColumn("_w", weight).where("_w > 0").groupBy(*(by or []), F.col("_k.k").alias("k")).agg(F.sum(F.col(value) * F.col("_w")).alias("value"))
 
 
 def linear_percentiles(rows: DataFrame, value: str, percents: list[int], by: list[str] | None = None) -> DataFrame:
     """by, and p<percent> for each: exact percentiles with linear interpolation."""
-    return rows.groupBy(*(by or [])).agg(*(F.percentile(F.col(value), p / 100.0).alias(f"p{p}") for p in percents))
+    found = interpolated(rows, value, [p / 100 for p in percents], by)
+    return found.groupBy(*(by or [])).agg(*(F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"p{p}") for k, p in enumerate(percents)))
 
 
-def inclusive_quantiles(value: Column, n: int = 100) -> Column:
-    """The n - 1 inclusive quantiles, as an array."""
-    return F.percentile(value, F.array(*(F.lit(k / n) for k in range(1, n))))
+def inclusive_quantiles(rows: DataFrame, value: str, n: int = 100) -> DataFrame:
+    """k, q: the n - 1 inclusive quantiles."""
+    return interpolated(rows, value, [k / n for k in range(1, n)]).select((F.col("k") + 1).cast("long").alias("k"), F.col("value").alias("q"))
 
 
 def half_up(value: Column) -> Column:
@@ -74,7 +97,7 @@ def selected_distribution(records: DataFrame) -> DataFrame:
     return records.groupBy(F.size(F.filter("is_selected", lambda s: s == 1)).cast("long").alias("selected")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def hit_rates(ranked: DataFrame, expected: DataFrame, key: str, family: DataFrame | None = None) -> DataFrame:
+def hit_rates(ranked: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """One row: how many queries have an expected key in first place, or in the list.
 
     expected: query_key, expected; several per query may be right. Queries without rows count as misses.
@@ -85,6 +108,30 @@ def hit_rates(ranked: DataFrame, expected: DataFrame, key: str, family: DataFram
     return queries.agg(F.count(F.lit(1)).alias("queries"), F.avg((F.coalesce("best", F.lit(0)) == 1).cast("int")).alias("top1_rate"), F.avg(F.col("best").isNotNull().cast("int")).alias("topk_rate"))
 
 
+def policy_hit_rates(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row of a policy's measures: of queries with selected evidence, and of those without.
+
+    queries: query_key, query_id (its own record), expected (provenances of its selected evidence,
+    perhaps none). ranked: query_key, rank, query_id, provenance. A rate over no queries is 0.
+    """
+    lists = ranked.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("query_id").cast("string").alias("query_id"), F.col("provenance").cast("string").alias("provenance")))).alias("_l"))
+    rows = queries.join(lists, "query_key", "left").withColumn("_l", F.coalesce("_l", F.expr("cast(array() as array<struct<rank:int,query_id:string,provenance:string>>)")))
+    own, top = F.col("query_id").cast("string"), F.get("_l", F.lit(0))
+    expected = F.transform("expected", lambda x: x.cast("string"))
+    selected = F.size("expected") > 0
+
+    def rate(condition: Column, among: Column) -> Column:
+        return F.coalesce(F.count_if(among & F.coalesce(condition, F.lit(False))) / F.nullif(F.count_if(among), F.lit(0)), F.lit(0.0))
+
+    in_list = F.exists("_l", lambda r: r["query_id"] == own)
+    return rows.agg(
+        F.count_if(selected).alias("selected_query_count"), F.count_if(~selected).alias("zero_selected_query_count"),
+        rate(F.array_contains(expected, top["provenance"]), selected).alias("top1_expected_evidence_rate"), rate(F.arrays_overlap(expected, F.transform("_l", lambda r: r["provenance"])), selected).alias("expected_evidence_in_top_k_rate"),
+        rate(top["query_id"] == own, selected).alias("top1_expected_query_id_rate"), rate(in_list, selected).alias("expected_query_id_in_top_k_rate"), rate(in_list, selected).alias("correct_evidence_family_rate"),
+        rate(F.size("_l") > 0, ~selected).alias("zero_query_representation_rate"), rate(top["query_id"] == own, ~selected).alias("zero_top1_same_query_id_rate"), rate(in_list, ~selected).alias("zero_same_query_id_in_top_k_rate"),
+    )
+
+
 def dominant(rows: DataFrame, key: str, by: str = "query_key", rank: str = "rank") -> DataFrame:
     """by, dominant, count, ratio: the commonest key of each list; ties to the smaller last rank, then the key."""
     counts = rows.groupBy(by, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")).agg(F.count(F.lit(1)).alias("_c"), F.max(rank).alias("_r"))
@@ -129,21 +176,22 @@ def smallest_hashes(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return rows.withColumn("_h", h).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_h", "_i")
 
 
-def evenly_spaced(rows: DataFrame, key: str, m: int) -> DataFrame:
-    """``m`` rows at even distances in the order of ``key``: places round(i (n - 1) / (m - 1)), halves to even.
+def reservoir(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, each as likely as any other: those with the smallest seeded hash of their key, so a rerun gives the same ones."""
+    return rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key).cast("string"))).orderBy("_h", key).limit(n).drop("_h")
 
-    Places come from counts by a range partition of the keys, so the sort has no single task.
-    """
-    spark = rows.sparkSession
-    parts = rows.select(key).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.max(key).alias("_top"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    total = base.agg(F.sum("_n").alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    numbered = parts.withColumn("_i", place).join(F.broadcast(base.select("_p", "_base")), "_p").select(key, (F.col("_i") + F.col("_base")).alias("place"))
-    wanted = spark.range(m).crossJoin(F.broadcast(total)).select((F.bround(F.col("id") * (F.col("_all") - 1) / max(1, m - 1))).cast("long").alias("place")).distinct()
-    return numbered.join(F.broadcast(wanted), "place").select(key, "place")
+
+def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each provenance, in a stated order."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+
+
+def evenly_spaced(rows: DataFrame, key: str, m: int) -> DataFrame:
+    """``m`` rows at even distances in the order of ``key``: places round(i (n - 1) / (m - 1)), halves to even."""
+    found = placed(rows, key)
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.bround(i * (F.col("_all") - 1) / max(1, m - 1)).cast("long"))
+    return found.where(F.array_contains(wanted, F.col("_place"))).select(key, F.col("_place").alias("place"))
 
 
 def first_rows(rows: DataFrame, order: list[str], n: int, condition: Column) -> DataFrame:

@@ -12,17 +12,18 @@ from quillon.operators.lexical import rank
 K = 60
 
 
-def rrf_scores(lists: dict[str, DataFrame], keys: list[str], k: int = K) -> DataFrame:
+def rrf_scores(lists: dict[str, DataFrame], keys: list[str], k: int = K, carry: tuple[str, ...] = ()) -> DataFrame:
     """query_key, keys, fused, and each list's score as ``<name>_score`` and rank as ``<name>_rank``.
 
     Lists are (query_key, keys, score, rank); they are united and summed in one aggregation.
+    ``carry`` names further columns (a text, say), taken from the first list that has the row.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = [df.select("query_key", *keys, F.lit(name).alias("_from"), F.col("score").cast("double").alias("_score"), F.col("rank").alias("_rank")) for name, df in lists.items()]
+    rows = [df.select("query_key", *keys, F.lit(name).alias("_from"), F.col("score").cast("double").alias("_score"), F.col("rank").alias("_rank"), F.lit(n).alias("_order"), *carry) for n, (name, df) in enumerate(lists.items())]
     both = reduce(DataFrame.unionByName, rows)
     own = [F.max(F.when(F.col("_from") == n, F.col(f"_{what}"))).alias(f"{n}_{what}") for n in lists for what in ("score", "rank")]
-    return both.groupBy("query_key", *keys).agg(F.sum(1.0 / (k + F.col("_rank"))).alias("fused"), *own)
+    return both.groupBy("query_key", *keys).agg(F.sum(1.0 / (k + F.col("_rank"))).alias("fused"), *own, *(F.min_by(c, "_order").alias(c) for c in carry))
 
 
 def rrf_topk(lists: dict[str, DataFrame], keys: list[str], top: int = 5, k: int = K) -> DataFrame:
@@ -47,6 +48,12 @@ def overlap_ratio(a: Column, b: Column, limit: int) -> Column:
     return F.size(F.array_intersect(left, right)) / F.nullif(F.least(F.lit(limit), F.size(left), F.size(right)), F.lit(0))
 
 
+def signature(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """query_key and a digest of its list (places, keys, scores to nine digits): equal if two plans give the same rows in the same order."""
+    row = F.struct("rank", F.concat_ws("|", *(F.col(c).cast("string") for c in keys), F.round("score", 9).cast("string")).alias("key"))
+    return ranked.groupBy("query_key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["key"]), "\n"), 256).alias("signature"))
+
+
 def as_lists(ranked: DataFrame, key: Column, name: str) -> DataFrame:
     """query_key and the keys of its rows in the order of their ranks."""
     return ranked.groupBy("query_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key.alias("key")))), lambda r: r["key"]).alias(name))

@@ -16,12 +16,14 @@ FAILURES = {
     "timeout": (504, "RAG_TIMEOUT", "The request could not be completed in time.", True),
     "validation_error": (422, "INVALID_REQUEST", "The request is invalid.", False),
     "stt_error": (502, "STT_UNAVAILABLE", "Voice transcription is currently unavailable.", False),
-    "store_connection_error": (503, "RAG_UNAVAILABLE", "The answer service is temporarily unavailable.", True),
-    "store_query_error": (503, "RAG_UNAVAILABLE", "The answer service is temporarily unavailable.", True),
+    "qdrant_connection_error": (503, "RAG_UNAVAILABLE", "The answer service is temporarily unavailable.", True),
+    "qdrant_query_error": (503, "RAG_UNAVAILABLE", "The answer service is temporarily unavailable.", True),
 }
 OTHER_FAILURE = (500, "RAG_INTERNAL_ERROR", "The request could not be completed.", False)
 GUARDRAIL_CODES = ("QUERY_INVALID", "UNSUPPORTED_LANGUAGE", "INSUFFICIENT_EVIDENCE")
-AUDIO_TYPES = {"webm": ("audio/webm", "1A45DFA3"), "wav": ("audio/wav", "52494646"), "mp3": ("audio/mpeg", "494433"), "ogg": ("audio/ogg", "4F676753")}
+AUDIO_TYPES, AUDIO_EXTENSION, AUDIO_START = ("audio/webm", "video/webm"), "webm", "1A45DFA3"
+#: Why an upload is refused -> status.
+UPLOAD_STATUS = {"container": 415, "size": 413, "content": 422}
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -63,8 +65,8 @@ def error_category(name: Column, module: Column, message: Column, status: Column
         .when(status.isNotNull() & status.between(400, 499), "validation_error")
         .when(status.isNotNull(), "internal_error")
         .when(has(n, "timeouterror"), "timeout")
-        .when(store & has(t, "connection", "transport", "dns", "timeout"), "store_connection_error")
-        .when(store, "store_query_error")
+        .when(store & has(t, "connection", "transport", "dns", "timeout"), "qdrant_connection_error")
+        .when(store, "qdrant_query_error")
         .when(has(n, "bm25") | has(m, "bm25"), "bm25_error")
         .when(has(n, "embedding", "embedder") | has(m, "torch"), "embedding_error")
         .when(has(n, "composer") | has(m, "answer_composer"), "composition_error")
@@ -74,21 +76,40 @@ def error_category(name: Column, module: Column, message: Column, status: Column
     )
 
 
-def failure(category: Column) -> Column:
-    """struct(status, code, message, retryable) of an error category."""
+def failure(category: Column, status: Column | None = None, message: Column | None = None, is_runtime: Column | None = None) -> Column:
+    """struct(category, status, code, message, retryable) of an error.
 
-    def row(v: tuple) -> Column:
-        return F.struct(F.lit(v[0]).alias("status"), F.lit(v[1]).alias("code"), F.lit(v[2]).alias("message"), F.lit(v[3]).alias("retryable"))
+    status and message are the error's own; is_runtime: whether it is a runtime error, which is
+    "unavailable" if its message says so.
+    """
+    own = F.lit(None).cast("int") if status is None else status
+    said = F.coalesce(F.lit(None).cast("string") if message is None else message, F.lit(""))
 
-    out = None
-    for name, v in FAILURES.items():
-        out = F.when(category == name, row(v)) if out is None else out.when(category == name, row(v))
-    return out.otherwise(row(OTHER_FAILURE))
+    def row(v: tuple, kind: Column = category, code: Column | None = None, text: Column | None = None, again: Column | None = None) -> Column:
+        return F.struct(kind.alias("category"), (F.lit(v[0]) if code is None else code).alias("status"), F.lit(v[1]).alias("code"), (F.lit(v[2]) if text is None else text).alias("message"), (F.lit(v[3]) if again is None else again).alias("retryable"))
+
+    timeout, invalid, speech, store = (FAILURES[k] for k in ("timeout", "validation_error", "stt_error", "qdrant_query_error"))
+    speech_status = F.when(own.isin(422, 502, 503), own).otherwise(speech[0])
+    speech_message = F.when((said != "") & ~F.startswith(said, F.lit("<")), said).otherwise(speech[2])
+    gone = (category == "internal_error") & (F.lit(False) if is_runtime is None else F.coalesce(is_runtime, F.lit(False))) & F.contains(F.lower(said), F.lit("unavailable"))
+    return (
+        F.when(category == "timeout", row(timeout))
+        .when(category == "validation_error", row(invalid, code=F.when(own.between(400, 499), own).otherwise(invalid[0])))
+        .when((category == "stt_error") & (own == 504), row(timeout, kind=F.lit("timeout")))
+        .when(category == "stt_error", row(speech, code=speech_status, text=speech_message, again=F.coalesce(speech_status == 503, F.lit(False))))
+        .when(category.isin("qdrant_connection_error", "qdrant_query_error") | gone, row(store))
+        .otherwise(row(OTHER_FAILURE))
+    )
+
+
+#: Seconds before the second and the third attempt of a read.
+BACK_OFF = (0.5, 1.0)
 
 
-def is_retryable_read(message: Column, attempt: Column, most: int = 3) -> Column:
-    """Only connection failures are tried again, ``most`` times in all; Spark itself retries tasks."""
-    return (attempt < most) & F.lower(message).rlike("dns|connection|timeout|timed out")
+def retry_after(message: Column, attempt: Column) -> Column:
+    """Seconds to wait before a failed read's next attempt; null if there is none, as only connection failures are tried again."""
+    again = F.lower(F.coalesce(message, F.lit(""))).rlike("dns|connection|timeout|timed out")
+    return F.when(again, F.get(F.array(*(F.lit(x) for x in BACK_OFF)), attempt - 1))
 
 
 def harness(requests: DataFrame) -> DataFrame:
@@ -119,15 +140,19 @@ def readiness(flags: Column) -> Column:
     return (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v, F.lit(False)))
 
 
-def upload_error(name: Column, content_type: Column, content: Column, size: Column) -> Column:
-    """Why an audio upload is refused (extension, type, size, first bytes), or null."""
-    ext = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]+)$", 1))
-    kinds = F.create_map(*(F.lit(x) for k, v in AUDIO_TYPES.items() for x in (k, v[0])))
-    magic = F.create_map(*(F.lit(x) for k, v in AUDIO_TYPES.items() for x in (k, v[1])))
+def extension(name: Column) -> Column:
+    """A file name's extension in lower case, empty if it has none; a leading period begins no extension."""
+    return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"[^/]\.([^./]+)$", 1))
+
+
+def upload_error(name: Column, content_type: Column, content: Column, size: Column | None = None) -> Column:
+    """Why an audio upload is refused: its container by name or type, its size, its first bytes; null if it isn't. The name may lack an extension."""
+    ext, bytes_ = extension(name), F.length(content) if size is None else size
     return (
-        F.when(~ext.isin(*AUDIO_TYPES), "extension").when(media_type(content_type) != kinds[ext], "content_type").when(size >= MAX_UPLOAD_BYTES, "size")
-        .when(~F.startswith(F.hex(F.substring(content, 1, 4)), magic[ext]), "content")
-    )
+        F.when(~ext.isin("", AUDIO_EXTENSION) | ~F.coalesce(media_type(content_type), F.lit("")).isin(*AUDIO_TYPES), "container")
+        .when(bytes_ >= MAX_UPLOAD_BYTES, "size")
+        .when(~F.coalesce(F.startswith(F.hex(F.substring(content, 1, 4)), F.lit(AUDIO_START)), F.lit(False)), "content")
+    )
 
 
 def counters(requests: DataFrame) -> DataFrame:

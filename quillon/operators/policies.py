@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import policy_prefix
+from quillon.functions.text import normalize_space, policy_prefix
+from quillon.operators import chunking, ingest
 
 #: Names of the policies, and how many passages that aren't selected each may add.
 POLICIES = {
@@ -34,11 +35,14 @@ def choose(passages: DataFrame, policy: str, record: str = "query_id") -> DataFr
 def _placed(passages: DataFrame, record: str) -> DataFrame:
     """Passages with their place (selected ones first) and the number of selected ones in their record."""
     own = Window.partitionBy(record)
+    line, index = own.orderBy("passage_index"), F.col("passage_index")
     hit = F.col("is_selected") == 1
-    rows = passages.withColumn("_sel", F.collect_list(F.when(hit, F.col("passage_index"))).over(own))
-    distance = F.when(hit, F.lit(-1)).when(F.size("_sel") > 0, F.array_min(F.transform("_sel", lambda s: F.abs(s - F.col("passage_index"))))).otherwise(F.col("passage_index"))
-    placed = rows.withColumn("_d", distance).withColumn("_n", F.size("_sel")).drop("_sel")
-    return placed.withColumn("place", F.row_number().over(own.orderBy("_d", "passage_index"))).drop("_d")
+    at = F.when(hit, index)
+    before = F.last(at, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(at, ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = passages.withColumn("_b", before).withColumn("_a", after).withColumn("_n", F.count(at).over(own))
+    distance = F.when(hit, F.lit(-1)).otherwise(F.coalesce(F.least(index - F.col("_b"), F.col("_a") - index), index))
+    return rows.withColumn("_d", distance).withColumn("place", F.row_number().over(own.orderBy("_d", "passage_index"))).drop("_b", "_a", "_d")
 
 
 def _keeps(policy: str) -> Column:
@@ -64,6 +68,39 @@ def policy_stats(chosen: DataFrame, passages: DataFrame, record: str = "query_id
     )
 
 
+def policy_chunk_stats(chosen: DataFrame, records: int, max_tokens: int = 256, record: str = "query_id") -> DataFrame:
+    """policy, and of its chunks: how many, by strategy, on average and at most of a record; ``records`` is the number of all records."""
+    own = chunking.chunk(chosen, max_tokens)
+    per = own.groupBy("policy", record).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("chunk_strategy") == s).alias(s) for s in chunking.STRATEGIES))
+    return per.groupBy("policy").agg(
+        F.sum("n").alias("chunks"), F.max("n").alias("max_chunks_of_row"), F.round(F.sum("n") / records, 6).alias("chunks_per_row"), F.count_distinct(record).alias("records_kept"),
+        *(F.sum(s).alias(s) for s in chunking.STRATEGIES),
+    )
+
+
+def english_stats(records: DataFrame, max_tokens: int = 256) -> DataFrame:
+    """One row: records, passages, filled and selected ones, records without a selected one, and the chunks that policy A keeps."""
+    one = records.select(F.size("passages").alias("p"), F.size(F.filter("passages", lambda t: normalize_space(t) != "")).alias("f"), F.size(F.filter("is_selected", lambda s: s == 1)).alias("s"))
+    counts = one.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("p").alias("passages"), F.sum("f").alias("non_empty_passages"), F.sum("s").alias("selected_passages"), F.count_if(F.col("s") == 0).alias("zero_selected_rows"))
+    kept = choose(ingest.passages(records), "POLICY_A_SELECTED_ONLY")
+    return counts.crossJoin(chunking.chunk(kept, max_tokens).agg(F.count(F.lit(1)).alias("compact_chunks")))  # a row each
+
+
+def storage_report(chunks: Column, bytes_per_point: float, languages: int = 1, price_per_gib: float | None = None, limit_gib: float | None = None) -> Column:
+    """struct(gib, bilingual_gib, monthly_cost, is_safe): what points take, what that costs, and whether both languages fit the limit."""
+    one, both = storage_gib(chunks, bytes_per_point), storage_gib(chunks, bytes_per_point, languages)
+    cost = F.lit(None).cast("double") if price_per_gib is None else one * price_per_gib
+    return F.struct(one.alias("gib"), both.alias("all_gib"), cost.alias("monthly_cost"), (F.lit(True) if limit_gib is None else both <= limit_gib).alias("is_safe"))
+
+
+def gated_union(first: DataFrame, second: DataFrame, bytes_per_point: float, limit_gib: float) -> DataFrame:
+    """Two languages' points as one collection; an error, before anything is written, if they don't fit the limit."""
+    points = first.count() + second.count()
+    if (gib := points * bytes_per_point / (1 << 30)) > limit_gib:
+        raise ValueError(f"{points} points need {gib:.3f} GiB, more than the limit of {limit_gib}")
+    return first.unionByName(second)
+
+
 def storage_gib(chunks: Column, bytes_per_point: float, languages: int = 1) -> Column:
     return chunks * F.lit(float(bytes_per_point)) * languages / F.lit(float(1 << 30))
 
@@ -106,6 +143,17 @@ def marginal_quality(metrics: DataFrame, quality: str = RELEVANCE[0]) -> DataFra
     return metrics.select("policy", ((F.col(quality) - F.lag(quality).over(order)) / F.nullif(more / 10000.0, F.lit(0.0))).alias("per_10k_chunks"))
 
 
+def english_policy_a(raw: DataFrame) -> DataFrame:
+    """The English passages of nested raw records that policy A keeps."""
+    return choose(ingest.passages(ingest.english_view(raw)), "POLICY_A_SELECTED_ONLY")
+
+
+def preflight(classified: DataFrame) -> None:
+    """An error if a missing chunk isn't a known overwrite: such an index isn't measured."""
+    if n := classified.where("class <> 'KNOWN_OVERWRITE'").count():
+        raise ValueError(f"{n} missing chunks are unexplained")
+
+
 def classify_missing(missing: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Missing chunks as KNOWN_OVERWRITE if ``known`` lists them, else UNEXPLAINED."""
     return missing.join(known.select(*keys, F.lit("KNOWN_OVERWRITE").alias("_known")).distinct(), keys, "left").withColumn("class", F.coalesce("_known", F.lit("UNEXPLAINED"))).drop("_known")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import meaningful_terms, normalize_space
+from quillon.operators.maturity import changed_terms
 
 #: Milliseconds that defensible evidence must lead maturity by for the policy to be what limits.
 POLICY_LEAD_MS = 50.0
@@ -36,6 +37,50 @@ def gate(partials: DataFrame, session: str = "session_id", seq: str = "seq", tex
     return decided.select(session, F.explode(F.arrays_zip("_p", "_d")).alias("_z")).select(session, "_z._p.*", F.col("_z._d").alias("decision"))
 
 
+def lifecycle(partials: DataFrame, mature: str = "mature", session: str = "session_id", seq: str = "seq", text: str = "transcript", min_terms: int = 2, least: float = 0.60) -> DataFrame:
+    """Partials with ``decision``, before and after a session has a trusted candidate.
+
+    prefiltered (too few terms, or none that the last evaluated one lacks), ignored (after maturity,
+    no material change from the trusted partial), both of these at once as prefiltered_post, evaluated
+    and evaluated_post. ``mature`` says whether evaluating a partial would make its retrieval the
+    trusted one; the first such partial stays. A fold over the session's partials in order.
+    """
+    rest = [c for c in partials.columns if c != session]
+    rows = partials.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(seq, *(c for c in rest if c != seq)))).alias("_p"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("said"), none.alias("last"), F.lit(None).cast("string").alias("trusted"), none.alias("terms"))
+    named = F.transform("_p", lambda p: F.struct(p.alias("p"), meaningful_terms(p[text]).alias("t")))
+
+    def step(state: Column, x: Column) -> Column:
+        terms, post = x["t"], state["trusted"].isNotNull()
+        few = F.size(terms) < min_terms
+        new = F.size(F.array_except(terms, state["last"])) > 0
+        said = (
+            F.when(few, F.when(post, "prefiltered_post").otherwise("prefiltered")).when(post & ((x["p"][text] == state["trusted"]) | ~changed_terms(terms, state["terms"], least)), "ignored")
+            .when(~new, "prefiltered").when(post, "evaluated_post").otherwise("evaluated")
+        )
+        done = F.startswith(said, F.lit("evaluated"))
+        first = ~post & done & F.coalesce(x["p"][mature], F.lit(False))
+        return F.struct(
+            F.array_append(state["said"], said).alias("said"), F.when(done, terms).otherwise(state["last"]).alias("last"),
+            F.when(first, x["p"][text]).otherwise(state["trusted"]).alias("trusted"), F.when(first, terms).otherwise(state["terms"]).alias("terms"),
+        )
+
+    decided = rows.withColumn("_n", named).withColumn("_d", F.aggregate("_n", start, step, lambda s: s["said"]))
+    return decided.select(session, F.explode(F.arrays_zip("_p", "_d")).alias("_z")).select(session, "_z._p.*", F.col("_z._d").alias("decision"))
+
+
+def lifecycle_counters(decided: DataFrame, session: str = "session_id") -> DataFrame:
+    """A session's partials: received, prefiltered, evaluated before maturity, and seen, ignored and evaluated after it."""
+    d = F.col("decision")
+    trusted = F.min(F.when(F.col("mature") & F.startswith(d, F.lit("evaluated")), F.col("seq"))).over(Window.partitionBy(session))
+    rows = decided.withColumn("_post", F.coalesce(F.col("seq") > trusted, F.lit(False)))
+    return rows.groupBy(session).agg(
+        F.count(F.lit(1)).alias("partials_received"), F.count_if(F.startswith(d, F.lit("prefiltered"))).alias("partials_prefiltered"), F.count_if(d == "evaluated").alias("retrieval_evaluations_before_maturity"),
+        F.count_if("_post").alias("post_maturity_partials_seen"), F.count_if(d.isin("ignored", "prefiltered_post")).alias("post_maturity_partials_ignored"), F.count_if(d == "evaluated_post").alias("post_maturity_retrievals_triggered"),
+    )
+
+
 def gate_counters(gated: DataFrame, session: str = "session_id") -> DataFrame:
     return gated.groupBy(session).agg(F.count(F.lit(1)).alias("partials_received"), F.count_if(F.col("decision") == "prefiltered").alias("partials_prefiltered"), F.count_if(F.col("decision") == "queued").alias("partials_queued"))
 

@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from quillon.plans import corpus, reports, retrieval, sessions  # noqa: F401  they register their queries
+from quillon.plans import corpus, reports, retrieval, service, sessions  # noqa: F401  they register their queries
 from quillon.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quillon.operators import audit, chunking, evaluate, ingest, policies
 from quillon.plans.registry import query
 from quillon.plans.retrieval import _answer_sentences_sql
 from quillon.sources import sinks
-from quillon.sources.tables import documents, records, table
+from quillon.sources.tables import documents, records, seed_passages, table
 
 RECORDS_SQL = """lb AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS quality FROM labels GROUP BY doc_id),
 rec AS (SELECT doc_id, lang, string_split(text, chr(10)) AS lines, coalesce(quality, 0) AS quality FROM documents LEFT JOIN lb USING (doc_id)),
@@ -219,11 +221,119 @@ def classify_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.classify_missing(audit.missing(docs, table(spark, sf_dir, "labels"), "doc_id").select("doc_id"), docs.where("doc_id % 3 = 0"), ["doc_id"]).select("doc_id", "class")
 
 
-@query("""WITH e AS (SELECT DISTINCT doc_id FROM documents), a AS (SELECT DISTINCT doc_id FROM labels), r AS (SELECT (SELECT count(*) FROM e ANTI JOIN a USING (doc_id)) AS missing, (SELECT count(*) FROM a ANTI JOIN e USING (doc_id)) AS unexpected)
-SELECT missing, unexpected, CASE WHEN missing > 0 THEN 'MISSING_POINTS' WHEN unexpected > 0 THEN 'UNEXPECTED_POINTS' ELSE 'STRUCTURALLY_COMPLETE' END AS status FROM r""")
+@query("""WITH e AS (SELECT lang, count(*) AS expected, count(l.doc_id) AS actual, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (lang = 'fr') AS payload_errors FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang
+  UNION ALL SELECT 'labelled', count(*), count(*), 0, 0 FROM (SELECT DISTINCT doc_id FROM labels)
+  UNION ALL SELECT 'unmeasured', count(*), count(*), 0, 0 FROM documents UNION ALL SELECT 'unexplained', count(*), 0, 0, 0 FROM documents)
+SELECT lang, expected, actual, missing, greatest(0, expected - actual) AS unexplained,
+  CASE WHEN missing = 0 AND payload_errors = 0 AND lang <> 'unmeasured' AND lang <> 'unexplained' THEN 'INDEX_SAFE_FOR_BENCHMARKING' ELSE 'INDEX_REQUIRES_FIX' END AS status FROM e""")
 def final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = audit.reconcile(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id").withColumn("collisions", F.lit(0)).withColumn("payload_errors", F.lit(0))
-    return audit.final_status(report).select("missing", "unexpected", "status")
+    """Each language's labels as its index; and the labelled documents as a whole one, one whose vectors were never measured, and one with an indexing error."""
+    docs, labelled = documents(spark, sf_dir).select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l")).distinct()
+    per = docs.join(labelled, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("expected"), F.count("l").alias("actual"), F.count_if(F.col("l").isNull()).alias("missing"), F.count_if(F.col("lang") == "fr").alias("payload_errors"))
+    zero = F.lit(0).cast("long")
+    whole = [df.agg(F.count(F.lit(1)).alias("expected")).select(F.lit(name).alias("lang"), "expected", (zero if name == "unexplained" else F.col("expected")).alias("actual"), zero.alias("missing"), zero.alias("payload_errors")) for df, name in ((labelled, "labelled"), (docs, "unmeasured"), (docs, "unexplained"))]
+    report = reduce(DataFrame.unionByName, whole, per).withColumn("unexpected", F.lit(0))
+    report = report.withColumn("vector_size", F.when(F.col("lang") != "unmeasured", 768)).withColumn("failed_class", F.when(F.col("lang") == "unexplained", "INDEXING_BUG").otherwise("RETRIEVAL_MISS"))
+    return audit.final_status(report).select("lang", "expected", "actual", "missing", "unexplained", "status")
+
+
+@query(f"""WITH {RECORDS_SQL}, r AS (SELECT doc_id, doc_id % 11 <> 0 AS found, CASE WHEN doc_id % 13 <> 0 THEN lines END AS lines, trim(regexp_replace(lines[1], '\\s+', ' ', 'g')) AS q, quality, lines AS every FROM rec)
+SELECT doc_id, CASE WHEN NOT found THEN 'INDEXING_BUG' WHEN lines IS NULL OR doc_id % 17 = 0 OR q = '' THEN 'AMBIGUOUS_GROUND_TRUTH' WHEN doc_id % 5 = 0 THEN 'SMOKE_TEST_EXPECTATION_BUG'
+  WHEN doc_id % 7 = 0 OR (doc_id % 3 = 0 AND quality = 1 AND q <> '') THEN 'INDEXING_BUG' ELSE 'RETRIEVAL_MISS' END AS class FROM r""")
+def failed_query_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records whose first line is the query; some are not found, malformed, asked otherwise, not indexed or without their first point."""
+    rows = records(spark, sf_dir).withColumn("i", F.col("query_id"))
+    whole = F.sequence(F.lit(0), F.size("passages") - 1).cast("array<int>")
+    rows = rows.select(
+        F.col("i").alias("doc_id"), (F.col("i") % 11 != 0).alias("found"), F.get("passages", F.lit(0)).alias("query"), F.when(F.col("i") % 13 != 0, F.col("passages")).alias("passages"),
+        F.when(F.col("i") % 17 == 0, F.slice("is_selected", 1, F.size("is_selected") - 1)).otherwise(F.col("is_selected")).alias("is_selected"),
+        F.when(F.col("i") % 7 != 0, F.when(F.col("i") % 3 == 0, F.array_append(F.filter(whole, lambda k: k > 0), F.lit(-1))).otherwise(whole)).alias("indexed"),
+    )
+    asked = normalize_space("query")
+    return audit.failed_query_class(rows.withColumn("asked", F.when(F.col("doc_id") % 5 == 0, F.concat(asked, F.lit("?"))).otherwise(asked))).select("doc_id", "class")
+
+
+@query("""WITH u AS (SELECT DISTINCT 'unexpected' AS kind, doc_id FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id) ORDER BY doc_id LIMIT 10), m AS (SELECT DISTINCT 'missing' AS kind, doc_id FROM documents ANTI JOIN labels USING (doc_id) WHERE lang = 'en' ORDER BY doc_id LIMIT 10)
+SELECT * FROM m UNION ALL SELECT * FROM u""")
+def reconcile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ids that a reconciliation report names."""
+    return audit.reconcile_samples(documents(spark, sf_dir).where("lang = 'en'"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN text END AS text, lang, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents), w AS (SELECT DISTINCT CAST(round_even(i * (SELECT count(*) - 1 FROM documents) / 19.0, 0) AS BIGINT) AS place FROM (SELECT unnest(range(20)) AS i))
+SELECT doc_id, place, CASE WHEN text IS NULL THEN '[text]' ELSE '[]' END AS errors FROM r JOIN w USING (place)""")
+def integrity_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty payloads at even distances; those of an odd length have lost their text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") % 2 == 0, F.col("text")).alias("text"), "lang")
+    return audit.integrity_sample(rows, "doc_id", ["text", "lang"], 20).select("doc_id", "place", F.concat(F.lit("["), F.array_join("errors", ", "), F.lit("]")).alias("errors"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT query_id, passage_index FROM pas WHERE query_id = (SELECT max(doc_id) FROM documents)")
+def points_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of one record, the last."""
+    last = documents(spark, sf_dir).agg(F.max("doc_id")).first()[0]
+    return sinks.points_of(_passages(spark, sf_dir), last).select("query_id", "passage_index")
+
+
+@query("SELECT doc_id, lang, sha256(text) AS text_hash, n_chars FROM documents")
+def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON payloads, and read back from them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang", "n_chars")
+    back = ingest.from_payload(ingest.payload(docs), "text string, lang string, n_chars long")
+    return back.select(F.col("point_id").alias("doc_id"), "lang", ids.text_hash(F.col("text")).alias("text_hash"), "n_chars")
+
+
+@query(f"""WITH u AS ({_POLICY_UNION.replace("is_selected FROM", "passage_index FROM")}), c AS (WITH {_chunks_sql(64)} SELECT query_id, passage_index, chunk_strategy FROM ch), j AS (SELECT policy, query_id, chunk_strategy FROM u JOIN c USING (query_id, passage_index)),
+p AS (SELECT policy, query_id, count(*) AS n, count(*) FILTER (chunk_strategy = 'whole_passage') AS w, count(*) FILTER (chunk_strategy = 'sentence_overlap') AS s, count(*) FILTER (chunk_strategy = 'token_window_fallback') AS t FROM j GROUP BY ALL)
+SELECT policy, CAST(sum(n) AS BIGINT) AS chunks, max(n) AS max_chunks_of_row, round(sum(n) / (SELECT count(*) FROM documents), 6) AS chunks_per_row, count(*) AS records_kept, CAST(sum(w) AS BIGINT) AS whole_passage, CAST(sum(s) AS BIGINT) AS sentence_overlap, CAST(sum(t) AS BIGINT) AS token_window_fallback FROM p GROUP BY policy""")
+def policy_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's chunks of at most 64 words."""
+    chosen = policies.all_policies(_passages(spark, sf_dir)).select("policy", "query_id", "passage_index", "text", "is_selected")
+    return policies.policy_chunk_stats(chosen, documents(spark, sf_dir).count(), 64)
+
+
+@query(f"""WITH {RECORDS_SQL}, one AS (SELECT len(lines) AS p, len(list_filter(lines, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')) AS f, CASE WHEN quality = 1 THEN len(list_filter(range(len(lines)), lambda i: i % 3 = 0)) ELSE 0 END AS s FROM rec WHERE lang = 'en'),
+c AS (WITH {_chunks_sql(64)} SELECT count(*) AS n FROM ch JOIN (SELECT query_id, passage_index FROM pas WHERE is_selected = 1 AND lang = 'en') USING (query_id, passage_index))
+SELECT count(*) AS n_rows, CAST(sum(p) AS BIGINT) AS passages, CAST(sum(f) AS BIGINT) AS non_empty_passages, CAST(sum(s) AS BIGINT) AS selected_passages, count(*) FILTER (s = 0) AS zero_selected_rows, (SELECT n FROM c) AS compact_chunks FROM one""")
+def english_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English view's counters, with the chunks that policy A keeps of it."""
+    return policies.english_stats(records(spark, sf_dir).where("source_lang = 'en'"), 64)
+
+
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, round(n * 9193.472 / 1073741824.0, 9) AS gib, round(2 * n * 9193.472 / 1073741824.0, 9) AS all_gib, round(n * 9193.472 / 1073741824.0 * 0.35, 9) AS monthly_cost, 2 * n * 9193.472 / 1073741824.0 <= 0.002 AS is_safe FROM c""")
+def storage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each language's points take and cost, and whether two such languages fit 0.002 GiB."""
+    counts = documents(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    r = counts.select("lang", policies.storage_report(F.col("n"), 9193.472, 2, 0.35, 0.002).alias("r"))
+    return r.select("lang", *(F.round(f"r.{c}", 9).alias(c) for c in ("gib", "all_gib", "monthly_cost")), "r.is_safe")
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS i FROM documents) WHERE i = 1")
+def first_of_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of rows of one provenance (here a language) the first in a stated order."""
+    rows = table(spark, sf_dir, "documents").withColumn("_o", -F.col("n_chars"))
+    return evaluate.first_of_each(rows, ["lang"], ["_o", "doc_id"]).select("lang", "doc_id")
+
+
+@query(f"""WITH {RECORDS_SQL} SELECT 'seed-' || l || '-' || i AS query_id, l AS language, t AS text FROM (VALUES ('en', 0, 'A seed.'), ('en', 1, 'Another.'), ('hi', 0, 'बीज')) s(l, i, t) UNION ALL SELECT CAST(query_id AS VARCHAR), lang, text FROM pas""")
+def seeded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed passages and the corpus as one bag."""
+    seeds = seed_passages(spark, {"en": ["A seed.", "Another."], "hi": ["बीज"]}).select("query_id", "language", "text")
+    return seeds.unionByName(_passages(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"), F.col("source_lang").alias("language"), "text"))
+
+
+@query("WITH i AS (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 2 = 0) SELECT source, text FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents JOIN i ON k = source WHERE trim(text) <> '') WHERE n = 1")
+def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index keys (here sources) with their first text that isn't blank."""
+    docs = table(spark, sf_dir, "documents")
+    return sinks.first_text(docs.where("doc_id % 2 = 0"), docs, "source", "text", "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id > (SELECT max(doc_id) // 2 FROM documents)")
+def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after a checkpoint in the middle of the ids."""
+    docs = documents(spark, sf_dir)
+    return sinks.after(docs, "doc_id", docs.agg(F.max("doc_id")).first()[0] // 2).select("doc_id")
 
 
 @query("SELECT doc_id, list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END], lambda x: x IS NOT NULL)::VARCHAR AS errors FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")

@@ -56,8 +56,7 @@ def latency_percentiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT unnest(range(1, 100)) AS k, unnest(list_transform(q, lambda x: round(x, 6))) AS q FROM (SELECT quantile_cont(value, {[k / 100 for k in range(1, 100)]!r}) AS q FROM events)")
 def inclusive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "events").agg(evaluate.inclusive_quantiles(F.col("value")).alias("q"))
-    return q.select(F.posexplode("q").alias("k", "q")).select((F.col("k") + 1).cast("long").alias("k"), F.round("q", 6).alias("q"))
+    return evaluate.inclusive_quantiles(table(spark, sf_dir, "events"), "value").withColumn("q", F.round("q", 6))
 
 
 @query("SELECT user_id, count(*) AS requests, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id")
@@ -89,18 +88,33 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.smallest_hashes(documents(spark, sf_dir), "lang", "doc_id", 100).select("lang", "doc_id")
 
 
-@query("""SELECT event_type, CASE WHEN event_type = 'error' THEN 500 ELSE 500 END AS status, 'RAG_INTERNAL_ERROR' AS code, false AS retryable, count(*) AS n FROM events GROUP BY event_type""")
+_ERRORS = "list_extract(['timeout', 'validation_error', 'stt_error', 'qdrant_connection_error', 'qdrant_query_error', 'internal_error', 'bm25_error'], CAST(1 + event_id % 7 AS INTEGER))"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_ERRORS} AS c, list_extract([404, 422, 502, 503, 504, 700, NULL], CAST(1 + user_id % 7 AS INTEGER)) AS s, list_extract(['service unavailable', '<html>', ''], CAST(1 + event_id % 3 AS INTEGER)) AS m FROM events)
+SELECT event_id, CASE WHEN c = 'stt_error' AND s = 504 THEN 'timeout' ELSE c END AS category,
+  CASE WHEN c = 'timeout' OR (c = 'stt_error' AND s = 504) THEN 504 WHEN c = 'validation_error' THEN CASE WHEN s BETWEEN 400 AND 499 THEN s ELSE 422 END WHEN c = 'stt_error' THEN CASE WHEN s IN (422, 502, 503) THEN s ELSE 502 END
+    WHEN c LIKE 'qdrant%' OR (c = 'internal_error' AND m LIKE '%unavailable%' AND event_id % 2 = 0) THEN 503 ELSE 500 END AS status,
+  CASE WHEN c = 'timeout' OR (c = 'stt_error' AND s = 504) THEN 'RAG_TIMEOUT' WHEN c = 'validation_error' THEN 'INVALID_REQUEST' WHEN c = 'stt_error' THEN 'STT_UNAVAILABLE'
+    WHEN c LIKE 'qdrant%' OR (c = 'internal_error' AND m LIKE '%unavailable%' AND event_id % 2 = 0) THEN 'RAG_UNAVAILABLE' ELSE 'RAG_INTERNAL_ERROR' END AS code,
+  CASE WHEN c = 'timeout' OR (c = 'stt_error' AND s = 504) THEN true WHEN c = 'stt_error' THEN coalesce(s = 503, false) ELSE c LIKE 'qdrant%' OR (c = 'internal_error' AND m LIKE '%unavailable%' AND event_id % 2 = 0) END AS retryable,
+  CASE WHEN c = 'stt_error' AND coalesce(s, 0) <> 504 AND m = 'service unavailable' THEN m END AS own_message FROM e""")
 def error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types as error categories; none of them is one that has a status of its own."""
-    f = guardrails.failure(F.col("event_type"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", f["status"].alias("status"), f["code"].alias("code"), f["retryable"].alias("retryable"), "n")
+    """Events as errors of all categories, statuses and messages; every second one is a runtime error."""
+    pick = lambda key, n, *values: F.get(F.array(*(F.lit(v) for v in values)), (F.col(key) % n).cast("int"))
+    category = pick("event_id", 7, "timeout", "validation_error", "stt_error", "qdrant_connection_error", "qdrant_query_error", "internal_error", "bm25_error")
+    message = pick("event_id", 3, "service unavailable", "<html>", "")
+    f = guardrails.failure(category, pick("user_id", 7, 404, 422, 502, 503, 504, 700, None), message, F.col("event_id") % 2 == 0)
+    rows = table(spark, sf_dir, "events").select("event_id", message.alias("_m"), f.alias("f"))
+    own = F.when((F.col("f.code") == "STT_UNAVAILABLE") & (F.col("f.message") == F.col("_m")), F.col("_m"))
+    return rows.select("event_id", "f.category", "f.status", "f.code", "f.retryable", own.alias("own_message"))
 
 
 _CASES = [("SttError", "app.stt", "", None), ("HttpError", "app", "", 404), ("HttpError", "app", "", 503), ("TimeoutError", "builtins", "", None), ("ResponseError", "qdrant_client", "connection refused", None), ("ResponseError", "qdrant_client", "bad filter", None), ("Bm25Failure", "app", "", None), ("EmbedderError", "app", "", None), ("ComposerError", "app", "", None), ("ValueError", "builtins", "bad", None), ("RetrievalError", "app", "", None), ("KeyError", "builtins", "", None)]
 
 
-@query("""SELECT * FROM (VALUES ('SttError', NULL, 'stt_error'), ('HttpError', 404, 'validation_error'), ('HttpError', 503, 'internal_error'), ('TimeoutError', NULL, 'timeout'), ('ResponseError/connection refused', NULL, 'store_connection_error'),
-('ResponseError/bad filter', NULL, 'store_query_error'), ('Bm25Failure', NULL, 'bm25_error'), ('EmbedderError', NULL, 'embedding_error'), ('ComposerError', NULL, 'composition_error'), ('ValueError/bad', NULL, 'validation_error'), ('RetrievalError', NULL, 'retrieval_error'), ('KeyError', NULL, 'internal_error')) t(name, status, category)""")
+@query("""SELECT * FROM (VALUES ('SttError', NULL, 'stt_error'), ('HttpError', 404, 'validation_error'), ('HttpError', 503, 'internal_error'), ('TimeoutError', NULL, 'timeout'), ('ResponseError/connection refused', NULL, 'qdrant_connection_error'),
+('ResponseError/bad filter', NULL, 'qdrant_query_error'), ('Bm25Failure', NULL, 'bm25_error'), ('EmbedderError', NULL, 'embedding_error'), ('ComposerError', NULL, 'composition_error'), ('ValueError/bad', NULL, 'validation_error'), ('RetrievalError', NULL, 'retrieval_error'), ('KeyError', NULL, 'internal_error')) t(name, status, category)""")
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_CASES, "name string, module string, message string, status int")
     shown = F.concat("name", F.when(F.col("message") != "", F.concat(F.lit("/"), "message")).otherwise(""))

@@ -229,7 +229,9 @@ def dominant_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, _, _, fused = lists(spark, sf_dir)
     evidence = fusion.evidence_only(fused)
-    return answers.with_evidence(queries.withColumn("language", F.lit("en")), evidence, documents(spark, sf_dir), KEYS)
+    found = answers.with_evidence(queries.withColumn("language", F.lit("en")), evidence, documents(spark, sf_dir), KEYS)
+    # Few rows, each with much to compute: dealt by number, so that they aren't put together again for being small.
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_key")
 
 
 def _answer_sentences_sql(text: str) -> str:

@@ -58,6 +58,12 @@ def schema_report(df: DataFrame, sample: int = 100) -> DataFrame:
     return counts.select(F.inline(pairs)).select("name", types[F.col("name")].alias("type"), "present")
 
 
+def value_report(df: DataFrame, columns: list[str], arrays: list[str] | None = None) -> DataFrame:
+    """One row: the distinct values of each column, sorted, and the least and most entries of each array."""
+    sets = [F.array_sort(F.collect_set(c)).alias(c) for c in columns]
+    return df.agg(*sets, *(f(F.size(c)).alias(f"{n}_{c}") for c in arrays or [] for f, n in ((F.min, "least"), (F.max, "most"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

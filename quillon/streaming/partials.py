@@ -61,8 +61,7 @@ def gate_stream(partials: DataFrame, min_terms: int = 2, idle: str | None = None
             state.setTimeoutDuration(idle)
         yield pd.DataFrame({"session_id": key[0], "seq": rows["seq"], "transcript": rows["transcript"], "decision": decisions})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return tokens.groupBy("session_id").applyInPandasWithState(step, GATED, _GATE_STATE, "append", timeout)
+    return tokens.groupBy("session_id").applyInPandasWithState(step, GATED, _GATE_STATE, "append", _timeout(idle))
 
 
 def latest_only(batch: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
@@ -102,7 +101,10 @@ TRUSTED = "session_id string, seq long, outcome string, trusted_seq long, update
 _TRUST_STATE = "seq long, query_id string, provenances string, confidence double, semantic_count long, semantic_ratio double, hybrid_count long, hybrid_ratio double, top1_in_both boolean, updates long, conflicts long"
 
 
-def _trust_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _trust_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle: str | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     held, at, updates, conflicts = None, None, 0, 0
     if state.exists:
         s = state.get
@@ -117,31 +119,48 @@ def _trust_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
             held, at = new, int(r.seq)
         out.append((key[0], int(r.seq), outcome, at, updates, conflicts))
     state.update((at, held.query_id, "\x01".join(sorted(held.provenances)), held.confidence, held.semantic_count, held.semantic_ratio, held.hybrid_count, held.hybrid_ratio, held.top1_in_both, updates, conflicts))
+    if idle:
+        state.setTimeoutDuration(idle)
     yield pd.DataFrame(out, columns=["session_id", "seq", "outcome", "trusted_seq", "updates", "conflicts"])
 
 
-def trusted_stream(candidates: DataFrame) -> DataFrame:
-    """Mature candidates (the columns of ``CANDIDATE``) with what each did to its session's trusted one."""
-    return candidates.groupBy("session_id").applyInPandasWithState(_trust_step, TRUSTED, _TRUST_STATE, "append", GroupStateTimeout.NoTimeout)
+def _timeout(idle: str | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
 
-def release_stream(events: DataFrame) -> DataFrame:
+def trusted_stream(candidates: DataFrame, idle: str | None = None) -> DataFrame:
+    """Mature candidates (the columns of ``CANDIDATE``) with what each did to its session's trusted one.
+
+    A session without candidates for as long as ``idle`` is forgotten. A stream that never ends must set
+    it, or its state grows; one that ends with the data at hand must not, as it would wait for the timeout.
+    """
+    step = lambda key, batches, state: _trust_step(key, batches, state, idle)
+    return candidates.groupBy("session_id").applyInPandasWithState(step, TRUSTED, _TRUST_STATE, "append", _timeout(idle))
+
+
+def release_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
     """session_id, speech_end_at, mature_at, both_at: emitted once, when both have been seen.
 
-    events: session_id, kind, at_ms; a session's second maturity or speech end changes nothing.
+    events: session_id, kind, at_ms; a session's second maturity or speech end changes nothing. idle
+    is as in ``trusted_stream``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         end, mature, done = state.get if state.exists else (None, None, False)
         for r in pd.concat(list(batches)).sort_values("at_ms", kind="stable").itertuples():
             end = float(r.at_ms) if end is None and r.kind == "speech_end" else end
             mature = float(r.at_ms) if mature is None and r.kind == "mature" else mature
         now = not done and end is not None and mature is not None
         state.update((end, mature, done or now))
+        if idle:
+            state.setTimeoutDuration(idle)
         if now:
             yield pd.DataFrame([(key[0], end, mature, max(end, mature))], columns=["session_id", "speech_end_at", "mature_at", "both_at"])
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, speech_end_at double, mature_at double, both_at double", "speech_end double, mature double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, speech_end_at double, mature_at double, both_at double", "speech_end double, mature double, done boolean", "append", _timeout(idle))
 
 
 def silence_stream(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:

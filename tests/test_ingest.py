@@ -1,6 +1,7 @@
 """Passages, chunks, policies, audits and sinks."""
 
 import math
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -120,8 +121,18 @@ def test_audit(spark):
     found = audit.collisions(rows, "id", "n", ["t"]).orderBy("n").collect()
     assert [(r.n, r.first_t, r.identical) for r in found] == [(2, "t", True), (3, "t", False)]
     assert tuple(audit.collision_report(rows, "id", "t").first()) == (2, 1, 2, 0, 1)
-    status = audit.final_status(spark.createDataFrame([(0, 0, 0, 0), (1, 0, 2, 0)], "missing int, unexpected int, collisions int, payload_errors int")).collect()
-    assert [r.status for r in status] == ["STRUCTURALLY_COMPLETE", "MISSING_POINTS"]
+    status = audit.final_status(spark.createDataFrame([(5, 5, 0, 0, 0, 768, "RETRIEVAL_MISS"), (5, 4, 1, 0, 0, 768, "RETRIEVAL_MISS"), (5, 5, 0, 0, 0, None, "RETRIEVAL_MISS"), (5, 5, 0, 0, 0, 768, "INDEXING_BUG")], "expected int, actual int, missing int, unexpected int, payload_errors int, vector_size int, failed_class string")).collect()
+    assert [r.status for r in status] == ["INDEX_SAFE_FOR_BENCHMARKING", *["INDEX_REQUIRES_FIX"] * 3] and status[1].unexplained == 1
+
+
+def test_failed_query_class(spark):
+    p, s = ["a", "b"], [1, 0]
+    rows = [
+        (False, "q", "q", p, s, [0, 1], "INDEXING_BUG"), (True, "q", "q", None, s, [0], "AMBIGUOUS_GROUND_TRUTH"), (True, "q", "q", p, [1], [0], "AMBIGUOUS_GROUND_TRUTH"), (True, " ", "other", p, s, [], "AMBIGUOUS_GROUND_TRUTH"), (True, "q", "other", p, s, [], "SMOKE_TEST_EXPECTATION_BUG"),
+        (True, " q ", "q", p, s, None, "INDEXING_BUG"), (True, "q", "q", p, s, [1], "INDEXING_BUG"), (True, "q", "q", [" ", "b"], s, [1], "RETRIEVAL_MISS"), (True, "q", "q", p, s, [0], "RETRIEVAL_MISS"),
+    ]
+    got = audit.failed_query_class(spark.createDataFrame([r[:6] for r in rows], "found boolean, query string, asked string, passages array<string>, is_selected array<int>, indexed array<int>")).collect()
+    assert [r["class"] for r in got] == [r[6] for r in rows]
 
 
 @settings(max_examples=10, deadline=None)
@@ -161,11 +172,89 @@ def test_events(spark):
 
 
 def test_latency_artefact(spark, tmp_path):
-    assert events.latency_artefact(spark, None).first().status == "pending"
-    (tmp_path / "a.json").write_text('{"p50": 1, "p70": 2, "p100": 3, "sample_count": 5, "scope": "local", "environment": "x"}')
-    assert events.latency_artefact(spark, str(tmp_path / "a.json")).first().status == "measured"
+    pending = events.latency_artefact(spark, None).first()
+    assert pending.p50_ms is None and pending.sample_count is None and pending.benchmark_environment == "pending"
+    (tmp_path / "a.json").write_text('{"p50_ms": 9, "p70_ms": 2,\n"p100_ms": null, "sample_count": 5, "benchmark_scope": "local", "benchmark_environment": "x"}')
+    got = events.latency_artefact(spark, str(tmp_path / "a.json")).first()
+    assert (got.p50_ms, got.p70_ms, got.p100_ms, got.sample_count, got.benchmark_scope) == (9.0, 2.0, None, 5, "local")
     (tmp_path / "b.json").write_text('{"p50": 5, "p70": 2, "p100": 3, "sample_count": 5, "scope": "local"}')
-    assert events.latency_artefact(spark, str(tmp_path / "b.json")).first().status == "invalid"
+    with pytest.raises(ValueError, match="missing fields: p50_ms"):
+        events.latency_artefact(spark, str(tmp_path / "b.json"))
+
+
+def test_upsert_moves_ids_between_partitions(spark, tmp_path):
+    path = str(tmp_path / "points")
+    row = "point_id string, text string, language string, seq int"
+    write = lambda *rows: sinks.upsert_table(spark, path, spark.createDataFrame(rows, row), "point_id", "seq")
+    read = lambda: sorted(((r.point_id, r.text, r.language) for r in spark.read.schema(row).parquet(path).collect()), key=repr)
+    assert write(("a", "1", None, 1)) == 1 and read() == [("a", "1", None)]
+    write(("b", "1", "hi", 1), ("c", "1", None, 1))
+    write(("a", "2", "en", 2))
+    assert read() == [("a", "2", "en"), ("b", "1", "hi"), ("c", "1", None)]
+    write(("b", "2", None, 2), ("c", "2", None, 2))
+    assert read() == [("a", "2", "en"), ("b", "2", None), ("c", "2", None)] and not (tmp_path / "points.next").exists() and not (tmp_path / "points/language=hi").exists()
+
+
+def test_upsert_that_ended_early_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "points")
+    row = "point_id string, text string, language string, seq int"
+    frame = lambda *rows: spark.createDataFrame(rows, row)
+    sinks.upsert_table(spark, path, frame(("a", "1", "hi", 1)), "point_id", "seq")
+    finish = sinks._finish_upsert
+    calls = []
+    monkeypatch.setattr(sinks, "_finish_upsert", lambda *x: calls.append(x) or (finish(*x) if len(calls) == 1 else None))
+    sinks.upsert_table(spark, path, frame(("a", "2", "en", 2)), "point_id", "seq")
+    assert [r.text for r in spark.read.parquet(path).collect()] == ["1"]
+    monkeypatch.setattr(sinks, "_finish_upsert", finish)
+    sinks.upsert_table(spark, path, frame(("b", "1", "en", 1)), "point_id", "seq")
+    assert sorted((r.point_id, r.text, r.language) for r in spark.read.parquet(path).collect()) == [("a", "2", "en"), ("b", "1", "en")]
+
+
+def test_copy_in_steps(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("s", "t", "c"))
+    spark.range(10).selectExpr("id as seq", "id * 2 as x").write.parquet(source)
+    copy = lambda **more: sinks.copy_points(spark, source, target, checkpoint, **more)
+    assert copy(dry_run=True) == 10 and not (tmp_path / "t").exists()
+    assert copy(most=4) == 4 and copy(most=4) == 4 and copy() == 2 and copy() == 0
+    assert sorted(r.seq for r in spark.read.parquet(target).collect()) == list(range(10))
+    with pytest.raises(ValueError, match="another copy"):
+        sinks.copy_points(spark, source, str(tmp_path / "other"), checkpoint)
+
+
+def test_strict_lookup_targets_and_gates(spark, tmp_path):
+    points = spark.createDataFrame([(1, [1.0, 2.0], "en")], "point_id int, vector array<double>, language string")
+    with pytest.raises(Exception, match="no such point: 2"):
+        sinks.lookup(points, spark.createDataFrame([(1,), (2,)], "point_id int"), "point_id", strict=True).collect()
+    sinks.check_target(points, 2)
+    for bad, size in ((points, 3), (points.withColumn("more", points.vector), 2), (points.drop("vector"), 2)):
+        with pytest.raises(ValueError):
+            sinks.check_target(bad, size)
+    assert policies.gated_union(points, points, 100, 1.0).count() == 2
+    with pytest.raises(ValueError, match="GiB"):
+        policies.gated_union(points, points, 1 << 30, 1.0)
+    sinks.json_report(points.drop("vector"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().language == "en"
+    with pytest.raises(ValueError, match="1 missing"):
+        policies.preflight(policies.classify_missing(points.select("point_id"), points.select("point_id").limit(0), ["point_id"]))
+
+
+def test_english_policy_a(spark):
+    raw = spark.createDataFrame([("q", "e", "1", "t", "s", "h", (["x", "y"], ["A b", " ", ], [1, 1]))], tables.RAW_SCHEMA)
+    assert [(r.query_id, r.text, r.target_lang) for r in policies.english_policy_a(raw).collect()] == [("1", "A b", "eng_Latn")]
+
+
+def test_another_tokenizer(spark):
+    rows = spark.createDataFrame([(1, "Ab cd. Ef gh. Ij.")], "i int, text string")
+    assert [r.text for r in chunking.chunk(rows, 4).orderBy("chunk_index").collect()] == ["Ab cd. Ef gh.", "Ef gh. Ij."]
+    assert [(r.text, r.token_count) for r in chunking.chunk(rows, 6, count=F.length).orderBy("chunk_index").collect()] == [("Ab cd.", 6), ("Ef gh.", 6), ("Ij.", 3)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(-1e6, 1e6), min_size=2, max_size=40))
+def test_interpolated_quantiles(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.k: r.q for r in evaluate.inclusive_quantiles(rows, "v", 4).collect()}
+    assert [got[k] for k in (1, 2, 3)] == pytest.approx(statistics.quantiles(values, n=4, method="inclusive"), abs=1e-6, rel=1e-9)
 
 
 def test_catalog(spark, data):
