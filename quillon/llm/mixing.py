@@ -19,6 +19,9 @@ Defined results
   null text: size 0. null source: a source of its own, last. null ids: documents like others.
   repeated rows: each is a document. A source without words: target 0, nothing taken.
   empty table: empty result. The same rows always give the same result, in whatever order.
+
+The driver holds a row for each source and each shard (``MAX_SHARDS`` of a source at most), but none
+for each document.
 """
 
 from __future__ import annotations
@@ -62,7 +65,8 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, repeat
         for i in over:
             out[i] = float(repeat * sizes[i])
         left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return out
 
 

@@ -6,7 +6,8 @@ host reversed, ``org.example<sep>/es/`` becomes a canonical key; all paths below
 it form one interval of keys, and the intervals of a host's rules nest.
 
 Each URL probes with one key for each suffix of its host (the host itself and
-its parent domains). Probes and the starts of rules are dealt by the top label
+its parent domains) that has no more labels than any rule's host, so that a host
+of very many labels makes few probes. Probes and the starts of rules are dealt by the top label
 and a salt, sorted by key, and swept once by a window: the last rule that
 started carries the stack of rules it is nested in, and the rules that contain
 the probe are those of this stack that the probe's key starts with. Probes of a
@@ -81,11 +82,13 @@ def filter_urls(df: DataFrame, rules: DataFrame, ids: list[str], url: str = "url
     names = [*ids, *([] if url in ids else [url])]
     rows = df.select(*names).withColumn("_host", url_host(F.col(url))).withColumn("_path", url_path(F.col(url)))
     labels = F.split("_host", r"\.")
+    most = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"] or 1
+    first = F.greatest(F.lit(1), F.size(labels) - (most - 1))
     probes = (
         rows.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int"))
         .withColumn("_top", F.element_at(labels, -1))
-        .withColumn("_n", F.size(labels))
-        .withColumn("_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: _key(F.slice(labels, i, F.size(labels)), F.col("_path")))))
+        .withColumn("_n", F.size(labels) - first + 1)
+        .withColumn("_key", F.explode(F.transform(F.sequence(first, F.size(labels)), lambda i: _key(F.slice(labels, i, F.size(labels)), F.col("_path")))))
     )
     stacks = rule_stacks(rules)
     stack_type = stacks.schema["stack"].dataType
@@ -115,7 +118,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH u AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host,
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages
 ), r(rule_host, rule_path, verdict) AS (

@@ -20,6 +20,7 @@ Defined results
   an encoding that can't be undone here (br): no title, links and conversion record.
   malformed records: parse() stops at the first broken header with an error that names its offset.
   repeated rows: each has its records; equal rows have equal ids. Empty table: empty result.
+  columns beside the id, url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.html_tree import Page, attributes
-from quillon.llm.scratch import bound_batches
+from quillon.llm.scratch import BATCH_BYTES, bound_batches
 
 #: The format's version, and the namespace of RFC 4122 for URLs.
 VERSION = "WARC/1.1"
@@ -243,25 +244,71 @@ def to_bytes(record: tuple) -> bytes:
     return head.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes) -> bytes:
-    """Content of all gzip members, or ``data`` itself if it isn't compressed."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data) + one.flush())
-        data = one.unused_data
-    return b"".join(out)
+class Content:
+    """The bytes of a file, plain or of all its gzip members, decompressed as far as they are asked for."""
+
+    def __init__(self, data: bytes):
+        self.parts = self._decompressed(data) if data[:2] == b"\x1f\x8b" else iter([data])
+        self.held, self.at, self.start = bytearray(), 0, 0  # start: the file's byte at which ``held`` begins
+
+    @staticmethod
+    def _decompressed(data: bytes) -> Iterator[bytes]:
+        at = 0
+        while at < len(data):
+            one = zlib.decompressobj(31)
+            while at < len(data) and not one.eof:
+                piece = data[at : at + 65536]
+                yield one.decompress(piece)
+                at += len(piece) - len(one.unused_data)
+
+    def more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        if self.at:
+            del self.held[: self.at]
+            self.start, self.at = self.start + self.at, 0
+        self.held += part
+        return True
+
+    def has(self, n: int) -> bool:
+        """Whether ``n`` more bytes are there."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """Bytes before ``mark``, which is passed over; None if it isn't there."""
+        seen = 0
+        while (found := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
+            if not self.more():
+                return None
+        return self.take(found - self.at + len(mark))[: -len(mark)]
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        return out
+
+    def skip(self, mark: bytes) -> None:
+        while self.has(len(mark)) and self.held[self.at : self.at + len(mark)] == mark:
+            self.at += len(mark)
+
+    @property
+    def place(self) -> int:
+        return self.start + self.at
 
 
 def from_bytes(data: bytes) -> Iterator[tuple]:
-    """The records in WARC bytes, plain or gzipped, as tuples in the order of ``SCHEMA``."""
-    data, at = members(data), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
+    """The records in WARC bytes, plain or gzipped, one at a time, as tuples in the order of ``SCHEMA``."""
+    source = Content(data)
+    while source.has(1):
+        at = source.place
+        head = source.upto(b"\r\n\r\n")
+        lines = (head or b"").decode("utf-8", "replace").split("\r\n")
+        if head is None or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         named: dict[str, str] = {}
         for line in lines[1:]:
@@ -270,19 +317,17 @@ def from_bytes(data: bytes) -> Iterator[tuple]:
                 raise ValueError(f"broken header line in the WARC record at byte {at}")
             name, value = name.strip(), value.strip()
             named[name] = f"{named[name]}\n{value}" if name in named and name != "Content-Length" else value
-        size = int(named.pop("Content-Length", "-1"))
-        if size < 0 or end + 4 + size > len(data):
+        length = named.pop("Content-Length", "")
+        if not length.isdecimal() or not source.has(int(length)):
             raise ValueError(f"no valid Content-Length in the WARC record at byte {at}")
-        block = data[end + 4 : end + 4 + size]
+        block = source.take(int(length))
         http = None
         if named.get("Content-Type", "").startswith("application/http"):
             cut = block.find(b"\r\n\r\n")
             http, block = (block[: cut + 4].decode("utf-8", "replace"), block[cut + 4 :]) if cut >= 0 else (None, block)
         first = [named.pop(n, None) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To")]
         yield (*first, list(named.items()), http, block)
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        source.skip(b"\r\n")
 
 
 def serialise(records: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -301,12 +346,21 @@ def serialise(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def parse(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the .warc and .warc.gz files at ``path``, a file to a task; file is their place."""
+    """All records of the .warc and .warc.gz files at ``path``; file is their place.
+
+    A task holds a file as it is stored (2 GB at most), and of its content the records of one batch.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(from_bytes(content))
+                rows, size = [], 0
+                for row in from_bytes(content):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size >= BATCH_BYTES or len(rows) >= 1000:
+                        yield _batch(pa.array([file] * len(rows), pa.string()), rows, "file")
+                        rows, size = [], 0
                 yield _batch(pa.array([file] * len(rows), pa.string()), rows, "file")
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(build, f"file string, {SCHEMA}")

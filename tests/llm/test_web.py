@@ -271,3 +271,22 @@ def test_templates_equal_brute_force(spark, seed):
     rows = [(k, f"http://{h}/{k}", f"<body><h1>{t}</h1>{''.join(map(html, d))}</body>") for k, (h, t, d) in enumerate(pages)]
     got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
     assert [got[k] for k in range(len(pages))] == brute_template(pages)
+
+
+def test_warc_files_are_read_in_pieces():
+    rows = [("response", f"<urn:uuid:{k}>", "http://a", "d", None, [("X", "y")], "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", bytes([k % 256]) * (k * 997 % 200_000)) for k in range(40)]
+    plain = b"".join(map(warc.to_bytes, rows))
+    for data in (plain, gzip.compress(plain), b"".join(gzip.compress(warc.to_bytes(r)) for r in rows)):
+        got = [(*r[:5], [("Content-Type", "x")][:0] + r[5], r[6], r[7]) for r in warc.from_bytes(data)]
+        assert [r[1] for r in got] == [r[1] for r in rows]
+        assert [(r[6] or "").encode() + r[7] for r in got] == [(r[6] or "").encode() + r[7] for r in rows]
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.from_bytes(plain[:-300_000]))
+    assert list(warc.from_bytes(b"")) == []
+
+
+def test_hosts_of_many_labels_make_few_probes(spark):
+    host = ".".join("abcde"[k % 5] for k in range(5000)) + ".example.org"
+    df = spark.createDataFrame([(1, f"http://{host}/es/x"), (2, f"http://{host}/q")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, url_filter.RULES), ["page_id"]).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow")}
