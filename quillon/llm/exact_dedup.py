@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import keep, sized
+from quillon.llm.scratch import keep, named, sized, unused
 
 COUNTERS = 4096
 
@@ -75,14 +75,21 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.
+    """The rows of ``df`` that stay, with all their columns: of rows with equal id and text, one.
 
     Only ids and digests are joined: broadcast if they are few, else with the texts shuffled once.
     """
-    groups = exact_groups(df, id_col, text_col, counters)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("_quillon_id"), F.unhex("text_sha256").alias("_quillon_digest"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return df.join(sized(gone.distinct(), "gone"), F.col(id_col).eqNullSafe(F.col("_quillon_id")) & (digest == F.col("_quillon_digest")), "left_anti")
+    groups = keep(exact_groups(df, id_col, text_col, counters).select(named(id_col).alias("id"), "kept", F.unhex("text_sha256").alias("digest")), "groups")
+    own_id, own_digest = unused(df, "_id", "_digest")
+    narrow = lambda rows: rows.select(F.col("id").alias(own_id), F.col("digest").alias(own_digest))
+    digest = F.unhex(F.sha2(F.coalesce(named(text_col), F.lit("")), 256))
+    same = named(id_col).eqNullSafe(F.col(own_id)) & (digest == F.col(own_digest))
+    kept = df.join(sized(narrow(groups.where(~F.col("kept")).distinct()), "gone"), same, "left_anti")
+    repeated = sized(narrow(groups.where("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, same, "left_semi").withColumn(own_digest, digest).dropDuplicates([id_col, own_digest]).drop(own_digest)
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.scratch import keep, sized
+from quillon.llm.scratch import columns, keep, named, sized, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEAT = 1.5, 2
@@ -160,8 +160,9 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Rows that agree in id and text share what they take.
     """
     found = mix(docs, id_col, text_col, source_col, **options)
-    share = found.groupBy(F.col(id_col).alias("_quillon_id"), F.col("_text").alias("_quillon_text")).agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_quillon_taken"), F.max("size").alias("_quillon_size")).where("_quillon_taken > 0")
-    here = F.col(id_col).eqNullSafe(F.col("_quillon_id")) & (F.xxhash64(text_col) == F.col("_quillon_text"))
+    own_id, own_text, taken, size, copy = unused(docs, "_id", "_hash", "_taken", "_size", "_copy")
+    share = found.groupBy(named(id_col).alias(own_id), F.col("_text").alias(own_text)).agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias(taken), F.max("size").alias(size)).where(F.col(taken) > 0)
+    here = named(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(named(text_col)) == F.col(own_text))
 
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         def one(t: str, n: int) -> str:
@@ -172,8 +173,9 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
         return pd.Series([one(t, n) for t, n in zip(text, words, strict=True)])
 
-    whole = docs.join(sized(share.where("_quillon_taken >= _quillon_size"), "whole"), here).withColumn("_quillon_copy", F.explode(F.expr("sequence(1, cast(_quillon_taken div _quillon_size as int))"))).select(*docs.columns)
-    ends = docs.join(sized(share.where("_quillon_taken % _quillon_size > 0"), "ends"), here).withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.expr("_quillon_taken % _quillon_size"))).select(*docs.columns)
+    whole = docs.join(sized(share.where(F.col(taken) >= F.col(size)), "whole"), here).withColumn(copy, F.explode(F.expr(f"sequence(1, cast({taken} div {size} as int))"))).select(*columns(docs))
+    rest = F.expr(f"{taken} % {size}")
+    ends = docs.join(sized(share.where(rest > 0), "ends"), here).withColumn(text_col, F.pandas_udf(cut, "string")(named(text_col), rest)).select(*columns(docs))
     return whole.unionByName(ends)
 
 

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import smallest_labels
-from quillon.llm.scratch import HOT_KEYS, HOT_ROWS, bound_batches, hot_keys, keep, keep_bucketed, salted_join, sized
+from quillon.llm.scratch import HOT_KEYS, HOT_ROWS, bound_batches, hot_keys, keep, keep_bucketed, named, salted_join, sized, unused
 from quillon.llm.shingles import mix, shingle_sets
 
 #: Bytes of text in a run, and in what a part of the key space counts, about.
@@ -341,8 +341,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component those whose id is its smallest, and all rows with null ids."""
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_quillon_id")).distinct()
-    return docs.join(sized(gone, "gone"), F.col(id_col) == F.col("_quillon_id"), "left_anti")
+    (own,) = unused(docs, "_id")
+    gone = found.where(named(id_col) != F.col("component_id")).select(named(id_col).alias(own)).distinct()
+    return docs.join(sized(gone, "gone"), named(id_col) == F.col(own), "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,8 +177,9 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col``, from the whole text alone; a column of that name is replaced."""
     docs = docs.drop(score_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names that need no quoting
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -193,7 +194,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 values = [own.constant] * batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], schema.names)
 
-    return docs.mapInArrow(scored, schema)
+    return plain.mapInArrow(scored, schema).toDF(*docs.columns, score_col)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

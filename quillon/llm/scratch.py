@@ -6,12 +6,12 @@ import atexit
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.sources.scratch import drop, forget, keep, register, release, shared_dir
 
-__all__ = ["bound_batches", "hot_keys", "keep", "keep_bucketed", "release", "salted_join", "shared_dir", "sized"]
+__all__ = ["bound_batches", "columns", "hot_keys", "keep", "keep_bucketed", "named", "release", "salted_join", "shared_dir", "sized", "unused"]
 
 _tables: list[tuple[SparkSession, str]] = []
 
@@ -39,6 +39,26 @@ def keep_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callab
     return spark.table(own), delete
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until none is a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Bytes of an Arrow batch: what a Python worker and its executor hold at once of a table with long texts.
 BATCH_BYTES = 8 << 20
 
