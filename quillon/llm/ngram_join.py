@@ -148,8 +148,9 @@ def answers(runs: DataFrame, key_bits: int, part_bits: int) -> DataFrame:
         for batch in batches:
             for run, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, counts = Sets(texts.values, key_bits).counted()
-                cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << in_part)
-                pieces = [(k, _packed(a - (np.uint64(k) << in_part), c)) for k, (a, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(a)]
+                # Work by the run's own keys, however many parts there are.
+                cuts = np.flatnonzero(np.diff(keys >> in_part)) + 1
+                pieces = [(int(a[0] >> in_part), _packed(a & ((np.uint64(1) << in_part) - np.uint64(1)), c)) for a, c in zip(np.split(keys, cuts), np.split(counts, cuts), strict=True) if len(a)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([run] * len(pieces), pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["part", "run", "piece"])
 
     def answer(table: pa.Table) -> pa.Table:
