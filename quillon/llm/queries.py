@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality, topk_search, url_filter, warc
+from quillon.llm import exact_dedup, html_extract, mixing, ngram_join, packing, pii, quality, token_counts, topk_search, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 
 ORACLE_SQL = {
