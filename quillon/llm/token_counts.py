@@ -11,7 +11,8 @@
    pre-token, and none of them is that frequent.
 
 Text is split at ASCII white space first where the tokenizer lets no pre-token reach across it, so
-that the library cuts each distinct word of a task once; else it is given whole texts.
+that each distinct word of a task is cut once; else whole texts are. The library cuts, but for words
+in Latin letters, which the tokenizer's pattern cuts likewise.
 
 Defined results
   null or empty text: no bytes and no tokens. null or repeated ids: each row has its own result.
@@ -23,24 +24,27 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.packing import byte_letters
 from quillon.llm.scratch import bound_batches, keep
 
 LIMIT = 2048
 #: Characters of a pre-token that is joined; fewer than so many pre-tokens are broadcast: at most some 25 MB, and 2 in practice.
 LONG, HOT_TOKENS = 64, 100_000
 #: Rows up to which a pre-token isn't hot, and words that a task remembers the pre-tokens of.
-HOT_ROWS, REMEMBERED = 64, 200_000
+HOT_ROWS, REMEMBERED = 64, 500_000
 
 
 def default_tokenizer() -> str:
@@ -56,7 +60,8 @@ class PreTokens:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            model = json.load(f)
+        added = model["added_tokens"]
         if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens that look at their surroundings are not supported")
         tokenizer = Tokenizer.from_file(path)
@@ -64,7 +69,8 @@ class PreTokens:
         self.special = {t["content"] for t in added}
         self.cut = re.compile("|".join(["(?!)", *(re.escape(s) for s in sorted(self.special, key=len, reverse=True))]))
         self.by_word = self._of("a b") == self._of("a") + self._of("b")
-        self.known: dict[bytes, list[str]] = {}
+        self.plain = plain_pattern(model)
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def _of(self, text: str) -> list[str]:
         text = self.normalizer.normalize_str(text) if self.normalizer else text
@@ -78,29 +84,71 @@ class PreTokens:
             at = m.end()
         return out + self._of(text[at:]) if at < len(text) else out
 
-    def of_word(self, word: bytes) -> list[str]:
-        got = self.known.get(word)
-        if got is None:
-            got = self.of(word.decode())
-            if len(word) <= LONG:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = got
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """Pre-tokens of a word that isn't remembered."""
+        if self.plain and _LATIN.fullmatch(word) and not self.cut.search(word):
+            low = word.lower()
+            got = (low,) if low.isalpha() else tuple(self.plain.findall(low))
+            if not word.isascii():
+                got = tuple(t.encode().decode("latin-1").translate(_LETTERS) for t in got)
+        else:
+            got = tuple(self.of(word))
+        if len(word) <= LONG:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = got
         return got
 
-    def frequencies(self, text: bytes) -> dict[str, int]:
-        """How often each pre-token stands in a text."""
-        words = Counter(text.split()) if self.by_word else {text: 1}
-        out: dict[str, int] = {}
-        for word, n in words.items():
-            for token in self.of_word(word):
-                out[token] = out.get(token, 0) + n
-        return out
+    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Pre-tokens of an array of texts: where each text's begin in the next three; names; numbers of names; how often."""
+        words = pc.ascii_split_whitespace(texts) if self.by_word else pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
+        held = words.flatten().dictionary_encode()
+        rows = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        row, word, n = _sums(rows, held.indices.to_numpy(), np.ones(len(rows), np.int64), len(held.dictionary))
+        known = self.known
+        each = [known.get(w) or self.of_word(w) for w in held.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = pa.array(itertools.chain.from_iterable(each), pa.string()).dictionary_encode()
+        # The tokens of all (text, word) pairs, one after the other.
+        many = sizes[word]
+        at = np.arange(many.sum()) + np.repeat((np.cumsum(sizes) - sizes)[word] - (np.cumsum(many) - many), many)
+        row, token, n = _sums(np.repeat(row, many), flat.indices.to_numpy()[at], np.repeat(n, many), len(flat.dictionary))
+        return np.searchsorted(row, np.arange(len(texts) + 1)), flat.dictionary, token, n
 
     def pieces(self, token: str) -> int:
         return 1 if token in self.special else len(self.model.tokenize(token))
 
 
+#: Words of printable ASCII and Latin letters and signs, of which none is composed further or lower-cased by its neighbours.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0132-\u024f]*")
+#: How byte-level pre-tokenizers write bytes that aren't printable Latin-1.
+_LETTERS = {b: c for c, b in byte_letters().items()}
+
+
+def plain_pattern(model: dict) -> regex.Pattern | None:
+    """What cuts a lower-cased word of Latin letters into pre-tokens, if the tokenizer lower-cases and takes a pattern's matches."""
+    normalizer, pre = model["normalizer"] or {}, model["pre_tokenizer"] or {}
+    steps, parts = [x["type"] for x in normalizer.get("normalizers", [])], pre.get("pretokenizers", [])
+    whole = [x.get("pattern") == {"Regex": r"\s+"} for x in normalizer.get("normalizers", []) if x["type"] == "Replace"]
+    if steps != ["NFC", "Replace", "Lowercase"] or whole != [True] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+        return None
+    split, letters = parts
+    if "Regex" not in split["pattern"] or split["behavior"] != "Removed" or not split["invert"] or letters["add_prefix_space"] or letters["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
+def _sums(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of counts by (row, code < width), in that order."""
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 3
+    keys = rows.astype(np.int64) * max(1, width) + codes
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first] // max(1, width), keys[first] % max(1, width), np.add.reduceat(counts[order], first)
+
+
 def frequencies(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
     """One row a document: row, id, n_bytes, own (tokens of its long pre-tokens), words (token, n)."""
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("own", T.LongType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])))])
@@ -108,18 +156,18 @@ def frequencies(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(tokenizer)
         for batch in batches:
-            tokens, counts, ends, sizes, own = [], [], [0], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                data = text.as_py() or b""
-                found = cutter.frequencies(data)
-                long = [t for t in found if len(t) > LONG]
-                own.append(sum(found.pop(t) * cutter.pieces(t) for t in long))
-                sizes.append(len(data))
-                tokens += found
-                counts += found.values()
-                ends.append(len(tokens))
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(np.array(counts, np.int64))], ["token", "n"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own, pa.int64()), words], schema.names)
+            texts = batch.column(2).fill_null("")
+            ends, names, token, n = cutter.frequencies(texts)
+            long = {int(k): cutter.pieces(names[k].as_py()) for k in np.flatnonzero(pc.greater(pc.utf8_length(names), LONG).to_numpy(zero_copy_only=False))}
+            own = np.zeros(len(texts), np.int64)
+            if long:
+                is_long = np.isin(token, list(long))
+                where = np.searchsorted(ends, np.flatnonzero(is_long), side="right") - 1
+                np.add.at(own, where, n[is_long] * np.array([long[k] for k in token[is_long]], np.int64))
+                ends = np.concatenate([[0], np.cumsum(~is_long)])[ends]
+                token, n = token[~is_long], n[~is_long]
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names.take(pa.array(token)), pa.array(n)], ["token", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.binary_length(texts).cast(pa.int64()), pa.array(own), words], schema.names)
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col), F.col(text_col)).mapInArrow(count, schema)
 
