@@ -2,13 +2,16 @@
 
 1. Every text becomes its pre-token frequencies: pre-tokens are what the tokenizer's own normalizer
    and pre-tokenizer cut a text into before its model runs, and a piece never crosses their borders.
-   The table of frequencies, one row a document, is kept in the shared folder.
-2. Frequencies are counted by pre-token with map-side sums, and the model counts the pieces of each
-   distinct pre-token once. Ids are never kept, nor is any list of a document's pieces.
-3. The documents' frequencies are joined to these piece counts and summed. Pre-tokens that stand in
-   more than 1 / ``HOT_TOKENS`` of all (document, pre-token) pairs, fewer than ``HOT_TOKENS``, are
-   broadcast, so that words of nearly every document are not shuffled; all others are shuffled by
-   pre-token, and none of them is that frequent.
+   The table of frequencies is kept in the shared folder, a batch of documents together, so that a
+   pre-token is written once for all documents of the batch.
+2. Pre-tokens in more than 1 / ``HOT_TOKENS`` of all (document, pre-token) pairs are found by adding
+   up the batches in which they are that frequent, without the many pre-tokens that nowhere are. They
+   are fewer than ``HOT_TOKENS``; the model counts the pieces of each once, and they are broadcast, so
+   that the words of nearly every document are not shuffled.
+3. All other frequencies are shuffled by pre-token once. Where they meet, the model counts the pieces
+   of each distinct pre-token once; none has more than 2 / ``HOT_TOKENS`` of all pairs.
+4. Frequencies times pieces are summed by document, with map-side sums. Ids are never kept, nor is any
+   list of a document's pieces.
 
 Text is split at ASCII white space first where the tokenizer lets no pre-token reach across it, so
 that each distinct word of a task is cut once; else whole texts are. The library cuts, but for words
@@ -36,15 +39,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.llm.packing import byte_letters
 from quillon.llm.scratch import bound_batches, keep
 
 LIMIT = 2048
-#: Characters of a pre-token that is joined; fewer than so many pre-tokens are broadcast: at most some 25 MB, and 2 in practice.
-LONG, HOT_TOKENS = 64, 100_000
+#: Characters of a pre-token that is joined; fewer than so many pre-tokens are broadcast: at most some 30 MB, and a few in practice.
+LONG, HOT_TOKENS = 64, 250_000
 #: Rows up to which a pre-token isn't hot, and words that a task remembers the pre-tokens of.
-HOT_ROWS, REMEMBERED = 64, 500_000
+HOT_ROWS, REMEMBERED = 64, 200_000
 
 
 def default_tokenizer() -> str:
@@ -150,56 +154,91 @@ def _sums(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, width: int) -
 
 
 def frequencies(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
-    """One row a document: row, id, n_bytes, own (tokens of its long pre-tokens), words (token, n)."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("own", T.LongType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])))])
+    """Frequencies of the documents, a batch at a time.
+
+    A row a document: row, id, n_bytes, own (tokens of its long pre-tokens). And a row for each
+    pre-token of a batch: its token, the batch's first row, and ``held``: for each document of the batch
+    with it, the document's place in the batch times 2 ** 32 plus how often it stands there. ``often`` says whether at least
+    1 / ``HOT_TOKENS`` of the batch's (document, pre-token) pairs are of this pre-token.
+    """
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("own", T.LongType()), T.StructField("token", T.StringType()), T.StructField("held", T.ArrayType(T.LongType())), T.StructField("often", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(tokenizer)
         for batch in batches:
-            texts = batch.column(2).fill_null("")
+            rows, texts = batch.column(0), batch.column(2).fill_null("")
             ends, names, token, n = cutter.frequencies(texts)
+            place = np.repeat(np.arange(len(texts)), np.diff(ends))
             long = {int(k): cutter.pieces(names[k].as_py()) for k in np.flatnonzero(pc.greater(pc.utf8_length(names), LONG).to_numpy(zero_copy_only=False))}
             own = np.zeros(len(texts), np.int64)
             if long:
                 is_long = np.isin(token, list(long))
-                where = np.searchsorted(ends, np.flatnonzero(is_long), side="right") - 1
-                np.add.at(own, where, n[is_long] * np.array([long[k] for k in token[is_long]], np.int64))
-                ends = np.concatenate([[0], np.cumsum(~is_long)])[ends]
-                token, n = token[~is_long], n[~is_long]
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names.take(pa.array(token)), pa.array(n)], ["token", "n"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.binary_length(texts).cast(pa.int64()), pa.array(own), words], schema.names)
+                np.add.at(own, place[is_long], n[is_long] * np.array([long[k] for k in token[is_long]], np.int64))
+                token, n, place = token[~is_long], n[~is_long], place[~is_long]
+            none = lambda k, size: pa.nulls(size, arrow.field(k).type)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(1), pc.binary_length(texts).cast(pa.int64()), pa.array(own), *(none(k, len(texts)) for k in (4, 5, 6))], schema=arrow)
+            order = np.argsort(token, kind="stable")
+            used, first = np.unique(token[order], return_index=True)
+            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array((place[order] << 32) + n[order])).cast(arrow.field(5).type)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), rows[0].as_py() if len(rows) else 0, np.int64)), *(none(k, len(used)) for k in (1, 2, 3)), names.take(pa.array(used)), held, pa.array(np.diff(first, append=len(order)) * HOT_TOKENS >= len(order))], schema=arrow)
 
     return docs.select(F.monotonically_increasing_id(), F.col(id_col), F.col(text_col)).mapInArrow(count, schema)
 
 
 def piece_counts(tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """token, docs and pieces of distinct pre-tokens (token, docs)."""
+    """token and pieces of distinct pre-tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(tokenizer)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([cutter.pieces(t.as_py()) for t in batch.column(0)], pa.int64())], ["token", "docs", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cutter.pieces(t) for t in batch.column(0).to_pylist()], pa.int64())], ["token", "pieces"])
+
+    return tokens.select("token").mapInArrow(count, "token string, pieces long")
+
+
+def met_pieces(of_batches: DataFrame, tokenizer: str) -> DataFrame:
+    """row and tokens: the frequencies (token, row, held) meet by pre-token, whose pieces are counted once where they do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, last, pieces = PreTokens(tokenizer), None, 0
+        for batch in batches:
+            each = []
+            for token in batch.column(0).to_pylist():
+                if token != last:
+                    last, pieces = token, cutter.pieces(token)
+                each.append(pieces)
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            held = batch.column(2).flatten().to_numpy()
+            rows = np.repeat(batch.column(1).to_numpy(), sizes) + (held >> 32)
+            order = np.argsort(rows, kind="stable")
+            found, first = np.unique(rows[order], return_index=True)
+            tokens = ((held & _COUNT) * np.repeat(np.array(each, np.int64), sizes))[order]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.add.reduceat(tokens, first) if len(found) else tokens)], ["row", "tokens"])
+
+    return of_batches.repartition("token").sortWithinPartitions("token").mapInArrow(count, "row long, tokens long")
+
 
-    return tokens.select("token", "docs").mapInArrow(count, "token string, docs long, pieces long")
+#: The lower half of a held number.
+_COUNT = (1 << 32) - 1
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row a row of ``docs``: id_col, n_bytes, n_tokens, over_limit."""
     bound_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    held = keep(frequencies(docs, id_col, text_col, path), "frequencies")
-    pairs = held.select("row", F.inline("words"))
-    counted = keep(piece_counts(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("docs")), path), "pieces")
-    total = counted.agg(F.sum("docs")).first()[0] or 0
-    is_hot = F.col("docs") > max(HOT_ROWS, total // HOT_TOKENS)
-    hot = F.broadcast(counted.where(is_hot).select("token", "pieces"))  # fewer than HOT_TOKENS rows of at most LONG characters
-    rest = counted.where(~is_hot).select("token", "pieces")
-    mapped = pairs.join(hot, "token").select("row", (F.col("n") * F.col("pieces")).alias("tokens"))
-    shuffled = pairs.join(hot, "token", "left_anti").join(rest.hint("merge"), "token").select("row", (F.col("n") * F.col("pieces")).alias("tokens"))
-    # A document's pairs lie in one task of the sum, which therefore makes one row of them before they are shuffled.
-    sums = mapped.unionByName(shuffled).groupBy("row").agg(F.sum("tokens").alias("tokens"))
+    held = keep(frequencies(docs, id_col, text_col, path), "frequencies", "zstd")
+    of_batches = held.where("token is not null")
+    total = of_batches.agg(F.sum(F.size("held"))).first()[0] or 0
+    often = of_batches.where("often").groupBy("token").agg(F.sum(F.size("held")).alias("docs")).where(F.col("docs") > max(HOT_ROWS, total // HOT_TOKENS))
+    hot = F.broadcast(keep(piece_counts(often, path), "hot"))  # fewer than HOT_TOKENS rows of at most LONG characters
+    rows = of_batches.select("token", "row", "held")
+    mapped = rows.join(hot, "token").select("row", "pieces", F.explode("held").alias("x")).select((F.col("row") + F.shiftright("x", 32)).alias("row"), (F.col("x").bitwiseAND(F.lit(_COUNT)) * F.col("pieces")).alias("tokens"))
+    met = met_pieces(rows.join(hot, "token", "left_anti"), path)
+    # A task's documents have one row each when they are shuffled.
+    sums = mapped.unionByName(met).groupBy("row").agg(F.sum("tokens").alias("tokens"))
     n_tokens = F.col("own") + F.coalesce("tokens", F.lit(0))
-    return held.select("row", "id", "n_bytes", "own").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+    return held.where("token is null").select("row", "id", "n_bytes", "own").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
