@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,28 +74,31 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, repeat
 def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     """Seats by the highest quotients votes / (2 n + 1), none above its cap; ties to the first.
 
-    The number of seats may be huge: a divisor that gives slightly too many is found by halving,
-    and the seats of the lowest quotients are taken back.
+    The number of seats may be huge: halving finds a divisor that surely gives no more than there are,
+    counted so that rounding can only leave seats out, and the rest go to the highest quotients one by
+    one, compared as fractions.
     """
     seats = min(seats, sum(c for v, c in zip(votes, caps, strict=True) if v > 0))
     if seats <= 0:
         return [0] * len(votes)
 
-    def given(divisor: float) -> list[int]:
-        return [min(c, int(v / divisor + 0.5)) for v, c in zip(votes, caps, strict=True)]
+    def given(divisor: float, sign: int) -> list[int]:
+        """Seats at a divisor: with sign 1 at least as many as exact division gives, with -1 at most."""
+        return [max(0, min(c, int(v / divisor * (1 + sign * 1e-12) + 0.5 + sign * 1e-9))) for v, c in zip(votes, caps, strict=True)]
 
-    low, high = 1e-9, 2.0 * max(votes) + 1
+    low, high = 0.0, 4.0 * max(votes) + 1
     for _ in range(100):
         middle = (low + high) / 2
-        low, high = (middle, high) if sum(given(middle)) >= seats else (low, middle)
-    out = given(low)
-    last = [(v / (2 * n - 1), -i) for i, (v, n) in enumerate(zip(votes, out, strict=True)) if n]
-    heapq.heapify(last)
-    for _ in range(sum(out) - seats):
-        _, i = heapq.heappop(last)
-        out[-i] -= 1
-        if out[-i]:
-            heapq.heappush(last, (votes[-i] / (2 * out[-i] - 1), i))
+        low, high = (middle, high) if middle == 0 or sum(given(middle, 1)) > seats else (low, middle)
+    out = given(high, -1)
+    exact = [Fraction(v) for v in votes]
+    best = [(-exact[i] / (2 * n + 1), i) for i, n in enumerate(out) if n < caps[i] and votes[i] > 0]
+    heapq.heapify(best)
+    for _ in range(seats - sum(out)):
+        _, i = heapq.heappop(best)
+        out[i] += 1
+        if out[i] < caps[i]:
+            heapq.heappush(best, (-exact[i] / (2 * out[i] + 1), i))
     return out
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
 
 import ahocorasick
@@ -44,7 +45,7 @@ _DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset(string.ascii_letters + string.digits + "+.-")
 _VALUE = re.compile(r"(?:\s+(?:number|no\.?|id))?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{6,})")
 _IBAN = re.compile(r"[\s:=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _MAILTO = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,6 +85,16 @@ def _email(text: str, at: int, begin: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain and start < at else None
 
 
+def _scheme(text: str, at: int) -> int:
+    """Where the scheme that ends before ``at`` starts, a letter; ``at`` if there is none."""
+    start = at
+    while start and text[start - 1] in _SCHEME:
+        start -= 1
+    while start < at and text[start] not in string.ascii_letters:
+        start += 1
+    return start
+
+
 def _ips(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Four numbers each from a run of digits and dots, also those out of range."""
     held: list[tuple[int, int]] = []
@@ -130,8 +141,8 @@ def find_spans(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int,
                 if 9 <= sum(c in _DIGITS for c in m[0]) <= 15:
                     out.append((at, 3, phone_end))
         elif what == "scheme":
-            if (m := _USERINFO.match(text, last + 1)) and (s := _SCHEME.search(text[max(0, at - 20) : at])):
-                out.append((at - len(s[0]), 4, m.end()))
+            if (m := _USERINFO.match(text, last + 1)) and (start := _scheme(text, at)) < at:
+                out.append((start, 4, m.end()))
         elif what == "mailto":
             if m := _MAILTO.match(text, last + 1):
                 out.append((at, 4, m.end()))
