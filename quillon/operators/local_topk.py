@@ -20,17 +20,25 @@ class Best:
     def __init__(self, queries: int, k: int, digits: int = 9):
         self.k, self.digits = k, digits
         self.held: list[list[tuple]] = [[] for _ in range(queries)]
+        self.floor = np.full(queries, -np.inf)  # the k-th score of what is held
 
     def add(self, keys: list[tuple], scores: np.ndarray, valid: np.ndarray) -> None:
         """Scores (rows x queries) of rows with these keys; only where ``valid``."""
         names = [tuple("" if x is None else str(x) for x in key) for key in keys]
         order = np.array(sorted(range(len(keys)), key=names.__getitem__))
         rounded = np.where(valid, np.round(scores, self.digits), -np.inf)[order]
-        first = np.argsort(-rounded, axis=0, kind="stable")[: self.k]
-        for q, held in enumerate(self.held):
-            new = [(-rounded[i, q], names[order[i]], float(scores[order[i], q]), keys[order[i]]) for i in first[:, q] if rounded[i, q] > -np.inf]
-            if new and (len(held) < self.k or new[0][:2] < held[-1][:2]):
-                self.held[q] = heapq.nsmallest(self.k, held + new, key=lambda row: row[:2])
+        # A row counts for a query only with one of the k best scores here, and none below the k-th that is held.
+        least = self.floor
+        if len(order) > self.k:
+            least = np.maximum(least, np.partition(rounded, len(order) - self.k, axis=0)[len(order) - self.k])
+        better = (rounded >= least) & (rounded > -np.inf)
+        for q in np.flatnonzero(better.any(axis=0)):
+            rows = np.flatnonzero(better[:, q])
+            rows = rows[np.argsort(-rounded[rows, q], kind="stable")[: self.k]]
+            new = [(-rounded[i, q], names[order[i]], float(scores[order[i], q]), keys[order[i]]) for i in rows]
+            held = self.held[q] = heapq.nsmallest(self.k, self.held[q] + new, key=lambda row: row[:2])
+            if len(held) == self.k:
+                self.floor[q] = -held[-1][0]
 
     def batches(self, query_keys: pa.Array, key_types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
         """query key, keys, score of all that is held."""

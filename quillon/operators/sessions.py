@@ -25,16 +25,35 @@ def gate(partials: DataFrame, session: str = "session_id", seq: str = "seq", tex
     order; a session is one utterance.
     """
     rest = [c for c in partials.columns if c != session]
-    rows = partials.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(seq, *(c for c in rest if c != seq)))).alias("_p"))
+    termed = partials.withColumn("_t", meaningful_terms(text))
+    rows = termed.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(seq, *(c for c in rest if c != seq), "_t"))).alias("_p"))
     empty = F.struct(F.array().cast("array<string>").alias("said"), F.array().cast("array<string>").alias("last"))
 
     def step(state: Column, p: Column) -> Column:
-        terms = meaningful_terms(p[text])
+        terms = p["_t"]
         queued = (F.size(terms) >= min_terms) & (F.size(F.array_except(terms, state["last"])) > 0)
         return F.struct(F.array_append(state["said"], F.when(queued, "queued").otherwise("prefiltered")).alias("said"), F.when(queued, terms).otherwise(state["last"]).alias("last"))
 
     decided = rows.withColumn("_d", F.aggregate("_p", empty, step, lambda s: s["said"]))
-    return decided.select(session, F.explode(F.arrays_zip("_p", "_d")).alias("_z")).select(session, "_z._p.*", F.col("_z._d").alias("decision"))
+    return decided.select(session, F.explode(F.arrays_zip("_p", "_d")).alias("_z")).select(session, "_z._p.*", F.col("_z._d").alias("decision")).drop("_t")
+
+
+def growing_gate(turns: DataFrame, session: str = "session_id", words: str = "w", step: int = 2, min_terms: int = 2) -> DataFrame:
+    """session, seq, decision as ``gate`` gives for transcripts that grow by ``step`` words to the whole turn, without making them.
+
+    A prefix holds all terms of the shorter ones, so a partial is queued when it has enough terms and
+    either brings one or is the first with enough: the first places of a turn's terms say it all. The
+    turns are shuffled once, by session.
+    """
+    dealt = turns.select(session, words).repartition(session)
+    place = F.floor(F.col("_at") / step).cast("long") + 1
+    said = dealt.select(session, F.posexplode(words).alias("_at", "_w")).select(session, place.alias("seq"), F.explode(meaningful_terms("_w")).alias("_term"))
+    fresh = said.groupBy(session, "_term").agg(F.min("seq").alias("seq")).groupBy(session, "seq").agg(F.count(F.lit(1)).alias("_new"))
+    partials = dealt.select(session, F.explode(F.sequence(F.lit(1), F.ceil(F.size(words) / step))).alias("seq"))
+    terms = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy(session).orderBy("seq"))
+    counted = partials.join(fresh, [session, "seq"], "left").withColumn("_terms", terms).withColumn("_before", F.col("_terms") - F.coalesce("_new", F.lit(0)))
+    queued = (F.col("_terms") >= min_terms) & ((F.col("_terms") > F.col("_before")) | (F.col("_before") < min_terms))
+    return counted.select(session, "seq", F.when(queued, "queued").otherwise("prefiltered").alias("decision"))
 
 
 def lifecycle(partials: DataFrame, mature: str = "mature", session: str = "session_id", seq: str = "seq", text: str = "transcript", min_terms: int = 2, least: float = 0.60) -> DataFrame:

@@ -12,10 +12,14 @@ from quillon.plans.retrieval import tokens_sql
 from quillon.sources.tables import table
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, w: the words of every turn."""
+    return table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn", "role").alias("session_id"), F.split(normalize_space("text"), " ").alias("w"))
+
+
 def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as growing transcripts: each partial has two words more than the last, and the last is the whole turn."""
-    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn", "role").alias("session_id"), F.split(normalize_space("text"), " ").alias("w"))
-    steps = turns.select("session_id", "w", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 2).cast("int"))).alias("k"))
+    steps = turns(spark, sf_dir).select("session_id", "w", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 2).cast("int"))).alias("k"))
     return steps.select("session_id", F.col("k").cast("long").alias("seq"), F.array_join(F.slice("w", F.lit(1), 2 * F.col("k")), " ").alias("transcript"))
 
 
@@ -34,12 +38,12 @@ gate AS (SELECT session_id, u.seq AS seq, u.d AS decision FROM (SELECT session_i
 
 @query(f"WITH {GATE_SQL} SELECT session_id, seq, decision FROM gate")
 def partials_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.gate(partials(spark, sf_dir)).select("session_id", "seq", "decision")
+    return sessions.growing_gate(turns(spark, sf_dir))
 
 
 @query(f"WITH {GATE_SQL} SELECT session_id, count(*) AS partials_received, count(*) FILTER (decision = 'prefiltered') AS partials_prefiltered, count(*) FILTER (decision = 'queued') AS partials_queued FROM gate GROUP BY 1")
 def partials_gate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.gate_counters(sessions.gate(partials(spark, sf_dir)))
+    return sessions.gate_counters(sessions.growing_gate(turns(spark, sf_dir)))
 
 
 @query(f"WITH {PARTIALS_SQL} SELECT session_id, (seq + 1) // 3 AS batch, max(seq) AS seq, arg_max(transcript, seq) AS transcript, count(*) - 1 AS dropped FROM pt GROUP BY ALL")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import sessions
-from quillon.plans.sessions import partials
+from quillon.plans.sessions import partials, turns
 from quillon.streaming import partials as streams
 
 
@@ -32,6 +32,15 @@ def test_gate_stream_equals_batch(spark, data, tmp_path):
     assert got == expected and "queued" in got.values()
 
 
+def test_growing_gate_is_the_gate_of_all_prefixes(spark, data):
+    rows = {(r.session_id, r.seq): r.decision for r in sessions.gate(partials(spark, data)).collect()}
+    found = sessions.growing_gate(turns(spark, data)).collect()
+    assert {(r.session_id, r.seq): r.decision for r in found} == rows and len(found) == len(rows)
+    said = spark.createDataFrame([("a", ["से", "से", "x", "x,", "y", "x", "से"]), ("b", [""]), ("c", ["one-two"]), ("d", ["ß", "SS", "ss", "t"])], "session_id string, w array<string>")
+    steps = said.select("session_id", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 2).cast("int"))).alias("seq"), "w").select("session_id", "seq", F.array_join(F.slice("w", F.lit(1), 2 * F.col("seq")), " ").alias("transcript"))
+    assert sorted(map(tuple, sessions.growing_gate(said).collect())) == sorted((r.session_id, r.seq, r.decision) for r in sessions.gate(steps).collect())
+
+
 def test_gate_of_one_session(spark):
     said = ["विला डेल", "विला डेल", "विला डेल सिया", "से", "सिया डेल", "दूर विला"]
     rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(said)], "session_id string, seq long, transcript string")
