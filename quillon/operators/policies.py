@@ -105,23 +105,23 @@ def storage_gib(chunks: Column, bytes_per_point: float, languages: int = 1) -> C
     return chunks * F.lit(float(bytes_per_point)) * languages / F.lit(float(1 << 30))
 
 
-def dominates(a: str, b: str) -> Column:
+def dominates(a: str, b: str, relevance: tuple = RELEVANCE, costs: tuple = COSTS) -> Column:
     """Whether row ``a`` of a join is no worse than row ``b`` in everything and better in something."""
     no_worse, better = F.lit(True), F.lit(False)
-    for names, sign in ((RELEVANCE, 1), (COSTS, -1)):
+    for names, sign in ((relevance, 1), (costs, -1)):
         for c in names:
             x, y = F.col(f"{a}.{c}") * sign, F.col(f"{b}.{c}") * sign
             no_worse, better = no_worse & (x >= y), better | (x > y)
     return no_worse & better
 
 
-def recommend(metrics: DataFrame) -> DataFrame:
+def recommend(metrics: DataFrame, relevance: tuple = RELEVANCE, costs: tuple = COSTS) -> DataFrame:
     """One row, recommendation: the one policy that dominates all others, if there is one.
 
     metrics has a row for each policy (five of them), so comparing all pairs is a fixed amount of work.
     """
     pairs = metrics.alias("a").join(metrics.alias("b"), F.col("a.policy") != F.col("b.policy"), "left")
-    over_all = pairs.groupBy(F.col("a.policy").alias("policy")).agg(F.bool_and(F.coalesce(F.col("b.policy").isNull() | dominates("a", "b"), F.lit(False))).alias("wins"))
+    over_all = pairs.groupBy(F.col("a.policy").alias("policy")).agg(F.bool_and(F.coalesce(F.col("b.policy").isNull() | dominates("a", "b", relevance, costs), F.lit(False))).alias("wins"))
     best = over_all.agg(F.count_if("wins").alias("n"), F.max(F.when(F.col("wins"), F.col("policy"))).alias("policy"))
     return best.select(F.when(F.col("n") == 1, F.concat(policy_prefix("policy"), F.lit("_RECOMMENDED"))).otherwise(UNRESOLVED).alias("recommendation"))
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ids
 from quillon.functions.text import answer_sentences, chunk_sentences, devanagari_language, estimated_tokens, normalize_space, preview, redact, without_fillers
-from quillon.operators import audit, chunking, evaluate, ingest, policies
+from quillon.operators import audit, chunking, evaluate, ingest, policies, skyline
 from quillon.plans.registry import query
 from quillon.plans.retrieval import _answer_sentences_sql
 from quillon.sources import sinks
+from quillon.sources.scratch import keep
 from quillon.sources.tables import documents, records, seed_passages, table
 
 RECORDS_SQL = """lb AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS quality FROM labels GROUP BY doc_id),
@@ -89,11 +90,45 @@ def policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.policy_stats(policies.all_policies(passages), passages)
 
 
-@query("SELECT 'POLICY_A_RECOMMENDED' AS recommendation")
+_MEASURES_SQL = f"""u AS ({_POLICY_UNION}), w AS (WITH {RECORDS_SQL} SELECT sum(is_selected) AS asel FROM pas),
+m AS (SELECT policy, count(DISTINCT query_id) AS rows_covered, count(*) AS passages, round(100 * CAST(sum(is_selected) AS BIGINT) / any_value(asel), 6) AS representation_percent FROM u, w GROUP BY 1)"""
+
+
+@query(f"""WITH {_MEASURES_SQL},
+b AS (SELECT policy FROM m x WHERE NOT EXISTS (FROM m y WHERE y.policy <> x.policy AND NOT (x.rows_covered >= y.rows_covered AND x.representation_percent >= y.representation_percent AND x.passages <= y.passages
+  AND (x.rows_covered > y.rows_covered OR x.representation_percent > y.representation_percent OR x.passages < y.passages))))
+SELECT CASE WHEN count(*) = 1 THEN array_to_string(list_slice(string_split(max(policy), '_'), 1, 2), '_') || '_RECOMMENDED' ELSE 'COMPACT_POLICY_TRADE_OFF_UNRESOLVED' END AS recommendation FROM b""")
 def pareto_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published measurements of three policies."""
-    rows = [("POLICY_A_SELECTED_ONLY", 0.7698, 0.5397, 0.7698, 58427, 161.70, 170.98, 189.56, 243.54), ("POLICY_D_SELECTED_PLUS_QUERY_COVERAGE", 0.7143, 0.5, 0.7143, 103502, 269.5, 278.28, 297.4, 357.6), ("POLICY_E_SELECTED_PLUS_1_WITH_ZERO_SELECTED_FALLBACK", 0.6746, 0.4365, 0.7302, 158537, 439.08, 445.6, 463.89, 513.56)]
-    return policies.recommend(spark.createDataFrame(rows, "policy string, expected_evidence_in_top_k_rate double, top1_expected_evidence_rate double, correct_evidence_family_rate double, chunk_count long, p50 double, p70 double, p95 double, p100 double"))
+    """The policy, if there is one, that covers as many records and selected passages as any other with as few passages."""
+    return policies.recommend(policy_stats(spark, sf_dir), ("rows_covered", "representation_percent"), ("passages",))
+
+
+@query(f"""WITH {_MEASURES_SQL}, l AS (SELECT *, lag(representation_percent) OVER o AS q, lag(passages) OVER o AS c, lag(rows_covered) OVER o AS r FROM m WINDOW o AS (ORDER BY passages, policy))
+SELECT policy, round((rows_covered - r)::DOUBLE / NULLIF((passages - c) / 10000.0, 0), 6) AS rows_per_10k, round((representation_percent - q)::DOUBLE / NULLIF((passages - c) / 10000.0, 0), 6) AS percent_per_10k FROM l""")
+def marginal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy gains over the next smaller one: records and selected passages covered, per 10,000 passages more."""
+    metrics = keep(policy_stats(spark, sf_dir).withColumnRenamed("passages", "chunk_count"), "measures")
+    rows, percent = (policies.marginal_quality(metrics, c).select("policy", F.round("per_10k_chunks", 6).alias(name)) for c, name in (("rows_covered", "rows_per_10k"), ("representation_percent", "percent_per_10k")))
+    return rows.join(percent, "policy")
+
+
+_GROUPS_SQL = "g AS (SELECT lang, source, count(*) AS docs, max(n_chars) AS longest, min(n_chars) AS shortest, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_GROUPS_SQL} SELECT * FROM g x WHERE NOT EXISTS (FROM g y WHERE y.docs >= x.docs AND y.longest >= x.longest AND y.shortest <= x.shortest AND y.lengths >= x.lengths AND (y.docs > x.docs OR y.longest > x.longest OR y.shortest < x.shortest OR y.lengths > x.lengths))""")
+def skyline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of sources that no other exceeds in documents, in their longest, shortest and different lengths at once."""
+    n = F.col("n_chars")
+    groups = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.max(n).alias("longest"), F.min(n).alias("shortest"), F.count_distinct(n).alias("lengths"))
+    return skyline.skyline(groups, ["docs", "longest", "lengths"], ["shortest"])
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL)
+SELECT * FROM d x WHERE NOT EXISTS (FROM d y WHERE y.spaces >= x.spaces AND y.n_chars <= x.n_chars AND (y.spaces > x.spaces OR y.n_chars < x.n_chars))""")
+def skyline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents than which none has as many spaces in as few characters."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and n_chars is not null")
+    return skyline.skyline(docs.select("doc_id", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("spaces")), ["spaces"], ["n_chars"])
 
 
 _SPLIT_SQL = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([।.!?]+)( |$)', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '')"

@@ -110,15 +110,28 @@ def error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "f.category", "f.status", "f.code", "f.retryable", own.alias("own_message"))
 
 
-_CASES = [("SttError", "app.stt", "", None), ("HttpError", "app", "", 404), ("HttpError", "app", "", 503), ("TimeoutError", "builtins", "", None), ("ResponseError", "qdrant_client", "connection refused", None), ("ResponseError", "qdrant_client", "bad filter", None), ("Bm25Failure", "app", "", None), ("EmbedderError", "app", "", None), ("ComposerError", "app", "", None), ("ValueError", "builtins", "bad", None), ("RetrievalError", "app", "", None), ("KeyError", "builtins", "", None)]
+_NAMES = ("SttError", "HttpError", "TimeoutError", "ResponseError", "Bm25Failure", "EmbedderError", "ComposerError", "ValueError", "RetrievalError", "KeyError")
+_MODULES = ("app", "app.stt", "qdrant_client", "torch.nn", "app.answer_composer", "builtins", None)
+_MESSAGES = ("connection refused", "", "bad filter", "qdrant dns", None)
 
 
-@query("""SELECT * FROM (VALUES ('SttError', NULL, 'stt_error'), ('HttpError', 404, 'validation_error'), ('HttpError', 503, 'internal_error'), ('TimeoutError', NULL, 'timeout'), ('ResponseError/connection refused', NULL, 'qdrant_connection_error'),
-('ResponseError/bad filter', NULL, 'qdrant_query_error'), ('Bm25Failure', NULL, 'bm25_error'), ('EmbedderError', NULL, 'embedding_error'), ('ComposerError', NULL, 'composition_error'), ('ValueError/bad', NULL, 'validation_error'), ('RetrievalError', NULL, 'retrieval_error'), ('KeyError', NULL, 'internal_error')) t(name, status, category)""")
+def _listed(values: tuple, key: str) -> str:
+    items = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"lower(coalesce(list_extract([{items}], CAST(1 + {key} % {len(values)} AS INTEGER)), ''))"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_listed(_NAMES, "event_id")} AS n, {_listed(_MODULES, "user_id")} AS m, {_listed(_MESSAGES, "CAST(floor(value) AS BIGINT)")} AS t, CASE WHEN event_type = 'error' THEN 400 + event_id % 200 END AS s FROM events),
+k AS (SELECT *, contains(n, 'qdrant') OR contains(m, 'qdrant') OR contains(t, 'qdrant') AS store FROM e)
+SELECT event_id, CASE WHEN contains(n, 'stt') OR contains(n, 'sarvam') OR contains(m, 'stt') THEN 'stt_error' WHEN s BETWEEN 400 AND 499 THEN 'validation_error' WHEN s IS NOT NULL THEN 'internal_error' WHEN contains(n, 'timeouterror') THEN 'timeout'
+  WHEN store AND (contains(t, 'connection') OR contains(t, 'transport') OR contains(t, 'dns') OR contains(t, 'timeout')) THEN 'qdrant_connection_error' WHEN store THEN 'qdrant_query_error' WHEN contains(n, 'bm25') OR contains(m, 'bm25') THEN 'bm25_error'
+  WHEN contains(n, 'embedding') OR contains(n, 'embedder') OR contains(m, 'torch') THEN 'embedding_error' WHEN contains(n, 'composer') OR contains(m, 'answer_composer') THEN 'composition_error' WHEN contains(n, 'valueerror') THEN 'validation_error'
+  WHEN contains(n, 'retriev') OR contains(m, 'retriev') THEN 'retrieval_error' ELSE 'internal_error' END AS category FROM k""")
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_CASES, "name string, module string, message string, status int")
-    shown = F.concat("name", F.when(F.col("message") != "", F.concat(F.lit("/"), "message")).otherwise(""))
-    return rows.select(shown.alias("name"), "status", guardrails.error_category(F.col("name"), F.col("module"), F.col("message"), F.col("status")).alias("category"))
+    """Events as errors of many types, modules and texts; those of type error have a status."""
+    pick = lambda values, key: F.get(F.array(*(F.lit(v) for v in values)), (key % len(values)).cast("int"))
+    status = F.when(F.col("event_type") == "error", 400 + F.col("event_id") % 200)
+    category = guardrails.error_category(pick(_NAMES, F.col("event_id")), pick(_MODULES, F.col("user_id")), pick(_MESSAGES, F.floor("value")), status)
+    return table(spark, sf_dir, "events").select("event_id", category.alias("category"))
 
 
 @query(r"""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN 'xx' ELSE 'en' END AS language, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
@@ -155,15 +168,6 @@ def safe_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe.select(F.col("event_id"), "language", "rag_ms")
 
 
-@query("""WITH m(policy, quality, chunks) AS (VALUES ('A', 0.7698, 58427), ('D', 0.7143, 103502), ('E', 0.6746, 158537)), l AS (SELECT *, lag(quality) OVER (ORDER BY chunks) AS q, lag(chunks) OVER (ORDER BY chunks) AS c FROM m)
-SELECT policy, round((quality - q)::DOUBLE / ((chunks - c) / 10000.0), 9) AS per_10k_chunks FROM l""")
-def marginal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.operators.policies import marginal_quality as marginal
-
-    rows = spark.createDataFrame([("A", 0.7698, 58427), ("D", 0.7143, 103502), ("E", 0.6746, 158537)], "policy string, quality double, chunk_count long")
-    return marginal(rows, "quality").select("policy", F.round("per_10k_chunks", 9).alias("per_10k_chunks"))
-
-
 @query("SELECT item_id, text FROM benchmark WHERE trim(text) <> '' ORDER BY item_id LIMIT 10")
 def first_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten benchmark items that aren't blank."""

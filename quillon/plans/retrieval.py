@@ -288,22 +288,23 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.context(_composed(spark, sf_dir), 2000).select("query_key", "evidence_count", "estimated_tokens", F.sha2("context", 256).alias("context_sha256"))
 
 
-_FACTS = [
-    ("How far is Lancaster from Philadelphia?", "Distance from Philadelphia, PA to Lancaster, PA is 80 Miles or 129 Km.", "en"),
-    ("How many moons does Mars have?", "Mars has 2 moons.", "en"),
-    ("When did Apollo 11 landing happen?", "Apollo 11 landing happened in 1969.", "en"),
-    ("Where is Paris?", "Paris is located in France.", "en"),
-    ("How far is Philadelphia from Lancaster?", "Distance is 80 miles or 129 km, while another route is 100 miles.", "en"),
-]
-
-
-@query("""SELECT * FROM (VALUES ('How far is Lancaster from Philadelphia?', 'Lancaster is about 80 miles (129 km) from Philadelphia.', 'distance'),
-('How many moons does Mars have?', 'Mars has 2 moons.', 'quantity'), ('When did Apollo 11 landing happen?', 'Apollo 11 landing happened in 1969.', 'date'),
-('Where is Paris?', 'Paris is in France.', 'location'), ('How far is Philadelphia from Lancaster?', NULL, NULL)) t(query, answer, kind)""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k, regexp_extract(text, '[A-Za-z]{3,}') AS w, lang, n_chars AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL)
+SELECT doc_id, CASE k WHEN 0 THEN 'quantity' WHEN 1 THEN 'date' WHEN 2 THEN 'location' WHEN 3 THEN 'distance' WHEN 5 THEN CASE WHEN contains(lower(lang || ' has lines.'), lower(w)) THEN 'quantity' END END AS kind,
+  CASE k WHEN 0 THEN format('{} has {} lines.', w, n) WHEN 1 THEN format('{} happened in {}.', w, 1500 + n % 600) WHEN 2 THEN format('{} is in {}.', w, lang) WHEN 3 THEN format('{} is about {} miles ({} km) from {}.', w, n, 2 * n, lang)
+  WHEN 5 THEN CASE WHEN contains(lower(lang || ' has lines.'), lower(w)) THEN format('{} has {} lines.', w, n) END END AS answer FROM d WHERE w <> ''""")
 def format_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_FACTS, "query string, source string, language string")
-    f = answers.formatted_answer(F.col("query"), F.col("source"), F.col("language"))
-    return rows.select("query", f["answer"].alias("answer"), f["kind"].alias("kind"))
+    """A question and a fact about each document's first word: a number, a year, a place, a distance, two distances that disagree, and a fact about something else."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null and n_chars is not null")
+    d = docs.select("doc_id", (F.col("doc_id") % 6).alias("k"), F.regexp_extract("text", "[A-Za-z]{3,}", 0).alias("w"), "lang", F.col("n_chars").alias("n")).where("w <> ''")
+    far = ("How far is %s from %s?", ("w", "lang"))
+    pairs = [
+        (("How many lines does %s have?", ("w",)), ("%s has %d lines.", ("w", "n"))), (("When did %s happen?", ("w",)), ("%s happened in %d.", ("w", F.col("n") % 600 + 1500))), (("Where is %s?", ("w",)), ("%s is located in %s.", ("w", "lang"))),
+        (far, ("Distance from %s to %s is %d miles or %d km.", ("lang", "w", "n", F.col("n") * 2))), (far, ("Distance from %s to %s is %d miles or %d km, another route is 5 miles.", ("lang", "w", "n", F.col("n") * 2))),
+        (("How many lines does %s have?", ("w",)), ("%s has %d lines.", ("lang", "n"))),
+    ]
+    said = [F.get(F.array(*(F.format_string(pair[side][0], *pair[side][1]) for pair in pairs)), F.col("k").cast("int")) for side in (0, 1)]
+    f = answers.formatted_answer(F.col("q"), F.col("s"), F.lit("en"))
+    return d.select("doc_id", said[0].alias("q"), said[1].alias("s")).select("doc_id", f["kind"].alias("kind"), f["answer"].alias("answer"))
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
