@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ids
 from quillon.functions.text import answer_sentences, chunk_sentences, devanagari_language, estimated_tokens, normalize_space, preview, redact, without_fillers
-from quillon.operators import audit, chunking, evaluate, ingest, policies, skyline
+from quillon.operators import audit, chunking, evaluate, ingest, policies, skyline, token_chunks
 from quillon.plans.registry import query
 from quillon.plans.retrieval import _answer_sentences_sql
 from quillon.sources import sinks
@@ -177,6 +177,22 @@ def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("query_id", "passage_index", "chunk_index", "chunk_strategy", "token_count", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(f"WITH {_chunks_sql()} SELECT query_id, passage_index, chunk_index, chunk_strategy, token_count, sha256(text) AS text_sha256 FROM ch")
+def chunks_as_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks as slices of their passages, cut where the tokens of a pluggable tokenizer, here words, lie."""
+    found = token_chunks.chunk(_passages(spark, sf_dir), "words", 64)
+    return found.select("query_id", "passage_index", "chunk_index", "chunk_strategy", "token_count", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def chunks_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in chunks of at most 256 tokens of a byte-level vocabulary, with the tokens' ids."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return token_chunks.chunk(docs, public_tokenizers.path("byte_bpe_50k.json"), 256).select("doc_id", "chunk_index", "start", "end", "chunk_strategy", "token_count", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"))
+
+
 @query(f"""WITH {RECORDS_SQL}, c AS (SELECT len(string_split(text, ' ')) AS n FROM pas)
 SELECT count(*) AS passages, count(*) FILTER (n <= 64) AS whole_passages, CAST(max(n) AS BIGINT) AS longest FROM c""")
 def chunk_whole_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
