@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import token_count
-from quillon.operators import evaluate, guardrails
+from quillon.operators import composer, evaluate, guardrails, nested
 from quillon.plans.registry import query
 from quillon.sources.tables import documents, table
 
@@ -172,3 +172,42 @@ def safe_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten benchmark items that aren't blank."""
     return evaluate.first_rows(table(spark, sf_dir, "benchmark"), ["item_id"], 10, F.trim("text") != "").select("item_id", "text")
+
+
+_EVENT_JSON = """'{"id":' || event_id || ',"type":"' || event_type || '","user":{"id":' || user_id || ',"api_key":"k' || user_id || '","tags":["t",{"odd":' || CASE WHEN user_id % 2 = 1 THEN 'true' ELSE 'false' END || ',"Token":' || event_id || '},[],null]},"props":' || props || '}'"""
+
+
+def _event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested JSON texts around the JSON that they hold."""
+    return table(spark, sf_dir, "events").where("props is not null").select("event_id", F.expr(_EVENT_JSON).alias("j"))
+
+
+@query(f"""WITH e AS (SELECT event_id, {_EVENT_JSON} AS j FROM events WHERE props IS NOT NULL)
+SELECT regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n FROM e, json_tree(CAST(e.j AS JSON)) t GROUP BY 1, 2""")
+def json_key_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of the events' nested JSON, with the kinds of its values."""
+    return nested.key_report(nested.walk(_event_json(spark, sf_dir), "event_id", "j"))
+
+
+@query(f"""WITH e AS (SELECT event_id, {_EVENT_JSON} AS j FROM events WHERE props IS NOT NULL)
+SELECT event_id, replace(replace(j, '"api_key":"k' || regexp_extract(j, '"k([0-9]+)"', 1) || '"', '"api_key":"[REDACTED]"'), '"Token":' || event_id, '"Token":"[REDACTED]"') AS j FROM e""")
+def json_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same JSON without the values of secret keys, wherever they stand."""
+    return _event_json(spark, sf_dir).select("event_id", nested.redact_keys("j").alias("j"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 'model ' || length(text) ELSE source END AS composed_answer, CASE WHEN length(text) % 3 = 0 THEN 'model' ELSE 'fallback' END AS composed_by,
+CASE WHEN text IS NULL THEN 'no_prompt' WHEN length(text) % 3 = 1 THEN 'ConnectionError' WHEN length(text) % 3 = 2 THEN 'empty' END AS composer_error FROM documents""")
+def composed_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prompts of a scripted model that answers a third, fails for a third and has nothing to say to the others."""
+
+    def make() -> composer.Model:
+        def model(prompt: str) -> str:
+            if len(prompt) % 3 == 1:
+                raise ConnectionError
+            return f"model {len(prompt)}" if len(prompt) % 3 == 0 else " "
+
+        return model
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("prompt"))
+    return composer.compose_with(rows, make, fallback_col="source", pause=0.001).select("doc_id", "composed_answer", "composed_by", "composer_error")
