@@ -18,6 +18,7 @@ Defined results
   text that isn't HTML or text/*: no conversion record, as there is no text to give.
   encodings that the payload doesn't have, as they were undone before it was stored: the payload as it is.
   an encoding that can't be undone here (br): no title, links and conversion record.
+  field names in any case and folded lines: as if they were spelt and written as usual.
   malformed records: parse() stops at the first broken header with an error that names its offset.
   repeated rows: each has its records; equal rows have equal ids. Empty table: empty result.
   columns beside the id, url and html aren't read, whatever their names.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html
 import re
 import uuid
 import zlib
@@ -51,6 +53,9 @@ UNSEEN = frozenset("script style noscript template iframe head".split())
 REPLACED = frozenset("content-type content-length warc-block-digest warc-payload-digest warc-source-payload-digest".split())
 OF_BLOCK = frozenset("warc-truncated warc-segment-number warc-segment-origin-id warc-segment-total-length".split())
 
+#: Fields that are looked for by name, as they are spelt; a record may spell them in any case.
+NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length")}
+
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, headers map<string,string>, http_headers string, payload binary"
 
 
@@ -93,7 +98,7 @@ def _batch(ids: pa.Array, rows: list[tuple], id_col: str) -> pa.RecordBatch:
 
 def http_parts(http: str | None) -> tuple[str, list[tuple[str, str]]]:
     """Status line, and header fields in their order, with lower-case names."""
-    lines = (http or "").split("\r\n")
+    lines = unfolded((http or "").split("\r\n"))
     fields = []
     for line in lines[1:]:
         name, colon, value = line.partition(":")
@@ -102,6 +107,17 @@ def http_parts(http: str | None) -> tuple[str, list[tuple[str, str]]]:
     return lines[0], fields
 
 
+def unfolded(lines: list[str]) -> list[str]:
+    """Header lines with those that start with white space put, after a space, behind the one they go on."""
+    out = lines[:1]
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and len(out) > 1:
+            out[-1] = f"{out[-1].rstrip()} {line.strip()}"
+        else:
+            out.append(line)
+    return out
+
+
 def unchunked(data: bytes) -> bytes:
     """Content of a chunked body, up to where it was cut; ``data`` itself if it isn't chunked."""
     out, at = [], 0
@@ -173,9 +189,9 @@ def html_parts(source: str) -> tuple[str, list[str], str]:
         tag, attrs, parent, first, end = elements[k]
         seen[k] = seen[parent] and tag not in UNSEEN
         if tag == "title" and not title and end > first + 1:
-            title = " ".join("".join(page.tokens[first + 1 : end]).split())
+            title = " ".join(html.unescape("".join(page.tokens[first + 1 : end])).split())
         if attrs and tag in ("a", "area", "link", "img", "script", "iframe"):
-            links += [v for n, v in attributes(attrs).items() if n in ("href", "src")]
+            links += [html.unescape(v).strip() for n, v in attributes(attrs).items() if n in ("href", "src")]
     return title, links, "\n".join(page.blocks(seen))
 
 
@@ -189,7 +205,7 @@ def derive_one(source: tuple) -> list[tuple]:
     content_type = next((v for n, v in headers if n == "content-type"), "")
     media = content_type.split(";")[0].strip().lower()
     is_html = media in ("text/html", "application/xhtml+xml")
-    source_digest = held.get("WARC-Payload-Digest") or digest(payload)
+    source_digest = next((v for n, v in held.items() if n.lower() == "warc-payload-digest" and v), None) or digest(payload)
     kept = {f"WARC-Source-{n[5:]}" if n.lower() in OF_BLOCK else n: v for n, v in held.items() if n.lower() not in REPLACED}
     body_bytes = decoded(payload, headers)
     readable = body_bytes is not None
@@ -311,18 +327,19 @@ def from_bytes(data: bytes) -> Iterator[tuple]:
         if head is None or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         named: dict[str, str] = {}
-        for line in lines[1:]:
+        spelt = dict(NAMES)
+        for line in unfolded(lines)[1:]:
             name, colon, value = line.partition(":")
             if not colon:
                 raise ValueError(f"broken header line in the WARC record at byte {at}")
-            name, value = name.strip(), value.strip()
+            name, value = spelt.setdefault(name.strip().lower(), name.strip()), value.strip()
             named[name] = f"{named[name]}\n{value}" if name in named and name != "Content-Length" else value
         length = named.pop("Content-Length", "")
         if not length.isdecimal() or not source.has(int(length)):
             raise ValueError(f"no valid Content-Length in the WARC record at byte {at}")
         block = source.take(int(length))
         http = None
-        if named.get("Content-Type", "").startswith("application/http"):
+        if named.get("Content-Type", "").lower().startswith("application/http"):
             cut = block.find(b"\r\n\r\n")
             http, block = (block[: cut + 4].decode("utf-8", "replace"), block[cut + 4 :]) if cut >= 0 else (None, block)
         first = [named.pop(n, None) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To")]
@@ -348,7 +365,7 @@ def serialise(records: DataFrame, id_col: str = "page_id") -> DataFrame:
 def parse(spark: SparkSession, path: str) -> DataFrame:
     """All records of the .warc and .warc.gz files at ``path``; file is their place.
 
-    A task holds a file as it is stored (2 GB at most), and of its content the records of one batch.
+    A task holds a file as it is stored (2 GB at most: more is an error of the reader; WARC files are split below that), and of its content the records of one batch.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -290,3 +290,39 @@ def test_hosts_of_many_labels_make_few_probes(spark):
     df = spark.createDataFrame([(1, f"http://{host}/es/x"), (2, f"http://{host}/q")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, url_filter.RULES), ["page_id"]).collect()}
     assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow")}
+
+
+def test_warc_names_in_any_case_folded_lines_and_kept_digests():
+    block = b"HTTP/1.1 200 OK\r\nContent-TYPE: text/html;\r\n charset=utf-8\r\nX-Long: a\r\n\tb\r\n\r\n<head><title>A &amp; B</title></head><a href='/x?a=1&amp;b=2'>Caf&eacute;</a>"
+    head = f"WARC/1.1\r\nwarc-type: response\r\nWarc-Record-Id: <urn:uuid:1>\r\nwarc-TARGET-uri: http://h.org/\r\nwarc-date: 2024-01-01T00:00:00Z\r\ncontent-type: Application/HTTP; msgtype=response\r\nwarc-payload-digest: sha1:KEPT\r\nX-Own: one\r\n two\r\nx-own: three\r\nCONTENT-length: {len(block)}\r\n\r\n"
+    (record,) = warc.from_bytes(head.encode() + block + b"\r\n\r\n")
+    assert record[:5] == ("response", "<urn:uuid:1>", "http://h.org/", "2024-01-01T00:00:00Z", None)
+    assert dict(record[5]) == {"Content-Type": "Application/HTTP; msgtype=response", "WARC-Payload-Digest": "sha1:KEPT", "X-Own": "one two\nthree"}
+    metadata, conversion = warc.derive_one(record)
+    lines = metadata[7].decode().splitlines()
+    assert "title: A & B" in lines and "outlink: http://h.org/x?a=1&b=2" in lines and "http-header-x-long: a b" in lines and "payload-digest: sha1:KEPT" in lines
+    assert all(dict(r[5])["WARC-Source-Payload-Digest"] == "sha1:KEPT" and r[4] == "<urn:uuid:1>" for r in (metadata, conversion)) and conversion[7].decode() == "Café"
+    spelt = (*record[:5], [("Content-Type", "application/http"), ("warc-payload-digest", "sha1:LOWER")], *record[6:])
+    assert dict(warc.derive_one(spelt)[0][5])["WARC-Source-Payload-Digest"] == "sha1:LOWER"
+    assert [warc.to_bytes(r) for r in warc.from_bytes(warc.to_bytes(record))] == [warc.to_bytes(record)]
+
+
+def test_warc_query_by_brute_force(spark, data):
+    """Ids, digests, lengths and links of every record, worked out again from the pages."""
+    import base64
+    import hashlib
+    import html as markup
+    import re
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()}
+    got = warc.op5_warc(spark, data).collect()
+    assert len(got) == 2 * len(pages)
+    for r in got:
+        page = pages[r.page_id]
+        block, source = r.content.encode(), (page.html or "").encode()
+        sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        fields = dict(line.split(": ", 1) for line in r.headers.split("\n"))
+        assert (r.target_uri, fields["WARC-Block-Digest"], fields["WARC-Source-Payload-Digest"], r.content_length) == (page.url, sha1(block), sha1(source), len(block))
+        if r.warc_type == "metadata":
+            title = re.search(r"(?is)<title[^>]*>(.*?)</title", page.html or "")
+            assert f"payload-length: {len(source)}" in r.content and (not title or f"title: {' '.join(markup.unescape(title[1]).split())}" in r.content)
