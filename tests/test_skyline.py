@@ -37,3 +37,17 @@ def test_edges(spark):
     assert [r.k for r in skyline.skyline(spark.createDataFrame([(1, None), (2, 3.0), (3, 4.0)], schema), [], ["a"]).collect()] == [2]
     with pytest.raises(ValueError):
         skyline.skyline(spark.createDataFrame([], schema), [], [])
+
+
+def test_reservoir_is_stable_and_uniform(spark):
+    """A rerun draws the same rows, whatever their order, and over many seeds every row is drawn about as often."""
+    from collections import Counter
+
+    from quillon.operators import evaluate
+
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    draw = lambda df, seed: sorted(r.k for r in evaluate.reservoir(df, "k", 10, seed).collect())
+    assert draw(rows, 1) == draw(rows.repartition(5).orderBy(rows.k.desc()), 1) != draw(rows, 2)
+    counts = Counter(k for seed in range(60) for k in draw(rows, seed))
+    assert len(counts) == 40 and sum(counts.values()) == 600
+    assert sum((n - 15) ** 2 / 15 for n in (counts[k] for k in range(40))) < 76  # chi square of 39 degrees, 1 in 3,000; a draw without repeats varies less
