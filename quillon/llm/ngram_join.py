@@ -334,9 +334,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = smallest_labels(first.unionByName(second))
 
     found = named.join(final, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
-    joined = texts.select("id", "n", "key").join(found, "key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # Each key with an id is in ``found``; copies of a text that has very many are dealt to copies of its row.
+    has_key = F.col("key").isNotNull() & F.col("id").isNotNull()
+    linked = texts.where(has_key).select("id", "n", "key")
+    joined = salted_join(linked, found, "key", "id", hot_keys(linked, "key", "hot")).select("id", "n", "component")
+    alone = texts.where(~has_key).select("id", "n", F.col("id").alias("component"))
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,6 +167,32 @@ def test_smallest_labels_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(41)}, 99: 99, 100: 99}
 
 
+def test_smallest_labels_of_a_component_with_most_nodes(spark, monkeypatch):
+    """90 of 100 nodes are in one component, as a tree and as a star: its root's key is hot in every round, and is dealt."""
+    from quillon.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT_ROWS", 8)
+    dealt = []
+    monkeypatch.setattr(components, "hot_keys", lambda rows, key, name: dealt.append((key, scratch.hot_keys(rows, key, name))) or dealt[-1][1])
+    tree = [(k, k // 2) for k in range(1, 60)] + [(k, 3) for k in range(60, 90)]
+    links = spark.createDataFrame(tree + [(k, k + 1) for k in range(90, 99)], "u long, v long")
+    got = {r.node: r.root for r in components.smallest_labels(links).collect()}
+    assert got == {k: 0 if k < 90 else 90 for k in range(100)}
+    assert any(key == "mid" and hot is not None for key, hot in dealt)
+
+
+def test_many_copies_of_a_text_are_dealt(spark, monkeypatch):
+    from quillon.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT_ROWS", 5)
+    texts = ["a b c d e f", "x y"] * 20 + ["", None, "a b c d e f g"] * 7 + ["alone here"]
+    ids = [None if k % 11 == 0 else k for k in range(len(texts))]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.jaccard_components(frame(spark, texts, ids)).collect())
+    known = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
+    nulls = [(-1, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := (t or "").split()) else 0, -1) for i, t in zip(ids, texts, strict=True) if i is None]
+    assert got == sorted(brute_components(known) + nulls)
+
+
 @pytest.mark.parametrize("order", ngram_join.ORDERS)
 def test_each_order_alone_loses_no_link(order):
     """Prefixes under one order: sets that link share a shingle in them, and no more than the lesser rest."""
