@@ -186,3 +186,16 @@ def encode(rows: DataFrame, text_col: str, load: Callable[[], Callable[[list[str
             yield frame.assign(embedding=list(unit.astype(np.float32)))
 
     return rows.mapInPandas(run, schema)
+
+
+def load_projection() -> Callable[[list[str]], np.ndarray]:
+    """The word projection as a model for ``encode``: the first word of a text is its prefix."""
+    projectors: dict[str, Projector] = {}
+
+    def model(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), DIMENSION))
+        for i, (prefix, _, text) in enumerate(t.partition(" ") for t in texts):
+            out[i] = projectors.setdefault(prefix, Projector(prefix)).vector(text.lower())[0]
+        return out
+
+    return model

@@ -411,6 +411,11 @@ def upsert(points: DataFrame, path: str, buckets: int = 16, size: int | None = N
     dealt = points.select(*COLUMNS).repartition(n, F.pmod(F.crc32(F.col("point_id").cast("binary")), F.lit(n)))
     writer = dealt.write.format(FORMAT).mode("overwrite" if overwrite else "append").option("buckets", str(n))
     (writer.option("size", str(size)) if size else writer).save(path)
+    return stored(path)
+
+
+def stored(path: str) -> int:
+    """How many points the table has; 0 if there is none."""
     return sum(f["rows"] for f in (snapshot(path) or {"files": []})["files"])
 
 
@@ -448,4 +453,4 @@ def copy(spark: SparkSession, source: str, target: str, checkpoint: str, max_poi
         upsert(batch, target, buckets, size)
 
     stream(spark, source, checkpoint, max_points=max_points).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return sum(f["rows"] for f in (snapshot(target) or {"files": []})["files"])
+    return stored(target)
