@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,20 @@ def normalize_space(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), SPACE, " "))
 
 
+_CHARACTERS = [chr(k) for k in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))]
+#: Lower-case characters that full case folding changes, some into several, and what they become. Sharp s is apart, as it is frequent.
+FOLDED = {c: c.casefold() for c in _CHARACTERS if c.lower() == c != c.casefold() and c != "ß"}
+#: Characters whose lower case has one of these; a capital sigma becomes a final one at a word's end.
+_TO_FOLD = "[" + "".join(c for c in _CHARACTERS if c == "Σ" or any(x in FOLDED for x in c.lower())) + "]"
+
+
 def fold_case(text: Column | str) -> Column:
-    return F.replace(F.lower(_col(text)), F.lit("ß"), F.lit("ss"))
+    """Full case folding. Texts without characters of ``FOLDED``, nearly all, only go to lower case."""
+    source = _col(text)
+    low = F.replace(F.lower(source), F.lit("ß"), F.lit("ss"))
+    known = F.create_map(*(F.lit(x) for pair in FOLDED.items() for x in pair))
+    whole = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(known[c], c)), "")
+    return F.when((F.length(source) < F.octet_length(source)) & source.rlike(_TO_FOLD), whole).otherwise(low)
 
 
 def tokenize(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,25 +147,52 @@ def of_language(points: DataFrame, target_lang: str | None, language_col: str =
     return points.where((F.col(language_col) == known[target_lang.strip()]) & (F.col(target_col) == target_lang.strip()))
 
 
+def _unit(vector: Column) -> Column:
+    """The vector as doubles of length 1; null where it has none: null, of zeros, or with nulls or values that aren't finite."""
+    length = norm(vector)
+    return F.when((length > 0) & (length < float("inf")), F.transform(vector, lambda x: x.cast("double") / length))
+
+
 def cosine_topk(queries: DataFrame, points: DataFrame, keys: list[str], vector: str = "embedding", k: int = 5, threshold: float | None = None) -> DataFrame:
-    """query_key, keys, score, rank: the ``k`` most similar points of every query (query_key, vector).
+    """query_key, keys, score, rank: the ``k`` most similar points of every query (query_key, vector), among those of its size.
 
-    Up to ``BATCH`` queries are broadcast, and points are never moved. More queries are dealt into
-    blocks of that size, and every point meets each block in a join on the block's number.
+    Up to ``BATCH`` queries are sent to all tasks as matrices, one for each size; a task multiplies its
+    points by them and passes on its best alone, so points are never moved. More queries are dealt
+    into blocks of that size, and every point meets each block in a join on the block's number.
     """
-    unit = F.when(norm(F.col(vector)) > 0, F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector))))
-    asked = queries.select("query_key", unit.alias("_q"))
-    held = points.select(*keys, unit.alias("_p"))
-    blocks = -(-asked.count() // BATCH)
-    alike = F.size("_q") == F.size("_p")
-    if blocks <= 1:
-        pairs = held.join(F.broadcast(asked), alike)
-    else:
+    asked = queries.select("query_key", _unit(F.col(vector)).alias("_q")).where("_q is not null")
+    held = points.select(*keys, _unit(F.col(vector)).alias("_p")).where("_p is not null")
+    count = asked.count()
+    if count > BATCH:
+        blocks = -(-count // BATCH)
         dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query_key"), F.lit(blocks)))
-        pairs = held.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").where(alike)
-    scored = pairs.select("query_key", *keys, dot(F.col("_q"), F.col("_p")).alias("score"))
-    scored = scored.where(F.col("score") >= threshold) if threshold is not None else scored
-    return rank(scored, k, keys, positive=False)
+        pairs = held.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").where(F.size("_q") == F.size("_p"))
+        scored = pairs.select("query_key", *keys, dot(F.col("_q"), F.col("_p")).alias("score"))
+        return rank(scored.where(F.col("score") >= threshold) if threshold is not None else scored, k, keys, positive=False)
+    own = asked.collect()
+    query_type = to_arrow_type(queries.schema["query_key"].dataType)
+    of_size = {n: [r for r in own if len(r["_q"]) == n] for n in {len(r["_q"]) for r in own}}
+    matrices = {n: (np.array([r["_q"] for r in rows]).T, pa.array([r["query_key"] for r in rows], query_type)) for n, rows in of_size.items()}
+    shared = points.sparkSession.sparkContext.broadcast(matrices)
+    key_fields = [held.schema[c] for c in keys]
+    names = ["query_key", *keys, "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: Best(len(query_keys), k) for n, (_, query_keys) in shared.value.items()}
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(len(keys))).to_numpy(zero_copy_only=False)
+            for n in np.intersect1d(sizes, list(best)):
+                alike = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                for at in range(0, alike.num_rows, ROWS):
+                    part = alike.slice(at, ROWS)
+                    scores = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) @ shared.value[n][0]
+                    valid = np.ones_like(scores, bool) if threshold is None else scores >= threshold
+                    best[n].add(list(zip(*(part.column(c).to_pylist() for c in range(len(keys))), strict=True)), scores, valid)
+        for n, found in best.items():
+            yield from found.batches(shared.value[n][1], [to_arrow_type(f.dataType) for f in key_fields], names)
+
+    found = held.mapInArrow(run, T.StructType([queries.schema["query_key"], *key_fields, T.StructField("score", T.DoubleType())]))
+    return rank(found, k, keys, positive=False)
 
 
 def encode(rows: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = PASSAGE, batch: int = 16) -> DataFrame:

@@ -49,8 +49,8 @@ def overlap_ratio(a: Column, b: Column, limit: int) -> Column:
 
 
 def signature(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """query_key and a digest of its list (places, keys, scores to nine digits): equal if two plans give the same rows in the same order."""
-    row = F.struct("rank", F.concat_ws("|", *(F.col(c).cast("string") for c in keys), F.round("score", 9).cast("string")).alias("key"))
+    """query_key and a digest of its list (places, keys, scores in whole billionths): equal if two plans give the same rows in the same order."""
+    row = F.struct("rank", F.concat_ws("|", *(F.col(c).cast("string") for c in keys), F.round(F.col("score") * 1e9).cast("long").cast("string")).alias("key"))
     return ranked.groupBy("query_key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["key"]), "\n"), 256).alias("signature"))
 
 

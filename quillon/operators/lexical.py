@@ -174,8 +174,13 @@ def bm25_by_scan(queries: DataFrame, docs: DataFrame, keys: list[str], text_col:
     tokens = docs.select(*keys, tokenize(text_col).alias("_t"))
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
-    small = F.broadcast(terms) if terms.count() <= ASKED else terms
-    seen = tokens.join(small, F.array_contains("_t", F.col("term"))).select(*keys, "term", F.size("_t").alias("dl"), F.size(F.filter("_t", lambda w: w == F.col("term"))).alias("tf"))
+    if terms.count() <= ASKED:  # one row with all terms, met by each document's words at once
+        one = F.broadcast(terms.agg(F.collect_list("term").alias("_terms")))
+        met = tokens.crossJoin(one).select(*keys, "_t", F.explode(F.array_intersect("_t", "_terms")).alias("term"))
+        seen = met.select(*keys, "term", F.size("_t").alias("dl"), F.size(F.filter("_t", lambda w: w == F.col("term"))).alias("tf"))
+    else:
+        words = tokens.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(terms, "term", "left_semi")
+        seen = words.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = seen.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))
     part = idf(F.col("n"), F.col("df")) * term_score(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)

@@ -222,12 +222,9 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.reservoir(documents(spark, sf_dir), "doc_id", 3).select("doc_id")
 
 
-@query(f"WITH {RRF_SQL} SELECT query_key, sha256(string_agg(rank || '', ',' ORDER BY rank)) AS places, max(rank) AS n FROM hyb GROUP BY 1")
+@query(f"WITH {RRF_SQL} SELECT query_key, sha256(string_agg(doc_id || '|' || CAST(round(fused * 1e9) AS BIGINT), chr(10) ORDER BY rank)) AS signature FROM hyb GROUP BY 1")
 def list_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each fused list has; ``fusion.signature`` tells whether two plans give the same ones."""
-    fused = lists(spark, sf_dir)[3].withColumn("score", F.col("fused"))
-    whole = fusion.signature(fused, KEYS).join(fused.groupBy("query_key").agg(F.max("rank").alias("n")), "query_key")
-    places = F.sha2(F.array_join(F.sequence(F.lit(1), F.col("n")), ","), 256)
-    return whole.where(F.length("signature") == 64).select("query_key", places.alias("places"), F.col("n").cast("int").alias("n"))
+    """A digest of each fused list, by which two plans are seen to give the same rows in the same order."""
+    return fusion.signature(lists(spark, sf_dir)[3].withColumn("score", F.col("fused")), KEYS)
 
 

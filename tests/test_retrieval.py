@@ -78,6 +78,27 @@ def test_cosine_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, dense.cosine_topk(queries, points, ["vec_id"]).select("query_key", "vec_id", "rank").collect())) == whole
 
 
+def test_cosine_of_odd_vectors_against_brute_force(spark, monkeypatch):
+    """Null, empty and zero vectors, and such with nulls or without finite values, take no part; others meet those of their size."""
+    monkeypatch.setattr(dense, "ROWS", 7)
+    good = [(i, [math.sin(i * (k + 1)) for k in range(3 if i % 4 == 0 else 5)]) for i in range(1, 80)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(9)]
+    odd = [(200, None), (201, []), (202, [0.0] * 5), (203, [1.0, None, 1.0]), (204, [float("nan"), 1.0, 1.0]), (205, [float("inf"), 1.0, 1.0])]
+    points = spark.createDataFrame(good + odd, "vec_id int, embedding array<double>").repartition(3)
+    queries = points.where("vec_id % 5 = 0 or vec_id > 200").select(F.col("vec_id").alias("query_key"), "embedding")
+
+    def brute(threshold):
+        out = []
+        for q, a in good:
+            scored = [(-round(sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b), 9), str(i), i) for i, b in good if len(a) == len(b)] if q % 5 == 0 else []
+            out += [(q, i, r + 1) for r, (s, _, i) in enumerate(sorted(x for x in scored if -x[0] >= threshold)[:5])]
+        return sorted(out)
+
+    for threshold in (None, 0.3):
+        got = dense.cosine_topk(queries, points, ["vec_id"], threshold=threshold).select("query_key", "vec_id", "rank")
+        assert sorted(map(tuple, got.collect())) == brute(-2 if threshold is None else threshold)
+    assert dense.cosine_topk(queries.limit(0), points, ["vec_id"]).collect() == dense.cosine_topk(queries, points.limit(0), ["vec_id"]).collect() == []
+
+
 def compose(spark, query, evidence, **options):
     rows = spark.createDataFrame([(0, query, "en", [(i + 1, s, t, "232017", str(i), "0") for i, (s, t) in enumerate(evidence)])], "query_key int, query string, language string, evidence array<struct<rank:int,score:double,text:string,query_id:string,passage_index:string,chunk_index:string>>")
     return answers.format_answers(answers.compose(rows, **options)).first()

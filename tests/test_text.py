@@ -20,6 +20,16 @@ def test_tokenize(spark):
     assert one(spark, None, text.tokenize("t")) == []
 
 
+def test_fold_case_is_full_folding(spark):
+    """Every character by itself, and some in words: ligatures, a final sigma, a capital sharp s, a letter that becomes two."""
+    every = [chr(k) for k in (*range(1, 0xD800), *range(0xE000, 0x1E944))]
+    assigned = [c for c in every if unicodedata.category(c)[0] in "LMNPSZ"]
+    texts = ["ﬁnal ﬂow", "ΟΔΟΣ ὈΔΟΣ", "STRAẞE Straße", "ŉ µm ſ İ ǰ", "plain", "", *("a".join(assigned[k : k + 500]) for k in range(0, len(assigned), 500))]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", text.fold_case("t").alias("f")).collect()
+    assert {r.k: r.f for r in got} == {k: t.casefold() for k, t in enumerate(texts)}
+    assert one(spark, None, text.fold_case("t")) is None
+
+
 def test_tokenize_is_casefold_without_punctuation(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").limit(100).select("text", text.tokenize("text").alias("got")).collect()
     for r in rows:
