@@ -45,17 +45,26 @@ def normalize_space(text: Column | str) -> Column:
 _CHARACTERS = [chr(k) for k in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))]
 #: Lower-case characters that full case folding changes, some into several, and what they become. Sharp s is apart, as it is frequent.
 FOLDED = {c: c.casefold() for c in _CHARACTERS if c.lower() == c != c.casefold() and c != "ß"}
+#: Those of them that become one character, and those that become several.
+_SINGLE, _SEVERAL = {c: f for c, f in FOLDED.items() if len(f) == 1}, {c: f for c, f in FOLDED.items() if len(f) > 1}
 #: Characters whose lower case has one of these; a capital sigma becomes a final one at a word's end.
-_TO_FOLD = "[" + "".join(c for c in _CHARACTERS if c == "Σ" or any(x in FOLDED for x in c.lower())) + "]"
+_TO_FOLD = "".join(c for c in _CHARACTERS if c == "Σ" or any(x in FOLDED for x in c.lower()))
+
+
+def _has(text: Column, characters: str) -> Column:
+    """Whether a text has one of the characters, by a hash table; a class of a pattern would try them all for each character."""
+    return F.translate(text, characters, "") != text
 
 
 def fold_case(text: Column | str) -> Column:
     """Full case folding. Texts without characters of ``FOLDED``, nearly all, only go to lower case."""
     source = _col(text)
     low = F.replace(F.lower(source), F.lit("ß"), F.lit("ss"))
-    known = F.create_map(*(F.lit(x) for pair in FOLDED.items() for x in pair))
-    whole = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(known[c], c)), "")
-    return F.when((F.length(source) < F.octet_length(source)) & source.rlike(_TO_FOLD), whole).otherwise(low)
+    single = F.translate(low, "".join(_SINGLE), "".join(_SINGLE.values()))
+    known = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    several = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(known[c], c)), "")
+    folded = F.when(_has(low, "".join(_SEVERAL)), several).otherwise(single)
+    return F.when((F.length(source) < F.octet_length(source)) & _has(source, _TO_FOLD), folded).otherwise(low)
 
 
 def tokenize(text: Column | str) -> Column:

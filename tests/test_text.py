@@ -85,3 +85,12 @@ def test_projection_of_words(spark):
         h = int(hashlib.md5(word.encode()).hexdigest(), 16)
         assert one(spark, word, vectors.bucket(F.col("t"))) == h % 768
         assert one(spark, word, vectors.bucket_value(F.col("t"))) == ((h >> 16) % 1000) / 500.0 - 1.0
+
+
+def test_folding_tries_no_list_of_characters_for_each_character(spark):
+    from quillon.functions import text
+
+    df = spark.createDataFrame([("ΣΊΣΥΦΟΣ ﬁn ŉ",), ("यह है ß",)], "t string")
+    plan = df.select(text.fold_case("t").alias("f"))
+    assert "RLIKE" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.f for r in plan.collect()] == ["σίσυφοσ fin ʼn", "यह है ss"]
