@@ -263,3 +263,22 @@ def test_zero_projection_is_the_first_unit_vector(monkeypatch):
     monkeypatch.setattr(dense, "_hashed", lambda word: (7, 0.0))
     sums, used = dense.Projector("q:").vector("a b")
     assert sums[0] == 1.0 and sums.sum() == 1.0 and used.tolist() == [0]
+
+
+def test_scan_profile_and_groups_move_no_scores(spark, tables):
+    queries, docs = tables
+    slow = {(r.query_key, r.rank): (r.doc_id, round(r.score, 9)) for r in lexical.bm25_topk(queries, docs, ["doc_id"]).collect()}
+    assert {(r.query_key, r.rank): (r.doc_id, round(r.score, 9)) for r in lexical.bm25_scan_topk(queries, docs, ["doc_id"]).collect()} == slow
+    told = docs.withColumn("lang", F.when(F.col("doc_id") > "doc2", "b").otherwise("a"))
+    both = queries.crossJoin(told.select("lang").distinct())
+    rows = lambda df: sorted((r.query_key, r.rank, r.lang, r.doc_id, round(r.score, 9)) for r in df.collect())
+    found = lexical.bm25_topk(both, told, ["doc_id"], group=["lang"])
+    assert rows(found) == rows(lexical.rank(lexical.bm25(both, told, ["doc_id"], group=["lang"]), 5, ["lang", "doc_id"]))
+    assert "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString()  # scores are summed in the tasks
+
+
+def test_saved_index_has_a_row_a_document(tables, tmp_path, spark):
+    queries, docs = tables
+    lexical.save_index(docs, str(tmp_path), ["doc_id"])
+    assert spark.read.parquet(f"{tmp_path}/postings").count() == docs.count()
+    assert "Exchange hashpartitioning(doc_id" not in lexical.search_index(queries, str(tmp_path), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
