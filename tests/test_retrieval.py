@@ -282,3 +282,11 @@ def test_saved_index_has_a_row_a_document(tables, tmp_path, spark):
     lexical.save_index(docs, str(tmp_path), ["doc_id"])
     assert spark.read.parquet(f"{tmp_path}/postings").count() == docs.count()
     assert "Exchange hashpartitioning(doc_id" not in lexical.search_index(queries, str(tmp_path), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_queries_are_multiplied_and_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BATCH", 5)
+    points = spark.createDataFrame([(i, [math.cos(i * (k + 1)) for k in range(8)]) for i in range(40)], "vec_id int, embedding array<double>")
+    found = dense.cosine_topk(points.select(F.col("vec_id").alias("query_key"), "embedding"), points, ["vec_id"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") > 1 and found.count() == 200
