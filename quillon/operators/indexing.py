@@ -53,7 +53,7 @@ def index(records: DataFrame, path: str, language: Column, load: Load = dense.lo
     read = records.agg(F.count(F.lit(1)).alias("records"), F.count_if(bad).alias("malformed")).first()
     chunks = keep(chunking.chunk(ingest.passages(records).withColumn("language", language), max_tokens), "chunks")
     made = chunks.agg(F.count_if(F.col("chunk_index") == 0).alias("documents"), F.count(F.lit(1)).alias("chunks")).first()
-    stored = points.upsert(embedded(as_points(chunks, _next_seq(path)), load), path, buckets, size) if made["chunks"] else points.stored(path)
+    stored = points.upsert(as_points(chunks, _next_seq(path)), path, buckets, size, finish=lambda rows: embedded(rows, load)) if made["chunks"] else points.stored(path)
     release(chunks)
     return {**read.asDict(), **made.asDict(), "points": stored}
 

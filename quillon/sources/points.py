@@ -29,7 +29,7 @@ import shutil
 import sqlite3
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillon.sources.scratch import bound_batches
+
 FORMAT = "quillon_points"
 COLUMNS = ("seq", "point_id", "query_id", "language", "payload", "vector")
 SCHEMA = "seq long, point_id string, query_id string, language string, payload string, vector array<float>"
@@ -50,9 +52,10 @@ TASK_ROWS, BATCH_ROWS = 50_000, 2048
 
 _CREATE = """
 CREATE TABLE IF NOT EXISTS points (point_id TEXT PRIMARY KEY, seq INTEGER NOT NULL, query_id TEXT, language TEXT, payload TEXT, vector BLOB) WITHOUT ROWID;
-CREATE INDEX IF NOT EXISTS by_seq ON points (seq);
-CREATE INDEX IF NOT EXISTS by_query ON points (query_id);
 """
+_INDEXES = ("CREATE INDEX IF NOT EXISTS by_seq ON points (seq)", "CREATE INDEX IF NOT EXISTS by_query ON points (query_id)")
+#: Of a new file: a point of some KB fits in a page, where a smaller one would give each point a page of its own besides.
+PAGE_BYTES = 32768
 _UPSERT = """INSERT INTO points (seq, point_id, query_id, language, payload, vector) VALUES (?, ?, ?, ?, ?, ?) ON CONFLICT (point_id) DO UPDATE
 SET seq = excluded.seq, query_id = excluded.query_id, language = excluded.language, payload = excluded.payload, vector = excluded.vector WHERE excluded.seq >= points.seq"""
 _COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
@@ -71,6 +74,18 @@ def bucket_of(point_id: str, buckets: int) -> int:
     return zlib.crc32(point_id.encode()) % buckets
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A vector's bytes, compressed if that halves them: then their number leaves 1 when divided by 4, which no plain vector's does."""
+    plain = vector.astype("<f4").tobytes()
+    short = zlib.compress(plain, 1)
+    short += b"\0" * ((1 - len(short)) % 4)
+    return short if 2 * len(short) < len(plain) else plain
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(held if len(held) % 4 == 0 else zlib.decompressobj().decompress(held), "<f4")
+
+
 # ---- Commits ----------------------------------------------------------------------------------------
 
 
@@ -153,7 +168,7 @@ def scan(part: Range, columns: list[str], schema: pa.Schema, where: str = "", va
             if not columns:
                 yield pa.RecordBatch.from_struct_array(pa.array([{}] * len(rows), pa.struct([])))
                 continue
-            arrays = [pa.array([None if x is None else np.frombuffer(x, "<f4") for x in c] if name == "vector" else c, schema.field(name).type) for name, c in zip(columns, zip(*rows, strict=True), strict=True)]
+            arrays = [pa.array([None if x is None else unpacked(x) for x in c] if name == "vector" else c, schema.field(name).type) for name, c in zip(columns, zip(*rows, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
@@ -211,6 +226,12 @@ class Written(WriterCommitMessage):
     files: list[dict]
 
 
+def vectors(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The lists of a column; a null number is not a number."""
+    ends, values, valid = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+    return (values[ends[i] : ends[i + 1]] if valid[i] else None for i in range(len(column)))
+
+
 class PointWriter(DataSourceArrowWriter):
     """Rows dealt by bucket: a task makes a new file for each bucket that it has rows of."""
 
@@ -227,14 +248,16 @@ class PointWriter(DataSourceArrowWriter):
         try:
             for batch in iterator:
                 rows: dict[int, list[tuple]] = {}
-                for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
-                    rows.setdefault(bucket_of(*self.checked(row), self.state["buckets"]), []).append((*row[:5], None if row[5] is None else np.array(row[5], "<f4").tobytes()))
+                for row in zip(*(batch.column(c).to_pylist() for c in COLUMNS[:5]), vectors(batch.column("vector")), strict=True):
+                    rows.setdefault(bucket_of(*self.checked(row), self.state["buckets"]), []).append((*row[:5], None if row[5] is None else packed(row[5])))
                 for bucket, own in rows.items():
                     if bucket not in made:
                         made[bucket] = self.opened(bucket)
                     made[bucket][1].executemany(_UPSERT, own)
             files = []
             for bucket, (name, connection) in made.items():
+                for index in _INDEXES:  # in one go, once the points are there
+                    connection.execute(index)
                 n, first, last = connection.execute("SELECT count(*), min(seq), max(seq) FROM points").fetchone()
                 connection.commit()
                 connection.close()
@@ -251,7 +274,7 @@ class PointWriter(DataSourceArrowWriter):
         seq, point_id, *_, vector = row
         if seq is None or not point_id:
             raise ValueError("a point needs an id and a seq")
-        if self.size is not None and (vector is None or len(vector) != self.size or not all(x is not None and math.isfinite(x) for x in vector)):
+        if self.size is not None and (vector is None or len(vector) != self.size or not np.isfinite(vector).all()):
             raise ValueError(f"point {point_id}: a vector of {self.size} finite numbers is expected")
         return (point_id,)
 
@@ -261,7 +284,7 @@ class PointWriter(DataSourceArrowWriter):
         if bucket in self.old:
             shutil.copyfile(f"{folder}/{self.old[bucket]['file']}", f"{folder}/{name}")
         connection = sqlite3.connect(f"{folder}/{name}", isolation_level=None)
-        connection.executescript(f"PRAGMA journal_mode = OFF; PRAGMA synchronous = OFF; {_CREATE} BEGIN")  # the file counts only once committed
+        connection.executescript(f"PRAGMA journal_mode = OFF; PRAGMA synchronous = OFF; PRAGMA page_size = {PAGE_BYTES}; {_CREATE} BEGIN")  # the file counts only once committed
         return name, connection
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -403,13 +426,21 @@ def stream(spark: SparkSession, path: str, checkpoint: str, columns: list[str] |
     return (reader.option("max_points", str(max_points)) if max_points else reader).load(path)
 
 
-def upsert(points: DataFrame, path: str, buckets: int = 16, size: int | None = None, overwrite: bool = False) -> int:
-    """Write points (the columns ``COLUMNS``) over those of equal id that are not newer; returns the table's points."""
+def upsert(points: DataFrame, path: str, buckets: int = 16, size: int | None = None, overwrite: bool = False, finish: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Write points (the columns ``COLUMNS``) over those of equal id that are not newer; returns the table's points.
+
+    With ``finish``, ``points`` has seq, point_id and what ``finish`` makes the columns from, row by row, once
+    the rows are dealt: so vectors can be made where they are written, and aren't moved.
+    """
     register(points.sparkSession)
+    bound_batches(points.sparkSession)
     held = snapshot(path)
     n = held["buckets"] if held and not overwrite else buckets
-    dealt = points.select(*COLUMNS).repartition(n, F.pmod(F.crc32(F.col("point_id").cast("binary")), F.lit(n)))
-    writer = dealt.write.format(FORMAT).mode("overwrite" if overwrite else "append").option("buckets", str(n))
+    rows = points if finish else points.select(*COLUMNS)
+    # In order of ids, a file grows at its end and its pages are full.
+    dealt = rows.repartition(n, F.pmod(F.crc32(F.col("point_id").cast("binary")), F.lit(n))).sortWithinPartitions("point_id", "seq")
+    made = finish(dealt).select(*COLUMNS) if finish else dealt
+    writer = made.write.format(FORMAT).mode("overwrite" if overwrite else "append").option("buckets", str(n))
     (writer.option("size", str(size)) if size else writer).save(path)
     return stored(path)
 

@@ -204,3 +204,17 @@ def test_paths():
     assert points.local("file:///a/b") == "/a/b" == points.local("/a/b")
     with pytest.raises(ValueError, match="mounted"):
         points.local("hdfs://n/a")
+
+
+def test_sparse_vectors_are_short_in_files_and_dense_ones_plain(spark, tmp_path):
+    import numpy as np
+
+    sparse, dense = np.zeros(768, "<f4"), np.random.default_rng(1).normal(size=768).astype("<f4")
+    sparse[::40] = 0.25
+    assert len(points.packed(sparse)) < 400 and len(points.packed(dense)) == 4 * 768
+    assert (points.unpacked(points.packed(sparse)) == sparse).all() and (points.unpacked(points.packed(dense)) == dense).all()
+    rows = spark.range(2000).selectExpr("id as seq", "cast(uuid() as string) as point_id", "'q' as query_id", "'en' as language", "repeat('x', 1200) as payload", "transform(sequence(1, 768), i -> cast(i % 40 = 0 as float)) as vector")
+    points.upsert(rows, str(tmp_path), 2, 768)
+    size = sum(f.stat().st_size for f in (tmp_path / "data").iterdir())
+    assert size < 2000 * 2500  # a point was some 8 KB with pages and vectors as they were
+    assert points.read(spark, str(tmp_path)).selectExpr("sum(aggregate(vector, 0D, (a, x) -> a + x)) as s").first().s == 2000 * 19
