@@ -108,3 +108,35 @@ def test_store_is_put_back(spark):
         assert "RocksDB" in spark.conf.get(state._PROVIDER)
         raise ValueError
     assert spark.conf.get(state._PROVIDER) == before
+
+
+def test_terms_of_a_session_are_written_at_once():
+    """Each call of a state goes to the JVM and back: their number must not grow with a session's terms."""
+    import pandas as pd
+
+    from quillon.streaming import state
+
+    class Held:
+        value, calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*given):
+                Held.calls += 1
+                if name in ("put", "update"):
+                    self.value = given[0]
+                return self.value is not None if name == "exists" else (self.value if self.value is not None else [])
+
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *_: Held()
+
+    def calls(words):
+        Held.calls, own = 0, state.Sessions(2, 1000, 5)
+        own.init(Handle())
+        rows = pd.DataFrame({"seq": [1], "tokens": [[f"w{i}" for i in range(words)]], "at_ms": [0]})
+        assert [d["decision"].tolist() for d in own.handleInputRows(("s",), iter([rows]), None)] == [["queued"]]
+        return Held.calls
+
+    assert calls(300) == calls(3)
