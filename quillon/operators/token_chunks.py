@@ -11,17 +11,22 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import byte_bpe
 from quillon.operators.chunking import WINDOW_OVERLAP
+from quillon.sources.scratch import bound_batches
 
 #: Ends of tokens with their starts, and ids if the tokenizer has them.
 Tokens = tuple[list[int], list[int], list[int] | None]
 _SENTENCE = re.compile(r".+?(?:[।.!?]+(?=\s|$)|\Z)", re.S)
 _WORD = re.compile(r"\S+")
+#: Passages whose chunks go out together.
+ROWS = 512
 _made: dict[str, Callable[[str], Tokens]] = {}
 
 
@@ -47,9 +52,10 @@ def tokenizer_of(name: str) -> Callable[[str], Tokens]:
 
             def pieces(text: str) -> Tokens:
                 found = model.encode(text, add_special_tokens=False)
-                return [a for a, _ in found.offsets], [b for _, b in found.offsets], found.ids
+                offsets = found.offsets  # made anew whenever it is asked for
+                return [a for a, _ in offsets], [b for _, b in offsets], found.ids
 
-            _made[name] = pieces
+            _made[name] = byte_bpe.encoder(name, pieces) or pieces
     return _made[name]
 
 
@@ -133,27 +139,38 @@ class TokenChunks:
     def eval(self, passages: pa.RecordBatch, text: pa.Array, tokenizer: pa.Array, most: pa.Array) -> Iterator[pa.Table]:
         if not passages.num_rows:
             return
-        column, name, size = text[0].as_py(), tokenizer[0].as_py(), most[0].as_py()
+        for at in range(0, passages.num_rows, ROWS):
+            yield self.part(passages.slice(at, ROWS), text[0].as_py(), tokenizer[0].as_py(), most[0].as_py())
+
+    def part(self, passages: pa.RecordBatch, column: str, name: str, size: int) -> pa.Table:
         encode, rest = tokenizer_of(name), _rest(passages.schema.names, column)
-        at, rows, ids_of = [], [], []
+        at, rows, ids_of, counts = [], [], [], []
         for n, value in enumerate(passages.column(column)):
             own = value.as_py() or ""
             starts, ends, ids = encode(own)
+            ids = np.asarray(ids, np.int32) if has_ids(name) else None
             for k, (a, b, strategy) in enumerate(slices(own, starts, ends, size)):
                 first, last = bisect_right(ends, a), bisect_right(ends, b)
                 at.append(n)
                 rows.append((k, a, b, own[a:b], strategy, last - first))
-                ids_of.append(ids[first:last] if ids is not None else None)
+                if ids is not None:
+                    ids_of.append(ids[first:last])
+                    counts.append(last - first)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         made = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)]
         taken = [passages.column(c).take(pa.array(at, pa.int64())) for c in rest]
         names = [*rest, "chunk_index", "start", "end", column, "chunk_strategy", "token_count"]
-        yield pa.table([*taken, *made, *([pa.array(ids_of, pa.list_(pa.int32()))] if has_ids(name) else [])], names=[*names, *(["ids"] if has_ids(name) else [])])
+        if has_ids(name):
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            made.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids_of]))))
+            names.append("ids")
+        return pa.table([*taken, *made], names=names)
 
 
 def chunk(passages: DataFrame, tokenizer: str = "words", max_tokens: int = 256, text_col: str = "text") -> DataFrame:
     """One row a chunk: the passage's columns, chunk_index, start, end, the text between them, chunk_strategy, token_count and, if the tokenizer has them, ids."""
     if max_tokens < 1:
         raise ValueError("max_tokens must be at least 1")
+    bound_batches(passages.sparkSession)
     function = F.arrow_udtf(TokenChunks, returnType=result_schema(passages.schema, text_col, tokenizer))
     return function(passages.asTable(), F.lit(text_col), F.lit(tokenizer), F.lit(max_tokens))

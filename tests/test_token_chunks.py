@@ -1,11 +1,14 @@
 """Chunks as slices: the same as by columns for words, and by their rules for another vocabulary."""
 
+import json
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillon.functions import byte_bpe
 from quillon.functions.text import normalize_space
 from quillon.operators import chunking, token_chunks
 
@@ -63,3 +66,38 @@ def test_subword_query_by_brute_force(spark, data):
         want |= {(r.doc_id, k, a, b, s, sum(a < e <= b for e in ends)) for k, (a, b, s) in enumerate(token_chunks.slices(r.text, starts, ends, 256))}
     got = QUERIES["chunks_subword"](spark, data)
     assert {tuple(r)[:6] for r in got.collect()} == want and got.agg(F.max("token_count")).first()[0] <= 256
+
+
+def _library(path):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+
+    def tokens(text):
+        found = model.encode(text, add_special_tokens=False)
+        return [a for a, _ in found.offsets], [b for _, b in found.offsets], found.ids
+
+    return tokens
+
+
+EXACT, ASKED = _library(BPE), []
+FAST = byte_bpe.encoder(BPE, lambda text: ASKED.append(text) or EXACT(text))
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.one_of(st.sampled_from([*PARTS, "<|endoftext|>", "\u3000", "'s", "\x00"]), st.text(st.characters(exclude_categories=["Cs"]), max_size=4)), max_size=14).map("".join))
+def test_fast_tokens_equal_the_library(text):
+    ASKED.clear()
+    assert FAST(text) == EXACT(text) and bool(ASKED) == ("<|endoftext|>" in text)
+
+
+def test_what_is_left_to_the_library(tmp_path):
+    text = "a" + " " * byte_bpe.LONG_SPACE + "b"
+    ASKED.clear()
+    assert FAST(text) == EXACT(text) and ASKED == [text]
+    with open(BPE, encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    assert byte_bpe.encoder(str(tmp_path / "other.json"), EXACT) is None
+    assert token_chunks.tokenizer_of(str(tmp_path / "other.json"))("one")[2] == EXACT(" one")[2]
