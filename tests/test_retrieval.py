@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +291,18 @@ def test_blocks_of_queries_are_multiplied_and_not_joined(spark, monkeypatch):
     found = dense.cosine_topk(points.select(F.col("vec_id").alias("query_key"), "embedding"), points, ["vec_id"])
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") > 1 and found.count() == 200
+
+
+def test_projections_of_many_texts_are_one_matrix(monkeypatch):
+    monkeypatch.setattr(dense, "HELD_WORDS", 9)
+    texts = ["a b a", "", "c", "a " * 20, "हिन्दी b", "b"] * 3
+    sums, used = dense.Projector("q:").matrix(texts)
+    for n, text in enumerate(texts):
+        own, buckets = np.zeros(768), set()
+        for place, word in enumerate(["q:", *text.split(" ")]):
+            bucket, value = dense._hashed(word)
+            own[bucket] += value / (1.0 + dense.DECAY * place)
+            buckets.add(bucket)
+        assert (sums[n] == own).all() and set(np.flatnonzero(used[n]).tolist()) == buckets
+    none, _ = dense.Projector("q:").matrix([])
+    assert none.shape == (0, 768)
