@@ -68,16 +68,18 @@ def add_language(
     or written; if they don't, that is an error. Returns counts: copied, embedded, points (of the target).
     """
     fields = F.from_json("payload", PAYLOAD)
-    held = points.read(spark, source).withColumn("_p", fields).where((F.col("_p.is_selected") == 1) & (F.trim(F.coalesce("_p.text", F.lit(""))) != ""))
+    selected = (F.col("_p.is_selected") == 1) & (F.trim(F.coalesce("_p.text", F.lit(""))) != "")
     own = ids.bilingual_point_id(F.col("language"), F.col("_p.query_id"), F.col("_p.passage_index"), F.col("_p.chunk_index"), F.col("_p.chunk_strategy"))
-    copied = keep(held.withColumn("point_id", own).select(*points.COLUMNS), "copied")
+    # Vectors are read of the selected points alone, by their ids, and go straight into the target.
+    chosen = keep(points.read(spark, source, ["point_id", "payload"]).withColumn("_p", fields).where(selected).select("point_id"), "chosen")
+    copied = points.lookup(chosen, source).withColumn("_p", fields).where(selected).withColumn("point_id", own).select(*points.COLUMNS)
     kept = policies.choose(ingest.passages(records), "POLICY_A_SELECTED_ONLY").withColumn("language", F.lit(language))
     chunks = keep(chunking.chunk(kept, max_tokens), "chunks")
-    counts = {"copied": copied.count(), "embedded": chunks.count()}
-    policies.gated_union(copied.select("point_id"), chunks.select(F.col("text").alias("point_id")), bytes_per_point, limit_gib)
+    counts = {"copied": chosen.count(), "embedded": chunks.count()}
+    policies.gated_union(chosen, chunks.select(F.col("text").alias("point_id")), bytes_per_point, limit_gib)
     first = max(_next_seq(target), _next_seq(source))
     both = copied.unionByName(embedded(as_points(chunks, first), load))
     stored = points.upsert(both, target, buckets, size)
-    for t in (copied, chunks):
+    for t in (chosen, chunks):
         release(t)
     return {**counts, "points": stored}

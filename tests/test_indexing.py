@@ -155,3 +155,11 @@ def test_stages_are_run_once_and_measured(spark, tmp_path):
     assert all(r.ms >= r.write_ms > 0 and r.bytes_written > 0 and r.bytes_in_files > 0 for r in rows.values())
     with pytest.raises(ZeroDivisionError), measure.Executions(spark):
         _ = 1 / 0
+
+
+def test_vectors_of_selected_points_alone_are_read(spark, tmp_path, monkeypatch):
+    source, target, asked, real = str(tmp_path / "s"), str(tmp_path / "t"), [], points.read
+    indexing.index(records(spark, 0, 4), source, F.lit("hi"), size=768)
+    monkeypatch.setattr(points, "read", lambda session, path, columns=None: asked.append(columns) or real(session, path, columns))
+    got = indexing.add_language(spark, source, target, records(spark, 4, 1), "en", bytes_per_point=1, limit_gib=1, size=768)
+    assert got["copied"] == 3 and asked and all(c and "vector" not in c for c in asked)
