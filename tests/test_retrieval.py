@@ -1,9 +1,11 @@
 """BM25, fusion, maturity and answers on small corpora."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,36 @@ def test_bm25_parameters_are_checked(tables):
         lexical.rank(tables[0], 0, [])
 
 
+def test_bm25_memory_does_not_grow_with_the_queries(spark):
+    """500 queries that ask for the same 40 terms, which 512 documents have: 10 million pairs, which as whole arrays would take some 400 MB."""
+    words = [f"w{i:02d}" for i in range(40)]
+    sent = lexical._Batch(spark.createDataFrame([(q, " ".join(words)) for q in range(500)], "query_key int, query string"), [])
+
+    class Held:
+        schema = spark.createDataFrame([], "doc_id int, dl int, _g int, terms array<int>, tfs array<int>").schema
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = sent.scores(Held(), ["doc_id"], 5, np.full(40, 100.0), np.array([1000.0]), np.array([40.0]), 1.5, 0.75)
+    tf = np.arange(512 * 40).reshape(512, 40) % 7 + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(512), pa.int32()), pa.array([40] * 512, pa.int32()), pa.array([0] * 512, pa.int32()), pa.array([list(range(40))] * 512, pa.list_(pa.int32())), pa.array(tf.tolist(), pa.list_(pa.int32()))], Held.schema.names)
+    assert len(sent.shared.value[3]) == 500  # read before memory is measured
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = (math.log(1 + 900.5 / 100.5) * 2.5 * tf / (tf + 1.5)).sum(axis=1)
+    best = sorted(range(512), key=lambda d: (-round(score[d], 9), str(d)))[:5]
+    by_query = {q: [r for r in found if r["query_key"] == q] for q in range(500)}
+    assert all([r["doc_id"] for r in rows] == best and np.allclose([r["score"] for r in rows], score[best], atol=1e-9, rtol=0) for rows in by_query.values())
+    assert peak < 120e6
+
+
+def test_bm25_without_queries(tables):
+    assert lexical.bm25_topk(tables[0].limit(0), tables[1], ["doc_id"]).count() == 0
+
+
 def test_bm25_profile(tables):
     got = {r.query_key: (r.terms, r.postings, r.candidates) for r in lexical.bm25_profile(*tables, ["doc_id"]).collect()}
     assert got[3] == (2, 4, 2) and got[6] == (1, 0, 0)
